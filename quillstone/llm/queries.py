@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import token_output
+from . import ann, line_dedup, mixing, secrets, token_output
 from .common import table
 
 
@@ -16,12 +17,46 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text: fixed patterns and entropy spans."""
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op2_ads_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest neighbours of every hundredth vector."""
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op3_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents through rANS containers and back."""
     return token_output.token_output(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the lines that many sites share, as counts and a digest."""
+    cleaned = line_dedup.clean(table(spark, sf_dir, "documents"))
+    return cleaned.select(
+        "doc_id",
+        F.col("line_dedup.n_lines").alias("n_lines"),
+        F.col("line_dedup.n_removed").alias("n_removed"),
+        F.length("text").cast("long").alias("n_chars"),
+        F.md5(F.col("text").cast("binary")).alias("text_md5"),
+    )
+
+
+def op7_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes each document."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_ads_search": op2_ads_search,
     "op3_rans_tokens": op3_rans_tokens,
+    "op6_line_spread": op6_line_spread,
+    "op7_fair_mix": op7_fair_mix,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op6_line_spread": line_dedup.SQL,
+    "op7_fair_mix": mixing.SQL,
 }
-ORACLE_SQL: dict[str, str] = {}

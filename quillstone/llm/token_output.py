@@ -26,9 +26,11 @@ first; an empty table gives no rows; other columns are not read, whatever their
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,65 +42,91 @@ from .common import arrow_batches, materialise, parallelism
 
 END_ID = 0
 CONTAINER_IDS = 1 << 20
-#: Pieces of which a worker keeps the ids; beyond that it starts anew, so its memory is bounded.
-KEPT_PIECES = 400_000
-#: The byte-level pre-tokenizer's public pattern (fixed value).
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts with other characters than these take the library's own path from
-#: end to end: there two regex engines might class a character differently.
-PLAIN = r"[\t-\r\x20-\x7e\xa1-ɏ]*"
+#: Words of which a worker process keeps the ids; beyond that it starts anew, so its memory is bounded.
+KEPT_WORDS = 1_000_000
+#: A text of these characters, without doubled blanks and line ends, may be cut
+#: at blanks and line ends: the byte-level pre-tokenizer cuts there too, and its
+#: merges never cross a cut.  Other texts go through the library whole.
+PLAIN = r"[\n\x20-\x7e\xa1-\u024f]*"
+UNSAFE = ("  ", "\n\n", " \n", "\n ")
 MAGIC = b"QTC1"
 _HEAD = struct.Struct("<4sII")
 
 
 class Encoder:
-    """``tokenizers`` with the ids of frequent pieces kept.
-
-    Byte-level BPE merges never cross a piece, so joining the pieces' ids is
-    the same as encoding the text.
-    """
+    """``tokenizers`` with the ids of words kept, so that repeated words are encoded once."""
 
     def __init__(self, path: str) -> None:
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if self.vocabulary <= 1 << 16 else np.dtype("<u4")
         kind = type(self.tokenizer.pre_tokenizer).__name__
-        self.by_piece = kind == "ByteLevel" and self.tokenizer.normalizer is None and not self.tokenizer.pre_tokenizer.add_prefix_space
+        self.by_word = kind == "ByteLevel" and self.tokenizer.normalizer is None and not self.tokenizer.pre_tokenizer.add_prefix_space
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces, self.plain = regex.compile(PIECES).findall, regex.compile(PLAIN).fullmatch
-        self.kept: dict[str, bytes] = {}
+        self.plain = re.compile(PLAIN).fullmatch
+        # a byte-level token has one character a byte
+        self.token_bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.vocabulary)], dtype=np.int64)
+        self.line_end = self._whole(["\n"])[0]
+        self.first: dict[str, bytes] = {"": b""}
+        self.after: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            if not text:
-                yield b""
-            elif not self.by_piece or not self.plain(text) or any(s in text for s in self.special):
-                yield self._whole([text])[0]
-            else:
-                found = self.pieces(text)
-                kept = self.kept
-                if new := [x for x in set(found) if x not in kept]:
-                    if len(kept) > KEPT_PIECES:
-                        kept.clear()
-                        new = list(set(found))
-                    kept.update(zip(new, self._whole(new)))
-                yield b"".join(map(kept.__getitem__, found))
+    def _learn(self, words: list[str]) -> None:
+        """Ids of words that follow a blank: all in one text, cut where the words' bytes end."""
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        ends = np.cumsum(self.token_bytes[ids])
+        want = np.cumsum(np.array([len(w.encode()) + 1 for w in words], dtype=np.int64))
+        cut = np.searchsorted(ends, want) + 1
+        if not (ends[cut - 1] == want).all():
+            self.after.update(zip(words, self._whole([" " + w for w in words])))
+            return
+        data, size, at = ids.tobytes(), self.dtype.itemsize, 0
+        for word, end in zip(words, cut.tolist()):
+            self.after[word] = data[at * size : end * size]
+            at = end
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        easy = [self.by_word and bool(t) and self.plain(t) is not None and not any(u in t for u in UNSAFE) and not any(s in t for s in self.special) for t in texts]
+        out: list[bytes] = [b""] * len(texts)
+        if hard := [i for i, (e, t) in enumerate(zip(easy, texts)) if not e and t]:
+            for i, ids in zip(hard, self._whole([texts[i] for i in hard])):
+                out[i] = ids
+        if len(self.after) > KEPT_WORDS:
+            self.after.clear()
+        if len(self.first) > KEPT_WORDS // 4:
+            self.first = {"": b""}
+        lines = {i: [line.split(" ") for line in texts[i].split("\n")] for i, e in enumerate(easy) if e}
+        seen: set[str] = set()
+        for cut in lines.values():
+            for words in cut:
+                seen.update(words[1:])
+        if new := list(seen.difference(self.after)):
+            for at in range(0, len(new), 5000):
+                self._learn(new[at : at + 5000])
+        if new := list({words[0] for cut in lines.values() for words in cut}.difference(self.first)):
+            self.first.update(zip(new, self._whole(new)))
+        first, after, end = self.first, self.after.__getitem__, self.line_end
+        for i, cut in lines.items():
+            out[i] = end.join([first[words[0]] + b"".join(map(after, words[1:])) for words in cut])
+        return out
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """One a worker process, so that tasks share what it has learned."""
+    return Encoder(path)
 
 
 def token_ids(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """``doc_id``, ``n_tokens`` and ``ids`` (little-endian, end id last) of each row."""
 
     def encode(batches):
-        encoder = Encoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         end = np.asarray([END_ID], dtype=encoder.dtype).tobytes()
         for batch in batches:
             for first in range(0, batch.num_rows, 200):
@@ -163,7 +191,7 @@ def unpack(container: bytes, model: rans.Model) -> tuple[list, np.ndarray, np.nd
 def write_containers(docs: DataFrame, tokenizer_path: str, container_ids: int = CONTAINER_IDS) -> tuple[DataFrame, "np.ndarray"]:
     """Write the corpus; returns the containers as read from the shared folder (``part``, ``n_ids``, ``payload``) and the table's frequencies."""
     spark = docs.sparkSession
-    probe = Encoder(tokenizer_path)
+    probe = encoder_of(tokenizer_path)
     vocabulary, dtype = probe.vocabulary, probe.dtype.str
     tokens = materialise(token_ids(docs, tokenizer_path), "token-ids")
     freq = rans.quantise(count_ids(tokens, vocabulary, dtype))
