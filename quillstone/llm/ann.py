@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by adaptive dimension scan over inverted lists.
 
 Method: centroids are fitted on a bounded sample; every vector is put into the
-list of its nearest centroid and every query probes its nearest lists.  Inside
-a list vectors are rotated by one fixed random orthogonal matrix and laid out
+list of its nearest centroid and every query probes its nearest lists, as many
+as the sample shows to be needed for the recall asked for.  Inside a list vectors are rotated by one fixed random orthogonal matrix and laid out
 in column blocks.  A scan adds squared differences block by block; after each
 block a hypothesis test on the partial distance abandons the candidates that
 can hardly beat the k-th best so far.  What survives is measured exactly on
@@ -43,6 +43,8 @@ CHUNK_ROWS = (64, 65536)
 BLOCK_DIMS = 16
 #: Of the hypothesis test; larger keeps more candidates.
 EPSILON = 2.1
+#: Share of neighbours that the probed lists must hold, judged on the sample.
+RECALL = 0.96
 SEED = 7
 
 
@@ -90,6 +92,27 @@ def nearest(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def probes_for(sample: np.ndarray, centres: np.ndarray, k: int, recall: float, asked: int = 256, seed: int = SEED) -> int:
+    """How many lists a query must probe so that ``recall`` of the ``k`` nearest within the sample lie in them.
+
+    Neighbours in the whole table are nearer than those in a sample of it, so
+    this errs to the safe side.
+    """
+    picked = np.random.default_rng(seed).permutation(len(sample))[:asked]
+    near, home = nearest(sample[picked], centres, len(centres)), nearest(sample, centres, 1)[:, 0]
+    place = np.empty_like(near)
+    np.put_along_axis(place, near, np.arange(len(centres), dtype=near.dtype)[None, :], axis=1)
+    norms = (sample * sample).sum(axis=1)
+    need = []
+    for row, at in enumerate(picked):
+        d = norms - 2.0 * (sample @ sample[at])
+        best = np.argpartition(d, min(k, len(d) - 1))[: k + 1]
+        need.append(place[row, home[best[best != at]]])
+    if not len(flat := np.sort(np.concatenate(need))):
+        return 1
+    return int(flat[min(len(flat) - 1, math.ceil(recall * len(flat)))]) + 1
+
+
 def scan_list(query: np.ndarray, q_rot: np.ndarray, ids: np.ndarray, rows: np.ndarray, rot: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and exact distances of the ``keep`` best of a list. ``ids`` ascend; ``rot``: column blocks ``[blocks][rows, width]``."""
     dims = rows.shape[1]
@@ -127,7 +150,7 @@ def scan_list(query: np.ndarray, q_rot: np.ndarray, ids: np.ndarray, rows: np.nd
     return best_i, best_d
 
 
-def search(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, probe_share: float = 0.25, min_probes: int = 16) -> DataFrame:
+def search(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, recall: float = RECALL) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` of the ``k`` nearest found of every ``query_every``-th id."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -142,7 +165,7 @@ def search(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, probe
         sample = _matrix(kept.select("v").limit(1).toArrow().column("v"), dims)
     centres = centroids(sample, max(1, min(MAX_LISTS, round(math.sqrt(n)), len(sample))))
     lists = len(centres)
-    probes = min(lists, max(min_probes, round(probe_share * lists) if lists <= 256 else round(probe_share * math.sqrt(256 * lists))))
+    probes = probes_for(sample, centres, k, recall)
     shared = spark.sparkContext.broadcast(centres)
 
     def assign(batches):
