@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, line_dedup, mixing, secrets, token_output
+from . import ann, decontaminate, html_text, langid, line_dedup, mixing, near_dedup, quality, secrets, token_output
 from .common import table
 
 
@@ -32,6 +32,16 @@ def op3_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_cws_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_centroid_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text without the lines that many sites share, as counts and a digest."""
     cleaned = line_dedup.clean(table(spark, sf_dir, "documents"))
@@ -49,12 +59,32 @@ def op7_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_qda_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_qgram_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_ads_search": op2_ads_search,
     "op3_rans_tokens": op3_rans_tokens,
+    "op4_cws_neardup": op4_cws_neardup,
+    "op5_centroid_lang": op5_centroid_lang,
     "op6_line_spread": op6_line_spread,
     "op7_fair_mix": op7_fair_mix,
+    "op8_template_text": op8_template_text,
+    "op9_qda_quality": op9_qda_quality,
+    "op10_qgram_decontam": op10_qgram_decontam,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_line_spread": line_dedup.SQL,
