@@ -20,9 +20,11 @@ read, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -184,10 +186,6 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     model = fit(features(docs), labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
