@@ -23,8 +23,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
@@ -60,11 +61,12 @@ def grams(points: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def banded_infix(pattern: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
+def banded_infix(pattern: np.ndarray, text: np.ndarray, low: int, high: int, budget: int | None = None) -> tuple[int, int]:
     """Fewest edits that turn the pattern into a stretch of ``text``, and where the first such stretch ends.
 
     Only cells whose diagonal (place in text less place in pattern) lies in
-    ``[low, high]`` are filled.
+    ``[low, high]`` are filled.  A row's least cost never falls again, so rows
+    end once it is above ``budget``; the cost returned is then that.
     """
     width, n = high - low + 1, len(text)
     big = len(pattern) + width + 1
@@ -81,6 +83,8 @@ def banded_infix(pattern: np.ndarray, text: np.ndarray, low: int, high: int) ->
         new[:-1] = np.minimum(new[:-1], row[1:] + 1)
         new = np.minimum.accumulate(new - steps) + steps
         row = np.where((at >= 0) & (at <= n), new, big)
+        if budget is not None and not i % 4 and (least := int(row.min())) > budget:
+            return least, 0
     best = int(row.argmin())
     return int(row[best]), len(pattern) + low + best
 
@@ -169,7 +173,7 @@ class Index:
                 begin = max(0, first - edits)
                 region = codes(plain[d][begin : max(begin, first + width + m + 2 * edits)])
                 low, high = first - begin - edits, first - begin + width + 2 * edits
-                cost, end = banded_infix(self.points[item], region, low, high)
+                cost, end = banded_infix(self.points[item], region, low, high, edits)
                 if cost <= edits and (cost, begin + end) < found[d].get(item, (edits + 1, 0)):
                     found[d][item] = (cost, begin + end)
         return [sorted((self.ids[i], cost, end) for i, (cost, end) in f.items()) for f in found]
@@ -209,28 +213,21 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-def is_clean(items: DataFrame) -> list:
-    """Predicates on a text column, one a block of items: whether it holds none of them."""
-    import pandas as pd
+def _predicate(shared):
+    """Predicate on a text column: whether it holds none of a broadcast block of items."""
 
-    found = []
-    for block in blocks(items):
-        shared = items.sparkSession.sparkContext.broadcast(block)
-
-        @F.pandas_udf("boolean")
-        def clean(texts: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            index = Index(shared.value)
-            for series in texts:
-                yield pd.Series([not m for m in index.search(series.tolist())], dtype=bool)
+    @F.pandas_udf("boolean")
+    def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = Index(shared.value)
+        for series in texts:
+            yield pd.Series([not m for m in index.search(series.tolist())], dtype=bool)
 
-        found.append(clean)
-    return found
+    return clean
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text holds no item."""
     arrow_batches(docs.sparkSession)
-    text: Column = F.col("text")
-    for clean in is_clean(items):
-        docs = docs.where(clean(text))
+    for block in blocks(items):
+        docs = docs.where(_predicate(docs.sparkSession.sparkContext.broadcast(block))("text"))
     return docs
