@@ -103,8 +103,8 @@ def encode(model: Model, ids: np.ndarray) -> list[bytes]:
     """The blocks that hold ``ids``, in order."""
     out: list[bytes] = []
     full = len(ids) // BLOCK
-    for first in range(0, full, 32):
-        many = min(32, full - first)
+    for first in range(0, full, 64):
+        many = min(64, full - first)
         part = ids[first * BLOCK : (first + many) * BLOCK]
         out += _blocks(model, part.reshape(many, ROWS, LANES).transpose(1, 0, 2), [BLOCK] * many, part.reshape(many, BLOCK))
     if len(tail := ids[full * BLOCK :]):
@@ -140,8 +140,8 @@ def _parse(block: bytes) -> tuple[int, int, int, np.ndarray, np.ndarray, np.ndar
 def decode(model: Model, blocks: list[bytes]) -> np.ndarray:
     """The ids of ``blocks``, each verified; checkpoints of many blocks are decoded side by side."""
     out = []
-    for first in range(0, len(blocks), 16):
-        out.append(_decode_some(model, [_parse(b) for b in blocks[first : first + 16]]))
+    for first in range(0, len(blocks), 32):
+        out.append(_decode_some(model, [_parse(b) for b in blocks[first : first + 32]]))
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint32)
 
 

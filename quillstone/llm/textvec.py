@@ -42,6 +42,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def stretches(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the stretches of bytes ``[begins, ends)``."""
+    n = len(data)
+    total = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[data] * _power_table(_BASE, n), out=total[1:])
+    return mix((total[ends] - total[begins]) * _power_table(_INVERSE, n)[begins])
+
+
 def slices(texts: list[str], chars: int = 400_000):
     """Runs of texts with about ``chars`` characters, each a (first, last) pair; a longer text stands alone."""
     first, held = 0, 0
@@ -66,10 +74,7 @@ def words(texts: list[str], with_lengths: bool = False) -> tuple:
     if not gap[0]:
         edge = np.concatenate([[0], edge])
     starts, ends = edge[0::2], edge[1::2]
-    n = len(data)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * _power_table(_BASE, n), out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * _power_table(_INVERSE, n)[starts])
+    hashes = stretches(data, starts, ends)
     begins = np.concatenate([[0], np.cumsum(np.array([len(p) + 1 for p in parts], dtype=np.int64))])
     at = np.searchsorted(starts, begins)
     return (hashes, at, ends - starts) if with_lengths else (hashes, at)

@@ -37,22 +37,76 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rans
+from . import rans, textvec
 from .common import arrow_batches, materialise, parallelism
 
 END_ID = 0
-CONTAINER_IDS = 1 << 20
+CONTAINER_IDS = 1 << 22
 #: Words of which a worker process keeps the ids; beyond that it starts anew, so its memory is bounded.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 1 << 20
 #: A text of these characters, without doubled blanks and line ends, may be cut
-#: at blanks and line ends: the byte-level pre-tokenizer cuts there too, and its
-#: merges never cross a cut.  Other texts go through the library whole.
+#: before blanks and line ends: the byte-level pre-tokenizer cuts there too, and
+#: its merges never cross a cut.  Other texts go through the library whole.
 PLAIN = r"[\n\x20-\x7e\xa1-\u024f]*"
 UNSAFE = ("  ", "\n\n", " \n", "\n ")
+_ALNUM = np.zeros(256, dtype=bool)
+_ALNUM[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", dtype=np.uint8)] = True
 MAGIC = b"QTC1"
 _HEAD = struct.Struct("<4sII")
 
 
+class Words:
+    """Ids of words by the words' hashes: an open-addressing table of numpy arrays."""
+
+    def __init__(self, dtype: np.dtype, kept: int) -> None:
+        self.dtype, self.kept = dtype, kept
+        self.mask = np.uint64(2 * kept - 1)
+        self.clear()
+
+    def clear(self) -> None:
+        self.held = 0
+        self.keys = np.zeros(2 * self.kept, dtype=np.uint64)
+        self.begin = np.zeros(2 * self.kept, dtype=np.int64)
+        self.count = np.zeros(2 * self.kept, dtype=np.int64)
+        self.ids = np.zeros(1 << 16, dtype=self.dtype)
+        self.used = 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Slots of keys; -1 for those that are not there."""
+        slot = keys & self.mask
+        there = self.keys[slot]
+        out = np.where(there == keys, slot.astype(np.int64), -1)
+        left = np.flatnonzero((there != keys) & (there != 0))
+        slot = slot[left]
+        while len(left):
+            slot = (slot + np.uint64(1)) & self.mask
+            there = self.keys[slot]
+            hit = there == keys[left]
+            out[left[hit]] = slot[hit]
+            go = ~hit & (there != 0)
+            left, slot = left[go], slot[go]
+        return out
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """New distinct keys with their ids, one after another."""
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(ids), len(self.ids)), dtype=self.dtype)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        begins = self.used + np.cumsum(counts) - counts
+        self.used += len(ids)
+        self.held += len(keys)
+        slot, left = keys & self.mask, np.arange(len(keys))
+        while len(left):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            _, first = np.unique(slot[free], return_index=True)
+            won = free[first]
+            at = slot[won]
+            self.keys[at], self.begin[at], self.count[at] = keys[left[won]], begins[left[won]], counts[left[won]]
+            go = np.ones(len(left), dtype=bool)
+            go[won] = False
+            left, slot = left[go], (slot[go] + np.uint64(1)) & self.mask
+
+
 class Encoder:
     """``tokenizers`` with the ids of words kept, so that repeated words are encoded once."""
 
@@ -69,52 +123,71 @@ class Encoder:
         self.plain = re.compile(PLAIN).fullmatch
         # a byte-level token has one character a byte
         self.token_bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.vocabulary)], dtype=np.int64)
-        self.line_end = self._whole(["\n"])[0]
-        self.first: dict[str, bytes] = {"": b""}
-        self.after: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Ids of words that follow a blank: all in one text, cut where the words' bytes end."""
-        ids = np.asarray(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, dtype=self.dtype)
-        ends = np.cumsum(self.token_bytes[ids])
-        want = np.cumsum(np.array([len(w.encode()) + 1 for w in words], dtype=np.int64))
-        cut = np.searchsorted(ends, want) + 1
-        if not (ends[cut - 1] == want).all():
-            self.after.update(zip(words, self._whole([" " + w for w in words])))
-            return
-        data, size, at = ids.tobytes(), self.dtype.itemsize, 0
-        for word, end in zip(words, cut.tolist()):
-            self.after[word] = data[at * size : end * size]
-            at = end
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        easy = [self.by_word and bool(t) and self.plain(t) is not None and not any(u in t for u in UNSAFE) and not any(s in t for s in self.special) for t in texts]
-        out: list[bytes] = [b""] * len(texts)
-        if hard := [i for i, (e, t) in enumerate(zip(easy, texts)) if not e and t]:
-            for i, ids in zip(hard, self._whole([texts[i] for i in hard])):
+        self.known = Words(self.dtype, KEPT_WORDS)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _easy(self, text: str | None) -> bool:
+        return self.by_word and bool(text) and self.plain(text) is not None and not any(u in text for u in UNSAFE) and not any(s in text for s in self.special)
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        out = [b""] * len(texts)
+        easy = [i for i, t in enumerate(texts) if self._easy(t)]
+        hard = sorted(set(i for i, t in enumerate(texts) if t).difference(easy))
+        for a, b in textvec.slices([texts[i] for i in hard]):
+            for i, ids in zip(hard[a:b], self._whole([texts[i] for i in hard[a:b]])):
+                out[i] = ids.tobytes()
+        for a, b in textvec.slices([texts[i] for i in easy]):
+            for i, ids in zip(easy[a:b], self._by_words([texts[i] for i in easy[a:b]])):
                 out[i] = ids
-        if len(self.after) > KEPT_WORDS:
-            self.after.clear()
-        if len(self.first) > KEPT_WORDS // 4:
-            self.first = {"": b""}
-        lines = {i: [line.split(" ") for line in texts[i].split("\n")] for i, e in enumerate(easy) if e}
-        seen: set[str] = set()
-        for cut in lines.values():
-            for words in cut:
-                seen.update(words[1:])
-        if new := list(seen.difference(self.after)):
-            for at in range(0, len(new), 5000):
-                self._learn(new[at : at + 5000])
-        if new := list({words[0] for cut in lines.values() for words in cut}.difference(self.first)):
-            self.first.update(zip(new, self._whole(new)))
-        first, after, end = self.first, self.after.__getitem__, self.line_end
-        for i, cut in lines.items():
-            out[i] = end.join([first[words[0]] + b"".join(map(after, words[1:])) for words in cut])
         return out
 
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        if self.known.held > KEPT_WORDS * 3 // 4:
+            self.known.clear()
+        data = b"\0" + "\0".join(texts).encode()
+        # a unit is a separator and the word after it, or the sentence mark that ends a word; a zero byte begins a text
+        values = np.frombuffer(data, dtype=np.uint8)
+        begin = (values == 32) | (values == 10) | (values == 0)
+        mark = np.flatnonzero((values == 44) | (values == 46))
+        mark = mark[_ALNUM[values[mark - 1]] & np.append(begin, True)[mark + 1]]
+        begin[mark] = True
+        begins = np.flatnonzero(begin)
+        ends = np.append(begins[1:], len(data))
+        keys = textvec.stretches(values, begins, ends)
+        keys[keys == 0] = 1
+        at = self.known.find(keys)
+        if (new := np.flatnonzero(at < 0)).size:
+            fresh, first = np.unique(keys[new], return_index=True)
+            first = new[first]
+            lead = values[begins[first]]
+            for sep in (32, 10, 0, 44, 46):
+                own = np.flatnonzero(lead == sep)
+                for part in range(0, len(own), 5000):
+                    some = own[part : part + 5000]
+                    self._learn(sep, fresh[some], [data[x:y] for x, y in zip(begins[first[some]].tolist(), ends[first[some]].tolist())])
+            at[new] = self.known.find(keys[new])
+        counts = self.known.count[at]
+        ids_end = np.cumsum(counts)
+        ids = self.known.ids[np.repeat(self.known.begin[at] - ids_end + counts, counts) + np.arange(ids_end[-1])]
+        cuts = np.append((ids_end - counts)[values[begins] == 0], len(ids)) * self.dtype.itemsize
+        flat, cuts = ids.tobytes(), cuts.tolist()
+        return [flat[x:y] for x, y in zip(cuts[:-1], cuts[1:])]
+
+    def _learn(self, sep: int, keys: np.ndarray, units: list[bytes]) -> None:
+        """Encode new units. Those after blanks or line ends go as one text, cut where the units' bytes end."""
+        sizes = np.array([len(u) for u in units], dtype=np.int64)
+        if sep in (32, 10) and (sizes > 1).all():
+            ids = self._whole([b"".join(units).decode()])[0]
+            ends, want = np.cumsum(self.token_bytes[ids]), np.cumsum(sizes)
+            cut = np.searchsorted(ends, want)
+            if (cut < len(ends)).all() and (ends[cut] == want).all():
+                self.known.add(keys, ids, np.diff(np.concatenate([[0], cut + 1])))
+                return
+        each = self._whole([(u if sep else u[1:]).decode() for u in units])  # a zero byte is no part of the text
+        self.known.add(keys, np.concatenate(each), np.array([len(x) for x in each], dtype=np.int64))
+
 
 @lru_cache(maxsize=2)
 def encoder_of(path: str) -> Encoder:
@@ -123,35 +196,44 @@ def encoder_of(path: str) -> Encoder:
 
 
 def token_ids(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """``doc_id``, ``n_tokens`` and ``ids`` (little-endian, end id last) of each row."""
+    """``doc_id``, ``n_tokens`` and ``ids`` (little-endian, end id last) of each row.
+
+    Each task adds a row with only ``counts``: pairs of an id and how often the task met it.
+    """
 
     def encode(batches):
         encoder = encoder_of(tokenizer_path)
         end = np.asarray([END_ID], dtype=encoder.dtype).tobytes()
+        total = np.zeros(encoder.vocabulary, dtype=np.int64)
+        names = ["doc_id", "n_tokens", "ids", "counts"]
         for batch in batches:
-            for first in range(0, batch.num_rows, 200):
-                part = batch.slice(first, 200)
+            for first in range(0, batch.num_rows, 250):
+                part = batch.slice(first, 250)
                 ids = [x + end for x in encoder(part.column(1).to_pylist())]
+                total += np.bincount(np.frombuffer(b"".join(ids), dtype=encoder.dtype), minlength=encoder.vocabulary)
                 n = [len(x) // encoder.dtype.itemsize for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.nulls(len(n), pa.binary())], names=names)
+        at = np.flatnonzero(total)
+        counts = np.stack([at, total[at]], axis=1).astype("<i8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts], pa.binary())], names=names)
 
     arrow_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, n_tokens long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, n_tokens long, ids binary, counts binary")
 
 
-def count_ids(tokens: DataFrame, vocabulary: int, dtype: str) -> np.ndarray:
+def count_ids(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     """How often each id occurs in all documents; the driver gets one number an id of the vocabulary."""
 
     def count(batches):
         total = np.zeros(vocabulary, dtype=np.int64)
         for batch in batches:
-            column = batch.column(0)
-            data = np.frombuffer(b"".join(x.as_py() for x in column), dtype=dtype)
-            total += np.bincount(data, minlength=vocabulary)
+            for blob in batch.column(0).to_pylist():
+                pairs = np.frombuffer(blob, dtype="<i8").reshape(-1, 2)
+                total[pairs[:, 0]] += pairs[:, 1]
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    rows = tokens.where(F.col("counts").isNotNull()).select("counts").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(vocabulary, dtype=np.int64)
     counts[np.asarray(rows.column("id"))] = np.asarray(rows.column("n"))
     return counts
@@ -194,7 +276,7 @@ def write_containers(docs: DataFrame, tokenizer_path: str, container_ids: int =
     probe = encoder_of(tokenizer_path)
     vocabulary, dtype = probe.vocabulary, probe.dtype.str
     tokens = materialise(token_ids(docs, tokenizer_path), "token-ids")
-    freq = rans.quantise(count_ids(tokens, vocabulary, dtype))
+    freq = rans.quantise(count_ids(tokens, vocabulary))
     shared = spark.sparkContext.broadcast(freq)  # one number an id of the vocabulary, whatever the corpus
 
     def write(batches):
@@ -217,7 +299,7 @@ def write_containers(docs: DataFrame, tokenizer_path: str, container_ids: int =
         if held:
             yield row()
 
-    ordered = tokens.repartitionByRange(parallelism(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    ordered = tokens.where(F.col("ids").isNotNull()).drop("counts").repartitionByRange(parallelism(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     return materialise(ordered.mapInArrow(write, "part int, n_ids long, payload binary"), "token-containers"), freq
 
 
