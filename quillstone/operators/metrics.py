@@ -88,7 +88,9 @@ def full_text_scores(judged: DataFrame, keys: list[str], order: str = "place") -
     at = F.col(order)
     shown = F.when(F.col("decision_state") != T.CROSSED_OUT, F.col("hypothesis"))
     ok = F.col("decision_state") == T.ACCEPTED
-    texts = judged.groupBy(*keys).agg(
+    # edit distances of whole texts cost far more than their bytes suggest: keep the tasks apart
+    spread = int(judged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = judged.repartition(spread, *keys).groupBy(*keys).agg(
         T.joined(F.col("reference"), at).alias("ref_text"),
         F.array_join(F.transform(F.filter(F.array_sort(F.collect_list(F.struct(at.alias("o"), shown.alias("v")))), lambda p: p["v"].isNotNull()), lambda p: p["v"]), "\n").alias("hyp_text"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(ok, F.struct(at.alias("o"), F.col("reference").alias("v"))))), lambda p: p["v"]), "\n").alias("ref_accepted"),

@@ -62,7 +62,11 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(corrupted(i).alias("text"), T.squeeze_blanks(corrupted(i)).alias("normalized_text"), visual(i).alias("visual"), F.lit(v).alias("variant"), F.lit(m).alias("model"), F.lit(None).cast("string").alias("family"), F.lit(False).alias("safe_edit"))
         for i, (v, m) in enumerate(VARIANTS)
     ]
-    return lines(spark, sf_dir).withColumn("hyps", F.array(*hyp)).withColumn("script_mode", F.when(F.col("doc_id") % 5 == 0, "print").otherwise("handwriting"))
+    rows = lines(spark, sf_dir)
+    # a small file is one task; what follows is work enough for all cores
+    if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        rows = rows.repartition(spark.sparkContext.defaultParallelism)
+    return rows.withColumn("hyps", F.array(*hyp)).withColumn("script_mode", F.when(F.col("doc_id") % 5 == 0, "print").otherwise("handwriting"))
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
