@@ -25,13 +25,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, parallelism
+from .common import broadcast_if_small, materialise, parallelism
 
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
 HASH_BITS = 60
-#: Rows that a hash bucket or a range partition holds on average, at most.
+#: Rows that a range partition holds on average, and all sources' hash buckets of one number together, at most.
 ROWS_AT_ONCE = 4096
+BUCKET_ROWS = 512
 WORD = r"[^ \t-\r]+"
 
 
@@ -78,7 +79,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = MAX_P
         "mix-rows",
     )
     n_rows = rows.count()
-    bits = max(0, math.ceil(math.log2(max(1, n_rows) / ROWS_AT_ONCE)))
+    bits = max(0, math.ceil(math.log2(max(1, n_rows) / BUCKET_ROWS)))
     rows = rows.withColumn("bucket", F.shiftright("h", HASH_BITS - bits))
 
     # no row, one per source and bucket, one per source
@@ -151,7 +152,7 @@ def _before(finish: Column, k: int, last) -> Column:
 def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = MAX_PASSES, seed: str = "mix") -> DataFrame:
     """The rows of ``docs`` that the mix takes, each as often as it takes them."""
     decided = mix(docs, weights, passes, seed).where(F.col("copies") > 0)
-    decided = materialise(decided.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")), "mix-decided")
+    decided = broadcast_if_small(materialise(decided.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")), "mix-decided"))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("k_id"), F.col("source").cast("string").alias("k_source"), size_of(F.col("text")).alias("k_size"))
     joined = keyed.join(decided, F.col("k_id").eqNullSafe(F.col("doc_id")) & F.col("k_source").eqNullSafe(F.col("source")) & (F.col("k_size") == F.col("size")))
     return joined.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
