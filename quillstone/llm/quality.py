@@ -33,6 +33,8 @@ from . import textvec
 from .common import arrow_batches, id_crc, materialise
 
 SHRINKAGE = 0.15
+#: Words' worth of the mean text that is mixed into every text's statistics: shares of a few words say little.
+MEAN_WORDS = 12.0
 #: Classes of bytes: lower-case and non-ASCII letters, capitals, digits, blanks, line ends, sentence marks, other signs.
 _CLASS = np.full(256, 6, dtype=np.int64)
 _CLASS[128:] = 0
@@ -91,10 +93,19 @@ def statistics(texts: list[str]) -> np.ndarray:
     return out
 
 
+def steadied(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Statistics drawn towards the mean, the more so the fewer words a text has."""
+    words = np.expm1(10.0 * x[:, -1:])
+    out = mean + (x - mean) * (words / (words + MEAN_WORDS))
+    out[:, -1] = x[:, -1]
+    return out
+
+
 @dataclass
 class Model:
-    """Per label: log prior, mean, Cholesky factor's inverse, half the log determinant, in scaled features."""
+    """The mean that statistics are drawn to, scale and shift; per label: log prior, mean, Cholesky factor's inverse, half the log determinant, in scaled features."""
 
+    mean: np.ndarray
     scale: np.ndarray
     shift: np.ndarray
     prior: float
@@ -103,7 +114,7 @@ class Model:
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.parts is None:
             return np.full(len(x), self.prior)
-        z = (x - self.shift) / self.scale
+        z = (steadied(x, self.mean) - self.shift) / self.scale
         log = []
         for mean, inverse, half_det in self.parts:
             d = (z - mean) @ inverse.T
@@ -129,19 +140,22 @@ def fit(rows: DataFrame, labels: DataFrame, held_out_mod: int = 3, held_out_rest
     """Learn from the labelled rows of ``features`` that are not held out."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & (id_crc(F.col("doc_id"), held_out_mod) != held_out_rest))
     d = len(FEATURES)
+    known = materialise(rows.join(usable, "doc_id").select("quality", "x"), "quality-known")
+    mean = np.array([v if v is not None else 0.0 for v in known.agg(*[F.avg(F.get("x", F.lit(i))).alias(f"m{i}") for i in range(d)]).first()])
+    shared = rows.sparkSession.sparkContext.broadcast(mean)
 
     def add(batches):
         sums = np.zeros((2, 1 + d + d * d))
         for batch in batches:
             label = np.asarray(batch.column(0))
-            x = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(-1, d)
+            x = steadied(np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(-1, d), shared.value)
             for k in (0, 1):
                 own = x[label == k]
                 sums[k] += np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).reshape(-1)])
         at = np.arange(sums.size)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums.reshape(-1), pa.float64())], names=["place", "value"])
 
-    sums = rows.join(usable, "doc_id").select("quality", "x").mapInArrow(add, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()  # 2 * (1 + d + d * d) rows
+    sums = known.mapInArrow(add, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()  # 2 * (1 + d + d * d) rows
     got = np.zeros(2 * (1 + d + d * d))
     for place, value in sums:
         got[place] = value
@@ -149,7 +163,7 @@ def fit(rows: DataFrame, labels: DataFrame, held_out_mod: int = 3, held_out_rest
     n = got[:, 0]
     prior = float((n[1] + 1) / (n.sum() + 2)) if n.sum() else 0.5
     if n.min() < 2:
-        return Model(np.ones(d), np.zeros(d), prior, None)
+        return Model(mean, np.ones(d), np.zeros(d), prior, None)
     total = got.sum(axis=0)
     shift = total[1 : 1 + d] / total[0]
     means = got[:, 1 : 1 + d] / n[:, None]
@@ -161,7 +175,7 @@ def fit(rows: DataFrame, labels: DataFrame, held_out_mod: int = 3, held_out_rest
         cov = (1 - shrinkage) * cov + shrinkage * np.eye(d) * max(np.trace(cov) / d, 1e-3)
         lower = np.linalg.cholesky(cov)
         parts.append(((means[k] - shift) / scale, np.linalg.inv(lower), float(np.log(np.diag(lower)).sum())))
-    return Model(scale, shift, prior, parts)
+    return Model(mean, scale, shift, prior, parts)
 
 
 def score(rows: DataFrame, model: Model, held_out_mod: int = 3, held_out_rest: int = 1) -> DataFrame:
