@@ -173,3 +173,12 @@ def file_name(raw: Column) -> Column:
 
 def extension(raw: Column) -> Column:
     return F.lower(F.regexp_extract(raw, r"\.([A-Za-z0-9]+)$", 1))
+
+
+#: What a page reader's reply may hold.
+REPLY = "category string, category_confidence double, summary string, layout_regions array<struct<type:string,bbox:array<double>,description:string>>, line_items array<struct<text:string,category:string,confidence:double>>"
+
+
+def parse_reply(reply: Column) -> Column:
+    """A page reader's reply as a struct; null where there is no JSON in it. Unknown fields are dropped, wrong types become null."""
+    return F.from_json(json_salvage(reply), REPLY, {"mode": "PERMISSIVE"})

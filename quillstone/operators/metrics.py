@@ -197,3 +197,37 @@ def ablation(scored: DataFrame) -> DataFrame:
     nan = F.lit(float("nan"))
     means = [F.coalesce(F.avg(m), nan).alias(m) for m in ("cer", "fce_rate", "review_rate", "coverage_accepted")]
     return rows.groupBy("config").agg(kind_of_rows(F.col("baseline_kind")).alias("baseline_kind"), *means, F.count(F.lit(1)).alias("n"))
+
+
+def mean_risk_coverage(curves: DataFrame, keys: tuple[str, ...] = ("system",)) -> DataFrame:
+    """Mean of the curves' points over cases."""
+    return curves.groupBy(*keys, "coverage").agg(*[F.avg(m).alias(m) for m in ("fce", "accepted_accuracy")], F.count(F.lit(1)).alias("cases"))
+
+
+def proxy_text(alternatives: Column, text: Column) -> Column:
+    """What a plain engine would have read: the last alternative, else the text."""
+    return F.coalesce(F.try_element_at(alternatives, F.lit(-1)), text)
+
+
+def failure_cases(judged: DataFrame, worst: int = 20) -> DataFrame:
+    """The most confident wrong lines: a report, so limited by design."""
+    return judged.where("fce").orderBy(F.col("confidence").desc(), "reference").limit(worst)
+
+
+def extreme_cases(cases: DataFrame) -> DataFrame:
+    return cases.where(F.exists(F.coalesce("tags", F.array()), lambda t: F.lower(t) == "extreme"))
+
+
+# What each configuration of the ablation uses.
+EXPERIMENTS = (
+    ("A", "print only", "independent", False, False),
+    ("B", "handwriting lines", "derived", False, False),
+    ("C", "handwriting lines, all accepted", "derived", False, False),
+    ("D", "fused", "system_under_test", True, False),
+    ("E", "fused with verifier", "system_under_test", True, True),
+    ("F", "fused, conservative", "system_under_test", True, True),
+)
+
+
+def experiments(spark) -> DataFrame:
+    return spark.createDataFrame(EXPERIMENTS, "config string, label string, declared_kind string, uses_fusion boolean, uses_verifier boolean")

@@ -200,3 +200,27 @@ def page_measures(image):
             yield pd.DataFrame(rows, columns=["width", "height", "blur", "contrast", "noise", "ink", "bands", "irregularity"]).astype({"width": "Int32", "height": "Int32", "bands": "Int32"})
 
     return read(image)
+
+
+def flatten_result(result) -> list[tuple[list, str, float]]:
+    """A print engine's result in one shape, whatever its version: (polygon, text, score) of each line."""
+    if result is None:
+        return []
+    if isinstance(result, dict):
+        return [(list(map(list, p)), str(t), float(s)) for p, t, s in zip(result.get("rec_polys", result.get("dt_polys", [])), result.get("rec_texts", []), result.get("rec_scores", []))]
+    if isinstance(result, (list, tuple)):
+        if len(result) == 2 and isinstance(result[1], (list, tuple)) and len(result[1]) == 2 and isinstance(result[1][0], str):
+            return [(list(map(list, result[0])), result[1][0], float(result[1][1]))]
+        return [line for part in result for line in flatten_result(part)]
+    return []
+
+
+def settings(env: dict[str, str]) -> dict:
+    """Which providers an environment asks for; all are off by default."""
+    on = lambda name: env.get(f"QUILLSTONE_{name}", "").lower() in ("1", "true", "yes")
+    return {
+        "recogniser": env.get("QUILLSTONE_RECOGNISER", "mock"),
+        "verifier": env.get("QUILLSTONE_VERIFIER_ENDPOINT") if on("VERIFIER_ENABLED") else None,
+        "page_reader": env.get("QUILLSTONE_READER_ENDPOINT") if on("READER_ENABLED") else None,
+        "variants": tuple(v for v in env.get("QUILLSTONE_VARIANTS", "clahe").split(",") if v),
+    }

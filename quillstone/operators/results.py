@@ -114,3 +114,52 @@ def completion(words: DataFrame, keys: list[str]) -> DataFrame:
 def first_of_each(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     w = Window.partitionBy(*key).orderBy(*order)
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1).drop("_n")
+
+
+# --- smaller views ---------------------------------------------------------------
+
+
+def lookup(rows: DataFrame, key: str, value) -> DataFrame:
+    """The row with a key; the predicate reaches the scan."""
+    return rows.where(F.col(key) == F.lit(value))
+
+
+def listed(rows: DataFrame, key: str, value, order: list[str]) -> DataFrame:
+    """The rows of a parent in their order, ties by id."""
+    return lookup(rows, key, value).orderBy(*order, "id")
+
+
+def print_ratio(lines: DataFrame, page: list[str]) -> DataFrame:
+    """Share of a page's lines that are print, and how many lines it has."""
+    return lines.groupBy(*page).agg((F.count_if(F.col("script_mode") == "print") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("print_ratio"), F.count(F.lit(1)).alias("lines"))
+
+
+def line_items(reader_items: Column, words_items: Column) -> Column:
+    """A document's line items: what a page reader named, with defaults; else its active words."""
+    named = F.transform(
+        reader_items,
+        lambda i: F.struct(F.coalesce(i["text"], F.lit("")).alias("text"), F.coalesce(i["category"], F.lit("other")).alias("category"), F.coalesce(i["confidence"], F.lit(0.0)).alias("confidence")),
+    )
+    return F.when(F.size(F.coalesce(reader_items, F.array())) > 0, named).otherwise(words_items)
+
+
+def layout_summary(hints: Column) -> Column:
+    """``region: description`` of each hint."""
+    return F.transform(hints, lambda h: F.concat_ws(": ", F.coalesce(h["region_type"], F.lit("unknown")), h["description"]))
+
+
+def merge_pages(rows: DataFrame, keys: list[str], items: str, order: str) -> DataFrame:
+    """The item lists of a document's pages as one, in page order."""
+    lists = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(items).alias("i")))), lambda p: p["i"])
+    return rows.groupBy(*keys).agg(F.flatten(lists).alias(items))
+
+
+def artifact_headers(artifacts: DataFrame) -> DataFrame:
+    """Provenance of each artifact as response headers."""
+    return artifacts.select("id", F.create_map(F.lit("X-Artifact-Sha256"), "sha256", F.lit("X-Artifact-Transformation"), F.coalesce("transformation_name", F.lit("")), F.lit("X-Artifact-Source"), F.coalesce("source_artifact_id", F.lit(""))).alias("headers"))
+
+
+def audit_event(document_id: Column, event_type: str, payload: Column, at: Column) -> list[Column]:
+    """Columns of an audit row; the id follows from the content."""
+    body = F.to_json(payload)
+    return [F.substring(F.sha2(F.concat_ws("\x1f", document_id.cast("string"), F.lit(event_type), body, at.cast("string")), 256), 1, 32).alias("id"), document_id.alias("document_id"), F.lit(event_type).alias("event_type"), body.alias("payload"), at.alias("created_at")]

@@ -662,3 +662,62 @@ def job_stage_counts(spark, sf_dir):
     """Events per day and stage; the streaming twin is :func:`quillstone.streaming.jobs.stage_counts`."""
     e = E.table(spark, sf_dir, "events")
     return e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), jobs.stage_of(F.col("event_type")).alias("stage")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- smaller views ---------------------------------------------------------------
+
+
+@query(f"""WITH {_JUDGED},
+p AS (SELECT lang, source, correct, row_number() OVER (PARTITION BY lang, source ORDER BY confidence DESC, doc_id, line_no) AS rank, count(*) OVER (PARTITION BY lang, source) AS of_ FROM marked),
+q AS (SELECT p.*, c.coverage, least(of_, greatest(1, CAST(round_even(c.coverage * of_, 0) AS BIGINT))) AS k FROM p, (SELECT unnest([0.25::DOUBLE, 0.5, 0.75, 1.0]) AS coverage) c),
+s AS (SELECT lang, source, coverage, CAST(count(*) FILTER (NOT correct) AS DOUBLE) / max(k) AS fce, CAST(count(*) FILTER (correct) AS DOUBLE) / max(k) AS acc FROM q WHERE rank <= k GROUP BY lang, source, coverage)
+SELECT lang, coverage, round(avg(fce), 9) AS fce, round(avg(acc), 9) AS accepted_accuracy, count(*) AS cases FROM s GROUP BY lang, coverage""")
+def mean_risk_coverage(spark, sf_dir):
+    """Mean curves per language over sources."""
+    curves = metrics.risk_coverage(judged(spark, sf_dir), ["lang", "source"], ["doc_id", "line_no"])
+    out = metrics.mean_risk_coverage(curves, ("lang",))
+    return out.withColumns({"fce": r(F.col("fce")), "accepted_accuracy": r(F.col("accepted_accuracy"))})
+
+
+@query(f"WITH {E.CANDIDATES}, s AS (SELECT doc_id, CASE WHEN (doc_id + line_no) % 3 = 0 THEN 'print' ELSE 'handwriting' END AS script FROM cand), g AS (SELECT doc_id, round(CAST(count(*) FILTER (script = 'print') AS DOUBLE) / count(*), 9) AS print_ratio, count(*) AS lines FROM s GROUP BY doc_id) SELECT *, CASE WHEN print_ratio >= 0.6 THEN 'other' ELSE 'handwritten_note' END AS category FROM g")
+def page_categories(spark, sf_dir):
+    """Print share of each page and the category guessed from it."""
+    rows = E.lines(spark, sf_dir).withColumn("script_mode", F.when((F.col("doc_id") + F.col("line_no")) % 3 == 0, "print").otherwise("handwriting"))
+    out = results.print_ratio(rows, ["doc_id"]).withColumn("print_ratio", r(F.col("print_ratio")))
+    return out.withColumn("category", G.heuristic_category(F.col("print_ratio"), F.col("lines"))["category"])
+
+
+@query("""WITH p AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'RX' WHEN 1 THEN 'Lab Report' WHEN 2 THEN 'flow-chart' ELSE 'strange' END AS c FROM documents WHERE doc_id % 5 <> 4)
+SELECT doc_id, CASE c WHEN 'RX' THEN 'prescription' WHEN 'Lab Report' THEN 'lab_report' WHEN 'flow-chart' THEN 'flowchart' ELSE 'unknown' END AS category, CAST(doc_id % 3 AS INT) AS items, (doc_id % 10) / 10.0::DOUBLE AS confidence FROM p""")
+def page_replies(spark, sf_dir):
+    """Page readers' replies, salvaged and typed."""
+    d = F.col("doc_id")
+    name = F.when(d % 4 == 0, "RX").when(d % 4 == 1, "Lab Report").when(d % 4 == 2, "flow-chart").otherwise("strange")
+    items = F.array_join(F.transform(F.slice(F.array(F.lit(0), F.lit(1)), F.lit(1), (d % 3).cast("int")), lambda i: F.concat(F.lit('{"text": "t'), i.cast("string"), F.lit('"}'))), ",")
+    text = F.concat(F.lit('Sure! {"category": "'), name, F.lit('", "category_confidence": '), ((d % 10) / 10).cast("string"), F.lit(', "extra": 1, "line_items": ['), items, F.lit("]} hope it helps"))
+    rows = E.table(spark, sf_dir, "documents").select("doc_id", T.parse_reply(F.when(d % 5 == 4, "no answer").otherwise(text)).alias("x")).where(F.col("x").isNotNull())
+    return rows.select("doc_id", G.parse_category(F.col("x.category")).alias("category"), F.size("x.line_items").alias("items"), F.col("x.category_confidence").alias("confidence"))
+
+
+@query(f"""WITH {E.CANDIDATES}, a AS (SELECT doc_id, line_no, ref, t0, CASE WHEN doc_id % 3 = 0 THEN t0 WHEN doc_id % 3 = 1 THEN t1 ELSE t3 END AS proxy FROM cand)
+SELECT doc_id, round(avg({E.sql_cer("ref", "proxy")}), 9) AS proxy_cer, count(*) AS n FROM a GROUP BY doc_id""")
+def proxy_baseline(spark, sf_dir):
+    """The last alternative as a stand-in for a plain engine."""
+    d = F.col("doc_id")
+    alts = F.when(d % 3 == 0, F.array().cast("array<string>")).when(d % 3 == 1, F.array(F.col("hyps")[2]["text"], F.col("hyps")[1]["text"])).otherwise(F.array(F.col("hyps")[3]["text"]))
+    rows = E.candidates(spark, sf_dir).select("doc_id", "ref", metrics.proxy_text(alts, F.col("hyps")[0]["text"]).alias("proxy"))
+    return rows.groupBy("doc_id").agg(r(F.avg(T.cer(F.col("ref"), F.col("proxy")))).alias("proxy_cer"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_JUDGED} SELECT doc_id, line_no, hypothesis, confidence FROM marked WHERE fce ORDER BY confidence DESC, ref, doc_id, line_no LIMIT 20")
+def failure_report(spark, sf_dir):
+    """The twenty most confident errors: a top-k report."""
+    rows = judged(spark, sf_dir).where("fce").orderBy(F.col("confidence").desc(), "reference", "doc_id", "line_no").limit(20)
+    return rows.select("doc_id", "line_no", "hypothesis", "confidence")
+
+
+@query(f"WITH {E.WORDS} SELECT doc_id, string_agg(CASE WHEN decision_state = 'CROSSED_OUT' THEN '~~' || hypothesis || '~~' WHEN decision_state = 'ILLEGIBLE' THEN '**[ILLEGIBLE]**' WHEN decision_state = 'REVIEW_REQUIRED' THEN '==' || hypothesis || '==' ELSE hypothesis END, chr(10) ORDER BY line_no) AS panel FROM words GROUP BY doc_id")
+def panel_text(spark, sf_dir):
+    """The short form of each document that a panel shows."""
+    line = results.panel_line(F.col("decision_state"), F.col("text"))
+    return _md_words(spark, sf_dir).groupBy("doc_id").agg(T.joined(line, F.col("line_no")).alias("panel"))

@@ -93,3 +93,34 @@ def held_out_export(documents: DataFrame, artifacts: DataFrame, words: DataFrame
     text = words.groupBy("document_id").agg(X.joined(F.col("text"), F.col("reading_order")).alias("ground_truth"))
     out = first.join(text, first["id"] == text["document_id"], "left")
     return out.select("id", X.file_name(F.col("filename")).alias("image"), F.coalesce("ground_truth", F.lit("")).alias("ground_truth"), "sha256", F.lit(True).alias("needs_gt_review"), F.lit(False).alias("is_synthetic"))
+
+
+def pdf_pages(data: bytes, dpi: int = 200) -> list[bytes]:
+    """Pages of a PDF as PNG images, where pdf2image and poppler are installed."""
+    import io
+
+    try:
+        from pdf2image import convert_from_bytes
+    except ImportError as e:
+        raise RuntimeError("PDF input needs pdf2image and poppler") from e
+    out = []
+    for page in convert_from_bytes(data, dpi=dpi):
+        buffer = io.BytesIO()
+        page.save(buffer, "PNG")
+        out.append(buffer.getvalue())
+    return out
+
+
+def explode_pages(files: DataFrame) -> DataFrame:
+    """One row a page: images as they are, PDFs page by page."""
+    pdf = page_kind(F.lit(None).cast("string"), F.col("filename")) == "pdf"
+
+    def pages(batches):
+        for batch in batches:
+            rows = [(name, i, page) for name, data in zip(batch["filename"], batch["content"]) for i, page in enumerate(pdf_pages(data))]
+            import pandas as pd
+
+            yield pd.DataFrame(rows, columns=["filename", "page_index", "content"])
+
+    images = files.where(~pdf).select("filename", F.lit(0).alias("page_index"), "content")
+    return images.unionByName(files.where(pdf).select("filename", "content").mapInPandas(pages, "filename string, page_index int, content binary"))

@@ -127,3 +127,28 @@ def test_streams(spark, tmp_path):
     audit = jobs.append_stream(jobs.read_events(spark, str(tmp_path / "in")).select("event_id"), str(tmp_path / "audit"), str(tmp_path / "cp2"))
     audit.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "audit")).count() == events.count()
+
+
+def test_smaller_views(spark):
+    from quillstone.operators import providers
+
+    old = [[[[0, 0], [1, 1]], ("a", 0.9)], [[[2, 2], [3, 3]], ("b", 0.8)]]
+    new = [{"rec_polys": [[[0, 0], [1, 1]]], "rec_texts": ["a"], "rec_scores": [0.9]}]
+    assert [(t, s) for _, t, s in providers.flatten_result([old])] == [("a", 0.9), ("b", 0.8)]
+    assert providers.flatten_result(new) == [([[0, 0], [1, 1]], "a", 0.9)] and providers.flatten_result(None) == []
+    assert providers.settings({})["verifier"] is None
+    assert providers.settings({"QUILLSTONE_VERIFIER_ENABLED": "1", "QUILLSTONE_VERIFIER_ENDPOINT": "x"})["verifier"] == "x"
+    item = "array<struct<text:string,category:string,confidence:double>>"
+    rows = spark.createDataFrame([([("a", None, None)], [("w", "x", 1.0)]), ([], [("w", "x", 1.0)])], f"r {item}, w {item}")
+    got = [[tuple(i) for i in x.i] for x in rows.select(results.line_items(F.col("r"), F.col("w")).alias("i")).collect()]
+    assert got == [[("a", "other", 0.0)], [("w", "x", 1.0)]]
+    pages = spark.createDataFrame([("d", 1, ["c"]), ("d", 0, ["a", "b"])], "doc string, page int, items array<string>")
+    assert results.merge_pages(pages, ["doc"], "items", "page").first()["items"] == ["a", "b", "c"]
+    assert results.lookup(pages, "page", 1).count() == 1
+    kinds = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x")], "s string, k string").groupBy("s").agg(metrics.kind_of_rows(F.col("k")).alias("k"))
+    assert {r.s: r.k for r in kinds.collect()} == {"a": "mixed:x,y", "b": "x"}
+    assert metrics.experiments(spark).count() == 6
+    audit = spark.createDataFrame([("d", 3, "2024-01-01")], "d string, n int, t string").select(*results.audit_event(F.col("d"), "processing_complete", F.struct("n"), F.col("t"))).first()
+    assert audit.payload == '{"n":3}' and len(audit.id) == 32
+    with pytest.raises(RuntimeError):
+        files.pdf_pages(b"%PDF")
