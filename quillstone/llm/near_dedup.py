@@ -13,13 +13,19 @@ shingles worthless.
 
 At scale: equal texts are one node.  A bucket never yields all its pairs:
 
-1. every node is paired with the smallest node of each of its buckets;
-2. where a bucket still spans several components, each node is paired, per
-   foreign component, with the node whose signature agrees most (blocks of
-   bounded size are compared with each other when the bucket is large).
-
-Pairs whose signatures agree on too few samples (``AGREE``, five standard
-deviations below the threshold) need no verification.  Texts of candidates are
+1. every node is paired with its buckets' hubs; a bucket's hub is the node that
+   meets most others over all its buckets, which is the text that the copies in
+   a group come from, or one near it;
+2. where a bucket still spans several components, each node is paired with the
+   ``NEAREST`` nodes of other components whose signatures agree most;
+3. where it still does, each node of the smaller component is paired, for each
+   larger one, with the ``TRIES`` nodes that agree most.
+
+For the second and third step the texts in question get longer signatures, so
+that hardly a pair is verified in vain.  Large buckets are compared in blocks of
+bounded size.
+Pairs whose signatures agree on too few samples (``AGREE``, three and a half
+standard deviations below the threshold) are not verified.  Texts of candidates are
 fetched by joins; links and components stay in tables.
 
 Defined results: a null text counts as empty; equal texts are one class
@@ -36,19 +42,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import arrow_batches, materialise
+from .common import arrow_batches, broadcast_if_small, materialise
 
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
 SIMILARITY = 0.8
-AGREE = 35  # of 64 samples; 0.8 * 64 less five standard deviations
+AGREE = 40  # of 64 samples; 0.8 * 64 less three and a half standard deviations: missed as seldom as by the bands
 #: Count-min sketch of document frequencies: rows and counters a row.
 SKETCH = (2, 1 << 16)
 DAMPING = 0.5
 BLOCK_NODES = 2048
+#: Partners a node gets in the second step, and per larger component in the third.
+NEAREST, TRIES = 2, 8
+#: Further samples for the texts of buckets that span components, and how many of all samples must agree there.
+MORE_SAMPLES = 256
+AGREE_ALL = 231  # of 320, again three and a half standard deviations below 0.8
+#: Texts whose shingles a verifying task keeps.
+HELD_TEXTS = 4000
 
 _rng = np.random.default_rng(99)
-_SEEDS = _rng.integers(1, 1 << 63, SAMPLES, dtype=np.int64).astype(np.uint64)
+_SEEDS = _rng.integers(1, 1 << 63, SAMPLES + MORE_SAMPLES, dtype=np.int64).astype(np.uint64)
 
 
 def _gamma2_table() -> np.ndarray:
@@ -123,17 +136,17 @@ def sketch_of(docs: DataFrame) -> Weights:
     return Weights(table.reshape(SKETCH), docs.count())
 
 
-def sample(hashes: np.ndarray, weights: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Signatures ``[texts, SAMPLES]`` of the texts that have shingles, uint32."""
+def sample(hashes: np.ndarray, weights: np.ndarray, begins: np.ndarray, first: int = 0, many: int = SAMPLES) -> np.ndarray:
+    """Signatures ``[texts, many]`` of the texts that have shingles, uint32; from sample ``first`` on."""
     held = np.flatnonzero(np.diff(begins))
-    out = np.zeros((len(begins) - 1, SAMPLES), dtype=np.uint32)
+    out = np.zeros((len(begins) - 1, many), dtype=np.uint32)
     if not len(held):
         return out
     starts = begins[:-1][held]
     ln_w = np.log(weights).astype(np.float32)
     low = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    for k in range(SAMPLES):
-        h = hashes ^ _SEEDS[k]
+    for k in range(many):
+        h = hashes ^ _SEEDS[first + k]
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
@@ -180,23 +193,65 @@ def similarity(a: str, b: str, weights: Weights) -> float:
     return float(shared / total) if total else 0.0
 
 
+def _overlap(a: tuple, b: tuple) -> float:
+    """Weighted Jaccard similarity of (ascending hashes, weights, their sum)."""
+    if len(a[0]) > len(b[0]):
+        a, b = b, a
+    if not len(a[0]):
+        return 0.0
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    same = b[0][at] == a[0]
+    shared = float(np.minimum(a[1][same], b[1][at[same]]).sum())
+    return shared / (a[2] + b[2] - shared)
+
+
 def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).sum(axis=-1)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, weights: Weights, least: float) -> DataFrame:
-    """The pairs ``a``, ``b`` of nodes whose texts are similar enough. Texts of the nodes in question are fetched once each way."""
-    spark = docs.sparkSession
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node``, ``text`` of some nodes."""
+    wanted = broadcast_if_small(materialise(nodes.select("node").distinct(), "near-wanted"))
+    found = docs.select(node_of(F.col("text")).alias("node"), "text").join(wanted, "node", "left_semi")
+    return materialise(found.groupBy("node").agg(F.first("text").alias("text")), "near-texts")
+
+
+def more_samples(texts: DataFrame, weights: Weights) -> DataFrame:
+    """``node``, ``more``: further samples of each text, 16 bits each."""
+    shared = texts.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches):
+        for batch in batches:
+            given, found = [t or "" for t in batch.column(1).to_pylist()], []
+            for a, b in textvec.slices(given):
+                hashes, frequency, begins = counted(given[a:b])
+                found += [x.tobytes() for x in sample(hashes, shared.value.of(hashes, frequency), begins, SAMPLES, MORE_SAMPLES).astype("<u2")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "more"])
+
+    arrow_batches(texts.sparkSession)
+    return materialise(texts.mapInArrow(run, "node binary, more binary"), "near-more-samples")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float) -> DataFrame:
+    """The pairs ``a``, ``b`` of nodes whose texts are similar enough."""
+    spark = pairs.sparkSession
     shared = spark.sparkContext.broadcast(weights)
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialise(wanted, "near-wanted")
-    texts = docs.select(node_of(F.col("text")).alias("node"), "text").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    texts = materialise(texts, "near-texts")
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def check(batches):
+        held: dict[bytes, tuple] = {}
         for batch in batches:
-            keep = [similarity(x or "", y or "", shared.value) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            if len(held) > HELD_TEXTS:
+                held.clear()
+            texts_ = dict(zip(a, batch.column(2).to_pylist())) | dict(zip(b, batch.column(3).to_pylist()))
+            new = [k for k in texts_ if k not in held]
+            hashes, frequency, begins = counted([texts_[k] or "" for k in new])
+            w = shared.value.of(hashes, frequency)
+            for i, k in enumerate(new):
+                own = slice(begins[i], begins[i + 1])
+                held[k] = (hashes[own].copy(), w[own].copy(), float(w[own].sum()))
+            keep = [_overlap(held[x], held[y]) >= least for x, y in zip(a, b)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     arrow_batches(spark, 200)
@@ -223,18 +278,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def band_keys(texts: DataFrame) -> DataFrame:
-    """``bucket``, ``node``, ``sig`` for each band of each text."""
+    """``bucket``, ``band``, ``node`` for each band of each text."""
     pieces = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (4 * ROWS) + 1, F.lit(4 * ROWS))))
-    return texts.where(F.col("sig").isNotNull()).select("node", "sig", F.explode(pieces).alias("bucket"))
+    return texts.where(F.col("sig").isNotNull()).select("node", F.posexplode(pieces).alias("band", "bucket"))
 
 
 def first_pairs(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of each node with the smallest node of its buckets; and the members of buckets with more than one node."""
+    """Pairs of each node with the hubs of its buckets; and the members of buckets with more than one node."""
     keys = band_keys(texts)
-    shared = materialise(keys.groupBy("bucket").agg(F.min("node").alias("low"), F.count("node").alias("n")).where(F.col("n") > 1), "near-buckets")
-    members = materialise(keys.join(shared, "bucket").select("bucket", "node", "low", "n"), "near-members")
-    pairs = members.where(F.col("node") != F.col("low")).select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    return pairs, members
+    shared = materialise(keys.groupBy("bucket").agg(F.count("node").alias("n")).where(F.col("n") > 1), "near-buckets")
+    members = materialise(keys.join(broadcast_if_small(shared), "bucket").select("bucket", "band", "node", "n"), "near-members")
+    meets = materialise(members.groupBy("node").agg(F.sum("n").alias("meets")), "near-meets")
+    hubs = materialise(members.join(meets, "node").groupBy("bucket").agg(F.max(F.struct("meets", "node"))["node"].alias("hub")), "near-hubs")
+    pairs = members.join(hubs, "bucket").where(F.col("node") != F.col("hub"))
+    return pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), members
 
 
 def agreeing(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -255,36 +312,58 @@ def _signature_matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(-1, SAMPLES)
 
 
-def second_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """For buckets that span components: each node with the most agreeing node of each foreign component."""
-    labelled = members.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
+def mixed_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members, with their component, of the buckets that span several components."""
+    labelled = members.join(labels, "node", "left").select("bucket", "band", "node", "n", F.coalesce("label", "node").alias("label"))
     labelled = materialise(labelled, "near-labelled")
     mixed = materialise(labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") != F.col("y")).select("bucket"), "near-mixed")
-    held = labelled.join(mixed, "bucket", "left_semi").join(texts.select("node", "sig"), "node")
+    return materialise(labelled.join(broadcast_if_small(mixed), "bucket", "left_semi"), "near-mixed-members")
+
+
+def more_pairs(held: DataFrame, signatures_: DataFrame, each_component: bool) -> DataFrame:
+    """For buckets that span components: each node with the ``NEAREST`` most agreeing nodes of others, or with ``TRIES`` nodes of each larger one."""
+    held = held.join(signatures_, "node")
     blocks = F.ceil(F.col("n") / F.lit(BLOCK_NODES)).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     # a bucket of one block stands once; else each block meets every other
-    held = held.select("bucket", "node", "label", "sig", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    held = held.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+    held = held.select("bucket", "band", "node", "label", "sig", "more", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    held = held.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other")
 
     def compare(group: pa.Table) -> pa.Table:
-        nodes, labels_ = group.column("node").to_pylist(), group.column("label").to_pylist()
-        number = {x: i for i, x in enumerate(dict.fromkeys(labels_))}
-        comp = np.array([number[x] for x in labels_])
-        own_block = np.asarray(group.column("own"))
-        sig = _signature_matrix(group.column("sig"))
-        diagonal = (own_block == own_block[0]).all() if len(own_block) else True
-        best: dict[tuple[int, int], tuple[int, int]] = {}
+        nodes = group.column("node").to_pylist()
+        _, comp = np.unique(np.array(group.column("label").to_pylist(), dtype="V16"), return_inverse=True)
+        size = np.bincount(comp)
+        block, sig = np.asarray(group.column("own")), _signature_matrix(group.column("sig"))
+        more = np.frombuffer(b"".join(group.column("more").to_pylist()), dtype="<u2").reshape(-1, MORE_SAMPLES)
+        split = (block != block[0]).any()
+        band = group.column("band")[0].as_py()
+        found: set[tuple[bytes, bytes]] = set()
         for i in range(len(nodes)):
-            agree = (sig == sig[i]).sum(axis=1)
-            ok = (agree >= AGREE) & (comp != comp[i])
-            if not diagonal:
-                ok &= own_block != own_block[i]
-            for j in np.flatnonzero(ok):
-                key = (i, int(comp[j]))
-                if (value := (int(agree[j]), -int(j))) > best.get(key, (-1, 0)):
-                    best[key] = value
-        found = {(min(nodes[i], nodes[-j]), max(nodes[i], nodes[-j])) for (i, _), (_, j) in best.items()}
+            ok = comp != comp[i]
+            if split:
+                ok &= block != block[i]
+            if each_component:
+                ok &= (size[comp] > size[comp[i]]) | ((size[comp] == size[comp[i]]) & (comp > comp[i]))
+            at = np.flatnonzero(ok)
+            same = sig[at] == sig[i]
+            agree = same.sum(axis=1)
+            # a pair stands in the first band that it shares, and there alone
+            first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+            good = (agree >= AGREE) & (first == band)
+            at, agree = at[good], agree[good]
+            agree = agree + (more[at] == more[i]).sum(axis=1)
+            at, agree = at[agree >= AGREE_ALL], agree[agree >= AGREE_ALL]
+            if not len(at):
+                continue
+            order = np.lexsort((at, -agree))
+            if each_component:
+                order = order[np.argsort(comp[at[order]], kind="stable")]
+                new = np.concatenate([[True], comp[at[order]][1:] != comp[at[order]][:-1]])
+                place = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+                order = order[place < TRIES]
+            else:
+                order = order[:NEAREST]
+            found.update((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for j in at[order].tolist())
         a, b = zip(*sorted(found)) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
@@ -297,17 +376,41 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, Data
     rows = materialise(signatures(docs, weights), "near-signatures")
     texts = materialise(rows.groupBy("node").agg(F.first("sig").alias("sig")), "near-nodes")
     pairs, members = first_pairs(texts)
-    pairs = materialise(agreeing(pairs, texts), "near-pairs")
-    edges = materialise(verified(pairs, docs, weights, least), "near-edges")
+    tried = materialise(agreeing(pairs, texts), "near-pairs")
+    ends = tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node")))
+    edges = materialise(verified(tried, texts_of(docs, ends), weights, least), "near-edges")
     labels = components(edges)
-    more = second_pairs(members, labels, texts)
-    more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "near-more")
-    if not more.isEmpty():
-        added = materialise(verified(more, docs, weights, least), "near-added")
-        labels = components(edges.unionByName(added))
+    held = mixed_members(members, labels)
+    if held.isEmpty():
+        return rows, labels
+    full = texts_of(docs, held)
+    both = texts.select("node", "sig").join(more_samples(full, weights), "node")
+    for each_component in (False, True):
+        if each_component:
+            held = mixed_members(members, labels)
+        more = more_pairs(held, both, each_component)
+        more = materialise(more.join(tried, ["a", "b"], "left_anti"), "near-more")
+        if not more.isEmpty():
+            added = materialise(verified(more, full, weights, least), "near-added")
+            tried = tried.unionByName(more)
+            labels = merged(labels, added)
     return rows, labels
 
 
+def merged(labels: DataFrame, added: DataFrame) -> DataFrame:
+    """``labels`` after more edges: only the components that these touch are looked at."""
+    if added.isEmpty():
+        return labels
+    l_a, l_b = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}")) for c in "ab")
+    ends = added.join(l_a, "a", "left").join(l_b, "b", "left").select("a", "b", F.coalesce("l_a", "a").alias("l_a"), F.coalesce("l_b", "b").alias("l_b"))
+    ends = materialise(ends, "cc-ends")
+    joined = components(ends.where(F.col("l_a") != F.col("l_b")).select(F.col("l_a").alias("a"), F.col("l_b").alias("b")))
+    news = ends.select(F.col("a").alias("node"), F.col("l_a").alias("label")).unionByName(ends.select(F.col("b").alias("node"), F.col("l_b").alias("label"))).distinct()
+    known = labels.unionByName(news.join(labels, "node", "left_anti"))
+    final = joined.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return materialise(known.join(broadcast_if_small(final), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "cc-merged")
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``doc_id``, ``class_id``, ``class_size`` (rows) of each row."""
     rows, _, by_class = _classed(docs, least)
@@ -327,11 +430,13 @@ def _classed(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataF
 
 def deduplicate(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row of each class: the row with the smallest ``doc_id`` (one of them if it is repeated)."""
-    rows, per_class, _ = _classed(docs, least)
-    kept = per_class.select(F.col("kept_node").alias("k_node"), F.col("class_id").alias("k_id"))
+    rows, _, by_node = _classed(docs, least)
+    # most texts stand alone and need no rule
+    rules = by_node.where(F.col("class_size") > 1).select(F.col("node").alias("r_node"), (F.col("node") == F.col("kept_node")).alias("r_kept"), F.col("class_id").alias("r_id"))
+    rules = broadcast_if_small(materialise(rules, "near-rules"))
     twice = rows.groupBy("node", "doc_id").count().where(F.col("count") > 1)
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), node_of(F.col("text")).alias("node"), F.col("doc_id").cast("long").alias("id"))
-    out = keyed.join(kept, (F.col("node") == F.col("k_node")) & F.col("id").eqNullSafe(F.col("k_id")), "left_semi")
+    out = keyed.join(rules, F.col("node") == F.col("r_node"), "left").where(F.col("r_kept").isNull() | (F.col("r_kept") & F.col("id").eqNullSafe(F.col("r_id"))))
     if not twice.isEmpty():
         out = out.groupBy("node", "id").agg(F.first("doc").alias("doc"))
     return out.select("doc.*")
