@@ -70,22 +70,29 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, _BLANKS), lambda t: t != "")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def token_distance(left: Column, right: Column) -> Column:
     """Edits between two arrays of words: each distinct word becomes one character."""
-    words = F.array_distinct(F.concat(left, right))
 
-    def coded(side: Column) -> Column:
+    def coded(side: Column, words: Column) -> Column:
         at = F.transform(side, lambda t: F.array_position(words, t) - 1 + _WORD_BASE)
         return F.array_join(F.transform(at, lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 4, "0")), "UTF-16BE")), "")
 
-    return F.levenshtein(coded(left), coded(right))
+    return let(F.array_distinct(F.concat(left, right)), lambda words: F.levenshtein(coded(left, words), coded(right, words)))
 
 
 def wer(reference: Column, hypothesis: Column) -> Column:
     """Word edits per reference word; without reference words 0 or 1."""
-    ref, hyp = tokens(reference), tokens(hypothesis)
-    empty = F.size(ref) == 0
-    return F.when(empty, F.when(F.size(hyp) == 0, 0.0).otherwise(1.0)).otherwise(token_distance(ref, hyp) / F.greatest(F.size(ref), F.lit(1)))
+
+    def rate(p: Column) -> Column:
+        ref, hyp = p["r"], p["h"]
+        return F.when(F.size(ref) == 0, F.when(F.size(hyp) == 0, 0.0).otherwise(1.0)).otherwise(token_distance(ref, hyp) / F.greatest(F.size(ref), F.lit(1)))
+
+    return let(F.struct(tokens(reference).alias("r"), tokens(hypothesis).alias("h")), rate)
 
 
 def exact_match(reference: Column, hypothesis: Column) -> Column:
