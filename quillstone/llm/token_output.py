@@ -275,7 +275,7 @@ def write_containers(docs: DataFrame, tokenizer_path: str, container_ids: int =
     spark = docs.sparkSession
     probe = encoder_of(tokenizer_path)
     vocabulary, dtype = probe.vocabulary, probe.dtype.str
-    tokens = materialise(token_ids(docs, tokenizer_path), "token-ids")
+    tokens = materialise(token_ids(docs, tokenizer_path), "token-ids", "zstd")
     freq = rans.quantise(count_ids(tokens, vocabulary))
     shared = spark.sparkContext.broadcast(freq)  # one number an id of the vocabulary, whatever the corpus
 
