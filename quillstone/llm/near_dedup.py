@@ -50,7 +50,7 @@ SIMILARITY = 0.8
 AGREE = 40  # of 64 samples; 0.8 * 64 less three and a half standard deviations: missed as seldom as by the bands
 #: Count-min sketch of document frequencies: rows and counters a row.
 SKETCH = (2, 1 << 16)
-DAMPING = 0.5
+DAMPING = 0.25
 BLOCK_NODES = 2048
 #: Partners a node gets in the second step, and per larger component in the third.
 NEAREST, TRIES = 2, 8
