@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Rows that one Arrow batch carries to a Python worker; whole texts travel,
 #: so a batch stays small enough for a worker that shares 3 GB with its JVM.
 ARROW_ROWS = 1000
+#: And about so many bytes, where texts are very long.
+ARROW_BYTES = "32m"
 
 _own_dir: list[str] = []
 
@@ -58,6 +60,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def id_crc(doc_id: Column, mod: int) -> Column:
