@@ -186,4 +186,4 @@ CASES = """cases AS (
     CASE WHEN doc_id % 5 <> 0 THEN lang END AS script,
     CASE doc_id % 4 WHEN 0 THEN ['extreme'] WHEN 1 THEN ['form', 'hard'] ELSE [] END AS tags,
     CASE doc_id % 29 WHEN 0 THEN 'Generated from OCR' WHEN 1 THEN 'auto-transcribed' ELSE '' END AS notes
-  FROM documents)""".replace("\\\\", "\\")
+  FROM documents)"""

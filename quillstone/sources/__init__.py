@@ -1 +1 @@
-
+"""Files in and out."""

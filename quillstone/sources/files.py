@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,8 +119,6 @@ def explode_pages(files: DataFrame) -> DataFrame:
     def pages(batches):
         for batch in batches:
             rows = [(name, i, page) for name, data in zip(batch["filename"], batch["content"]) for i, page in enumerate(pdf_pages(data))]
-            import pandas as pd
-
             yield pd.DataFrame(rows, columns=["filename", "page_index", "content"])
 
     images = files.where(~pdf).select("filename", F.lit(0).alias("page_index"), "content")
