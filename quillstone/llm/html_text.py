@@ -58,7 +58,7 @@ NO_CONTENT_WORDS = frozenset(
 )
 CONTENT = frozenset(("article", "main"))
 CONTENT_WORDS = frozenset(("articlebody", "main"))
-AUTO_CLOSE = frozenset("p li dt dd tr td th option".split())
+_RAW_END = {name: re.compile(f"</{name}", re.I) for name in RAW}
 _ends_paragraph = frozenset("p div ul ol li dl table section article main nav header footer aside form h1 h2 h3 h4 h5 h6 pre blockquote figure hr".split())
 
 
@@ -89,14 +89,12 @@ def parse(page: str | None) -> tuple[list[Block], dict[tuple, int]]:
             text = " ".join("".join(held).split())
             if text:
                 path = paths[-1]
-                while stack_inline and path and path[-1] in INLINE:
+                while path and path[-1] in INLINE:
                     path = path[:-1]
                 blocks.append(Block(text, path, state[0], state[1], link))
             held, link = [], 0
 
-    stack_inline = True
     at, n = 0, len(page)
-    lower = None
     for m in iter(lambda: _TAG.search(page, at), None):
         if m.start() > at:
             piece = html.unescape(page[at : m.start()])
@@ -119,10 +117,8 @@ def parse(page: str | None) -> tuple[list[Block], dict[tuple, int]]:
                     del stack[i:], paths[i + 1 :]
                     break
         elif name in RAW:
-            if lower is None:
-                lower = page.lower()
-            end = lower.find("</" + name, at)
-            close = page.find(">", end) if end >= 0 else -1
+            end = _RAW_END[name].search(page, at)
+            close = page.find(">", end.end()) if end else -1
             at = close + 1 if close >= 0 else n
         elif name not in VOID:
             if name in _ends_paragraph:
@@ -140,11 +136,13 @@ def parse(page: str | None) -> tuple[list[Block], dict[tuple, int]]:
                 if found:
                     words = set(_SPLIT.split(found))
                     label = f"{name}.{found}"
-            out = name in NO_CONTENT or bool(words & NO_CONTENT_WORDS)
+            bad = words & NO_CONTENT_WORDS
+            if any(s[3] for s in stack):  # a heading inside the article
+                out = (name in NO_CONTENT and name != "header") or bool(bad - {"header"})
+            else:
+                out = name in NO_CONTENT or bool(bad)
             if out and name in ("html", "body", "article", "main"):
                 out = False
-            if name == "header" and any(s[3] for s in stack):  # a heading inside the article
-                out = False
             stack.append((name, label, out, name in CONTENT or bool(words & CONTENT_WORDS)))
             paths.append((*paths[-1], label))
             opened[paths[-1]] = opened.get(paths[-1], 0) + 1

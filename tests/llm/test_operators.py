@@ -379,6 +379,7 @@ def test_html_article():
     assert html_text.main_text(None, set(), None) == "" == html_text.main_text("<nav>x</nav>", set(), None)
     assert html_text.main_text("<p>a<p>b &a &amp c<i>d</i>e<br>f", set(), None) == "a b &a & cde f"
     assert html_text.main_text("<article><p>cut off <b", set(), None) == "cut off"
+    assert html_text.main_text("<header>top</header><article><header><h1>Title</h1></header><div class='entry-header'>sub</div><p>x</article>", set(), None) == "Title sub x"
 
 
 def test_html_template_by_host(spark):
