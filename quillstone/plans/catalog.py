@@ -199,9 +199,10 @@ def _per_case(spark, sf_dir):
     pairs = two.unionByName(fused).unionByName(forced).join(E.lines(spark, sf_dir).select("doc_id", "line_no", F.col("ref").alias("reference")), ["doc_id", "line_no"])
     rows = metrics.judge(pairs)
     n, state = F.count(F.lit(1)), F.col("decision_state")
+    edits, chars = F.sum(F.levenshtein("reference", "hypothesis")), F.sum(F.length("reference"))
     return rows.groupBy("system", "doc_id").agg(
         F.max(F.when(F.col("doc_id") % 2 == 0, "independent").otherwise("derived")).alias("baseline_kind"),
-        (F.sum(F.levenshtein("reference", "hypothesis")) / F.sum(F.length("reference"))).alias("cer"),
+        F.when(chars == 0, F.when(edits == 0, 0.0).otherwise(1.0)).otherwise(edits / F.greatest(chars, F.lit(1))).alias("cer"),
         (F.count_if("fce") / n).alias("fce_rate"),
         (F.count_if(state == T.REVIEW) / n).alias("review_rate"),
         (F.count_if(state == T.ACCEPTED) / n).alias("coverage_accepted"),
@@ -478,8 +479,8 @@ def fuse_states(spark, sf_dir):
 @query()
 def rerank_lines(spark, sf_dir):
     """Candidates with safe repairs, reranked, then fused. Needs the lexicon's Python worker; checked by tests."""
-    rows = rerank.with_repairs(E.candidates(spark, sf_dir), ["doc_id", "line_no"], ascii_only=True)
-    out = fusion.fuse(rerank.rank(rows, True))
+    rows = rerank.with_repairs(E.candidates(spark, sf_dir), ["doc_id", "line_no"])
+    out = fusion.fuse(rerank.rank(rows))
     return out.select("doc_id", "line_no", F.size("hyps").alias("candidates"), r(F.col("context_score")).alias("context_score"), F.col("decision.state").alias("state"), F.col("decision.text").alias("text"))
 
 

@@ -25,9 +25,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Printable ASCII lines of 5 to 200 characters."""
+    """Every line of every text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "ref"))
-    docs = docs.where(F.col("ref").rlike(r"^[\x20-\x7E]{5,200}$") & (F.trim("ref") == F.col("ref"))).withColumn("line_no", F.col("line_no").cast("long"))
+    docs = docs.withColumn("line_no", F.col("line_no").cast("long"))
     # a small file is one task; what follows is work for all cores
     cores = spark.sparkContext.defaultParallelism
     return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
@@ -62,7 +62,7 @@ def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same hypotheses as an array a line."""
     hyp = [
-        F.struct(corrupted(i).alias("text"), T.squeeze_blanks(corrupted(i)).alias("normalized_text"), visual(i).alias("visual"), F.lit(v).alias("variant"), F.lit(m).alias("model"), F.lit(None).cast("string").alias("family"), F.lit(False).alias("safe_edit"))
+        F.struct(corrupted(i).alias("text"), T.normalize_candidate(corrupted(i)).alias("normalized_text"), visual(i).alias("visual"), F.lit(v).alias("variant"), F.lit(m).alias("model"), F.lit(None).cast("string").alias("family"), F.lit(False).alias("safe_edit"))
         for i, (v, m) in enumerate(VARIANTS)
     ]
     return lines(spark, sf_dir).withColumn("hyps", F.array(*hyp)).withColumn("script_mode", F.when(F.col("doc_id") % 5 == 0, "print").otherwise("handwriting"))

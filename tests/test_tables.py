@@ -152,3 +152,33 @@ def test_smaller_views(spark):
     assert audit.payload == '{"n":3}' and len(audit.id) == 32
     with pytest.raises(RuntimeError):
         files.pdf_pages(b"%PDF")
+
+
+def test_evidence_holds_every_line(spark, tmp_path):
+    from quillstone.plans import catalog, evidence
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    long = "the sea takes stones " * 30
+    many = " ".join(f"te{k}" for k in range(5600))
+    texts = {1: "Élève très naïf\nab\n\n  padded line ", 2: long, 3: "größe des Straßennetzes\r\nplain line", 4: "", 5: "señal\n" + long + "ñ", 6: many}
+    rows = [(d, t, "fr", "s", len(t)) for d, t in texts.items()] + [(7, None, "fr", "s", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {(d, n): line for d, t in texts.items() for n, line in enumerate(t.split("\n"))}
+    assert {(r.doc_id, r.line_no): r.ref for r in evidence.lines(spark, str(tmp_path)).collect()} == want
+    words = {(r.doc_id, r.line_no): r.hypothesis for r in evidence.words(spark, str(tmp_path)).collect()}
+    got = {(r.doc_id, r.line_no): r for r in catalog.QUERIES["cer_wer_lines"](spark, str(tmp_path)).collect()}
+    assert got.keys() == words.keys() == want.keys()
+    for k, ref in want.items():
+        if k[0] != 6:
+            assert got[k].cer == pytest.approx(edits(ref, words[k]) / len(ref) if ref else 0.0, abs=1e-8)
+        assert got[k].wer == pytest.approx(edits(ref.split(), words[k].split()) / len(ref.split()) if ref.split() else 0.0, abs=1e-8) if k[0] != 6 else got[k].wer in (0.0, 1.0)
+    assert {r.doc_id for r in catalog.QUERIES["accepted_text"](spark, str(tmp_path)).collect()} == set(texts)
+    assert catalog.QUERIES["rerank_lines"](spark, str(tmp_path)).count() == len(want)
+    assert catalog.QUERIES["systems_summary"](spark, str(tmp_path)).count() == 4
