@@ -19,7 +19,9 @@ At scale: equal texts are one node.  A bucket never yields all its pairs:
 2. where a bucket still spans several components, each node is paired with the
    ``NEAREST`` nodes of other components whose signatures agree most;
 3. where it still does, each node of the smaller component is paired, for each
-   larger one, with the ``TRIES`` nodes that agree most.
+   larger one, with the ``TRIES`` nodes that agree most of those not yet tried;
+   this is repeated, with four times as many each time, until no bucket has an
+   untried pair between components.
 
 For the second and third step the texts in question get longer signatures, so
 that hardly a pair is verified in vain.  Large buckets are compared in blocks of
@@ -52,7 +54,7 @@ AGREE = 40  # of 64 samples; 0.8 * 64 less three and a half standard deviations:
 SKETCH = (2, 1 << 16)
 DAMPING = 0.25
 BLOCK_NODES = 2048
-#: Partners a node gets in the second step, and per larger component in the third.
+#: Partners a node gets in the second step, and per larger component in the third's first round.
 NEAREST, TRIES = 2, 8
 #: Further samples for the texts of buckets that span components, and how many of all samples must agree there.
 MORE_SAMPLES = 256
@@ -295,7 +297,7 @@ def first_pairs(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def agreeing(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose signatures agree on enough samples."""
+    """The pairs whose signatures agree on enough samples, with the ``bucket`` of the first band that they share."""
     sigs = texts.select("node", "sig")
     both = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
 
@@ -303,9 +305,17 @@ def agreeing(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 x, y = (_signature_matrix(batch.column(i)) for i in (2, 3))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(_agree(x, y) >= AGREE))
+                band = _first_band(x == y)
+                piece = [row[k * ROWS : (k + 1) * ROWS].tobytes() for row, k in zip(x, band)]
+                columns = [batch.column(0), batch.column(1), pa.array(band, pa.int32()), pa.array(piece, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "band", "piece"]).filter(pa.array(_agree(x, y) >= AGREE))
 
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(check, "a binary, b binary")
+    found = both.select("a", "b", "sig_a", "sig_b").mapInArrow(check, "a binary, b binary, band int, piece binary")
+    return found.select("a", "b", F.xxhash64("band", "piece").alias("bucket"))
+
+
+def _first_band(same: np.ndarray) -> np.ndarray:
+    return same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
 
 
 def _signature_matrix(column) -> np.ndarray:
@@ -320,36 +330,57 @@ def mixed_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     return materialise(labelled.join(broadcast_if_small(mixed), "bucket", "left_semi"), "near-mixed-members")
 
 
-def more_pairs(held: DataFrame, signatures_: DataFrame, each_component: bool) -> DataFrame:
-    """For buckets that span components: each node with the ``NEAREST`` most agreeing nodes of others, or with ``TRIES`` nodes of each larger one."""
+_BLOCKS = "cast(ceil(n / {}) as int)"
+
+
+def _block(node: str) -> Column:
+    return F.pmod(F.xxhash64(node), F.expr(_BLOCKS.format(BLOCK_NODES))).cast("int")
+
+
+def placed(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """``pairs`` (``a``, ``b``, ``bucket``) with the blocks ``x``, ``y`` in which they are compared."""
+    sizes = members.select("bucket", "n").distinct()
+    return pairs.join(sizes, "bucket").select("a", "b", "bucket", F.least(_block("a"), _block("b")).alias("x"), F.greatest(_block("a"), _block("b")).alias("y"))
+
+
+def more_pairs(held: DataFrame, signatures_: DataFrame, failed: DataFrame, each_component: bool, most: int) -> DataFrame:
+    """For buckets that span components: each node with the ``most`` nodes of others that agree most, or with as many of each larger one; no ``failed`` pair."""
     held = held.join(signatures_, "node")
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK_NODES)).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    blocks, own = F.expr(_BLOCKS.format(BLOCK_NODES)), _block("node")
     # a bucket of one block stands once; else each block meets every other
     held = held.select("bucket", "band", "node", "label", "sig", "more", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     held = held.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other")
 
-    def compare(group: pa.Table) -> pa.Table:
+    def compare(group: pa.Table, known: pa.Table) -> pa.Table:
         nodes = group.column("node").to_pylist()
+        if not nodes:
+            return empty
+        place = {k: i for i, k in enumerate(nodes)}
+        done: dict[int, list[int]] = {}
+        for a, b in zip(known.column("a").to_pylist(), known.column("b").to_pylist()):
+            i, j = place.get(a), place.get(b)
+            if i is not None and j is not None:
+                done.setdefault(i, []).append(j)
+                done.setdefault(j, []).append(i)
         _, comp = np.unique(np.array(group.column("label").to_pylist(), dtype="V16"), return_inverse=True)
         size = np.bincount(comp)
         block, sig = np.asarray(group.column("own")), _signature_matrix(group.column("sig"))
         more = np.frombuffer(b"".join(group.column("more").to_pylist()), dtype="<u2").reshape(-1, MORE_SAMPLES)
         split = (block != block[0]).any()
         band = group.column("band")[0].as_py()
-        found: set[tuple[bytes, bytes]] = set()
+        left, right = [], []
         for i in range(len(nodes)):
             ok = comp != comp[i]
             if split:
                 ok &= block != block[i]
             if each_component:
                 ok &= (size[comp] > size[comp[i]]) | ((size[comp] == size[comp[i]]) & (comp > comp[i]))
+            ok[done.get(i, [])] = False
             at = np.flatnonzero(ok)
             same = sig[at] == sig[i]
             agree = same.sum(axis=1)
             # a pair stands in the first band that it shares, and there alone
-            first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
-            good = (agree >= AGREE) & (first == band)
+            good = (agree >= AGREE) & (_first_band(same) == band)
             at, agree = at[good], agree[good]
             agree = agree + (more[at] == more[i]).sum(axis=1)
             at, agree = at[agree >= AGREE_ALL], agree[agree >= AGREE_ALL]
@@ -359,15 +390,25 @@ def more_pairs(held: DataFrame, signatures_: DataFrame, each_component: bool) ->
             if each_component:
                 order = order[np.argsort(comp[at[order]], kind="stable")]
                 new = np.concatenate([[True], comp[at[order]][1:] != comp[at[order]][:-1]])
-                place = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-                order = order[place < TRIES]
+                nth = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+                order = order[nth < most]
             else:
-                order = order[:NEAREST]
-            found.update((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for j in at[order].tolist())
-        a, b = zip(*sorted(found)) if found else ((), ())
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    return held.groupBy("bucket", "x", "y").applyInArrow(compare, "a binary, b binary").distinct()
+                order = order[:most]
+            left.append(np.full(len(order), i))
+            right.append(at[order])
+        if not left:
+            return empty
+        i, j = np.concatenate(left), np.concatenate(right)
+        rank = np.empty(len(nodes), dtype=np.int64)
+        rank[sorted(range(len(nodes)), key=nodes.__getitem__)] = np.arange(len(nodes))
+        pairs = np.unique(np.where(rank[i] < rank[j], i * len(nodes) + j, j * len(nodes) + i))
+        every = pa.array(nodes, pa.binary())
+        out = {"a": every.take(pa.array(pairs // len(nodes))), "b": every.take(pa.array(pairs % len(nodes)))}
+        return pa.table(out | {k: pa.array(np.full(len(pairs), group.column(k)[0].as_py()), t) for k, t in (("bucket", pa.int64()), ("x", pa.int32()), ("y", pa.int32()))})
+
+    empty = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("bucket", pa.int64()), ("x", pa.int32()), ("y", pa.int32())]).empty_table()
+    key = ("bucket", "x", "y")
+    return held.groupBy(*key).cogroup(failed.groupBy(*key)).applyInArrow(compare, "a binary, b binary, bucket long, x int, y int")
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -385,15 +426,19 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, Data
         return rows, labels
     full = texts_of(docs, held)
     both = texts.select("node", "sig").join(more_samples(full, weights), "node")
-    for each_component in (False, True):
-        if each_component:
-            held = mixed_members(members, labels)
-        more = more_pairs(held, both, each_component)
-        more = materialise(more.join(tried, ["a", "b"], "left_anti"), "near-more")
-        if not more.isEmpty():
-            added = materialise(verified(more, full, weights, least), "near-added")
-            tried = tried.unionByName(more)
-            labels = merged(labels, added)
+    failed = materialise(placed(tried.join(edges, ["a", "b"], "left_anti"), members), "near-failed")
+    each_component, most = False, NEAREST
+    while True:
+        more = materialise(more_pairs(held, both, failed, each_component, most), "near-more")
+        if each_component and more.isEmpty():
+            break
+        added = materialise(verified(more, full, weights, least), "near-added")
+        failed = failed.unionByName(materialise(more.join(added, ["a", "b"], "left_anti"), "near-failed"))
+        labels = merged(labels, added)
+        each_component, most = True, 4 * most if each_component else TRIES
+        held = mixed_members(members, labels)
+        if held.isEmpty():
+            break
     return rows, labels
 
 

@@ -249,6 +249,25 @@ def test_near_duplicates_against_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(got)
 
 
+def test_near_duplicates_try_every_pair(spark):
+    def words(n):
+        return [str(rng.randrange(10**7)) for _ in range(n)]
+
+    rng = random.Random(5)
+    core = words(500)
+    apart = [words(69) for _ in range(8)]  # 0.79 to the whole group but for one text each
+    group = [core + words(40) for _ in range(600)]
+    for k, t in enumerate(apart):
+        group[k] = core + t[:4] + words(36)
+    rows = [" ".join(g) for g in group] + [" ".join(core + t) for t in apart]
+    frame_ = frame(spark, [(i, t, "en", "s", len(t)) for i, t in enumerate(rows)])
+    weights = near_dedup.sketch_of(frame_)
+    for k in range(len(apart)):
+        own = [near_dedup.similarity(rows[len(group) + k], g, weights) for g in rows[: len(group)]]
+        assert [i for i, x in enumerate(own) if x >= 0.8] == [k] and min(own) > 0.78
+    assert {r.class_id for r in near_dedup.near_duplicates(frame_).collect()} == {0}
+
+
 def test_samples_estimate_similarity():
     a = prose(300, 1) + " " + prose(100, 2)
     b = prose(300, 1) + " " + prose(100, 3)
