@@ -12,8 +12,7 @@ and both joins have plain exchanges that adaptive execution can split when a
 line or a text is very common.
 
 Defined results: a line is compared without blanks, tabs and carriage returns
-at its ends; blank lines and lines shorter than ``min_chars`` are never
-removed; a null source counts as the site ``''``; a null text stays null with
+at its ends; blank lines are never removed, others by their spread alone; a null source counts as the site ``''``; a null text stays null with
 no lines; an empty table gives no rows; clashing extra columns are kept as
 they are by :func:`clean` and not read otherwise.
 """
@@ -28,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 MIN_SITES = 6
+#: The SQL leaves shorter lines out; the operator does not.
 MIN_CHARS = 12
 LG_K = 12
 #: Half-width of the band around the threshold, in standard errors of the sketch, and in sites.
@@ -41,7 +41,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"),
         F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"),
     )
-    return exploded.withColumn("line", F.trim(F.col("line"), F.lit(" \t\r"))).where(F.length("line") >= MIN_CHARS).select("text_key", "site", "pos", F.xxhash64("line").alias("line_hash"))
+    return exploded.withColumn("line", F.trim(F.col("line"), F.lit(" \t\r"))).where(F.col("line") != "").select("text_key", "site", "pos", F.xxhash64("line").alias("line_hash"))
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:

@@ -343,6 +343,12 @@ def test_line_dedup_against_brute_force(spark):
     assert line_dedup.clean(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_takes_short_lines(spark):
+    rows = [(i, f"own {i}\n\n Les.\t\nx\n{'few' if i < 5 else i}\n", "en", f"site{i}", 1) for i in range(20)]
+    for r in line_dedup.clean(frame(spark, rows)).collect():
+        assert r.text == f"own {r.doc_id}\n\n{'few' if r.doc_id < 5 else r.doc_id}\n" and tuple(r.line_dedup) == (6, 2)
+
+
 # --- op7 ------------------------------------------------------------------------
 
 
