@@ -230,14 +230,14 @@ def main_text(page: str | None, texts: set[int], content: int | None) -> str:
     blocks, _ = parse(page)
     kept = [b for b in blocks if not b.out]
     inside = [b for b in kept if b.inside]
-    if inside:
+    if inside:  # the element settles what is content, even if other pages hold the same
         kept = inside
     else:
         kept = [b for b in kept if b.link < LINKS * len(b.text)]
         if content is not None and (own := [b for b in kept if any(token(b.path[:d]) == content for d in range(1, len(b.path) + 1))]):
             kept = own
-    if texts:
-        kept = [b for b in kept if token(b.path, b.text) not in texts]
+        if texts:
+            kept = [b for b in kept if token(b.path, b.text) not in texts]
     return " ".join(b.text for b in kept)
 
 

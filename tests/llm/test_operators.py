@@ -407,6 +407,13 @@ def test_html_article():
     assert html_text.main_text("<header>top</header><article><header><h1>Title</h1></header><div class='entry-header'>sub</div><p>x</article>", set(), None) == "Title sub x"
 
 
+def test_html_copies_of_an_article(spark):
+    page = "<html><body><div>Menu</div><article><h1>Head</h1><p>One.</p><p>Two.</p><p>{}</p></article><p>End</p></body></html>"
+    rows = [(i, f"http://copy.example/print/{i}", page.format("Three." if i < 11 else f"Own {i}.")) for i in range(12)]
+    for r in html_text.extract(frame(spark, rows, "page_id long, url string, html string")).collect():
+        assert r.text == "Head One. Two. " + ("Three." if r.page_id < 11 else "Own 11.") and r.n_chars == len(r.text)
+
+
 def test_html_template_by_host(spark):
     rows = [(i, f"http://soup.example/{i}", SOUP.format(i=i)) for i in range(30)] + [(100 + i, "https://art.example/a?b", PAGE.format(i=i)) for i in range(30)]
     rows += [(200, None, None), (201, "nonsense", ""), (0, "http://soup.example/0", SOUP.format(i=0))]
