@@ -48,6 +48,8 @@ _NAMES = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|
 _SPLIT = re.compile(r"[^a-z0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg xmp".split())
+#: Of these only the start tag goes where no end tag follows.
+SKIPPED = frozenset("noscript template svg".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 #: Elements and the words of class names that mark what is no content.
 NO_CONTENT = frozenset("nav header footer aside form script style noscript template button select option iframe svg menu dialog head title textarea input label fieldset object".split())
@@ -82,6 +84,7 @@ def parse(page: str | None) -> tuple[list[Block], dict[tuple, int]]:
     paths: list[tuple] = [()]
     held: list[str] = []
     link, state = 0, (False, False)
+    endless: set[str] = set()
 
     def flush() -> None:
         nonlocal held, link
@@ -117,7 +120,12 @@ def parse(page: str | None) -> tuple[list[Block], dict[tuple, int]]:
                     del stack[i:], paths[i + 1 :]
                     break
         elif name in RAW:
-            end = _RAW_END[name].search(page, at)
+            if name == "svg" and m.group(3).endswith("/"):
+                continue
+            end = None if name in endless else _RAW_END[name].search(page, at)
+            if end is None and name in SKIPPED:
+                endless.add(name)
+                continue
             close = page.find(">", end.end()) if end else -1
             at = close + 1 if close >= 0 else n
         elif name not in VOID:

@@ -407,6 +407,13 @@ def test_html_article():
     assert html_text.main_text("<header>top</header><article><header><h1>Title</h1></header><div class='entry-header'>sub</div><p>x</article>", set(), None) == "Title sub x"
 
 
+@pytest.mark.parametrize("tag", ["<svg width='1'/>", "<svg>", "<noscript>", "<template id=x>", "<SVG />"])
+def test_html_raw_elements_without_end(tag):
+    assert html_text.main_text(f"<article><p>one</p>{tag}<p>two</p></article>", set(), None) == "one two"
+    assert html_text.main_text("<article><p>one</p><svg/><p>two</p><svg><path/>no</svg><p>three</p></article>", set(), None) == "one two three"
+    assert html_text.main_text("<article><p>one</p><script>no<p>two</p></article>", set(), None) == "one"
+
+
 def test_html_copies_of_an_article(spark):
     page = "<html><body><div>Menu</div><article><h1>Head</h1><p>One.</p><p>Two.</p><p>{}</p></article><p>End</p></body></html>"
     rows = [(i, f"http://copy.example/print/{i}", page.format("Three." if i < 11 else f"Own {i}.")) for i in range(12)]
