@@ -93,8 +93,8 @@ SELECT doc_id, place, coalesce(ref, '') AS reference, coalesce(hypothesis, '') A
 FROM l FULL JOIN h USING (doc_id, place)""")
 def align_refs(spark, sf_dir):
     """Reference and recognised lines paired by their place, though either may lack some."""
-    refs = E.lines(spark, sf_dir).where(F.col("line_no") % 11 != 4).select("doc_id", "line_no", F.col("ref").alias("reference"))
-    words = E.words(spark, sf_dir).where(F.col("line_no") % 7 != 3).select("doc_id", F.col("line_no").alias("reading_order"), "hypothesis", "decision_state", "confidence")
+    refs = E.lines(spark, sf_dir).select("doc_id", "line_no", F.col("ref").alias("reference"))
+    words = E.words(spark, sf_dir).select("doc_id", F.col("line_no").alias("reading_order"), "hypothesis", "decision_state", "confidence")
     return metrics.align(refs, words, ["doc_id"]).withColumn("place", F.col("place").cast("long"))
 
 
@@ -169,8 +169,7 @@ sys AS (
 
 
 def _systems(spark, sf_dir):
-    hyps = E.hypotheses(spark, sf_dir).where((F.col("doc_id") + F.col("ordinal")) % 6 != 0)
-    return metrics.derived_baselines(E.lines(spark, sf_dir).select("doc_id", "line_no"), hyps)
+    return metrics.derived_baselines(E.lines(spark, sf_dir).select("doc_id", "line_no"), E.hypotheses(spark, sf_dir))
 
 
 @query(f"WITH {_SYSTEMS} SELECT * FROM sys")

@@ -182,3 +182,23 @@ def test_evidence_holds_every_line(spark, tmp_path):
     assert {r.doc_id for r in catalog.QUERIES["accepted_text"](spark, str(tmp_path)).collect()} == set(texts)
     assert catalog.QUERIES["rerank_lines"](spark, str(tmp_path)).count() == len(want)
     assert catalog.QUERIES["systems_summary"](spark, str(tmp_path)).count() == 4
+
+
+def test_pairs_and_systems_take_all_rows(spark, tmp_path):
+    from quillstone.plans import catalog
+
+    rows = [(d, "\n".join(f"line {n} of {d}" for n in range(16)), "en", "s", 1) for d in range(1, 8)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    pairs = catalog.QUERIES["align_refs"](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.place): r.reference for r in pairs} == {(d, n): f"line {n} of {d}" for d in range(1, 8) for n in range(16)}
+    assert all(r.hypothesis for r in pairs)
+    systems = catalog.QUERIES["derived_baselines"](spark, str(tmp_path)).collect()
+    assert len(systems) == 2 * 7 * 16 and not [r for r in systems if r.hypothesis == "[ILLEGIBLE]"]
+
+
+def test_baselines_without_hypotheses(spark):
+    lines = spark.createDataFrame([(1, 0), (1, 1)], "doc_id long, line_no long")
+    hyps = spark.createDataFrame([(1, 0, 0, "raw", "trocr-x", "a", 0.9)], "doc_id long, line_no long, ordinal int, variant string, model_name string, text string, visual_score double")
+    got = {(r.line_no, r.system): (r.hypothesis, r.decision_state) for r in metrics.derived_baselines(lines, hyps).collect()}
+    none = ("[ILLEGIBLE]", "ILLEGIBLE")
+    assert got == {(0, "handwriting_lines"): ("a", "ACCEPTED"), (0, "print_only"): none, (1, "handwriting_lines"): none, (1, "print_only"): none}
