@@ -132,7 +132,7 @@ def is_garbage(text: Column) -> Column:
 
 def has_decode_artefacts(text: Column) -> Column:
     """Question marks, many full stops, or a short text of scattered one- and two-letter words."""
-    scattered = F.lower(text).rlike(r"\b[a-z]{1,2}\b.*\b[a-z]{1,2}\b.*\b[a-z]{1,2}\b") & (F.length(text) < 12)
+    scattered = F.lower(text).rlike(r"(?U)\b[a-z]{1,2}\b.*\b[a-z]{1,2}\b.*\b[a-z]{1,2}\b") & (F.length(text) < 12)
     return text.contains("?") | (F.regexp_count(text, F.lit(r"\.")) > 3) | scattered
 
 

@@ -87,8 +87,8 @@ def cer_wer_lines(spark, sf_dir):
 
 
 @query(f"""WITH {E.WORDS},
-l AS (SELECT doc_id, ref, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS place FROM lines WHERE line_no % 11 <> 4),
-h AS (SELECT doc_id, hypothesis, decision_state, confidence, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS place FROM words WHERE line_no % 7 <> 3)
+l AS (SELECT doc_id, ref, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS place FROM lines),
+h AS (SELECT doc_id, hypothesis, decision_state, confidence, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS place FROM words)
 SELECT doc_id, place, coalesce(ref, '') AS reference, coalesce(hypothesis, '') AS hypothesis, coalesce(decision_state, 'ILLEGIBLE') AS decision_state, coalesce(confidence, 0.0::DOUBLE) AS confidence
 FROM l FULL JOIN h USING (doc_id, place)""")
 def align_refs(spark, sf_dir):
@@ -123,7 +123,7 @@ def eval_by_source(spark, sf_dir):
 p AS (SELECT lang, ref, hypothesis, correct, row_number() OVER (PARTITION BY lang ORDER BY confidence DESC, doc_id, line_no) AS rank, count(*) OVER (PARTITION BY lang) AS of_ FROM marked),
 q AS (SELECT p.*, c.coverage, least(of_, greatest(1, CAST(round_even(c.coverage * of_, 0) AS BIGINT))) AS k FROM p, (SELECT unnest([0.25::DOUBLE, 0.5, 0.75, 1.0]) AS coverage) c)
 SELECT lang, coverage, max(k) AS n, round(CAST(count(*) FILTER (NOT correct) AS DOUBLE) / max(k), 9) AS fce, round(CAST(count(*) FILTER (correct) AS DOUBLE) / max(k), 9) AS accepted_accuracy,
-  CAST(sum(levenshtein(ref, hypothesis)) AS BIGINT) AS edits, CAST(sum(length(ref)) AS BIGINT) AS ref_chars
+  CAST(sum({E.sql_edits("ref", "hypothesis")}) AS BIGINT) AS edits, CAST(sum(length(ref)) AS BIGINT) AS ref_chars
 FROM q WHERE rank <= k GROUP BY lang, coverage""")
 def risk_coverage(spark, sf_dir):
     """Errors among the most confident quarter, half, three quarters and all lines."""
@@ -161,7 +161,7 @@ _SYSTEMS = f"""{E.HYPOTHESES},
 best AS (
   SELECT doc_id, line_no, arg_max(text, visual_score * 1000 - ordinal) FILTER (model_name LIKE '%paddle%') AS pt, max(visual_score) FILTER (model_name LIKE '%paddle%') AS ps,
     arg_max(text, visual_score * 1000 - ordinal) FILTER (model_name LIKE '%trocr%') AS tt, max(visual_score) FILTER (model_name LIKE '%trocr%') AS ts
-  FROM hyps WHERE (doc_id + ordinal) % 6 <> 0 GROUP BY doc_id, line_no),
+  FROM hyps GROUP BY doc_id, line_no),
 sys AS (
   SELECT l.doc_id, l.line_no, 'print_only' AS system, coalesce(pt, '[ILLEGIBLE]') AS hypothesis, CASE WHEN pt IS NULL THEN 'ILLEGIBLE' ELSE 'ACCEPTED' END AS decision_state, coalesce(ps, 0.0::DOUBLE) AS confidence FROM lines l LEFT JOIN best USING (doc_id, line_no)
   UNION ALL
@@ -184,7 +184,7 @@ fused AS (SELECT doc_id, line_no, 'fused' AS system, hypothesis, CASE WHEN confi
   UNION ALL SELECT doc_id, line_no, system, hypothesis, decision_state FROM sys),
 pairs AS (SELECT f.*, l.ref, {E.sql_correct("l.ref", "f.hypothesis")} AS correct FROM fused f JOIN lines l USING (doc_id, line_no)),
 per_case AS (SELECT system, doc_id, CASE WHEN doc_id % 2 = 0 THEN 'independent' ELSE 'derived' END AS baseline_kind,
-  CAST(sum(levenshtein(ref, hypothesis)) AS DOUBLE) / sum(length(ref)) AS cer, CAST(count(*) FILTER (NOT correct AND decision_state = 'ACCEPTED') AS DOUBLE) / count(*) AS fce_rate,
+  CAST(sum({E.sql_edits("ref", "hypothesis")}) AS DOUBLE) / sum(length(ref)) AS cer, CAST(count(*) FILTER (NOT correct AND decision_state = 'ACCEPTED') AS DOUBLE) / count(*) AS fce_rate,
   CAST(count(*) FILTER (decision_state = 'REVIEW_REQUIRED') AS DOUBLE) / count(*) AS review_rate, CAST(count(*) FILTER (decision_state = 'ACCEPTED') AS DOUBLE) / count(*) AS coverage_accepted,
   CAST(count(*) FILTER (decision_state IN ('REVIEW_REQUIRED', 'ILLEGIBLE')) AS DOUBLE) / count(*) AS abstention_rate FROM pairs GROUP BY system, doc_id)"""
 
@@ -377,7 +377,7 @@ def held_out_export(spark, sf_dir):
 @query(f"""WITH {E.HYPOTHESES}
 SELECT doc_id, line_no, CAST(ordinal AS INT) AS ordinal, regexp_matches(text, '[0-9]|[A-Z][a-z]+|[A-Z0-9]{{4,}}') AS high_risk,
   regexp_matches(text, '^[^A-Za-z0-9]+$') OR (length(replace(replace(text, ' ', ''), substr(replace(text, ' ', ''), 1, 1), '')) = 0 AND length(text) > 3) AS garbage,
-  contains(text, '?') OR length(text) - length(replace(text, '.', '')) > 3 OR (regexp_matches(lower(text), '\\b[a-z]{{1,2}}\\b.*\\b[a-z]{{1,2}}\\b.*\\b[a-z]{{1,2}}\\b') AND length(text) < 12) AS artefacts,
+  contains(text, '?') OR length(text) - length(replace(text, '.', '')) > 3 OR {E.sql_scattered("text")} AS artefacts,
   contains(model_name, 'trocr') AS of_hand, contains(model_name, 'paddle') AS of_print
 FROM hyps""")
 def text_predicates(spark, sf_dir):

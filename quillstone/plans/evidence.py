@@ -26,11 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "ref"))
-    docs = docs.withColumn("line_no", F.col("line_no").cast("long"))
-    # a small file is one task; what follows is work for all cores
+    docs = table(spark, sf_dir, "documents")
+    # a table of few files is few tasks; what follows is work for all cores
     cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    docs = docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
+    docs = docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "ref"))
+    return docs.withColumn("line_no", F.col("line_no").cast("long"))
 
 
 def corrupted(ordinal: int) -> Column:
@@ -116,9 +117,23 @@ def jobs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LINES = r"""lines AS (
   SELECT d.doc_id, d.lang, d.source, CAST(u.pos - 1 AS BIGINT) AS line_no, u.line AS ref
-  FROM documents d, LATERAL (SELECT unnest(string_split(d.text, chr(10))) AS line, generate_subscripts(string_split(d.text, chr(10)), 1) AS pos) u
-  WHERE regexp_full_match(u.line, '[\x20-\x7E]{5,200}') AND trim(u.line) = u.line)"""
-_TEXTS = ("ref", "regexp_replace(ref, '[ea]', 'o', 'g')", "regexp_replace(ref, '[st]', 'f', 'g')", "upper(ref)", "regexp_replace(ref, '[ou]', '0', 'g')")
+  FROM documents d, LATERAL (SELECT unnest(string_split(d.text, chr(10))) AS line, generate_subscripts(string_split(d.text, chr(10)), 1) AS pos) u)"""
+# Spark's upper case follows the full case mapping, DuckDB's the simple one
+_TEXTS = ("ref", "regexp_replace(ref, '[ea]', 'o', 'g')", "regexp_replace(ref, '[st]', 'f', 'g')", "upper(replace(ref, 'ß', 'SS'))", "regexp_replace(ref, '[ou]', '0', 'g')")
+#: Characters of one byte that texts do not hold: they stand for those of more bytes where DuckDB counts edits.
+_STAND_INS = "".join(map(chr, (*range(1, 9), 11, 12, *range(14, 32), 127)))
+
+
+def sql_edits(a: str, b: str) -> str:
+    """Edits in code points: DuckDB's own function counts bytes."""
+    wide = f"array_to_string(list_distinct(regexp_extract_all({a} || {b}, '[^\\x00-\\x7F]')), '')"
+    return f"levenshtein(translate({a}, {wide}, '{_STAND_INS}'), translate({b}, {wide}, '{_STAND_INS}'))"
+
+
+def sql_scattered(t: str) -> str:
+    """Three words of one or two letters in a short text; letters beyond ASCII are letters of words."""
+    short = r"\b[a-z]{1,2}\b"
+    return f"(regexp_matches(regexp_replace(lower({t}), '[^\\x00-\\x7F]', '_', 'g'), '{short}.*{short}.*{short}') AND length({t}) < 12)"
 
 
 def sql_visual(ordinal: object) -> str:
@@ -163,7 +178,7 @@ def sql_norm(x: str) -> str:
 
 
 def sql_cer(r: str, h: str) -> str:
-    return f"(CASE WHEN length({r}) = 0 THEN CASE WHEN length({h}) = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END ELSE CAST(levenshtein({r}, {h}) AS DOUBLE) / length({r}) END)"
+    return f"(CASE WHEN length({r}) = 0 THEN CASE WHEN length({h}) = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END ELSE CAST({sql_edits(r, h)} AS DOUBLE) / length({r}) END)"
 
 
 def sql_correct(r: str, h: str) -> str:
@@ -171,7 +186,7 @@ def sql_correct(r: str, h: str) -> str:
 
 
 def sql_dist(a: str, b: str) -> str:
-    return f"(CASE WHEN greatest(length({a}), length({b})) = 0 THEN 0.0::DOUBLE ELSE CAST(levenshtein({a}, {b}) AS DOUBLE) / greatest(length({a}), length({b})) END)"
+    return f"(CASE WHEN greatest(length({a}), length({b})) = 0 THEN 0.0::DOUBLE ELSE CAST({sql_edits(a, b)} AS DOUBLE) / greatest(length({a}), length({b})) END)"
 
 
 CASES = """cases AS (

@@ -71,7 +71,7 @@ i AS (SELECT *, CASE WHEN vis < 0.28 OR (n > 1 AND dis > 0.7 AND final < 0.5) TH
   WHEN NOT pr AND NOT halt AND final >= mn AND unc <= mx AND hn >= 1 AND best < {HAND} AND dis <= 0.40 AND x <= 0.35 AND va >= 0.5 THEN 'ACCEPTED'
   WHEN halt OR unc <= 0.62 THEN 'REVIEW_REQUIRED' ELSE 'ILLEGIBLE' END AS s0 FROM h),
 j AS (SELECT *, CASE WHEN s0 = 'ACCEPTED' AND ((high AND unc > 0.22) OR (NOT pr AND x > 0.45) OR contains(txt, '?') OR length(txt) - length(replace(txt, '.', '')) > 3
-    OR (regexp_matches(lower(txt), '\\b[a-z]{{1,2}}\\b.*\\b[a-z]{{1,2}}\\b.*\\b[a-z]{{1,2}}\\b') AND length(txt) < 12)) THEN 'REVIEW_REQUIRED' ELSE s0 END AS s1, halt AND vis < 0.28 AS early FROM i),
+    OR {E.sql_scattered("txt")}) THEN 'REVIEW_REQUIRED' ELSE s0 END AS s1, halt AND vis < 0.28 AS early FROM i),
 l AS (SELECT *, list_transform(cl, lambda z: ts[z.pick + 1]) AS al FROM j)
 SELECT doc_id, line_no, CASE WHEN early THEN 'ILLEGIBLE' ELSE s1 END AS state, CASE WHEN early OR s1 = 'ILLEGIBLE' THEN '[ILLEGIBLE]' ELSE txt END AS text,
   round(CASE WHEN early THEN 0.1::DOUBLE WHEN s1 = 'REVIEW_REQUIRED' THEN least(final, 0.55::DOUBLE) WHEN s1 = 'ILLEGIBLE' THEN least(final, 0.2::DOUBLE) ELSE final END, 9) AS confidence,
