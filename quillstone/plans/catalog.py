@@ -73,11 +73,28 @@ def fce_by_lang(spark, sf_dir):
     )
 
 
-@query(f"""WITH {E.WORDS},
+#: Words of both texts that one-byte characters can stand for in SQL; two more stand for the words of one text alone.
+_CODED = 125
+
+
+def _coded(words: str, alone: int) -> str:
+    at = "coalesce(list_position(voc, x), 0)"
+    return f"array_to_string(list_transform({words}, lambda x: chr(CAST(CASE WHEN {at} = 0 THEN {alone} ELSE {at} END AS INT))), '')"
+
+
+@query(f"""WITH RECURSIVE {E.WORDS},
 t AS (SELECT *, list_filter(regexp_split_to_array(ref, '\\s+'), lambda x: x <> '') AS rt, list_filter(regexp_split_to_array(hypothesis, '\\s+'), lambda x: x <> '') AS ht FROM words),
-v AS (SELECT *, list_distinct(list_concat(rt, ht)) AS voc FROM t),
-c AS (SELECT *, array_to_string(list_transform(rt, lambda x: chr(CAST(32 + list_position(voc, x) AS INT))), '') AS rc, array_to_string(list_transform(ht, lambda x: chr(CAST(32 + list_position(voc, x) AS INT))), '') AS hc FROM v)
-SELECT doc_id, line_no, round({E.sql_cer("ref", "hypothesis")}, 9) AS cer, round(CAST(levenshtein(rc, hc) AS DOUBLE) / len(rt), 9) AS wer,
+v AS (SELECT *, list_intersect(rt, ht) AS voc FROM t),
+hard AS (SELECT doc_id, line_no, rt, ht FROM v WHERE len(voc) > {_CODED} AND rt <> ht),
+dp AS (
+  SELECT doc_id, line_no, CAST(0 AS BIGINT) AS i, range(0, len(ht) + 1) AS costs FROM hard
+  UNION ALL
+  SELECT doc_id, line_no, i + 1, list_transform(range(0, len(ht) + 1), lambda j: j + list_min(less[1:j + 1]))
+  FROM (SELECT doc_id, line_no, i, ht, [i + 1] || list_transform(range(1, len(ht) + 1), lambda j: least(costs[j + 1] + 1, costs[j] + CASE WHEN ht[j] = rt[i + 1] THEN 0 ELSE 1 END) - j) AS less
+    FROM dp JOIN hard USING (doc_id, line_no) WHERE i < len(rt))),
+far AS (SELECT doc_id, line_no, costs[-1] AS edits FROM dp JOIN hard USING (doc_id, line_no) WHERE i = len(rt)),
+c AS (SELECT v.*, CASE WHEN rt = ht THEN 0 WHEN len(voc) > {_CODED} THEN far.edits ELSE levenshtein({_coded("rt", 126)}, {_coded("ht", 127)}) END AS edits FROM v LEFT JOIN far USING (doc_id, line_no))
+SELECT doc_id, line_no, round({E.sql_cer("ref", "hypothesis")}, 9) AS cer, round(CASE WHEN len(rt) > 0 THEN CAST(edits AS DOUBLE) / len(rt) WHEN len(ht) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 9) AS wer,
   CASE WHEN {E.sql_norm("ref")} = {E.sql_norm("hypothesis")} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS exact_match, {E.sql_correct("ref", "hypothesis")} AS correct
 FROM c""")
 def cer_wer_lines(spark, sf_dir):
