@@ -13,8 +13,8 @@ line or a text is very common.
 
 Defined results: a line is compared without blanks, tabs and carriage returns
 at its ends; blank lines are never removed, others by their spread alone; a null source counts as the site ``''``; a null text stays null with
-no lines; an empty table gives no rows; clashing extra columns are kept as
-they are by :func:`clean` and not read otherwise.
+no lines; an empty table gives no rows; extra columns are kept as they are by
+:func:`clean`, whatever their names, and not read otherwise.
 """
 
 from __future__ import annotations
@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 MIN_SITES = 6
-#: The SQL leaves shorter lines out; the operator does not.
-MIN_CHARS = 12
 LG_K = 12
 #: Half-width of the band around the threshold, in standard errors of the sketch, and in sites.
 BAND_SIGMAS, BAND_SITES = 5.0, 1.0
@@ -64,8 +62,8 @@ def _low(min_sites: int, lg_k: int) -> float:
     return min_sites - _half(min_sites, lg_k)
 
 
-def clean(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
-    """``docs`` with boilerplate lines removed from ``text``; adds struct ``line_dedup`` (``n_lines``, ``n_removed``)."""
+def decided(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
+    """Of each row: ``doc`` (the row as a struct), ``text`` without boilerplate lines, ``n_lines``, ``n_removed``."""
     lines = lines_of(docs)
     bad = materialise(boilerplate(lines, min_sites, lg_k), "line-boilerplate")
     hit = lines.select("text_key", "pos", "line_hash").join(bad, "line_hash", "left_semi")
@@ -73,25 +71,30 @@ def clean(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> Data
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.md5(F.col("text").cast("binary")).alias("text_key"))
     joined = keyed.join(gone, "text_key", "left").withColumn("lines", F.split(F.col("doc.text"), "\n", -1))
     kept = F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(F.array_join(F.filter("lines", lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n"))
-    info = F.when(F.col("doc.text").isNull(), F.struct(F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))).otherwise(
-        F.struct(F.size("lines").cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"))
-    )
-    return joined.select(*[(kept if c == "text" else F.col("doc").getField(c)).alias(c) for c in docs.columns], info.alias("line_dedup"))
+    is_null, zero = F.col("doc.text").isNull(), F.lit(0).cast("long")
+    removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
+    return joined.select("doc", kept.alias("text"), F.when(is_null, zero).otherwise(F.size("lines").cast("long")).alias("n_lines"), F.when(is_null, zero).otherwise(removed.cast("long")).alias("n_removed"))
+
+
+def clean(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
+    """``docs`` with boilerplate lines removed from ``text``."""
+    out = decided(docs, min_sites, lg_k)
+    return out.select(*[(F.col("text") if c == "text" else F.col("doc").getField(c)).alias(c) for c in docs.columns])
 
 
 SQL = rf"""
-WITH l AS (
-  SELECT doc_id, source, text, u.pos, u.line, trim(u.line, chr(32) || chr(9) || chr(13)) AS body
-  FROM (SELECT row_number() OVER () AS rn, * FROM documents) d,
-       LATERAL (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos) u),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rn, * FROM documents),
+l AS (
+  SELECT rn, source, u.pos, u.line, trim(u.line, chr(32) || chr(9) || chr(13)) AS body
+  FROM d, LATERAL (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos) u),
 b AS (
-  SELECT body FROM l WHERE length(body) >= {MIN_CHARS} GROUP BY body HAVING count(DISTINCT coalesce(source, '')) >= {MIN_SITES}),
+  SELECT body FROM l WHERE body <> '' GROUP BY body HAVING count(DISTINCT coalesce(source, '')) >= {MIN_SITES}),
 m AS (SELECT l.*, b.body IS NOT NULL AS gone FROM l LEFT JOIN b USING (body)),
 g AS (
-  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+  SELECT rn, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
          coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept
-  FROM m GROUP BY doc_id)
+  FROM m GROUP BY rn)
 SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
        CAST(length(kept) AS BIGINT) AS n_chars, md5(kept) AS text_md5
-FROM (SELECT doc_id FROM documents) LEFT JOIN g USING (doc_id)
+FROM d LEFT JOIN g USING (rn)
 """

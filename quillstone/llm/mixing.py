@@ -4,18 +4,21 @@ Method: the documents of a source are shuffled by a hash of their id; each
 gets a virtual finish time, the words of its source up to and including it
 divided by the source's target.  Repeats queue up behind the first pass of the
 source, so the k-th pass starts where the pass before ended.  All copies are
-range-sorted by finish time and taken until the total budget is used up.
+ordered by finish time and taken until the total budget is used up.
 
-At scale: running sums are kept per (source, hash bucket) and bucket totals
-are added, so a source with a third of all rows is spread over many tasks.
-The global order needs running sums for one range partition only, the one in
-which the budget ends; whether a copy is taken is then a comparison with that
-boundary, so no rows are joined back.
+At scale: running sums are kept per (source, hash bucket), bucket totals are
+added in two levels, so a source with a third of all rows is spread over many
+tasks.  Of the global order only the place where the budget ends is needed:
+sums per range of finish times tell in which range it lies, that range is cut
+again until few copies are left, and only these are sorted.  Whether a copy is
+taken is then a comparison with that place, so no rows are joined back.
 
 Defined results: a null text has size 0; documents of size 0 are never taken;
 a null source is a source of its own, sorted last; rows that agree in
-``doc_id``, source and size share a finish time and a decision; an empty table
-gives no rows; other columns are not read, whatever their names.
+``doc_id``, source and size queue up one behind the other, and which of them
+comes first is told by no column of the result; an empty table gives no rows;
+other columns are not read, whatever their names.  :func:`take` keeps all
+columns; of rows that agree it takes those first whose content hashes lowest.
 """
 
 from __future__ import annotations
@@ -25,14 +28,19 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialise, parallelism
+from .common import broadcast_if_small, materialise
 
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
 HASH_BITS = 60
-#: Rows that a range partition holds on average, and all sources' hash buckets of one number together, at most.
-ROWS_AT_ONCE = 4096
+#: Rows that all sources' hash buckets of one number hold together on average, and buckets whose totals are added at once.
 BUCKET_ROWS = 512
+BUCKETS_AT_ONCE = 4096
+#: A bucket with more rows holds repeated rows, which are then counted first.
+CROWDED_ROWS = 16384
+#: Ranges of finish times that are summed in one pass, and copies that are sorted in one task.
+RANGES = 1024
+SORTED_ROWS = 65536
 WORD = r"[^ \t-\r]+"
 
 
@@ -71,97 +79,141 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int =
     return filled.select("source", "source_size", F.least(limit.cast("double"), F.col("common") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = MAX_PASSES, seed: str = "mix") -> DataFrame:
-    """``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``taken``, ``copies`` of each row."""
-    spark = docs.sparkSession
-    rows = materialise(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size")).withColumn("h", shuffle_key(F.col("doc_id"), seed)),
-        "mix-rows",
-    )
+def _key(source: Column) -> Column:
+    """A source without nulls, for joins."""
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
+
+
+def _spread(rows: DataFrame, times: Column, most: int) -> DataFrame:
+    """Each row ``times`` times, numbered from 1 as ``nth``; rows with very many are dealt out in pieces."""
+    if most <= CROWDED_ROWS:
+        return rows.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    pieces = rows.withColumns({"_times": times, "_first": F.explode(F.sequence(F.lit(1).cast("long"), times, F.lit(CROWDED_ROWS).cast("long")))})
+    pieces = pieces.repartition(F.xxhash64(F.col("_first"), F.monotonically_increasing_id()))
+    last = F.least(F.col("_times"), F.col("_first") + CROWDED_ROWS - 1)
+    return pieces.withColumn("nth", F.explode(F.sequence(F.col("_first"), last))).drop("_times", "_first")
+
+
+def _queued(docs: DataFrame, weights: tuple[int, ...], passes: int, seed: str, crowded: int) -> tuple[DataFrame, int]:
+    """``doc_id``, ``source``, ``size``, ``upto`` (words of the source up to and including the row), ``source_size``, ``target`` of each row; and all words."""
+    source = F.col("source").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), _key(source).alias("key"), size_of(F.col("text")).alias("size"))
+    rows = materialise(rows.withColumn("h", shuffle_key(F.col("doc_id"), seed)), "mix-rows")
     n_rows = rows.count()
     bits = max(0, math.ceil(math.log2(max(1, n_rows) / BUCKET_ROWS)))
     rows = rows.withColumn("bucket", F.shiftright("h", HASH_BITS - bits))
 
-    # no row, one per source and bucket, one per source
-    by_bucket = rows.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
-    before = Window.partitionBy("source").orderBy("bucket")
-    by_bucket = materialise(
-        by_bucket.withColumn("before", F.sum("in_bucket").over(before) - F.col("in_bucket")).withColumn("source_size", F.sum("in_bucket").over(Window.partitionBy("source"))),
-        "mix-buckets",
-    )
-    goals = targets(by_bucket.groupBy("source").agg(F.max("source_size").alias("source_size")), weights, passes)
-    places = (
-        by_bucket.alias("b")
-        .join(goals.alias("g"), F.col("b.source").eqNullSafe(F.col("g.source")))
-        .select("b.source", "b.bucket", "b.before", "g.source_size", "g.target")
-    )
-    places = materialise(places, "mix-places")
-
-    in_bucket = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size")  # peers share their sum
-    queued = (
-        rows.withColumn("run", F.sum("size").over(in_bucket))
-        .alias("r")
-        .join(places.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.bucket") == F.col("p.bucket")))
-        .select("r.doc_id", "r.source", "r.size", "r.h", (F.col("p.before") + F.col("r.run")).alias("upto"), "p.source_size", "p.target")
-    )
-    queued = materialise(queued, "mix-queued")
-    budget = by_bucket.agg(F.sum("in_bucket")).first()[0] or 0
-
-    def finish(k: Column) -> Column:
-        return (k * F.col("source_size") + F.col("upto")).cast("double") / F.col("target")
-
-    order = [F.col("finish"), F.col("source").asc_nulls_last(), F.col("h"), F.col("doc_id").asc_nulls_first(), F.col("size"), F.col("pass")]
-    copies = queued.where((F.col("size") > 0) & (F.col("target") > 0)).select("source", "h", "doc_id", "size", "source_size", "upto", "target", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass"))
-    copies = copies.select(finish(F.col("pass")).alias("finish"), "source", "h", "doc_id", "size", "pass")
-    n_parts = max(parallelism(spark), passes * n_rows // ROWS_AT_ONCE + 1)
-    ranged = materialise(copies.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "mix-ranged")
-
-    # totals of range partitions, then the one in which the budget ends
-    ends = ranged.groupBy("part").agg(F.sum("size").alias("n")).withColumn("end", F.sum("n").over(Window.orderBy("part")))
-    crossing = ends.where(F.col("end") > budget).orderBy("part").select("part", (F.col("end") - F.col("n")).alias("begin")).first()
-    if crossing is None:
-        n_copies = F.when((F.col("size") > 0) & (F.col("target") > 0), F.lit(passes)).otherwise(0)
+    # totals of buckets, and of runs of buckets, are added from the first on
+    by_bucket = rows.groupBy("key", "bucket").agg(F.max("source").alias("source"), F.sum("size").alias("in_bucket"), F.count(F.lit(1)).alias("n"))
+    by_bucket = materialise(by_bucket.withColumn("run", F.floor(F.col("bucket") / BUCKETS_AT_ONCE)), "mix-buckets")
+    runs = by_bucket.groupBy("key", "run").agg(F.max("source").alias("source"), F.sum("in_bucket").alias("in_run"))
+    in_source = Window.partitionBy("key")
+    runs = runs.select("key", "source", "run", (F.sum("in_run").over(in_source.orderBy("run")) - F.col("in_run")).alias("before_run"), F.sum("in_run").over(in_source).alias("source_size"))
+    runs = materialise(runs, "mix-runs")
+    goals = targets(runs.groupBy("key").agg(F.max("source").alias("source"), F.max("source_size").alias("source_size")).drop("key"), weights, passes)
+    places = by_bucket.select("key", "run", "bucket", (F.sum("in_bucket").over(Window.partitionBy("key", "run").orderBy("bucket")) - F.col("in_bucket")).alias("before_bucket"))
+    places = places.join(runs.drop("source"), ["key", "run"]).join(goals.select(_key(F.col("source")).alias("key"), "target"), "key")
+    places = materialise(places.select("key", "bucket", (F.col("before_run") + F.col("before_bucket")).alias("before"), "source_size", "target"), "mix-places")
+    budget, most = by_bucket.agg(F.sum("in_bucket"), F.max("n")).first()
+
+    if (most or 0) > crowded:
+        rows = rows.groupBy("key", "source", "bucket", "h", "doc_id", "size").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        rows = rows.withColumn("n", F.lit(1).cast("long"))
+    in_bucket = Window.partitionBy("key", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    queued = rows.withColumn("run", F.sum(F.col("size") * F.col("n")).over(in_bucket)).join(places, ["key", "bucket"])
+    queued = queued.select("doc_id", "source", "size", "n", (F.col("before") + F.col("run") - F.col("n") * F.col("size")).alias("begin"), "source_size", "target")
+    if (most or 0) > crowded:
+        queued = _spread(queued, F.col("n"), most)
     else:
-        last = (
-            ranged.where(F.col("part") == crossing["part"])
-            .withColumn("end", F.lit(crossing["begin"]) + F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-            .where(F.col("end") > budget)
-            .orderBy(*order)
-            .first()
-        )
-        n_copies = sum((F.when(_before(finish(F.lit(k)), k, last), 1).otherwise(0) for k in range(passes)), F.lit(0))
-        n_copies = F.when((F.col("size") > 0) & (F.col("target") > 0), n_copies).otherwise(0)
-    out = queued.withColumn("copies", n_copies.cast("int"))
+        queued = queued.withColumn("nth", F.col("n"))
+    queued = queued.select("doc_id", "source", "size", (F.col("begin") + F.col("nth") * F.col("size")).alias("upto"), "source_size", "target")
+    return materialise(queued, "mix-queued"), budget or 0
+
+
+def _place(k: Column) -> Column:
+    return k * F.col("source_size") + F.col("upto")
+
+
+def _finish(k: Column) -> Column:
+    return _place(k).cast("double") / F.col("target")
+
+
+def _end(queued: DataFrame, budget: int, passes: int):
+    """The first copy that is not taken: ``finish``, ``source``, ``place``; none if all are taken."""
+    taking = queued.where((F.col("size") > 0) & (F.col("target") > 0))
+    k = F.col("pass")
+    copies = taking.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).select(_finish(k).alias("finish"), "source", _place(k).alias("place"), "size")
+    low, high, used = 0.0, copies.agg(F.max("finish")).first()[0], 0
+    if high is None:
+        return None
+    while True:
+        at = F.least(F.lit(RANGES - 1), F.greatest(F.lit(0), F.floor((F.col("finish") - F.lit(low)) / F.lit(high - low) * RANGES)))
+        sums = sorted(map(tuple, copies.groupBy(at.alias("at")).agg(F.sum("size"), F.count(F.lit(1))).collect()))  # RANGES rows at most
+        for range_, words, many in sums:
+            if used + words > budget:
+                break
+            used += words
+        else:
+            return None
+        copies, width = copies.where(at == range_), (high - low) / RANGES
+        low, high = low + range_ * width, low + (range_ + 1) * width
+        if many <= SORTED_ROWS or high - low <= 1e-15 * high:
+            break
+    order = [F.col("finish"), F.col("source").asc_nulls_last(), F.col("place")]
+    upto = F.lit(used) + F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return copies.withColumn("upto", upto).where(F.col("upto") > budget).orderBy(*order).first()
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = MAX_PASSES, seed: str = "mix", crowded: int = CROWDED_ROWS) -> DataFrame:
+    """``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``taken``, ``copies`` of each row."""
+    queued, budget = _queued(docs, weights, passes, seed, crowded)
+    last = _end(queued, budget, passes)
+    n_copies = F.lit(passes) if last is None else sum((F.when(_before(_finish(F.lit(k)), _place(F.lit(k)), last), 1).otherwise(0) for k in range(passes)), F.lit(0))
+    out = queued.withColumn("copies", F.when((F.col("size") > 0) & (F.col("target") > 0), n_copies).otherwise(0).cast("int"))
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
 
 
-def _before(finish: Column, k: int, last) -> Column:
+def _before(finish: Column, place: Column, last) -> Column:
     """Whether a copy sorts before the first copy that is not taken."""
     source = F.col("source")
-    same_source = source.eqNullSafe(F.lit(last["source"]))
-    source_less = source.isNotNull() if last["source"] is None else F.coalesce(source < F.lit(last["source"]), F.lit(False))
-    doc_id = F.col("doc_id")
-    same_doc = doc_id.eqNullSafe(F.lit(last["doc_id"]).cast("long"))
-    doc_less = F.lit(False) if last["doc_id"] is None else F.coalesce(doc_id < F.lit(last["doc_id"]), F.lit(True))
-    size_less = (F.col("size") < F.lit(last["size"])) | ((F.col("size") == F.lit(last["size"])) & F.lit(k < last["pass"]))
-    in_doc = doc_less | (same_doc & size_less)
-    in_source = (F.col("h") < F.lit(last["h"])) | ((F.col("h") == F.lit(last["h"])) & in_doc)
-    return (finish < F.lit(last["finish"])) | ((finish == F.lit(last["finish"])) & (source_less | (same_source & in_source)))
-
-
-def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = MAX_PASSES, seed: str = "mix") -> DataFrame:
+    same = source.eqNullSafe(F.lit(last["source"]))
+    less = source.isNotNull() if last["source"] is None else F.coalesce(source < F.lit(last["source"]), F.lit(False))
+    return (finish < F.lit(last["finish"])) | ((finish == F.lit(last["finish"])) & (less | (same & (place < F.lit(last["place"])))))
+
+
+def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = MAX_PASSES, seed: str = "mix", crowded: int = CROWDED_ROWS) -> DataFrame:
     """The rows of ``docs`` that the mix takes, each as often as it takes them."""
-    decided = mix(docs, weights, passes, seed).where(F.col("copies") > 0)
-    decided = broadcast_if_small(materialise(decided.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")), "mix-decided"))
+    agree = ["t_id", "t_source", "t_size"]
+    decided = mix(docs, weights, passes, seed, crowded).groupBy(F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), F.col("size").alias("t_size"))
+    decided = decided.agg(F.min("copies").alias("t_copies"), F.count_if(F.col("copies") > 0).alias("t_taken"), F.sum("copies").alias("t_sum"), F.count(F.lit(1)).alias("t_rows")).where("t_taken > 0")
+    # of rows that agree, some may be taken once more than the others
+    decided = materialise(decided.select(*agree, "t_copies", (F.col("t_sum") - F.col("t_copies") * F.col("t_rows")).alias("t_more")), "mix-decided")
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("k_id"), F.col("source").cast("string").alias("k_source"), size_of(F.col("text")).alias("k_size"))
-    joined = keyed.join(decided, F.col("k_id").eqNullSafe(F.col("doc_id")) & F.col("k_source").eqNullSafe(F.col("source")) & (F.col("k_size") == F.col("size")))
-    return joined.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
+    same = F.col("k_id").eqNullSafe(F.col("t_id")) & F.col("k_source").eqNullSafe(F.col("t_source")) & (F.col("k_size") == F.col("t_size"))
+    alike = keyed.join(broadcast_if_small(decided.where("t_more = 0")), same)
+    out = alike.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("t_copies")))).select("doc.*")
+    parted = decided.where("t_more > 0")  # one a source and pass at most: those in which the budget ends
+    if parted.isEmpty():
+        return out
+    row = F.xxhash64(F.to_json("doc"))
+    rows = keyed.join(broadcast_if_small(parted), same).groupBy(*agree, "t_copies", "t_more", row.alias("row")).agg(F.first("doc").alias("doc"), F.count(F.lit(1)).alias("n"))
+    rows = materialise(rows.withColumn("part", F.pmod("row", F.lit(RANGES))), "mix-parted")
+    parts = rows.groupBy(*agree, "part").agg(F.sum("n").alias("in_part"))
+    parts = parts.withColumn("before", F.sum("in_part").over(Window.partitionBy(*agree).orderBy("part")) - F.col("in_part"))
+    parts = materialise(parts.select(*[F.col(c).alias(f"p_{c}") for c in agree], F.col("part").alias("p_part"), "before"), "mix-parts")
+    met = (F.col("part") == F.col("p_part")) & F.col("t_id").eqNullSafe(F.col("p_t_id")) & F.col("t_source").eqNullSafe(F.col("p_t_source")) & (F.col("t_size") == F.col("p_t_size"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy(*agree, "part").orderBy("row")) - F.col("n")
+    more = F.greatest(F.lit(0), F.least(F.col("n"), F.col("t_more") - upto))
+    rows = rows.join(parts, met).withColumn("times", F.col("n") * F.col("t_copies") + more).where("times > 0")
+    most = rows.agg(F.max("times")).first()[0] or 0
+    return out.unionByName(_spread(rows.select("doc", "times"), F.col("times"), most).select("doc.*"))
 
 
 #: DuckDB's rows for the default parameters.
 SQL = r"""
-WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) AS BIGINT) AS size,
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rn, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) AS BIGINT) AS size,
          CAST('0x' || substr(md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
@@ -178,17 +230,17 @@ g AS (
   SELECT source, source_size,
     least(CAST(3 * source_size AS DOUBLE), (SELECT level FROM l WHERE ratio >= level ORDER BY ratio, level LIMIT 1) * weight) AS target
   FROM l),
-w AS (
+w AS MATERIALIZED (
   SELECT d.*, g.source_size, g.target,
-    sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size) AS upto
+    sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id NULLS FIRST, size, rn ROWS UNBOUNDED PRECEDING) AS upto
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
 c AS (
-  SELECT w.*, p.pass, CAST(p.pass * source_size + upto AS DOUBLE) / target AS finish
+  SELECT w.*, p.pass * source_size + upto AS place, CAST(p.pass * source_size + upto AS DOUBLE) / target AS finish
   FROM w, (SELECT unnest([0, 1, 2]) AS pass) p WHERE size > 0 AND target > 0),
 o AS (
-  SELECT *, sum(size) OVER (ORDER BY finish, source NULLS LAST, h, doc_id NULLS FIRST, size, pass ROWS UNBOUNDED PRECEDING) AS used FROM c),
-t AS (SELECT doc_id, source, size, count(*) AS copies FROM o WHERE used <= (SELECT sum(size) FROM d) GROUP BY doc_id, source, size)
+  SELECT *, sum(size) OVER (ORDER BY finish, source NULLS LAST, place ROWS UNBOUNDED PRECEDING) AS used FROM c),
+t AS (SELECT rn, count(*) AS copies FROM o WHERE used <= (SELECT sum(size) FROM d) GROUP BY rn)
 SELECT w.doc_id, w.size, CAST(w.source_size AS BIGINT) AS source_size, w.target,
        CAST(coalesce(t.copies, 0) * w.size AS BIGINT) AS taken
-FROM w LEFT JOIN t ON w.doc_id IS NOT DISTINCT FROM t.doc_id AND w.source IS NOT DISTINCT FROM t.source AND w.size = t.size
+FROM w LEFT JOIN t USING (rn)
 """

@@ -44,14 +44,8 @@ def op5_centroid_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text without the lines that many sites share, as counts and a digest."""
-    cleaned = line_dedup.clean(table(spark, sf_dir, "documents"))
-    return cleaned.select(
-        "doc_id",
-        F.col("line_dedup.n_lines").alias("n_lines"),
-        F.col("line_dedup.n_removed").alias("n_removed"),
-        F.length("text").cast("long").alias("n_chars"),
-        F.md5(F.col("text").cast("binary")).alias("text_md5"),
-    )
+    out = line_dedup.decided(table(spark, sf_dir, "documents"))
+    return out.select(F.col("doc.doc_id").alias("doc_id"), "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def op7_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -333,7 +333,7 @@ def test_line_dedup_against_brute_force(spark):
     sites = {}
     for _, t, _, s, _ in rows:
         for line in (t or "").split("\n"):
-            if len(line.strip(" \t\r")) >= line_dedup.MIN_CHARS:
+            if line.strip(" \t\r"):
                 sites.setdefault(line.strip(" \t\r"), set()).add(s or "")
     bad = {k for k, v in sites.items() if len(v) >= line_dedup.MIN_SITES}
     assert 5 < len(bad) < 30
@@ -345,8 +345,16 @@ def test_line_dedup_against_brute_force(spark):
 
 def test_line_dedup_takes_short_lines(spark):
     rows = [(i, f"own {i}\n\n Les.\t\nx\n{'few' if i < 5 else i}\n", "en", f"site{i}", 1) for i in range(20)]
-    for r in line_dedup.clean(frame(spark, rows)).collect():
-        assert r.text == f"own {r.doc_id}\n\n{'few' if r.doc_id < 5 else r.doc_id}\n" and tuple(r.line_dedup) == (6, 2)
+    for r in line_dedup.decided(frame(spark, rows)).collect():
+        assert r.text == f"own {r.doc.doc_id}\n\n{'few' if r.doc.doc_id < 5 else r.doc.doc_id}\n" and (r.n_lines, r.n_removed) == (6, 2)
+
+
+def test_line_dedup_clashing_columns(spark):
+    rows = [(i, "same line\nown", f"s{i}", "x", 7, [1]) for i in range(8)] + [(None, None, None, None, None, None)]
+    docs = frame(spark, rows, "doc_id long, text string, source string, line_dedup string, n_lines int, gone array<int>")
+    out = line_dedup.clean(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(i, "", *r[2:]) if t else r for r in rows for i, t in [r[:2]]], key=str) or {r.text for r in out.collect()} == {"own", None, ""}
 
 
 # --- op7 ------------------------------------------------------------------------
@@ -382,14 +390,48 @@ def test_mixing(spark):
         assert r.source_size == size[r.source] and r.target == pytest.approx(want[r.source])
     for s in size:
         assert abs(taken[s] - want[s]) <= 35_000  # the longest document
-    again = {(r.doc_id, r.source, r.size): r.taken for r in mixing.mix(frame(spark, rows).repartition(7)).collect()}
-    assert again == {(r.doc_id, r.source, r.size): r.taken for r in out}
+    again = Counter(map(tuple, mixing.mix(frame(spark, rows).repartition(7)).collect()))
+    assert again == Counter(map(tuple, out))
     copies = mixing.take(frame(spark, rows))
     assert copies.columns == frame(spark, []).columns
     assert sum(len((r.text or "").split()) for r in copies.collect()) == sum(taken.values())
     assert mixing.mix(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("crowded", [mixing.CROWDED_ROWS, 10])
+@pytest.mark.parametrize("copied", [3, 77, None])
+def test_mixing_repeated_rows(spark, crowded, copied):
+    """A document that is half of a source, with the source's target inside its copies."""
+    rows = [(copied, prose(10, 1), "en", "b", k % 2) for k in range(1000)] + [(5000 + i, prose(10, i), "en", "b", 0) for i in range(1000)]
+    rows += [(i, prose(10, i), "en", s, 0) for s, first in (("a", 10_000), ("c", 20_000)) for i in range(first, first + 500)]
+    docs = frame(spark, rows)
+    out = mixing.mix(docs, crowded=crowded).collect()
+    assert len(out) == len(rows)
+    taken, want = Counter(), {r.source: r.target for r in out}
+    for r in out:
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - want[s]) <= 10 for s in want)
+    assert Counter(map(tuple, mixing.mix(docs.repartition(5)).collect())) == Counter(map(tuple, out))
+    copies = mixing.take(docs, crowded=crowded).collect()
+    count = Counter(r.doc_id for r in copies)
+    each = Counter()
+    for r in out:
+        each[r.doc_id] += r.copies
+    assert count == +each
+    assert Counter(map(tuple, mixing.take(docs.repartition(5)).collect())) == Counter(map(tuple, copies))
+
+
+def test_mixing_cuts_ranges(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, prose(rng.randint(0, 9), i), "en", rng.choice("abcd"), 1) for i in range(600)]
+    whole = Counter(map(tuple, mixing.mix(frame(spark, rows)).collect()))
+    monkeypatch.setattr(mixing, "RANGES", 4)
+    monkeypatch.setattr(mixing, "SORTED_ROWS", 2)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 2)
+    monkeypatch.setattr(mixing, "BUCKETS_AT_ONCE", 8)
+    assert Counter(map(tuple, mixing.mix(frame(spark, rows)).collect())) == whole
+
+
 # --- op8 ------------------------------------------------------------------------
 
 
