@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,16 +17,16 @@ PLACEHOLDERS = ("", "[ILLEGIBLE]", "[REVIEW REQUIRED]", "[ILLEGIBLE].")
 ACCEPTED, REVIEW, ILLEGIBLE, CROSSED_OUT = "ACCEPTED", "REVIEW_REQUIRED", "ILLEGIBLE", "CROSSED_OUT"
 STATES = (ACCEPTED, REVIEW, ILLEGIBLE, CROSSED_OUT)
 MAX_LINE_CER = 0.15
+#: Characters or words from which a bit-parallel count of edits is faster than Spark's.
+LONG = 200
 # What makes a text high-risk (digit, date, capitalised word, code).
 HIGH_RISK_PATTERN = r"(?U)\d|[A-Z][a-z]+|[A-Z0-9]{4,}"
 PLACEHOLDER_NAME_PATTERN = r"(?i)(placeholder|synthetic|opencv.?font|lorem|dummy)"
 
 _BLANKS = r"(?U)\s+"
 _STRIP = r"(?U)^\s+|\s+$"
-#: First code point of the alphabet that stands for words in :func:`wer`.
+#: First code point of the alphabet that stands for words in :func:`token_distance`.
 _WORD_BASE = 0x4E00
-#: Characters from there to the surrogates; further ones follow from U+10000 on.
-_PLANE = 0xD800 - _WORD_BASE
 
 
 def strip(text: Column) -> Column:
@@ -62,10 +63,93 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _BLANKS, " "))
 
 
+def _bits(places: list[int], size: int) -> int:
+    if len(places) <= 4:
+        return sum(1 << i for i in places)
+    there = np.zeros(size, dtype=bool)
+    there[places] = True
+    return int.from_bytes(np.packbits(there, bitorder="little").tobytes(), "little")
+
+
+def _edit_count(a: Sequence, b: Sequence) -> int:
+    """Edits between two texts, or lists of words, bit-parallel: one step an item of the longer one, on numbers of as many bits as the shorter one has items."""
+    if len(a) > len(b):
+        a, b = b, a
+    m = len(a)
+    if not m:
+        return len(b)
+    places: dict = {x: [] for x in set(a).intersection(b)}
+    for i, x in enumerate(a):
+        if x in places:
+            places[x].append(i)
+    # items that stand in a few places only are worked out when they come up, so that many different words need little memory
+    at = {x: _bits(p, m) for x, p in places.items() if len(p) > 4}
+    every, last = (1 << m) - 1, 1 << (m - 1)
+    up, down, cost = every, 0, m
+    for x in b:
+        same = at[x] if x in at else _bits(places[x], m) if x in places else 0
+        vertical = same | down
+        horizontal = (((same & up) + up) ^ up) | same
+        right = down | (every & ~(horizontal | up))
+        left = up & horizontal
+        if right & last:
+            cost += 1
+        elif left & last:
+            cost -= 1
+        right = (right << 1) | 1
+        up = ((left << 1) | ~(vertical | right)) & every
+        down = right & vertical & every
+    return cost
+
+
+@lru_cache(maxsize=1)
+def _edits_udf():
+    @F.pandas_udf("int")
+    def count(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in pairs:
+            yield pd.Series([None if a is None or b is None else _edit_count(a, b) for a, b in zip(left, right)], dtype="Int32")
+
+    return count
+
+
+def edits(left: Column, right: Column) -> Column:
+    """Edits between two texts. Long pairs go to a worker whose cost grows with a 30th of the product of their lengths; the rest stay in the JVM."""
+    long = (left != right) & (F.greatest(F.length(left), F.length(right)) > LONG)
+    return F.when(left == right, 0).when(~long, F.levenshtein(left, right)).otherwise(_edits_udf()(F.when(long, left), F.when(long, right)))
+
+
+@lru_cache(maxsize=1)
+def _pair_edits_udf():
+    @F.pandas_udf("array<int>")
+    def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in texts:
+            out = []
+            for row in series:
+                if row is None:
+                    out.append(None)
+                    continue
+                known: dict[tuple[str, str], int] = {}
+                for i, a in enumerate(row):
+                    for b in row[:i]:
+                        if (a, b) not in known:
+                            known[a, b] = known[b, a] = 0 if a == b else _edit_count(a, b)
+                out.append([0 if i == j else known[a, b] for i, a in enumerate(row) for j, b in enumerate(row)])
+            yield pd.Series(out, dtype=object)
+
+    return count
+
+
+def pair_edits(texts: Column) -> Column:
+    """Edits between all pairs of a few texts, row by row in one array; long texts as in :func:`edits`."""
+    long = F.coalesce(F.array_max(F.transform(texts, F.length)), F.lit(0)) > LONG
+    short = F.flatten(F.transform(texts, lambda a: F.transform(texts, lambda b: F.when(a == b, 0).otherwise(F.levenshtein(a, b)))))
+    return F.when(~long, short).otherwise(_pair_edits_udf()(F.when(long, texts)))
+
+
 def cer(reference: Column, hypothesis: Column) -> Column:
     """Edits per reference character; without a reference 0 or 1."""
     empty = F.length(reference) == 0
-    return F.when(empty, F.when(F.length(hypothesis) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(reference, hypothesis) / F.greatest(F.length(reference), F.lit(1)))
+    return F.when(empty, F.when(F.length(hypothesis) == 0, 0.0).otherwise(1.0)).otherwise(edits(reference, hypothesis) / F.greatest(F.length(reference), F.lit(1)))
 
 
 def tokens(text: Column) -> Column:
@@ -78,31 +162,25 @@ def let(value: Column, body) -> Column:
 
 
 def token_distance(left: Column, right: Column) -> Column:
-    """Edits between two arrays of words: each word of both becomes one character.
+    """Edits between two arrays of words.
 
-    Words of one side alone match nothing, so one character stands for all of
-    a side's.  Characters suffice for 1,083,904 words that both sides hold.
+    In the JVM each word of both sides becomes one character, and one stands
+    for all words of a side alone; long arrays go to the worker of :func:`edits`.
     """
-
-    def character(number: Column) -> Column:
-        point = F.when(number < _PLANE, number + _WORD_BASE).otherwise(number - _PLANE + 0x10000)
-        return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+    long = F.greatest(F.size(left), F.size(right)) > LONG
 
     def coded(side: Column, words: Column, alone: str) -> Column:
         at = F.transform(side, lambda t: F.array_position(words, t))
-        return F.array_join(F.transform(at, lambda n: F.when(n == 0, alone).otherwise(character(n - 1))), "")
+        return F.array_join(F.transform(at, lambda n: F.when(n == 0, alone).otherwise(F.decode(F.unhex(F.lpad(F.hex(n + _WORD_BASE), 4, "0")), "UTF-16BE"))), "")
 
-    return let(F.array_intersect(left, right), lambda words: F.levenshtein(coded(left, words, "<"), coded(right, words, ">")))
+    short = let(F.struct(left.alias("l"), right.alias("r"), F.array_intersect(left, right).alias("w")), lambda p: F.levenshtein(coded(p["l"], p["w"], "<"), coded(p["r"], p["w"], ">")))
+    return F.when(left == right, 0).when(~long, short).otherwise(_edits_udf()(F.when(long & (left != right), left), F.when(long & (left != right), right)))
 
 
 def wer(reference: Column, hypothesis: Column) -> Column:
     """Word edits per reference word; without reference words 0 or 1."""
-
-    def rate(p: Column) -> Column:
-        ref, hyp = p["r"], p["h"]
-        return F.when(F.size(ref) == 0, F.when(F.size(hyp) == 0, 0.0).otherwise(1.0)).otherwise(token_distance(ref, hyp) / F.greatest(F.size(ref), F.lit(1)))
-
-    return let(F.struct(tokens(reference).alias("r"), tokens(hypothesis).alias("h")), rate)
+    ref, hyp = tokens(reference), tokens(hypothesis)
+    return F.when(F.size(ref) == 0, F.when(F.size(hyp) == 0, 0.0).otherwise(1.0)).otherwise(token_distance(ref, hyp) / F.greatest(F.size(ref), F.lit(1)))
 
 
 def exact_match(reference: Column, hypothesis: Column) -> Column:
@@ -124,7 +202,13 @@ def is_visible(hypothesis: Column, state: Column) -> Column:
 def normalized_distance(left: Column, right: Column) -> Column:
     """Edits per character of the longer text; 0 for two empty ones."""
     longer = F.greatest(F.length(left), F.length(right))
-    return F.when(longer == 0, 0.0).otherwise(F.levenshtein(left, right) / F.greatest(longer, F.lit(1)))
+    return F.when(longer == 0, 0.0).otherwise(edits(left, right) / F.greatest(longer, F.lit(1)))
+
+
+def lambda_distance(left: Column, right: Column) -> Column:
+    """:func:`normalized_distance` where no worker can be asked: inside functions over arrays."""
+    longer = F.greatest(F.length(left), F.length(right))
+    return F.when(left == right, 0.0).otherwise(F.levenshtein(left, right) / F.greatest(longer, F.lit(1)))
 
 
 def is_high_risk(text: Column) -> Column:

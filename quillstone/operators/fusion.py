@@ -2,8 +2,8 @@
 
 A line's hypotheses are an array of structs ``text, normalized_text, visual,
 variant, model, family, safe_edit`` in rank order.  All steps are higher-order
-functions over that array: no shuffle, no Python.  The work of a line grows
-with the square of its few candidates.
+functions over that array, without a shuffle.  Edits between all pairs of a
+line's few candidates are counted once; those of long texts in a worker.
 """
 
 from __future__ import annotations
@@ -43,19 +43,24 @@ def pick_best(cluster: Column) -> Column:
     return F.when(F.size(hand) > 0, first_max(hand, best_score)).otherwise(first_max(cluster, best_score))
 
 
-def cluster_numbers(hyps: Column) -> Column:
+def distances(hyps: Column) -> Column:
+    """Edits per character of the longer text between all pairs of ``hyps``, row by row in one array."""
+    lengths = F.transform(hyps, lambda h: F.length(h["normalized_text"]))
+    longer = F.flatten(F.transform(lengths, lambda a: F.transform(lengths, lambda b: F.greatest(a, b, F.lit(1)))))
+    return F.zip_with(T.pair_edits(F.transform(hyps, lambda h: h["normalized_text"])), longer, lambda n, most: n / most)
+
+
+def cluster_numbers(hyps: Column, apart: Column) -> Column:
     """For each hypothesis the place of the first cluster whose first member is near; clusters are numbered by that member's place.
 
-    First-fit in rank order: the fold carries, for each place seen, the number of its cluster.
+    First-fit in rank order: the fold carries, for each place seen, the number
+    of its cluster.  ``apart``: their :func:`distances`.
     """
 
-    def near(numbers: Column, h: Column) -> Column:
-        leads = F.filter(numbers, lambda n, i: n == i)
-        return F.filter(leads, lambda n: T.normalized_distance(h["normalized_text"], F.get(hyps, n)["normalized_text"]) <= CLUSTER_DISTANCE)
-
     def step(numbers: Column, h: Column) -> Column:
-        found = near(numbers, h)
-        return F.concat(numbers, F.array(F.coalesce(F.get(found, F.lit(0)), F.size(numbers))))
+        own = F.size(numbers)
+        leads = F.filter(numbers, lambda n, i: (n == i) & (F.get(apart, own * F.size(hyps) + n) <= CLUSTER_DISTANCE))
+        return F.concat(numbers, F.array(F.coalesce(F.get(leads, F.lit(0)), own)))
 
     return F.aggregate(hyps, F.array().cast("array<int>"), step)
 
@@ -82,12 +87,14 @@ def clusters(hyps: Column, numbers: Column) -> Column:
     return F.transform(F.array_sort(F.transform(groups, lambda g: F.struct(key(g).alias("k"), g["m"].alias("m")))), lambda x: x["m"])
 
 
-def stability(cluster: Column) -> Column:
-    """Mean similarity of all pairs of texts; 1 for one text, 0 for none."""
-    texts = F.filter(F.transform(cluster, lambda h: h["normalized_text"]), lambda t: t != "")
-    pairs = F.flatten(F.transform(texts, lambda a, i: F.transform(F.slice(texts, i + 2, F.size(texts)), lambda b: 1.0 - T.normalized_distance(a, b))))
+def stability(places: Column, apart: Column, many: Column) -> Column:
+    """Mean similarity of all pairs of texts; 1 for one text, 0 for none.
+
+    ``places``: where the texts stand among the ``many`` hypotheses of ``apart``, their :func:`distances`.
+    """
+    pairs = F.flatten(F.transform(places, lambda a, i: F.transform(F.slice(places, i + 2, F.size(places)), lambda b: 1.0 - F.get(apart, a * many + b))))
     mean = F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x) / F.greatest(F.size(pairs), F.lit(1))
-    return F.when(F.size(texts) == 0, 0.0).when(F.size(texts) == 1, 1.0).otherwise(mean)
+    return F.when(F.size(places) == 0, 0.0).when(F.size(places) == 1, 1.0).otherwise(mean)
 
 
 def _variants(items: Column) -> Column:
@@ -131,7 +138,7 @@ def fuse(lines: DataFrame, limits: DecisionThresholds | None = None) -> DataFram
         mixed.alias("_mixed"),
         chosen.alias("_chosen"),
         moved.alias("_hyps"),
-        F.filter(moved, lambda h: h["normalized_text"] != "").alias("_valid"),
+        F.transform(F.filter(moved, lambda h: h["normalized_text"] != ""), lambda h, i: h.withField("place", i)).alias("_valid"),
         S.clip(arg("image_quality_risk", 0.3)).alias("_risk"),
         S.clip(arg("context_score", 0.0)).alias("_context"),
         S.clip(F.when(chosen, 1.0).otherwise(arg("verifier_agreement", 0.0))).alias("_agree"),
@@ -142,7 +149,9 @@ def fuse(lines: DataFrame, limits: DecisionThresholds | None = None) -> DataFram
         arg("strike_uncertain", False).alias("_strike"),
     )
     valid = F.col("_valid")
-    b = a.withColumn("_numbers", cluster_numbers(valid)).withColumns({"_hand": F.filter(valid, is_hand), "_printed": F.filter(valid, is_print)}).withColumn("_clusters", clusters(valid, F.col("_numbers")))
+    b = a.withColumn("_apart", distances(valid))
+    apart, n_valid = F.col("_apart"), F.size(valid)
+    b = b.withColumn("_numbers", cluster_numbers(valid, apart)).withColumns({"_hand": F.filter(valid, is_hand), "_printed": F.filter(valid, is_print)}).withColumn("_clusters", clusters(valid, F.col("_numbers")))
     cl, hand, printed = F.col("_clusters"), F.col("_hand"), F.col("_printed")
     visual = lambda h: h["visual"]
     pure_print = F.col("_print") & ~F.col("_mixed")
@@ -151,8 +160,10 @@ def fuse(lines: DataFrame, limits: DecisionThresholds | None = None) -> DataFram
     c = b.withColumn("_top0", F.when(pure_print, F.coalesce(with_print, first)).otherwise(F.coalesce(with_hand, first)))
     loudest = first_max(F.col("_top0"), visual)
     c = c.withColumn("_best0", F.when(pure_print, F.when((F.size(printed) > 0) & ~is_print(loudest), first_max(printed, visual)).otherwise(loudest)).otherwise(pick_best(F.col("_top0"))))
-    sel = F.get(F.col("_hyps"), F.lit(0))
-    near = F.filter(valid, lambda h: T.normalized_distance(h["normalized_text"], sel["normalized_text"]) <= CLUSTER_DISTANCE)
+    # a chosen hypothesis is moved to the front; it may be without a normal form
+    moved_first = F.get(F.col("_hyps"), F.lit(0))
+    sel = F.when(moved_first["normalized_text"] != "", F.get(valid, F.lit(0))).otherwise(moved_first.withField("place", F.lit(-1)))
+    near = F.filter(valid, lambda h, i: (sel["place"] == 0) & (F.get(apart, i) <= CLUSTER_DISTANCE))
     c = c.withColumns({"_best": F.when(F.col("_chosen"), sel).otherwise(F.col("_best0")), "_top": F.when(F.col("_chosen"), _or_else(near, F.array(sel))).otherwise(F.col("_top0"))})
 
     top = F.col("_top")
@@ -162,11 +173,11 @@ def fuse(lines: DataFrame, limits: DecisionThresholds | None = None) -> DataFram
     family = F.when(F.col("_print"), printed).otherwise(hand)
     every = _or_else(_variants(family), _variants(valid))
     loud_hand, loud_print = first_max(hand, visual), first_max(printed, visual)
-    cross = F.when((F.size(hand) > 0) & (F.size(printed) > 0), T.normalized_distance(loud_hand["normalized_text"], loud_print["normalized_text"])).otherwise(0.0)
+    cross = F.when((F.size(hand) > 0) & (F.size(printed) > 0), F.get(apart, loud_hand["place"] * n_valid + loud_print["place"])).otherwise(0.0)
     d = c.withColumns(
         {
             "_va": F.size(_variants(F.col("_pool"))) / F.greatest(F.size(every), F.lit(1)),
-            "_st": stability(F.col("_pool")),
+            "_st": stability(F.transform(F.filter(F.col("_pool"), lambda h: h["place"] >= 0), lambda h: h["place"]), apart, n_valid),
             "_vis": S.clip(F.coalesce(F.array_max(F.transform(F.col("_pool"), visual)), F.lit(0.0))),
             "_cross": cross,
             "_n": F.size(cl),

@@ -120,7 +120,7 @@ def risk_coverage(judged: DataFrame, keys: list[str], order: list[str], points:
         F.max("k").alias("n"),
         (F.count_if(~F.col("correct")) / F.greatest(F.max("k"), F.lit(1))).alias("fce"),
         (F.count_if("correct") / F.greatest(F.max("k"), F.lit(1))).alias("accepted_accuracy"),
-        F.sum(F.levenshtein("reference", "hypothesis")).alias("edits"),
+        F.sum(T.edits(F.col("reference"), F.col("hypothesis"))).alias("edits"),
         F.sum(F.length("reference")).alias("ref_chars"),
     )
 

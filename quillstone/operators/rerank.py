@@ -39,7 +39,7 @@ def with_repairs(lines: DataFrame, key: list[str], settings: RerankSettings | No
         joined = lines.join(per_line, key, "left")
         return joined.withColumn("pool", F.when(F.col("clones").isNull(), F.col("hyps")).otherwise(F.concat("hyps", F.transform("clones", lambda x: x["c"])))).drop("clones")
     fixed = F.transform("hyps", lambda h: F.struct(h.alias("h"), S.format_repair(h["text"], True)["text"].alias("fixed")))
-    good = F.filter(fixed, lambda x: is_hand(x["h"]) & (x["h"]["text"] != "") & (x["fixed"] != x["h"]["text"]) & (T.normalized_distance(x["fixed"], x["h"]["normalized_text"]) <= chosen.max_token_distance + 0.05))
+    good = F.filter(fixed, lambda x: is_hand(x["h"]) & (x["h"]["text"] != "") & (x["fixed"] != x["h"]["text"]) & (T.lambda_distance(x["fixed"], x["h"]["normalized_text"]) <= chosen.max_token_distance + 0.05))
     return lines.withColumn("pool", F.concat("hyps", F.transform(good, lambda x: _clone(x["h"], x["fixed"], F.lit(0.01), True))))
 
 
@@ -59,7 +59,8 @@ def rank(lines: DataFrame, ascii_only: bool = False) -> DataFrame:
     crowded = F.when(F.size(F.array_distinct(F.filter(F.transform("hyps", lambda h: h["normalized_text"]), lambda t: t != ""))) > 3, 0.15).otherwise(0.0)
 
     def scored(h: Column, i: Column) -> Column:
-        away = F.array_min(F.transform(sources, lambda s: T.normalized_distance(h["normalized_text"], s)))
+        # texts of known distance 0 need no count of edits
+        away = F.when(F.array_contains(sources, h["normalized_text"]), 0.0).otherwise(F.array_min(F.transform(sources, lambda s: T.lambda_distance(h["normalized_text"], s))))
         score = h["visual"] + 0.12 * S.language_plausibility(h["text"]) + 0.08 * S.domain_score(h["text"]) + F.when(is_hand(h), 0.08).otherwise(-0.2) - 0.45 * away - crowded
         return F.struct((-score).alias("s"), i.alias("i"), away.alias("away"), h.alias("h"))
 

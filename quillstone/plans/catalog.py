@@ -215,7 +215,7 @@ def _per_case(spark, sf_dir):
     pairs = two.unionByName(fused).unionByName(forced).join(E.lines(spark, sf_dir).select("doc_id", "line_no", F.col("ref").alias("reference")), ["doc_id", "line_no"])
     rows = metrics.judge(pairs)
     n, state = F.count(F.lit(1)), F.col("decision_state")
-    edits, chars = F.sum(F.levenshtein("reference", "hypothesis")), F.sum(F.length("reference"))
+    edits, chars = F.sum(T.edits(F.col("reference"), F.col("hypothesis"))), F.sum(F.length("reference"))
     return rows.groupBy("system", "doc_id").agg(
         F.max(F.when(F.col("doc_id") % 2 == 0, "independent").otherwise("derived")).alias("baseline_kind"),
         F.when(chars == 0, F.when(edits == 0, 0.0).otherwise(1.0)).otherwise(edits / F.greatest(chars, F.lit(1))).alias("cer"),
@@ -473,15 +473,17 @@ SELECT doc_id, line_no, round(({_PAIRS}) / 6, 9) AS stability, round(least(1.0::
 def stability_entropy(spark, sf_dir):
     """Mean similarity of a line's handwriting candidates and the entropy of their scores."""
     hand = F.filter("hyps", fusion.is_hand)
-    rows = E.candidates(spark, sf_dir).withColumn("hand", hand)
-    return rows.select("doc_id", "line_no", r(fusion.stability(F.col("hand"))).alias("stability"), r(S.softmax_entropy(F.transform("hand", lambda h: h["visual"]))).alias("entropy"), F.size(F.array_distinct(F.transform("hand", lambda h: h["normalized_text"]))).alias("texts"))
+    rows = E.candidates(spark, sf_dir).withColumn("hand", hand).withColumn("apart", fusion.distances(F.col("hand")))
+    places = F.filter(F.transform("hand", lambda h, i: F.when(h["normalized_text"] != "", i)), lambda i: i.isNotNull())
+    return rows.select("doc_id", "line_no", r(fusion.stability(places, F.col("apart"), F.size("hand"))).alias("stability"), r(S.softmax_entropy(F.transform("hand", lambda h: h["visual"]))).alias("entropy"), F.size(F.array_distinct(F.transform("hand", lambda h: h["normalized_text"]))).alias("texts"))
 
 
 @query(fuse_sql.CLUSTERS)
 def cluster_fold(spark, sf_dir):
     """First-fit clusters of each line's five candidates."""
-    numbers = fusion.cluster_numbers(F.col("hyps"))
-    return E.candidates(spark, sf_dir).select("doc_id", "line_no", F.array_join(F.transform(numbers, lambda n: n.cast("string")), ",").alias("clusters"))
+    rows = E.candidates(spark, sf_dir).withColumn("apart", fusion.distances(F.col("hyps")))
+    numbers = fusion.cluster_numbers(F.col("hyps"), F.col("apart"))
+    return rows.select("doc_id", "line_no", F.array_join(F.transform(numbers, lambda n: n.cast("string")), ",").alias("clusters"))
 
 
 @query(fuse_sql.FUSE)

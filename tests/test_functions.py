@@ -119,3 +119,35 @@ def test_settings(monkeypatch):
     assert from_env(DecisionThresholds).accepted_min_score == 0.9
     assert from_env(BoxThresholds).max_projected_lines == 2
     assert DecisionThresholds().as_numbers()["consensus_min_support"] == 1.0
+
+
+def _recount(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_edits_of_long_texts(spark):
+    rng = random.Random(11)
+    rows = [("".join(rng.choice("aé b\U0001f600") for _ in range(n)), "".join(rng.choice("aé bc") for _ in range(m))) for n, m in ((0, 0), (0, 300), (300, 0), (150, 199), (201, 40), (400, 390), (64, 201), (260, 260))]
+    rows += [(rows[5][0], rows[5][0]), (None, "a"), (None, "b" * 300)]
+    got = [r.n for r in spark.createDataFrame(rows, "a string, b string").coalesce(1).select(T.edits(F.col("a"), F.col("b")).alias("n")).collect()]
+    assert got == [None if a is None else _recount(a, b) for a, b in rows]
+    array = [["abc" * 100, "abd" * 100, "", "x"], ["ab", "b", "ab"], [], None]
+    got = [r.n for r in spark.createDataFrame([(a,) for a in array], "a array<string>").coalesce(1).select(T.pair_edits(F.col("a")).alias("n")).collect()]
+    assert got[:3] == [[_recount(a, b) for a in row for b in row] for row in array[:3]]
+
+
+def test_word_error_rate_of_many_words(spark):
+    left = [f"w{i}" for i in range(40_000)]
+    right = left[:100] + ["new"] + left[102:] + ["more"]
+    few = ["a b b c", "b b a c d"]
+    rows = [(" ".join(left), " ".join(right)), tuple(few), ("", "x"), (" ", ""), ("a", "a")]
+    got = one(spark, rows, "r string, h string", T.wer(F.col("r"), F.col("h")))
+    assert [g[0] for g in got] == [3 / 40_000, _recount(few[0].split(), few[1].split()) / 4, 1.0, 0.0, 0.0]
+    words = [random.Random(k).choices("abcdefgh", k=250 + k) for k in (1, 2)]
+    got = one(spark, [(" ".join(words[0]), " ".join(words[1]))], "r string, h string", T.wer(F.col("r"), F.col("h")))
+    assert got[0][0] == _recount(*words) / 251

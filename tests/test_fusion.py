@@ -77,7 +77,7 @@ def test_downgrades(spark):
 
 def test_clusters_are_first_fit(spark):
     frame = spark.createDataFrame([([hyp("hello", 0.5), hyp("hallo", 0.5), hyp("world", 0.5), hyp("hullo", 0.5), hyp("worla", 0.5)],)], f"hyps array<{HYPOTHESIS.simpleString()}>")
-    assert frame.select(fusion.cluster_numbers(F.col("hyps")).alias("n")).first().n == [0, 0, 2, 0, 2]
+    assert frame.withColumn("apart", fusion.distances(F.col("hyps"))).select(fusion.cluster_numbers(F.col("hyps"), F.col("apart")).alias("n")).first().n == [0, 0, 2, 0, 2]
 
 
 def test_rerank_repairs_near_words(spark):
