@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -442,18 +443,18 @@ SOUP = """<html><body><div class="top"><a href="/">Home {i}</a></div><div class=
 
 
 def test_html_article():
-    assert html_text.main_text(PAGE.format(i=5), set(), None) == "Head & 5 First 5. Second <5> text."
-    assert html_text.main_text(None, set(), None) == "" == html_text.main_text("<nav>x</nav>", set(), None)
-    assert html_text.main_text("<p>a<p>b &a &amp c<i>d</i>e<br>f", set(), None) == "a b &a & cde f"
-    assert html_text.main_text("<article><p>cut off <b", set(), None) == "cut off"
-    assert html_text.main_text("<header>top</header><article><header><h1>Title</h1></header><div class='entry-header'>sub</div><p>x</article>", set(), None) == "Title sub x"
+    assert html_text.main_text(PAGE.format(i=5)) == "Head & 5 First 5. Second <5> text."
+    assert html_text.main_text(None) == "" == html_text.main_text("<nav>x</nav>")
+    assert html_text.main_text("<p>a<p>b &a &amp c<i>d</i>e<br>f") == "a b &a & cde f"
+    assert html_text.main_text("<article><p>cut off <b") == "cut off"
+    assert html_text.main_text("<header>top</header><article><header><h1>Title</h1></header><div class='entry-header'>sub</div><p>x</article>") == "Title sub x"
 
 
 @pytest.mark.parametrize("tag", ["<svg width='1'/>", "<svg>", "<noscript>", "<template id=x>", "<SVG />"])
 def test_html_raw_elements_without_end(tag):
-    assert html_text.main_text(f"<article><p>one</p>{tag}<p>two</p></article>", set(), None) == "one two"
-    assert html_text.main_text("<article><p>one</p><svg/><p>two</p><svg><path/>no</svg><p>three</p></article>", set(), None) == "one two three"
-    assert html_text.main_text("<article><p>one</p><script>no<p>two</p></article>", set(), None) == "one"
+    assert html_text.main_text(f"<article><p>one</p>{tag}<p>two</p></article>") == "one two"
+    assert html_text.main_text("<article><p>one</p><svg/><p>two</p><svg><path/>no</svg><p>three</p></article>") == "one two three"
+    assert html_text.main_text("<article><p>one</p><script>no<p>two</p></article>") == "one"
 
 
 def test_html_copies_of_an_article(spark):
@@ -463,6 +464,98 @@ def test_html_copies_of_an_article(spark):
         assert r.text == "Head One. Two. " + ("Three." if r.page_id < 11 else "Own 11.") and r.n_chars == len(r.text)
 
 
+PAGES = "page_id long, url string, html string"
+
+
+def _classes_by_force(pages, learned):
+    """Valid classes of one host's pages and the characters of their slots, from gathered vectors and pairs of rounds.
+
+    Of tokens that have no order among them, those that ``learned`` keeps may stay if they keep one.
+    """
+    parsed = [html_text.parse(p) for p in pages]
+    every = {t for _, tokens in parsed for t in tokens}
+    vectors = {}
+    for t in every:
+        vector = tuple(tokens.count(t) for _, tokens in parsed)
+        if sum(v > 0 for v in vector) >= max(html_text.LEAST_PAGES, html_text.SUPPORT * len(pages)):
+            vectors.setdefault(vector, []).append(t)
+    found = []
+    for vector, tokens in vectors.items():
+        order = sorted(tokens, key=lambda t: (sum(own.index(t) for _, own in parsed if t in own), t))
+        if len(order) < html_text.CLASS_SIZE:
+            continue
+        ordered = lambda c: all([t for t in own if t in c] == c * n for n, (_, own) in zip(vector, parsed))  # noqa: E731, B023
+        clash = [t for t in order if not all(ordered([x for x in order if x in (t, u)]) for u in order)]
+        sure = [t for t in order if t not in clash]
+        found.append(next((c for c in learned if set(sure) <= set(c) <= set(order) and ordered(c)), sure))
+
+    def rounds(order, own):
+        at = [i for i, t in enumerate(own) if t in order]
+        return [at[i : i + len(order)] for i in range(0, len(at), len(order))]
+
+    def crosses(a, b):
+        """Whether a round of ``b`` has tokens in several gaps of ``a`` (before, between, after) that are not its own around."""
+        for _, own in parsed:
+            for x in rounds(a, own):
+                for y in rounds(b, own):
+                    gaps = {sum(p > q for q in x) for p in y}
+                    if len(gaps) > 1 and not all(sum(p > q for q in y) == sum(x[0] > q for q in y) for p in x):
+                        return True
+        return False
+
+    bad = [b for b in found if any(a is not b and len(a) > len(b) and (crosses(a, b) or crosses(b, a)) for a in found)]
+    found = [c for c in found if c not in bad]
+    slots = Counter()
+    for blocks, own in parsed:
+        place = {t: (c[0], i) for c in found for i, t in enumerate(c)}
+        spans = [(r[0], r[-1], r, c[0]) for c in found for r in rounds(c, own)]
+        for b in blocks:
+            if b.token not in place and not b.out:
+                around = [s for s in spans if s[0] < b.at < s[1]]
+                if around:
+                    _, _, r, first = max(around)
+                    slots[first, sum(q < b.at for q in r) - 1] += len(b.text)
+    return found, slots
+
+
+def test_html_classes_and_slots_by_force(spark):
+    rng = random.Random(12)
+    pages = []
+    for i in range(14):
+        rows = "".join(f"<tr><td>Name</td><td>{prose(2, i * 50 + k)}</td><td>Price</td><td>{i}.{k}</td></tr>" for k in range(rng.randint(1, 5)))
+        extra = "<section><h2>Extra</h2><p>%s</p></section>" % prose(4, 900 + i) if i != 3 else ""
+        swap = "<b>x</b><h5>One</h5><h6>Two</h6>" if i % 2 else "<h6>Two</h6><h5>One</h5>"  # no order: no class
+        pages.append(f"<html><body><div class=top><a href=/>Home</a></div><div class=c{i}><h1>{prose(3, i)}</h1>{'<p>' + prose(30, i) + '</p>' if i % 3 else ''}<table>{rows}</table>{extra}<h2>Notes</h2><p>{prose(20 + i, 70 + i)}</p></div>{swap}<div class=foot>End {i}</div></body></html>")
+    found = html_text.streams(frame(spark, [(i, "http://one.example/", p) for i, p in enumerate(pages)], PAGES).repartition(3))
+    learned = {r.host: r for r in html_text.templates(found).collect()}["one.example"]
+    want, slots = _classes_by_force(pages, learned.classes)
+    assert sorted(learned.classes) == sorted(want) and len(want) >= 3
+    sums = html_text.check(found, spark.createDataFrame([("one.example", learned.classes)], "host string, classes array<array<long>>")).where("kind = 2").collect()
+    assert {(learned.classes[r.a][0], r.b): r.n for r in sums if r.a >= 0} == dict(slots)
+    template = html_text.Template(learned.classes, learned.content)
+    assert html_text.main_text(pages[1], template) != html_text.main_text(pages[1], html_text.Template([])) == " ".join(b.text for b in html_text.parse(pages[1])[0])
+
+
+def test_html_repeated_headings_stay(spark):
+    for wrap in ("article", "div"):
+        page = "<html><body><div class=top>Menu</div><{0}><h1>T{1}</h1><h2>Summary</h2><p>{2}</p><h2>Details</h2><p>{3}</p></{0}><div class=low>End</div></body></html>"
+        rows = [(i, f"http://{wrap}.example/{i}", page.format(wrap, i, prose(12, i), prose(30, 100 + i))) for i in range(20)]
+        for r in html_text.extract(frame(spark, rows, PAGES)).collect():
+            assert r.text == f"T{r.page_id} Summary {prose(12, r.page_id)} Details {prose(30, 100 + r.page_id)}"
+
+
+def test_html_names_are_whole():
+    page = "<article><p class='ad-hoc'>one</p><p class=related>two</p><p class='social label'>three</p><label>four</label><fieldset>five</fieldset><div class='ad'>x</div><div class='post-comments'>x</div><div class='cookie-notice'>x</div><form><label>x</label></form><p>foo<script>x</script>bar</p></article>"
+    assert html_text.main_text(page) == "one two three four five foobar"
+
+
+def test_html_deep_pages():
+    for page in ("<div>" * 100_000 + "deep", "<div class=x>" * 100_000 + "deep" + "</span>" * 100_000, "<b>" * 100_000 + "<p>deep"):
+        began = time.perf_counter()
+        assert html_text.main_text(page) == "deep"
+        assert time.perf_counter() - began < 10
+
+
 def test_html_template_by_host(spark):
     rows = [(i, f"http://soup.example/{i}", SOUP.format(i=i)) for i in range(30)] + [(100 + i, "https://art.example/a?b", PAGE.format(i=i)) for i in range(30)]
     rows += [(200, None, None), (201, "nonsense", ""), (0, "http://soup.example/0", SOUP.format(i=0))]
