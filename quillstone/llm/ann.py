@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialise, parallelism
+from .common import materialise, parallelism, pieces
 
 K = 10
 QUERY_EVERY = 100
@@ -169,19 +169,18 @@ def search(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, recal
     shared = spark.sparkContext.broadcast(centres)
 
     def assign(batches):
-        for batch in batches:
+        for batch in pieces(batches, 4096):
             if batch.num_rows:
                 near = nearest(_matrix(batch.column(1), dims), shared.value, 1)[:, 0]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.int32())], names=["vec_id", "v", "list"])
 
     def probe(batches):
-        for batch in batches:
+        for batch in pieces(batches, 4096):
             if batch.num_rows:
                 near = nearest(_matrix(batch.column(1), dims), shared.value, probes)
                 at = np.repeat(np.arange(batch.num_rows), probes)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(near.reshape(-1), pa.int32())], names=["q_key", "v", "list"])
 
-    arrow_batches(spark, 4096)
     indexed = materialise(kept.mapInArrow(assign, "vec_id long, v array<double>, list int"), "ann-index")
     per_list = indexed.groupBy("list").count().collect()  # at most MAX_LISTS rows
     chunk = min(CHUNK_ROWS[1], max(CHUNK_ROWS[0], n // (8 * parallelism(spark))))

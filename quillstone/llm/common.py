@@ -8,11 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one Arrow batch carries to a Python worker; whole texts travel,
-#: so a batch stays small enough for a worker that shares 3 GB with its JVM.
-ARROW_ROWS = 1000
-#: And about so many bytes, where texts are very long.
-ARROW_BYTES = "32m"
+#: Rows that a worker takes up at once.  Spark hands over up to 64 MB of them
+#: (``spark.sql.execution.arrow.maxBytesPerBatch``); no session option is set here.
+PIECE_ROWS = 1000
 
 _own_dir: list[str] = []
 
@@ -33,16 +31,47 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dir[0]
 
 
+#: What was written and not yet deleted, oldest first.
+_written: list[str] = []
+
+
 def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
     Cuts lineage and fixes what later passes see; the files outlive any
-    executor.  Task commits make a retried task harmless.
+    executor.  Task commits make a retried task harmless.  The files stay
+    until :func:`settle` or :func:`release` deletes them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _written.remove(path)
+
+
+def begin() -> int:
+    """A mark for :func:`settle`."""
+    return len(_written)
+
+
+def settle(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
+    """Delete what :func:`materialise` wrote since the mark, but for the tables ``keep`` that a result still reads."""
+    stay = {df._written_to for df in keep}
+    _delete(spark, [p for p in _written[mark:] if p not in stay])
+
+
+def release(spark: SparkSession) -> None:
+    """Delete everything that the operators wrote. Call it when their results have been read or written elsewhere."""
+    _delete(spark, list(_written))
 
 
 #: Rows of a few dozen bytes that may be broadcast: some 16 MB.
@@ -58,9 +87,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+def pieces(batches, rows: int = PIECE_ROWS):
+    """The record batches cut to at most ``rows`` rows; empty ones are left out."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
 
 
 def id_crc(doc_id: Column, mod: int) -> Column:

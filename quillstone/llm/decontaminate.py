@@ -9,7 +9,10 @@ white space as single blanks.
 
 At scale: one pass over the documents, no shuffle.  The items are the stated
 query set; they are broadcast in blocks of at most ``BLOCK_CHARS`` characters,
-one pass a block.
+one pass a block.  Long texts are searched in overlapping pieces.  Runs of one
+q-gram (a line of dashes) count as one, and pairs of runs are expanded in
+bounded portions, so that memory follows neither the length of a text nor how
+often a q-gram comes back.  Neighbouring bands are aligned together.
 
 Defined results: null and empty texts and items match nothing; an item shorter
 than ``Q`` characters must occur exactly; the edit budget is ``EDITS`` of the
@@ -29,12 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import arrow_batches
+from .common import pieces
 
 Q = 8
 EDITS = 0.1
 BLOCK_CHARS = 4_000_000
 _BITS = 22
+#: Characters of a text that are searched at once, pairs of runs and bands that are expanded at once, and diagonals that are aligned at once.
+PIECE, PORTION, WIDEST = 1 << 20, 1 << 20, 1 << 15
 _BASE = 0xC2B2AE3D27D4EB4F | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -108,42 +113,65 @@ class Index:
         flat = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
         item = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
         place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, dtype=np.int64)
-        order = np.argsort(flat, kind="stable")
-        self.keys, self.first = np.unique(flat[order], return_index=True)
-        self.many = np.diff(np.concatenate([self.first, [len(flat)]]))
-        self.item, self.place = item[order], place[order]
+        # runs: the same q-gram at neighbouring places of an item
+        new = np.ones(len(flat), dtype=bool)
+        new[1:] = (flat[1:] != flat[:-1]) | (item[1:] != item[:-1])
+        start = np.flatnonzero(new)
+        length = np.diff(np.append(start, len(flat)))
+        order = np.argsort(flat[start], kind="stable")
+        self.keys, self.first, self.many = np.unique(flat[start][order], return_index=True, return_counts=True)
+        self.item, self.place, self.length = item[start][order], place[start][order], length[order]
         self.seen = np.zeros(1 << _BITS, dtype=bool)
         self.seen[(self.keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
         self.gap = int(m.max() + self.edits.max() * 2 + self.width.max() * 2 + 8) if len(m) else 0
 
     def candidates(self, texts: list[str]) -> np.ndarray:
-        """Rows (text, item, band) that meet the bound."""
-        points = codes("\0".join(texts))
-        h = grams(points)
+        """Rows (text, item, band) that meet the bound, ascending."""
+        nothing = np.zeros((0, 3), dtype=np.int64)
+        h = grams(codes("\0".join(texts)))
         if not len(h) or not len(self.keys):
-            return np.zeros((0, 3), dtype=np.int64)
+            return nothing
         hit = np.flatnonzero(self.seen[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
         key = np.searchsorted(self.keys, h[hit])
         ok = key < len(self.keys)
         ok[ok] = self.keys[key[ok]] == h[hit[ok]]
         hit, key = hit[ok], key[ok]
         if not len(hit):
-            return np.zeros((0, 3), dtype=np.int64)
-        many = self.many[key]
-        at = np.repeat(self.first[key] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-        item = self.item[at]
+            return nothing
+        new = np.ones(len(hit), dtype=bool)
+        new[1:] = (hit[1:] != hit[:-1] + 1) | (key[1:] != key[:-1])
+        start = np.flatnonzero(new)
+        run = np.diff(np.append(start, len(hit)))
+        hit, key = hit[start], key[start]
         begins = np.cumsum([0] + [len(t) + 1 for t in texts])
         doc = np.searchsorted(begins, hit, side="right") - 1
-        doc = np.repeat(doc, many)
-        # diagonals of different texts are kept apart; all are made positive
-        diagonal = np.repeat(hit, many) - begins[doc] - self.place[at] + self.gap
-        width = self.width[item]
-        band = diagonal // width
-        low = (diagonal - band * width < self.edits[item]) & (band > 0)
-        doc, item, band = (np.concatenate([x, y]) for x, y in ((doc, doc[low]), (item, item[low]), (band, band[low] - 1)))
-        bands = int(band.max()) + 1
-        combined = (doc * len(self.ids) + item) * bands + band
-        combined, counts = np.unique(combined, return_counts=True)
+        bands = int((max(map(len, texts)) + 2 * self.gap) // self.width.min()) + 2
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+        for some in _portions(self.many[key]):
+            many = self.many[key[some]]
+            at = np.repeat(self.first[key[some]] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            item, place, length = self.item[at], self.place[at], self.length[at]
+            own, where, last = np.repeat(doc[some], many), np.repeat(hit[some] - begins[doc[some]], many), np.repeat(run[some], many)
+            # diagonals that the two runs share, all made positive, and the bands that these meet
+            low = where - (place + length - 1) + self.gap
+            high = where + last - 1 - place + self.gap
+            width, edits = self.width[item], self.edits[item]
+            b0 = np.maximum(0, (low - edits) // width)
+            for part in _portions(high // width - b0 + 1):
+                n = high[part] // width[part] - b0[part] + 1
+                r = np.repeat(part, n)
+                band = b0[r] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                # places of the item's run that have a partner in the band
+                bottom = band * width[r] - self.gap
+                top = bottom + width[r] + edits[r]
+                count = np.minimum(place[r] + length[r] - 1, where[r] + last[r] - 1 - bottom) - np.maximum(place[r], where[r] - top + 1) + 1
+                found.append(_summed((own[r] * len(self.ids) + item[r]) * bands + band, np.maximum(count, 0)))
+                held += len(found[-1][0])
+                if held > 4 * PORTION:
+                    found = [_summed(*map(np.concatenate, zip(*found)))]
+                    held = len(found[0][0])
+        combined, counts = _summed(*map(np.concatenate, zip(*found)))
         pair, band = np.divmod(combined, bands)
         doc, item = np.divmod(pair, len(self.ids))
         keep = counts >= self.least[item]
@@ -157,10 +185,18 @@ class Index:
             for d, t in enumerate(plain):
                 if (at := t.find(self.texts[i])) >= 0:
                     found[d][i] = (0, at + len(self.texts[i]))
-        for a, b in textvec.slices(plain, 300_000):
-            exact: dict[tuple[int, int], bool] = {}
-            for doc, item, band in self.candidates(plain[a:b]).tolist():
-                d = a + doc
+        # whatever an item matches lies whole in one piece
+        parts = [(d, at) for d, t in enumerate(plain) for at in range(0, max(1, len(t)), PIECE)]
+        pieces_ = [plain[d][at : at + PIECE + 2 * self.gap] for d, at in parts]
+        exact: dict[tuple[int, int], bool] = {}
+        for a, b in textvec.slices(pieces_, 300_000):
+            rows = self.candidates(pieces_[a:b])
+            # neighbouring bands of a text and an item are aligned together
+            new = np.ones(len(rows), dtype=bool)
+            new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1) | (rows[1:, 2] != rows[:-1, 2] + 1)
+            start = np.flatnonzero(new)
+            for (part, item, band), many in zip(rows[start].tolist(), np.diff(np.append(start, len(rows))).tolist()):
+                d, offset = parts[a + part]
                 if (d, item) not in exact:
                     at = plain[d].find(self.texts[item])
                     exact[d, item] = at >= 0
@@ -168,17 +204,38 @@ class Index:
                         found[d][item] = (0, at + len(self.texts[item]))
                 if exact[d, item]:
                     continue
-                edits, width, m = int(self.edits[item]), int(self.width[item]), len(self.points[item])
-                first = band * width - self.gap  # lowest diagonal of the band
-                begin = max(0, first - edits)
-                region = codes(plain[d][begin : max(begin, first + width + m + 2 * edits)])
-                low, high = first - begin - edits, first - begin + width + 2 * edits
-                cost, end = banded_infix(self.points[item], region, low, high, edits)
-                if cost <= edits and (cost, begin + end) < found[d].get(item, (edits + 1, 0)):
-                    found[d][item] = (cost, begin + end)
+                edits, width, m, piece = int(self.edits[item]), int(self.width[item]), len(self.points[item]), pieces_[a + part]
+                at_once = max(1, WIDEST // width)
+                for b0 in range(band, band + many, at_once):
+                    wide = width * min(at_once, band + many - b0)
+                    first = b0 * width - self.gap  # lowest diagonal of the bands
+                    begin = max(0, first - edits)
+                    region = codes(piece[begin : max(begin, first + wide + m + 2 * edits)])
+                    cost, end = banded_infix(self.points[item], region, first - begin - edits, first - begin + wide + 2 * edits, edits)
+                    if cost <= edits and (cost, offset + begin + end) < found[d].get(item, (edits + 1, 0)):
+                        found[d][item] = (cost, offset + begin + end)
         return [sorted((self.ids[i], cost, end) for i, (cost, end) in f.items()) for f in found]
 
 
+def _portions(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of ``sizes`` in runs that add up to about ``PORTION``; a larger one stands alone."""
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < len(sizes):
+        done = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, done + PORTION, side="right")))
+        yield np.arange(first, last)
+        first = last
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, dtype=np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
 def blocks(items: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str | None]]]:
     """The items in blocks of bounded size; a block is all that the driver holds."""
     held, size = [], 0
@@ -196,14 +253,13 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id``, ``item_id``, ``edits``, ``end`` for each item that a row's text holds."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, edits int, end long"
-    arrow_batches(spark)
     out = None
     for block in blocks(items):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
             index = Index(shared.value)
-            for batch in batches:
+            for batch in pieces(batches):
                 rows = [(k, *m) for k, ms in zip(batch.column(0).to_pylist(), index.search(batch.column(1).to_pylist())) for m in ms]
                 cols = list(zip(*rows)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64()))], names=["doc_id", "item_id", "edits", "end"])
@@ -227,7 +283,6 @@ def _predicate(shared):
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text holds no item."""
-    arrow_batches(docs.sparkSession)
     for block in blocks(items):
         docs = docs.where(_predicate(docs.sparkSession.sparkContext.broadcast(block))("text"))
     return docs

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, broadcast_if_small, materialise
+from .common import broadcast_if_small, materialise, pieces
 
 #: A template token is on this share of the host's pages, and on so many pages.
 SUPPORT, LEAST_PAGES = 0.8, 5
@@ -337,7 +337,7 @@ def streams(pages: DataFrame) -> DataFrame:
     """``host``, ``key`` (random, of the page), ``tokens``, ``chars`` (of each token) of every page."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             tokens, chars = [], []
             for page in batch.column(2).to_pylist():
                 blocks, own = parse(page)
@@ -348,7 +348,6 @@ def streams(pages: DataFrame) -> DataFrame:
                 chars.append(size.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.binary()), pa.array(chars, pa.binary())], names=["host", "key", "tokens", "chars"])
 
-    arrow_batches(pages.sparkSession)
     keyed = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64(F.col("page_id"), F.col("url")).alias("key"), "html")
     return materialise(keyed.mapInArrow(run, "host string, key long, tokens binary, chars binary"), "html-streams")
 
@@ -357,7 +356,7 @@ def statistics(found: DataFrame) -> DataFrame:
     """Per ``host`` (and all pages as one, without texts) and ``token``: ``pages``, two fingerprint sums, ``first`` (sum of first places); token -1 counts pages."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             sums: dict[tuple[str, int], list[int]] = {}
             for host, key, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 one, two = key & 0x3FFFFFFF, (key >> 31) & 0x3FFFFFFF
@@ -377,7 +376,6 @@ def statistics(found: DataFrame) -> DataFrame:
             cols += [pa.array([v[i] for v in values], pa.int64()) for i in range(4)]
             yield pa.RecordBatch.from_arrays(cols, names=["host", "token", "pages", "f1", "f2", "first"])
 
-    arrow_batches(found.sparkSession)
     rows = found.mapInArrow(run, "host string, token long, pages long, f1 long, f2 long, first long")
     return rows.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "f1", "f2", "first")])
 
@@ -413,7 +411,7 @@ def check(found: DataFrame, classes: DataFrame) -> DataFrame:
 
     def run(batches):
         known = {POOL: Template(shared.value["classes"])} if shared.value else {}
-        for batch in batches:
+        for batch in pieces(batches):
             sums: dict[tuple[str, int, int, int], list[int]] = {}
 
             def add(host: str, kind: int, a: int, b: int, n: int, low: int = 0) -> None:
@@ -456,7 +454,6 @@ def check(found: DataFrame, classes: DataFrame) -> DataFrame:
             cols = [pa.array([k[0] for k in keys], pa.string())] + [pa.array([k[i] for k in keys], pa.int64()) for i in (1, 2, 3)] + [pa.array([v[i] for v in values], pa.int64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays(cols, names=["host", "kind", "a", "b", "n", "low", "high"])
 
-    arrow_batches(found.sparkSession)
     rows = rows.select("tokens", "chars", "owner", "classes").mapInArrow(run, "host string, kind long, a long, b long, n long, low long, high long")
     return rows.groupBy("host", "kind", "a", "b").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
 
@@ -538,7 +535,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         known = {None: Template(**shared.value) if shared.value else None}
-        for batch in batches:
+        for batch in pieces(batches):
             got = []
             for i, (page, owner) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 if owner not in known:
@@ -548,5 +545,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 got.append(main_text(page, known[owner]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.string()), pa.array(list(map(len, got)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    arrow_batches(pages.sparkSession)
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")

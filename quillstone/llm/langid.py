@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import arrow_batches, id_crc, materialise
+from .common import id_crc, materialise, pieces
 
 DIMS = 4096
 CLUSTERS = 4
@@ -89,7 +89,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     def run(batches):
         total = np.zeros(DIMS + 1, dtype=np.int64)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [t or "" for t in batch.column(0).to_pylist()]
             total[DIMS] += len(texts)
             for a in range(0, len(texts), 256):
@@ -132,7 +132,6 @@ def _has_letter(text: str) -> bool:
 def fit(docs: DataFrame) -> Model:
     """Learn from ``text`` and ``lang`` of all rows of ``docs``."""
     spark = docs.sparkSession
-    arrow_batches(spark)
     learned = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     df, n = document_frequencies(learned)
     idf = (np.log((1.0 + n) / (1.0 + df)) + 0.1).astype(np.float32)
@@ -165,12 +164,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             got = list(zip(*shared.value.predict(batch.column(1).to_pylist()))) or [()] * 3
             cols = [pa.array(c, t) for c, t in zip(got, (pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    arrow_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 

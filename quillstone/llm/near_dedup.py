@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import arrow_batches, broadcast_if_small, materialise
+from .common import broadcast_if_small, materialise, pieces
 
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
@@ -122,7 +122,7 @@ def sketch_of(docs: DataFrame) -> Weights:
 
     def count(batches):
         table = np.zeros(SKETCH, dtype=np.int64)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [t or "" for t in batch.column(0).to_pylist()]
             for a, b in textvec.slices(texts):
                 hashes, _, _ = counted(texts[a:b])
@@ -131,7 +131,6 @@ def sketch_of(docs: DataFrame) -> Weights:
         at = np.flatnonzero(table.reshape(-1))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(table.reshape(-1)[at], pa.int64())], names=["counter", "n"])
 
-    arrow_batches(docs.sparkSession)
     rows = docs.select("text").mapInArrow(count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # SKETCH[0] * SKETCH[1] rows at most
     table = np.zeros(SKETCH[0] * SKETCH[1], dtype=np.int64)
     table[np.asarray(rows.column("counter"))] = np.asarray(rows.column("n"))
@@ -171,7 +170,7 @@ def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # the sketch, of fixed size
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [t or "" for t in batch.column(2).to_pylist()]
             once = list(dict.fromkeys(texts))
             found: dict[str, bytes | None] = {}
@@ -181,7 +180,6 @@ def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
                 found.update((t, s.tobytes() if n else None) for t, s, n in zip(once[a:b], sig, np.diff(begins)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([found[t] for t in texts], pa.binary())], names=["doc_id", "node", "sig"])
 
-    arrow_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), node_of(F.col("text")).alias("node"), "text").mapInArrow(run, "doc_id long, node binary, sig binary")
 
 
@@ -223,14 +221,13 @@ def more_samples(texts: DataFrame, weights: Weights) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             given, found = [t or "" for t in batch.column(1).to_pylist()], []
             for a, b in textvec.slices(given):
                 hashes, frequency, begins = counted(given[a:b])
                 found += [x.tobytes() for x in sample(hashes, shared.value.of(hashes, frequency), begins, SAMPLES, MORE_SAMPLES).astype("<u2")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "more"])
 
-    arrow_batches(texts.sparkSession)
     return materialise(texts.mapInArrow(run, "node binary, more binary"), "near-more-samples")
 
 
@@ -242,7 +239,7 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float)
 
     def check(batches):
         held: dict[bytes, tuple] = {}
-        for batch in batches:
+        for batch in pieces(batches, 200):
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             if len(held) > HELD_TEXTS:
                 held.clear()
@@ -256,7 +253,6 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float)
             keep = [_overlap(held[x], held[y]) >= least for x, y in zip(a, b)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    arrow_batches(spark, 200)
     return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a binary, b binary")
 
 
@@ -302,7 +298,7 @@ def agreeing(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
 
     def check(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             if batch.num_rows:
                 x, y = (_signature_matrix(batch.column(i)) for i in (2, 3))
                 band = _first_band(x == y)

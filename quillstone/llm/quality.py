@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import arrow_batches, id_crc, materialise
+from .common import id_crc, materialise, pieces
 
 SHRINKAGE = 0.15
 #: Words' worth of the mean text that is mixed into every text's statistics: shares of a few words say little.
@@ -127,12 +127,11 @@ def features(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``x`` of each row, written once."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             x = statistics([t or "" for t in batch.column(1).to_pylist()])
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(FEATURES), pa.int32()), pa.array(x.reshape(-1), pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), flat], names=["doc_id", "x"])
 
-    arrow_batches(docs.sparkSession)
     return materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x array<double>"), "quality-features")
 
 
@@ -146,7 +145,7 @@ def fit(rows: DataFrame, labels: DataFrame, held_out_mod: int = 3, held_out_rest
 
     def add(batches):
         sums = np.zeros((2, 1 + d + d * d))
-        for batch in batches:
+        for batch in pieces(batches):
             label = np.asarray(batch.column(0))
             x = steadied(np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(-1, d), shared.value)
             for k in (0, 1):
@@ -184,7 +183,7 @@ def score(rows: DataFrame, model: Model, held_out_mod: int = 3, held_out_rest: i
     d = len(FEATURES)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             x = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(-1, d)
             s = shared.value.score(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
@@ -208,5 +207,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for series in texts:
             yield pd.Series(shared.value.score(statistics([t or "" for t in series.tolist()])) >= 0.5, dtype=bool)
 
-    arrow_batches(docs.sparkSession)
     return docs.where(good("text"))

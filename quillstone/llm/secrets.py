@@ -5,7 +5,9 @@ window slides once per character class; the sum of ``c * log2(c)`` over the
 window's counts is updated for the one character that enters and the one that
 leaves, which gives the window's entropy without recounting.  Windows above
 the class's threshold merge into spans; an allow-list suppresses what is known
-to be harmless.  Everything is local to a row: no shuffle, no state.
+to be harmless: UUIDs, numbers, alphabets, strings in addresses, and strings
+without a digit, which are words, paths and identifiers far more often than
+keys.  Everything is local to a row: no shuffle, no state.
 
 Defined results: a null or empty text has no spans; texts are read whole,
 whatever their length; repeated rows each give a row; an empty table gives no
@@ -17,13 +19,14 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches
+from .common import pieces
 
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -54,7 +57,8 @@ ALLOWED = (
     re.compile(r"[A-Za-z_=+/-]+\Z"),  # no digit: words, paths, identifiers
     re.compile(r"(0123456789|abcdefghijklmnopqrstuvwxyz|ABCDEFGHIJKLMNOPQRSTUVWXYZ)+\Z"),  # alphabets
 )
-ALLOWED_BEFORE = re.compile(r"(https?://|www\.|@)[^\s\"'<>]*\Z")
+#: Addresses, in which no string counts, however long they are.
+ADDRESS = re.compile(r"(?:https?://|www\.|@)[^\s\"'<>]*")
 _SUMS = [0.0] + [c * math.log2(c) for c in range(1, 256)]
 
 
@@ -88,6 +92,7 @@ def hot_spans(run: str, kind: CharClass) -> list[tuple[int, int]]:
 
 def entropy_spans(text: str) -> list[tuple[int, int]]:
     found: list[tuple[int, int]] = []
+    addresses: list[tuple[int, int]] | None = None
     for m in CANDIDATE.finditer(text):
         run, base = m.group(), m.start()
         if any(a.match(run) for a in ALLOWED):
@@ -99,8 +104,13 @@ def entropy_spans(text: str) -> list[tuple[int, int]]:
                 merged[-1][1] = max(merged[-1][1], b)
             else:
                 merged.append([a, b])
+        if merged and addresses is None:
+            addresses = [(x.start(), x.end()) for x in ADDRESS.finditer(text)]
+        at = bisect_right(addresses, (base, 0)) - 1 if merged else -1
+        if at >= 0 and base < addresses[at][1]:
+            continue
         for a, b in merged:
-            if any(p.match(run[a:b]) for p in ALLOWED) or ALLOWED_BEFORE.search(text[max(0, base - 200) : base]):
+            if any(p.match(run[a:b]) for p in ALLOWED):
                 continue
             found.append((base + a, base + b))
     return found
@@ -135,11 +145,10 @@ def scan(docs: DataFrame) -> DataFrame:
     """Secrets of each row's ``text``: counts, digest of the base spans, all spans."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             cols = list(zip(*map(scan_text, batch.column(1).to_pylist()))) or [()] * 6
             kinds = [pa.int64()] * 4 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["doc_id", "n_assign", "n_access", "n_hex", "n_entropy", "base_sha256", "spans"])
 
-    arrow_batches(docs.sparkSession)
     schema = "doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

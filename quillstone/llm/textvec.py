@@ -13,6 +13,10 @@ _rng = np.random.default_rng(20240601)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: Of a second hash that has nothing to do with the first.
+_BYTE_2 = _rng.integers(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE_2 = 0xA24BAED4963EE407
+_INVERSE_2 = pow(_BASE_2, -1, 1 << 64)
 _SEPARATES = np.zeros(256, dtype=bool)
 _SEPARATES[[0, 9, 10, 11, 12, 13, 32]] = True
 _powers: dict[int, np.ndarray] = {}
@@ -42,12 +46,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def stretches(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the stretches of bytes ``[begins, ends)``."""
+def stretches(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+    """Hashes of the stretches of bytes ``[begins, ends)``; ``second``: by another hash."""
+    byte, base, inverse = (_BYTE_2, _BASE_2, _INVERSE_2) if second else (_BYTE, _BASE, _INVERSE)
     n = len(data)
     total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * _power_table(_BASE, n), out=total[1:])
-    return mix((total[ends] - total[begins]) * _power_table(_INVERSE, n)[begins])
+    np.cumsum(byte[data] * _power_table(base, n), out=total[1:])
+    return mix((total[ends] - total[begins]) * _power_table(inverse, n)[begins])
 
 
 def slices(texts: list[str], chars: int = 400_000):

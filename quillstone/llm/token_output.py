@@ -11,16 +11,21 @@ task:
 
 1. ids per document (no shuffle);
 2. counts per id (map-side sums, then a shuffle of at most vocabulary rows a task);
-3. range partitioning by ``doc_id``, sort inside the partition, containers of
-   about ``container_ids`` ids each; a container is self-contained, so reading
-   needs no shuffle and any container can be decoded alone.
+3. range partitioning by ``doc_id`` into parts of about ``PART_IDS`` ids, sort
+   inside the part, containers of about ``container_ids`` ids each; a container
+   is self-contained, so reading needs no shuffle and any container can be
+   decoded alone.  Rows with the same ``doc_id`` may lie in several parts.
+
+Words are known by a 64-bit hash, and a second one is compared, so that a word
+is not taken for another at any size of corpus.  Long texts that may be cut
+are encoded in slices.
 
 Positions: a container knows where its documents start inside its partition;
 the partitions' totals (one row each) are added on reading.
 
 Defined results: a null or empty text gives only the end id; texts of any
 length stay whole (a container grows with its longest document); repeated
-``doc_id`` s keep all their rows, ordered by their ids; a null ``doc_id`` comes
+``doc_id`` s keep all their rows, shorter ones first; a null ``doc_id`` comes
 first; an empty table gives no rows; other columns are not read, whatever their names.
 """
 
@@ -30,6 +35,7 @@ import os
 import re
 import struct
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -38,17 +44,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rans, textvec
-from .common import arrow_batches, materialise, parallelism
+from .common import begin, materialise, parallelism, pieces, settle
 
 END_ID = 0
 CONTAINER_IDS = 1 << 22
-#: Words of which a worker process keeps the ids; beyond that it starts anew, so its memory is bounded.
+#: Ids that a part of the output holds on average, at most.
+PART_IDS = 1 << 26
+#: Words of which a worker process keeps the ids; beyond that it starts anew with the next texts, so its memory is bounded.
 KEPT_WORDS = 1 << 20
+#: Characters that are encoded at once of a text that may be cut.
+SLICE = 1 << 21
 #: A text of these characters, without doubled blanks and line ends, may be cut
 #: before blanks and line ends: the byte-level pre-tokenizer cuts there too, and
 #: its merges never cross a cut.  Other texts go through the library whole.
 PLAIN = r"[\n\x20-\x7e\xa1-\u024f]*"
 UNSAFE = ("  ", "\n\n", " \n", "\n ")
+_CUT = re.compile(r"[ \n]")
 _ALNUM = np.zeros(256, dtype=bool)
 _ALNUM[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", dtype=np.uint8)] = True
 MAGIC = b"QTC1"
@@ -56,21 +67,23 @@ _HEAD = struct.Struct("<4sII")
 
 
 class Words:
-    """Ids of words by the words' hashes: an open-addressing table of numpy arrays."""
+    """Ids of words by the words' hashes: an open-addressing table of numpy arrays that grows as needed."""
 
     def __init__(self, dtype: np.dtype, kept: int) -> None:
         self.dtype, self.kept = dtype, kept
-        self.mask = np.uint64(2 * kept - 1)
         self.clear()
 
     def clear(self) -> None:
         self.held = 0
-        self.keys = np.zeros(2 * self.kept, dtype=np.uint64)
-        self.begin = np.zeros(2 * self.kept, dtype=np.int64)
-        self.count = np.zeros(2 * self.kept, dtype=np.int64)
+        self._slots(2 * self.kept)
         self.ids = np.zeros(1 << 16, dtype=self.dtype)
         self.used = 0
 
+    def _slots(self, n: int) -> None:
+        self.mask = np.uint64(n - 1)
+        self.keys, self.checks = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
+        self.begin, self.count = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Slots of keys; -1 for those that are not there."""
         slot = keys & self.mask
@@ -87,21 +100,32 @@ class Words:
             left, slot = left[go], slot[go]
         return out
 
-    def add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
-        """New distinct keys with their ids, one after another."""
+    def add(self, keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """New distinct keys with their second hashes and their ids, one after another."""
         if self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(len(ids), len(self.ids)), dtype=self.dtype)])
         self.ids[self.used : self.used + len(ids)] = ids
         begins = self.used + np.cumsum(counts) - counts
         self.used += len(ids)
+        if 4 * (self.held + len(keys)) > 3 * len(self.keys):  # a full table would be searched without end
+            old = np.flatnonzero(self.keys)
+            rows = self.keys[old], self.checks[old], self.begin[old], self.count[old]
+            size = len(self.keys)
+            while 2 * (self.held + len(keys)) > size:
+                size *= 2
+            self._slots(size)
+            self._place(*rows)
         self.held += len(keys)
+        self._place(keys, checks, begins, counts)
+
+    def _place(self, keys: np.ndarray, checks: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> None:
         slot, left = keys & self.mask, np.arange(len(keys))
         while len(left):
             free = np.flatnonzero(self.keys[slot] == 0)
             _, first = np.unique(slot[free], return_index=True)
             won = free[first]
             at = slot[won]
-            self.keys[at], self.begin[at], self.count[at] = keys[left[won]], begins[left[won]], counts[left[won]]
+            self.keys[at], self.checks[at], self.begin[at], self.count[at] = keys[left[won]], checks[left[won]], begins[left[won]], counts[left[won]]
             go = np.ones(len(left), dtype=bool)
             go[won] = False
             left, slot = left[go], (slot[go] + np.uint64(1)) & self.mask
@@ -139,10 +163,23 @@ class Encoder:
             for i, ids in zip(hard[a:b], self._whole([texts[i] for i in hard[a:b]])):
                 out[i] = ids.tobytes()
         for a, b in textvec.slices([texts[i] for i in easy]):
+            if b - a == 1 and len(texts[easy[a]]) > SLICE:
+                out[easy[a]] = b"".join(self._by_words([part])[0] for part in self._parts(texts[easy[a]]))
+                continue
             for i, ids in zip(easy[a:b], self._by_words([texts[i] for i in easy[a:b]])):
                 out[i] = ids
         return out
 
+    @staticmethod
+    def _parts(text: str) -> Iterator[str]:
+        """A long text, cut before blanks and line ends."""
+        at = 0
+        while at < len(text):
+            cut = _CUT.search(text, min(len(text), at + SLICE))
+            end = cut.start() if cut else len(text)
+            yield text[at:end]
+            at = end
+
     def _by_words(self, texts: list[str]) -> list[bytes]:
         if self.known.held > KEPT_WORDS * 3 // 4:
             self.known.clear()
@@ -157,6 +194,7 @@ class Encoder:
         ends = np.append(begins[1:], len(data))
         keys = textvec.stretches(values, begins, ends)
         keys[keys == 0] = 1
+        checks = textvec.stretches(values, begins, ends, second=True)
         at = self.known.find(keys)
         if (new := np.flatnonzero(at < 0)).size:
             fresh, first = np.unique(keys[new], return_index=True)
@@ -166,8 +204,10 @@ class Encoder:
                 own = np.flatnonzero(lead == sep)
                 for part in range(0, len(own), 5000):
                     some = own[part : part + 5000]
-                    self._learn(sep, fresh[some], [data[x:y] for x, y in zip(begins[first[some]].tolist(), ends[first[some]].tolist())])
+                    self._learn(sep, fresh[some], checks[first[some]], [data[x:y] for x, y in zip(begins[first[some]].tolist(), ends[first[some]].tolist())])
             at[new] = self.known.find(keys[new])
+        if (self.known.checks[at] != checks).any():  # two words with one hash
+            return [x.tobytes() for x in self._whole(texts)]
         counts = self.known.count[at]
         ids_end = np.cumsum(counts)
         ids = self.known.ids[np.repeat(self.known.begin[at] - ids_end + counts, counts) + np.arange(ids_end[-1])]
@@ -175,7 +215,7 @@ class Encoder:
         flat, cuts = ids.tobytes(), cuts.tolist()
         return [flat[x:y] for x, y in zip(cuts[:-1], cuts[1:])]
 
-    def _learn(self, sep: int, keys: np.ndarray, units: list[bytes]) -> None:
+    def _learn(self, sep: int, keys: np.ndarray, checks: np.ndarray, units: list[bytes]) -> None:
         """Encode new units. Those after blanks or line ends go as one text, cut where the units' bytes end."""
         sizes = np.array([len(u) for u in units], dtype=np.int64)
         if sep in (32, 10) and (sizes > 1).all():
@@ -183,10 +223,10 @@ class Encoder:
             ends, want = np.cumsum(self.token_bytes[ids]), np.cumsum(sizes)
             cut = np.searchsorted(ends, want)
             if (cut < len(ends)).all() and (ends[cut] == want).all():
-                self.known.add(keys, ids, np.diff(np.concatenate([[0], cut + 1])))
+                self.known.add(keys, checks, ids, np.diff(np.concatenate([[0], cut + 1])))
                 return
         each = self._whole([(u if sep else u[1:]).decode() for u in units])  # a zero byte is no part of the text
-        self.known.add(keys, np.concatenate(each), np.array([len(x) for x in each], dtype=np.int64))
+        self.known.add(keys, checks, np.concatenate(each), np.array([len(x) for x in each], dtype=np.int64))
 
 
 @lru_cache(maxsize=2)
@@ -206,7 +246,7 @@ def token_ids(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         end = np.asarray([END_ID], dtype=encoder.dtype).tobytes()
         total = np.zeros(encoder.vocabulary, dtype=np.int64)
         names = ["doc_id", "n_tokens", "ids", "counts"]
-        for batch in batches:
+        for batch in pieces(batches):
             for first in range(0, batch.num_rows, 250):
                 part = batch.slice(first, 250)
                 ids = [x + end for x in encoder(part.column(1).to_pylist())]
@@ -217,7 +257,6 @@ def token_ids(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         counts = np.stack([at, total[at]], axis=1).astype("<i8").tobytes()
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts], pa.binary())], names=names)
 
-    arrow_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, n_tokens long, ids binary, counts binary")
 
 
@@ -226,7 +265,7 @@ def count_ids(tokens: DataFrame, vocabulary: int) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(vocabulary, dtype=np.int64)
-        for batch in batches:
+        for batch in pieces(batches):
             for blob in batch.column(0).to_pylist():
                 pairs = np.frombuffer(blob, dtype="<i8").reshape(-1, 2)
                 total[pairs[:, 0]] += pairs[:, 1]
@@ -275,8 +314,10 @@ def write_containers(docs: DataFrame, tokenizer_path: str, container_ids: int =
     spark = docs.sparkSession
     probe = encoder_of(tokenizer_path)
     vocabulary, dtype = probe.vocabulary, probe.dtype.str
-    tokens = materialise(token_ids(docs, tokenizer_path), "token-ids", "zstd")
-    freq = rans.quantise(count_ids(tokens, vocabulary))
+    mark = begin()
+    tokens = materialise(token_ids(docs, tokenizer_path).withColumn("row", F.monotonically_increasing_id()), "token-ids", "zstd")
+    counts = count_ids(tokens, vocabulary)
+    freq = rans.quantise(counts)
     shared = spark.sparkContext.broadcast(freq)  # one number an id of the vocabulary, whatever the corpus
 
     def write(batches):
@@ -288,7 +329,7 @@ def write_containers(docs: DataFrame, tokenizer_path: str, container_ids: int =
         def row():
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([since], pa.int64()), pa.array([pack(held, starts, model, dtype)], pa.binary())], names=["part", "n_ids", "payload"])
 
-        for batch in batches:
+        for batch in pieces(batches):
             for doc_id, n, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 held.append((doc_id, ids))
                 starts.append(at)
@@ -299,24 +340,27 @@ def write_containers(docs: DataFrame, tokenizer_path: str, container_ids: int =
         if held:
             yield row()
 
-    ordered = tokens.where(F.col("ids").isNotNull()).drop("counts").repartitionByRange(parallelism(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    return materialise(ordered.mapInArrow(write, "part int, n_ids long, payload binary"), "token-containers"), freq
+    order = [F.col("doc_id").asc_nulls_first(), F.col("n_tokens"), F.col("row")]
+    n_parts = max(parallelism(spark), int(counts.sum()) // PART_IDS + 1)
+    ordered = tokens.where(F.col("ids").isNotNull()).drop("counts").repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
+    containers = materialise(ordered.select("doc_id", "n_tokens", "ids").mapInArrow(write, "part int, n_ids long, payload binary"), "token-containers")
+    settle(spark, mark, containers)
+    return containers, freq
 
 
 def read_index(containers: DataFrame, freq: "np.ndarray") -> DataFrame:
     """Decode containers: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32`` of each document."""
     spark = containers.sparkSession
-    # one row a partition of the writing job
-    totals = sorted(containers.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
-    base, at = {}, 0
-    for part, n in totals:
-        base[part] = at
-        at += n
+    # two numbers a part of the writing job
+    totals = containers.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").toArrow()
+    part, n = (np.asarray(totals.column(c)).astype(np.int64) for c in ("part", "n"))
+    base = np.zeros(int(part[-1]) + 1 if len(part) else 0, dtype=np.int64)
+    base[part] = np.cumsum(n) - n
     bases, shared = spark.sparkContext.broadcast(base), spark.sparkContext.broadcast(freq)
 
     def read(batches):
         model = rans.Model.of(shared.value)
-        for batch in batches:
+        for batch in pieces(batches, 16):
             for part, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
                 keys, starts, lengths, ids = unpack(payload.as_py(), model)
                 own = ids.astype("<u4", copy=False)
@@ -324,7 +368,6 @@ def read_index(containers: DataFrame, freq: "np.ndarray") -> DataFrame:
                 crcs = [zlib.crc32(own[e - n : e].tobytes()) for e, n in zip(ends, lengths)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts + bases.value[part], pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    arrow_batches(spark, 16)
     return containers.select("part", "payload").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillstone.llm import ann, decontaminate, html_text, langid, line_dedup, mixing, near_dedup, quality, rans, secrets, textvec, token_output
 from quillstone.llm.queries import tokenizer_path
@@ -85,6 +87,49 @@ def test_entropy_allow_list():
     assert secrets.entropy_spans("key Zx81kQp0Lm39Tr77Wq2Bn5Vc8 end") == [(4, 29)]
 
 
+def test_entropy_long_addresses():
+    key = "Zx81kQp0Lm39Tr77Wq2Bn5Vc8"
+    path = "a-b/" * 1250
+    assert secrets.entropy_spans(f"https://example.com/{path}?k={key}") == []
+    assert secrets.entropy_spans(f"me@{'x.' * 2600}{key}") == []
+    text = f"https://example.com/{path} {key} https://example.com/"
+    assert secrets.entropy_spans(text) == [(text.index(key), text.index(key) + len(key))]
+
+
+def _spans_by_force(text):
+    """Windows counted anew, classes merged character by character, allowed strings left out."""
+    addresses = [m.span() for m in re.finditer(r"(?:https?://|www\.|@)[^\s\"'<>]*", text)]
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        run, base = m.group(), m.start()
+        if any(a.match(run) for a in secrets.ALLOWED) or any(x < base < y for x, y in addresses):
+            continue
+        hot = [False] * len(run)
+        for kind in secrets.CLASSES:
+            for i in range(len(run) - kind.window + 1):
+                part = run[i : i + kind.window]
+                if set(part) <= kind.chars and -sum(c / len(part) * math.log2(c / len(part)) for c in Counter(part).values()) >= kind.bits - 1e-9:
+                    hot[i : i + kind.window] = [True] * kind.window
+        spans = [(k.start(), k.end()) for k in re.finditer("1+", "".join("01"[x] for x in hot))]
+        out += [(base + a, base + b) for a, b in spans if not any(p.match(run[a:b]) for p in secrets.ALLOWED)]
+    return out
+
+
+def test_entropy_spans_by_force():
+    rng = random.Random(17)
+    alphabets = ["0123456789abcdef", "0123456789ABCDEFabcdef-", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789", "abcXYZ0123456789+/_=-", "ab1", "0123456789"]
+    for _ in range(150):
+        text = ""
+        for _ in range(8):
+            text += rng.choice([" ", "\n", "@", " https://x.example/", '"', "www."]) + "".join(rng.choice(rng.choice(alphabets)) for _ in range(rng.randint(1, 60)))
+        assert secrets.entropy_spans(text) == _spans_by_force(text)
+
+
+def test_secrets_clashing_columns(spark):
+    docs = spark.createDataFrame([("x", 5, "token = abcdefgh1", 3)], "spans string, doc_id long, text string, n_hex int")
+    assert [(r.doc_id, r.n_assign, r.n_hex) for r in secrets.scan(docs).collect()] == [(5, 1, 0)]
+
+
 def test_secrets_awkward(spark):
     rows = secrets.scan(frame(spark, AWKWARD)).collect()
     assert len(rows) == len(AWKWARD)
@@ -173,6 +218,59 @@ def test_encoder_equals_library():
         assert np.frombuffer(ids, e.dtype).tolist() == (t.encode(text, add_special_tokens=False).ids if text else []), text
 
 
+def test_encoder_takes_any_number_of_words(monkeypatch):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    e = token_output.Encoder(tokenizer_path())
+    text = " ".join(f"{i:x}." for i in range(3_000_000))
+    monkeypatch.setattr(token_output, "SLICE", 1 << 30)
+    ids = np.frombuffer(e([text])[0], e.dtype)
+    assert e.known.held > 2_900_000 and t.decode(ids.tolist(), skip_special_tokens=False) == text
+    monkeypatch.setattr(token_output, "SLICE", 50_000)
+    part = text[:200_000]
+    assert np.frombuffer(e([part + " " * 0, "x"])[0], e.dtype).tolist() == t.encode(part, add_special_tokens=False).ids
+    monkeypatch.setattr(token_output, "SLICE", 10)
+    e = token_output.Encoder(tokenizer_path())
+    long = prose(90_000, 3)
+    assert len(long) > 400_000 and np.frombuffer(e([long])[0], e.dtype).tolist() == t.encode(long, add_special_tokens=False).ids
+
+
+def test_words_full_table():
+    words = token_output.Words(np.dtype("<u2"), 8)
+    keys = np.arange(1, 200, dtype=np.uint64) * np.uint64(16)
+    for a, b in ((0, 17), (17, 18), (18, 199)):
+        words.add(keys[a:b], keys[a:b] + np.uint64(1), np.arange(a, b).astype("<u2"), np.ones(b - a, dtype=np.int64))
+        at = words.find(keys[:b])
+        assert (words.ids[words.begin[at]] == np.arange(b)).all() and (words.checks[at] == keys[:b] + np.uint64(1)).all()
+        assert (words.find(keys[b:] + np.uint64(3)) == -1).all()
+
+
+def test_encoder_tells_words_with_one_hash_apart(monkeypatch):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    real = textvec.stretches
+    monkeypatch.setattr(textvec, "stretches", lambda *a, second=False: real(*a, second=second) if second else real(*a) % np.uint64(7))
+    e = token_output.Encoder(tokenizer_path())
+    for k in range(4):
+        text = prose(40, k)
+        assert np.frombuffer(e([text])[0], e.dtype).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_token_output_hot_ids(spark):
+    rows = [(None if i % 3 else 5, prose(i % 7, i % 5), "en", "s", 1) for i in range(500)] + [(9, "same text", "en", "s", 1)] * 300
+    docs = frame(spark, rows).withColumns({"row": F.lit("x"), "ids": F.lit(1), "counts": F.lit(2)})
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in token_output.token_output(docs, tokenizer_path(), container_ids=300).collect())
+    assert len(got) == len(rows) and Counter(g[1] for g in got) == Counter(r[0] for r in rows)
+    at = 0
+    for start, _, n in got:
+        assert start == at
+        at += n
+    order = [(g[1] is not None, g[1] or 0, g[2]) for g in got]
+    assert order == sorted(order)
+
+
 def test_token_output(spark):
     from tokenizers import Tokenizer
 
@@ -656,6 +754,47 @@ def test_decontaminate_against_brute_force(spark):
     assert decontaminate.matches(frame(spark, rows), frame(spark, [], "item_id long, text string")).count() == 0
 
 
+def test_decontaminate_long_runs():
+    rng = random.Random(21)
+    item = prose(20, 4) + " " + "-" * 300 + " " + prose(6, 5)
+    dashes = "-" * 400
+    index = decontaminate.Index([(1, item), (2, dashes), (3, prose(25, 6))])
+    near = item.replace(prose(6, 5), prose(6, 5)[:-4])
+    texts = ["-" * 1_000_000, "-" * 500_000 + " " + near + " " + "-" * 100_000, "ab" * 200_000, "x" * 1_500_000 + prose(25, 6) + "y" * 700_000]
+    began = time.perf_counter()
+    got = index.search(texts)
+    assert time.perf_counter() - began < 60
+    assert [[(i, n) for i, n, _ in g] for g in got] == [[(2, 0)], [(1, 4), (2, 0)], [], [(3, 0)]]
+    assert got[3][0][2] == 1_500_000 + len(prose(25, 6)) and rng is not None
+
+
+def test_decontaminate_pieces_change_nothing(monkeypatch):
+    rng = random.Random(22)
+    items = [(k, prose(rng.randint(8, 25), 300 + k)) for k in range(12)] + [(20, "-=" * 60), (21, "=" * 90 + prose(4, 1))]
+    texts = []
+    for i in range(30):
+        text = prose(200, i) + rng.choice([" ", "-=" * 100, "=" * 200])
+        for _ in range(3):
+            item = list(rng.choice(items)[1])
+            for _ in range(rng.randint(0, len(item) // 9)):
+                item[rng.randrange(len(item))] = rng.choice("xyz")
+            cut = rng.randrange(len(text))
+            text = text[:cut] + "".join(item) + text[cut:]
+        texts.append(text)
+    whole = decontaminate.Index(items).search(texts)
+    assert sum(map(len, whole)) > 40
+    for name, value in (("PIECE", 300), ("PORTION", 50), ("WIDEST", 1)):
+        monkeypatch.setattr(decontaminate, name, value)
+        assert decontaminate.Index(items).search(texts) == whole
+
+
+def test_decontaminate_clashing_columns(spark):
+    items = frame(spark, [(1, prose(12, 3), "n")], "item_id long, text string, end string")
+    docs = frame(spark, [(5, "so " + prose(12, 3), 1, "k")], "doc_id long, text string, edits int, item_id string")
+    assert [(r.doc_id, r.item_id, r.edits) for r in decontaminate.matches(docs, items).collect()] == [(5, 1, 0)]
+    assert decontaminate.decontaminate(docs, items).columns == docs.columns
+
+
 # --- shared ---------------------------------------------------------------------
 
 
