@@ -16,19 +16,18 @@ At scale: equal texts are one node.  A bucket never yields all its pairs:
 1. every node is paired with its buckets' hubs; a bucket's hub is the node that
    meets most others over all its buckets, which is the text that the copies in
    a group come from, or one near it;
-2. where a bucket still spans several components, each node is paired with the
-   ``NEAREST`` nodes of other components whose signatures agree most;
-3. where it still does, each node of the smaller component is paired, for each
-   larger one, with the ``TRIES`` nodes that agree most of those not yet tried;
-   this is repeated, with four times as many each time, until no bucket has an
-   untried pair between components.
-
-For the second and third step the texts in question get longer signatures, so
-that hardly a pair is verified in vain.  Large buckets are compared in blocks of
-bounded size.
-Pairs whose signatures agree on too few samples (``AGREE``, three and a half
-standard deviations below the threshold) are not verified.  Texts of candidates are
-fetched by joins; links and components stay in tables.
+2. where a bucket still spans several components, all its pairs between
+   components whose signatures agree on ``AGREE`` samples are verified, without
+   a cap, in blocks of ``BLOCK_NODES`` nodes: those outside the bucket's largest
+   component with one another and with it.  A pair stands in the first band
+   that it shares alone, and what a block has linked is not compared again.
+   Only links leave a block.
+
+Pairs whose signatures agree on fewer than ``AGREE`` samples (five standard
+deviations below the threshold) are not verified.  The bands miss a pair at
+exactly the threshold with a chance of 2.2 in 10,000, ``AGREE`` with one of
+less than 1 in 100,000.  Texts of candidates are fetched by joins; links and
+components stay in tables.
 
 Defined results: a null text counts as empty; equal texts are one class
 whatever their length; a text without words is near no other; fewer than five
@@ -44,26 +43,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import broadcast_if_small, materialise, pieces
+from .common import begin, broadcast_if_small, materialise, pieces, settle
 
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
 SIMILARITY = 0.8
-AGREE = 40  # of 64 samples; 0.8 * 64 less three and a half standard deviations: missed as seldom as by the bands
+AGREE = 35  # of 64 samples; 0.8 * 64 less five standard deviations
 #: Count-min sketch of document frequencies: rows and counters a row.
 SKETCH = (2, 1 << 16)
 DAMPING = 0.25
-BLOCK_NODES = 2048
-#: Partners a node gets in the second step, and per larger component in the third's first round.
-NEAREST, TRIES = 2, 8
-#: Further samples for the texts of buckets that span components, and how many of all samples must agree there.
-MORE_SAMPLES = 256
-AGREE_ALL = 231  # of 320, again three and a half standard deviations below 0.8
+BLOCK_NODES = 512
 #: Texts whose shingles a verifying task keeps.
 HELD_TEXTS = 4000
 
 _rng = np.random.default_rng(99)
-_SEEDS = _rng.integers(1, 1 << 63, SAMPLES + MORE_SAMPLES, dtype=np.int64).astype(np.uint64)
+_SEEDS = _rng.integers(1, 1 << 63, SAMPLES, dtype=np.int64).astype(np.uint64)
 
 
 def _gamma2_table() -> np.ndarray:
@@ -137,17 +131,17 @@ def sketch_of(docs: DataFrame) -> Weights:
     return Weights(table.reshape(SKETCH), docs.count())
 
 
-def sample(hashes: np.ndarray, weights: np.ndarray, begins: np.ndarray, first: int = 0, many: int = SAMPLES) -> np.ndarray:
-    """Signatures ``[texts, many]`` of the texts that have shingles, uint32; from sample ``first`` on."""
+def sample(hashes: np.ndarray, weights: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Signatures ``[texts, SAMPLES]`` of the texts that have shingles, uint32."""
     held = np.flatnonzero(np.diff(begins))
-    out = np.zeros((len(begins) - 1, many), dtype=np.uint32)
+    out = np.zeros((len(begins) - 1, SAMPLES), dtype=np.uint32)
     if not len(held):
         return out
     starts = begins[:-1][held]
     ln_w = np.log(weights).astype(np.float32)
     low = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    for k in range(many):
-        h = hashes ^ _SEEDS[first + k]
+    for k in range(SAMPLES):
+        h = hashes ^ _SEEDS[k]
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
@@ -216,19 +210,20 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return materialise(found.groupBy("node").agg(F.first("text").alias("text")), "near-texts")
 
 
-def more_samples(texts: DataFrame, weights: Weights) -> DataFrame:
-    """``node``, ``more``: further samples of each text, 16 bits each."""
-    shared = texts.sparkSession.sparkContext.broadcast(weights)
+def shingle_lists(texts: DataFrame) -> DataFrame:
+    """``node``, ``shingles``: the hashes of each text's shingles, ascending, repeated ones as often as they occur."""
 
     def run(batches):
         for batch in pieces(batches):
             given, found = [t or "" for t in batch.column(1).to_pylist()], []
             for a, b in textvec.slices(given):
                 hashes, frequency, begins = counted(given[a:b])
-                found += [x.tobytes() for x in sample(hashes, shared.value.of(hashes, frequency), begins, SAMPLES, MORE_SAMPLES).astype("<u2")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "more"])
+                at = np.concatenate([[0], np.cumsum(frequency)])[begins]
+                every = np.repeat(hashes, frequency)
+                found += [every[x:y].tobytes() for x, y in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "shingles"])
 
-    return materialise(texts.mapInArrow(run, "node binary, more binary"), "near-more-samples")
+    return materialise(texts.mapInArrow(run, "node binary, shingles binary"), "near-shingles")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float) -> DataFrame:
@@ -293,21 +288,16 @@ def first_pairs(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def agreeing(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose signatures agree on enough samples, with the ``bucket`` of the first band that they share."""
+    """The pairs whose signatures agree on enough samples."""
     sigs = texts.select("node", "sig")
     both = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
 
     def check(batches):
-        for batch in pieces(batches):
-            if batch.num_rows:
-                x, y = (_signature_matrix(batch.column(i)) for i in (2, 3))
-                band = _first_band(x == y)
-                piece = [row[k * ROWS : (k + 1) * ROWS].tobytes() for row, k in zip(x, band)]
-                columns = [batch.column(0), batch.column(1), pa.array(band, pa.int32()), pa.array(piece, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "band", "piece"]).filter(pa.array(_agree(x, y) >= AGREE))
+        for batch in pieces(batches, 4096):
+            x, y = (_signature_matrix(batch.column(i)) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(_agree(x, y) >= AGREE))
 
-    found = both.select("a", "b", "sig_a", "sig_b").mapInArrow(check, "a binary, b binary, band int, piece binary")
-    return found.select("a", "b", F.xxhash64("band", "piece").alias("bucket"))
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(check, "a binary, b binary")
 
 
 def _first_band(same: np.ndarray) -> np.ndarray:
@@ -326,116 +316,83 @@ def mixed_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     return materialise(labelled.join(broadcast_if_small(mixed), "bucket", "left_semi"), "near-mixed-members")
 
 
-_BLOCKS = "cast(ceil(n / {}) as int)"
-
-
-def _block(node: str) -> Column:
-    return F.pmod(F.xxhash64(node), F.expr(_BLOCKS.format(BLOCK_NODES))).cast("int")
-
-
-def placed(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """``pairs`` (``a``, ``b``, ``bucket``) with the blocks ``x``, ``y`` in which they are compared."""
-    sizes = members.select("bucket", "n").distinct()
-    return pairs.join(sizes, "bucket").select("a", "b", "bucket", F.least(_block("a"), _block("b")).alias("x"), F.greatest(_block("a"), _block("b")).alias("y"))
+def _blocks(members: DataFrame) -> DataFrame:
+    """``members`` of buckets that span components, once for each pair of blocks (``x`` <= ``y``) in which they are compared.
 
-
-def more_pairs(held: DataFrame, signatures_: DataFrame, failed: DataFrame, each_component: bool, most: int) -> DataFrame:
-    """For buckets that span components: each node with the ``most`` nodes of others that agree most, or with as many of each larger one; no ``failed`` pair."""
-    held = held.join(signatures_, "node")
-    blocks, own = F.expr(_BLOCKS.format(BLOCK_NODES)), _block("node")
-    # a bucket of one block stands once; else each block meets every other
-    held = held.select("bucket", "band", "node", "label", "sig", "more", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    held = held.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other")
-
-    def compare(group: pa.Table, known: pa.Table) -> pa.Table:
-        nodes = group.column("node").to_pylist()
-        if not nodes:
-            return empty
-        place = {k: i for i, k in enumerate(nodes)}
-        done: dict[int, list[int]] = {}
-        for a, b in zip(known.column("a").to_pylist(), known.column("b").to_pylist()):
-            i, j = place.get(a), place.get(b)
-            if i is not None and j is not None:
-                done.setdefault(i, []).append(j)
-                done.setdefault(j, []).append(i)
-        _, comp = np.unique(np.array(group.column("label").to_pylist(), dtype="V16"), return_inverse=True)
-        size = np.bincount(comp)
-        block, sig = np.asarray(group.column("own")), _signature_matrix(group.column("sig"))
-        more = np.frombuffer(b"".join(group.column("more").to_pylist()), dtype="<u2").reshape(-1, MORE_SAMPLES)
-        split = (block != block[0]).any()
-        band = group.column("band")[0].as_py()
-        left, right = [], []
-        for i in range(len(nodes)):
+    The nodes outside a bucket's largest component make the first blocks, which
+    meet all blocks; those inside it make the rest, which meet the first only.
+    """
+    per_label = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    per_bucket = per_label.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"))
+    count = lambda n: F.ceil(n / BLOCK_NODES).cast("int")
+    per_bucket = materialise(per_bucket.select("bucket", F.col("most.label").alias("largest"), count(F.col("n") - F.col("most.n")).alias("others"), count(F.col("most.n")).alias("inside")), "near-blocks")
+    placed = members.drop("n").join(broadcast_if_small(per_bucket), "bucket")
+    inside, spread = F.col("label") == F.col("largest"), F.xxhash64("node")
+    own = F.when(inside, F.col("others") + F.pmod(spread, F.col("inside"))).otherwise(F.pmod(spread, F.greatest("others", F.lit(1)))).cast("int")
+    last = F.when(inside, F.col("others")).otherwise(F.col("others") + F.col("inside")) - 1
+    met = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return met.select("bucket", "band", "node", "label", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+
+
+def linked(held: DataFrame, signatures_: DataFrame, shingles: DataFrame, weights: Weights, least: float) -> DataFrame:
+    """Links ``a``, ``b`` between the components of each bucket; pairs that earlier links of a block join are left out."""
+    shared = held.sparkSession.sparkContext.broadcast(weights)
+    rows = _blocks(held).join(signatures_, "node").join(shingles, "node")
+    empty = pa.schema([("a", pa.binary()), ("b", pa.binary())]).empty_table()
+
+    def compare(group: pa.Table) -> pa.Table:
+        n = group.num_rows
+        own, x, y = np.asarray(group.column("own")), group.column("x")[0].as_py(), group.column("y")[0].as_py()
+        comp = np.unique(np.array(group.column("label").to_pylist(), dtype="V16"), return_inverse=True)[1]
+        sig, band = _signature_matrix(group.column("sig")), group.column("band")[0].as_py()
+        overlap = Overlaps(group.column("shingles").to_pylist(), shared.value)
+        links: list[tuple[int, int]] = []
+        for i in np.flatnonzero(own == x):
             ok = comp != comp[i]
-            if split:
-                ok &= block != block[i]
-            if each_component:
-                ok &= (size[comp] > size[comp[i]]) | ((size[comp] == size[comp[i]]) & (comp > comp[i]))
-            ok[done.get(i, [])] = False
+            ok &= (np.arange(n) > i) if x == y else (own == y)
             at = np.flatnonzero(ok)
             same = sig[at] == sig[i]
-            agree = same.sum(axis=1)
-            # a pair stands in the first band that it shares, and there alone
-            good = (agree >= AGREE) & (_first_band(same) == band)
-            at, agree = at[good], agree[good]
-            agree = agree + (more[at] == more[i]).sum(axis=1)
-            at, agree = at[agree >= AGREE_ALL], agree[agree >= AGREE_ALL]
-            if not len(at):
-                continue
-            order = np.lexsort((at, -agree))
-            if each_component:
-                order = order[np.argsort(comp[at[order]], kind="stable")]
-                new = np.concatenate([[True], comp[at[order]][1:] != comp[at[order]][:-1]])
-                nth = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-                order = order[nth < most]
-            else:
-                order = order[:most]
-            left.append(np.full(len(order), i))
-            right.append(at[order])
-        if not left:
+            at = at[(same.sum(axis=1) >= AGREE) & (_first_band(same) == band)]
+            if len(at):
+                for j in at[overlap.similar(i, at) >= least]:
+                    if comp[j] != comp[i]:
+                        comp[comp == comp[j]] = comp[i]
+                        links.append((i, j))
+        if not links:
             return empty
-        i, j = np.concatenate(left), np.concatenate(right)
-        rank = np.empty(len(nodes), dtype=np.int64)
-        rank[sorted(range(len(nodes)), key=nodes.__getitem__)] = np.arange(len(nodes))
-        pairs = np.unique(np.where(rank[i] < rank[j], i * len(nodes) + j, j * len(nodes) + i))
-        every = pa.array(nodes, pa.binary())
-        out = {"a": every.take(pa.array(pairs // len(nodes))), "b": every.take(pa.array(pairs % len(nodes)))}
-        return pa.table(out | {k: pa.array(np.full(len(pairs), group.column(k)[0].as_py()), t) for k, t in (("bucket", pa.int64()), ("x", pa.int32()), ("y", pa.int32()))})
-
-    empty = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("bucket", pa.int64()), ("x", pa.int32()), ("y", pa.int32())]).empty_table()
-    key = ("bucket", "x", "y")
-    return held.groupBy(*key).cogroup(failed.groupBy(*key)).applyInArrow(compare, "a binary, b binary, bucket long, x int, y int")
-
-
-def classes(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Rows ``doc_id``, ``node``, ``sig`` of ``docs``, and per node of a component its ``label``."""
-    weights = sketch_of(docs)
-    rows = materialise(signatures(docs, weights), "near-signatures")
-    texts = materialise(rows.groupBy("node").agg(F.first("sig").alias("sig")), "near-nodes")
-    pairs, members = first_pairs(texts)
-    tried = materialise(agreeing(pairs, texts), "near-pairs")
-    ends = tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node")))
-    edges = materialise(verified(tried, texts_of(docs, ends), weights, least), "near-edges")
-    labels = components(edges)
-    held = mixed_members(members, labels)
-    if held.isEmpty():
-        return rows, labels
-    full = texts_of(docs, held)
-    both = texts.select("node", "sig").join(more_samples(full, weights), "node")
-    failed = materialise(placed(tried.join(edges, ["a", "b"], "left_anti"), members), "near-failed")
-    each_component, most = False, NEAREST
-    while True:
-        more = materialise(more_pairs(held, both, failed, each_component, most), "near-more")
-        if each_component and more.isEmpty():
-            break
-        added = materialise(verified(more, full, weights, least), "near-added")
-        failed = failed.unionByName(materialise(more.join(added, ["a", "b"], "left_anti"), "near-failed"))
-        labels = merged(labels, added)
-        each_component, most = True, 4 * most if each_component else TRIES
-        held = mixed_members(members, labels)
-        if held.isEmpty():
-            break
-    return rows, labels
+        nodes = group.column("node").to_pylist()
+        pairs = [sorted((nodes[i], nodes[j])) for i, j in links]
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
+
+    return rows.groupBy("bucket", "x", "y").applyInArrow(compare, "a binary, b binary")
+
+
+class Overlaps:
+    """Exact weighted Jaccard similarities of one of some texts with many others at once."""
+
+    def __init__(self, shingles: list[bytes], weights: Weights) -> None:
+        flat = np.frombuffer(b"".join(shingles), dtype=np.uint64)
+        text = np.repeat(np.arange(len(shingles)), [len(s) // 8 for s in shingles])
+        # one row a text and shingle; a text's shingles ascend
+        first = np.flatnonzero(np.append(True, (flat[1:] != flat[:-1]) | (text[1:] != text[:-1]))) if len(flat) else np.zeros(0, dtype=np.int64)
+        self.times = np.diff(np.append(first, len(flat)))
+        known, self.place = np.unique(flat[first], return_inverse=True)
+        self.weight = weights.of(known, np.ones(len(known)))
+        self.begins = np.searchsorted(text[first], np.arange(len(shingles) + 1))
+        self.total = np.bincount(text[first], weights=self.times * self.weight[self.place], minlength=len(shingles))
+        self.held = np.zeros(len(known), dtype=np.int64)
+
+    def similar(self, i: int, others: np.ndarray) -> np.ndarray:
+        own = slice(self.begins[i], self.begins[i + 1])
+        self.held[self.place[own]] = self.times[own]
+        many = self.begins[others + 1] - self.begins[others]
+        cuts = np.concatenate([[0], np.cumsum(many)])
+        rows = np.repeat(self.begins[others] - cuts[:-1], many) + np.arange(cuts[-1])
+        place = self.place[rows]
+        sums = np.concatenate([[0.0], np.cumsum(np.minimum(self.held[place], self.times[rows]) * self.weight[place])])
+        self.held[self.place[own]] = 0
+        shared = sums[cuts[1:]] - sums[cuts[:-1]]
+        return shared / np.maximum(self.total[i] + self.total[others] - shared, 1e-300)
 
 
 def merged(labels: DataFrame, added: DataFrame) -> DataFrame:
@@ -452,26 +409,45 @@ def merged(labels: DataFrame, added: DataFrame) -> DataFrame:
     return materialise(known.join(broadcast_if_small(final), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "cc-merged")
 
 
+def classes(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Rows ``doc_id``, ``node``, ``sig`` of ``docs``, and per node of a component its ``label``."""
+    weights = sketch_of(docs)
+    rows = materialise(signatures(docs, weights), "near-signatures")
+    texts = materialise(rows.groupBy("node").agg(F.first("sig").alias("sig")), "near-nodes")
+    pairs, members = first_pairs(texts)
+    tried = materialise(agreeing(pairs, texts), "near-pairs")
+    ends = tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node")))
+    labels = components(materialise(verified(tried, texts_of(docs, ends), weights, least), "near-edges"))
+    held = mixed_members(members, labels)
+    if not held.isEmpty():
+        links = linked(held, texts.select("node", "sig"), shingle_lists(texts_of(docs, held)), weights, least)
+        labels = merged(labels, materialise(links, "near-links"))
+    return rows, labels
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``doc_id``, ``class_id``, ``class_size`` (rows) of each row."""
-    rows, _, by_class = _classed(docs, least)
+    rows, by_class = _classed(docs, least)
     out = rows.alias("r").join(by_class.alias("c"), "node")
     return out.select("r.doc_id", "c.class_id", "c.class_size")
 
 
-def _classed(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _classed(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Rows ``doc_id``, ``node``, ``sig``; per node ``class_id``, ``kept_node``, ``class_size``."""
+    mark = begin()
     rows, labels = classes(docs, least)
     per_node = rows.groupBy("node").agg(F.min(F.struct("doc_id")).alias("low"), F.count(F.lit(1)).alias("n"))
     labelled = materialise(per_node.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.col("low.doc_id").alias("low"), "n"), "near-per-node")
     per_class = labelled.groupBy("label").agg(F.min(F.struct("low", "node")).alias("best"), F.sum("n").alias("class_size"))
     per_class = materialise(per_class.select("label", F.col("best.low").alias("class_id"), F.col("best.node").alias("kept_node"), "class_size"), "near-per-class")
     by_node = materialise(labelled.join(per_class, "label").select("node", "class_id", "kept_node", "class_size"), "near-by-node")
-    return rows, per_class, by_node
+    settle(docs.sparkSession, mark, rows, by_node)
+    return rows, by_node
 
 
 def deduplicate(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """One row of each class: the row with the smallest ``doc_id`` (one of them if it is repeated)."""
-    rows, _, by_node = _classed(docs, least)
+    """One row of each class: the row with the smallest ``doc_id`` (of several, the one whose content hashes lowest)."""
+    rows, by_node = _classed(docs, least)
     # most texts stand alone and need no rule
     rules = by_node.where(F.col("class_size") > 1).select(F.col("node").alias("r_node"), (F.col("node") == F.col("kept_node")).alias("r_kept"), F.col("class_id").alias("r_id"))
     rules = broadcast_if_small(materialise(rules, "near-rules"))
@@ -479,5 +455,5 @@ def deduplicate(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), node_of(F.col("text")).alias("node"), F.col("doc_id").cast("long").alias("id"))
     out = keyed.join(rules, F.col("node") == F.col("r_node"), "left").where(F.col("r_kept").isNull() | (F.col("r_kept") & F.col("id").eqNullSafe(F.col("r_id"))))
     if not twice.isEmpty():
-        out = out.groupBy("node", "id").agg(F.first("doc").alias("doc"))
+        out = out.groupBy("node", "id").agg(F.min_by("doc", F.xxhash64(F.to_json("doc"))).alias("doc"))
     return out.select("doc.*")
