@@ -9,9 +9,10 @@ can hardly beat the k-th best so far.  What survives is measured exactly on
 the original vectors in double precision.
 
 At scale: lists are cut into chunks of bounded size by a hash of the id, so a
-vector that a third of all rows share is spread over many tasks; a chunk keeps
-its ``k + 1`` best before the merge.  Equal query vectors are searched once.
-What is broadcast has a fixed bound (``MAX_LISTS`` centroids).
+vector that a third of all rows share is spread over many tasks, and a list's
+queries into chunks of their own; a chunk keeps its ``k + 1`` best before the
+merge.  Equal query vectors are searched once.  Lists grow with the root of the
+number of vectors; what is broadcast has a fixed bound (``MAX_LISTS`` centroids).
 
 Fitted on a sample: at most about ``SAMPLE_ROWS`` vectors, chosen by a hash of
 their id; every vector is indexed.
@@ -19,8 +20,8 @@ their id; every vector is indexed.
 Defined results: vectors that are null, zero, hold null or non-finite
 components, have no id, or whose length is not the most frequent one (the
 smaller on a tie) take no part; ties go to the smaller ``vec_id``; rows that
-repeat a ``vec_id`` count once, with their smallest distance, and never as a
-neighbour of that id; fewer than ``k`` candidates give fewer rows; an empty
+repeat a ``vec_id`` count once, as a neighbour and as a query, with their
+smallest distance, and never as a neighbour of that id; fewer than ``k`` candidates give fewer rows; an empty
 table gives none; other columns are not read, whatever their names.
 """
 
@@ -33,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, parallelism, pieces
+from .common import begin, materialise, parallelism, pieces, settle
 
 K = 10
 QUERY_EVERY = 100
 SAMPLE_ROWS = 32768
-MAX_LISTS = 2048
+MAX_LISTS = 8192
 CHUNK_ROWS = (64, 65536)
+#: Queries that meet a chunk of a list at once, on average.
+CHUNK_QUERIES = 4096
 BLOCK_DIMS = 16
 #: Of the hypothesis test; larger keeps more candidates.
 EPSILON = 2.1
@@ -152,7 +155,7 @@ def scan_list(query: np.ndarray, q_rot: np.ndarray, ids: np.ndarray, rows: np.nd
 
 def search(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, recall: float = RECALL) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` of the ``k`` nearest found of every ``query_every``-th id."""
-    spark = vectors.sparkSession
+    spark, mark = vectors.sparkSession, begin()
     schema = "query_id long, rank int, vec_id long, score double"
     kept, dims = usable(vectors)
     n = kept.count()
@@ -182,16 +185,17 @@ def search(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, recal
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(near.reshape(-1), pa.int32())], names=["q_key", "v", "list"])
 
     indexed = materialise(kept.mapInArrow(assign, "vec_id long, v array<double>, list int"), "ann-index")
-    per_list = indexed.groupBy("list").count().collect()  # at most MAX_LISTS rows
     chunk = min(CHUNK_ROWS[1], max(CHUNK_ROWS[0], n // (8 * parallelism(spark))))
-    sizes = spark.createDataFrame([(r["list"], max(1, -(-r["count"] // chunk))) for r in per_list], "list int, chunks long")
-    sizes = F.broadcast(sizes)  # at most MAX_LISTS rows
-
     q_key = F.md5(F.col("v").cast("string").cast("binary"))
     queries = materialise(kept.where(F.pmod("vec_id", F.lit(query_every)) == 0).select(F.col("vec_id").alias("query_id"), q_key.alias("q_key"), "v").dropDuplicates(["query_id", "q_key"]), "ann-queries")
     once = queries.groupBy("q_key").agg(F.first("v").alias("v"))
-    probed = once.select("q_key", "v").mapInArrow(probe, "q_key string, v array<double>, list int").join(sizes, "list").select("q_key", "v", "list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
-    chunked = indexed.join(sizes, "list").select("vec_id", "v", "list", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).alias("chunk"))
+    asked_lists = materialise(once.select("q_key", "v").mapInArrow(probe, "q_key string, v array<double>, list int"), "ann-probed")
+    per_list, per_query = (dict(map(tuple, x.groupBy("list").count().collect())) for x in (indexed, asked_lists))  # at most MAX_LISTS rows
+    sizes = [(k, -(-many // chunk), -(-per_query.get(k, 1) // CHUNK_QUERIES)) for k, many in per_list.items()]
+    sizes = F.broadcast(spark.createDataFrame(sizes, "list int, chunks long, parts long"))  # at most MAX_LISTS rows
+    part = F.pmod(F.xxhash64("q_key"), F.col("parts")).alias("part")
+    probed = asked_lists.join(sizes, "list").select("q_key", "v", "list", part, F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+    chunked = indexed.join(sizes, "list").select("vec_id", "v", "list", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).alias("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     turn = rotation(dims)
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -210,12 +214,14 @@ def search(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, recal
                 out_d.append(d)
         return pa.table({"q_key": pa.array(out_q, pa.string()), "vec_id": pa.array(np.concatenate(out_i) if out_i else [], pa.int64()), "score": pa.array(np.concatenate(out_d) if out_d else [], pa.float64())})
 
-    found = probed.groupBy("list", "chunk").cogroup(chunked.groupBy("list", "chunk")).applyInArrow(scan, "q_key string, vec_id long, score double")
+    found = probed.groupBy("list", "chunk", "part").cogroup(chunked.groupBy("list", "chunk", "part")).applyInArrow(scan, "q_key string, vec_id long, score double")
     found = found.groupBy("q_key", "vec_id").agg(F.min("score").alias("score"))
     best = Window.partitionBy("q_key").orderBy("score", "vec_id")
     top = materialise(found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).drop("place"), "ann-top")
+    settle(spark, mark, queries, top)
     paired = queries.select("query_id", "q_key").join(top, "q_key").where(F.col("vec_id") != F.col("query_id"))
-    rank = Window.partitionBy("query_id", "q_key").orderBy("score", "vec_id")
+    paired = paired.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    rank = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return paired.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
