@@ -3,12 +3,15 @@
 Method: a text is the normalised TF-IDF vector of its hashed letter trigrams;
 per language several centroids come from spherical clustering; the language of
 the centroid with the largest cosine is predicted.  A text whose cosine lies
-below what nearly all training texts of that language reach is marked as
-rejected (too far from every language), in a column of its own.
+below what all but ``REJECT`` of the language's texts reach, of texts that took
+no part in the clustering, is rejected: too far from every language.  Its
+language stays the nearest one, as the column ``rejected`` tells; its score is
+its cosine, lowered by the share of that limit that it reaches.
 
 Inverse document frequencies count all texts that may be learned from.
-Centroids are fitted on a bounded sample: at most about ``SAMPLE_PER_LANG``
-texts a language, chosen by a hash of their id.
+Centroids are fitted on a bounded sample: about ``SAMPLE_PER_LANG`` texts a
+language, chosen by a hash of id and text, repeated rows once; the limits of
+rejection on a third of it that the centroids do not see.
 
 At scale: two passes over the documents without any shuffle of texts but the
 sample's; what is broadcast is ``DIMS`` numbers and ``CLUSTERS`` centroids a
@@ -28,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import textvec
-from .common import id_crc, materialise, pieces
+from .common import begin, id_crc, materialise, pieces, settle
 
 DIMS = 4096
 CLUSTERS = 4
-SAMPLE_PER_LANG = 600
-#: Share of the sample below whose smallest cosines a text is rejected.
-REJECT = 0.001
+SAMPLE_PER_LANG = 900
+#: Share of a language's texts that are rejected.
+REJECT = 0.01
+_HASH = 1 << 60
 UNKNOWN = "und"
 
 #: ASCII letters in lower case; all other ASCII bytes are a word's end.
@@ -121,6 +124,8 @@ class Model:
             best = np.stack([near[:, self.owner == k].max(axis=1) for k in range(len(self.langs))], axis=1)
             lang = best.argmax(axis=1)
             top = np.clip(best[np.arange(len(part)), lang], 0.0, 1.0)
+            limit = self.least[lang]
+            top = np.where(top < limit, top * top / np.maximum(limit, 1e-12), top)
             out += [(self.langs[k], float(s), bool(s < self.least[k])) if h else (UNKNOWN, 0.0, True) for k, s, h in zip(lang, top, has)]
         return out
 
@@ -131,27 +136,30 @@ def _has_letter(text: str) -> bool:
 
 def fit(docs: DataFrame) -> Model:
     """Learn from ``text`` and ``lang`` of all rows of ``docs``."""
-    spark = docs.sparkSession
+    spark, mark = docs.sparkSession, begin()
     learned = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     df, n = document_frequencies(learned)
     idf = (np.log((1.0 + n) / (1.0 + df)) + 0.1).astype(np.float32)
     per_lang = learned.groupBy("lang").count()
-    drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 30)) < F.col("count_limit")
-    limits = per_lang.select(F.col("lang").alias("l"), F.greatest(F.lit(1 << 12), F.least(F.lit(1.0), F.lit(float(SAMPLE_PER_LANG)) / F.col("count")) * (1 << 30)).cast("long").alias("count_limit"))
-    sample = materialise(learned.select("doc_id", "text", "lang").join(F.broadcast(limits), F.col("lang") == F.col("l")).where(drawn).select("lang", "text"), "lang-sample")
+    limits = per_lang.select(F.col("lang").alias("l"), (F.least(F.lit(1.0), F.lit(float(SAMPLE_PER_LANG)) / F.col("count")) * _HASH).cast("long").alias("count_limit"))
+    hashed = learned.select("text", "lang", F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(_HASH)).alias("h"))
+    drawn = hashed.join(F.broadcast(limits), F.col("lang") == F.col("l")).where(F.col("h") < F.col("count_limit"))  # one row a language
+    sample = materialise(drawn.groupBy("lang", "h").agg(F.min("text").alias("text")), "lang-sample")
     shared = spark.sparkContext.broadcast(idf)
 
     def run(group: pa.Table) -> pa.Table:
-        texts = [t for t in group.column("text").to_pylist() if _has_letter(t)][: 2 * SAMPLE_PER_LANG]
+        texts = [t for _, t in sorted(zip(group.column("h").to_pylist(), group.column("text").to_pylist())) if _has_letter(t)]
         if not texts:
             return pa.table({"lang": pa.array([], pa.string()), "least": pa.array([], pa.float64()), "centre": pa.array([], pa.binary())})
         x = np.concatenate([vectors(texts[a : a + 256], shared.value) for a in range(0, len(texts), 256)])
-        c = cluster(x, CLUSTERS)
-        least = float(np.quantile((x @ c.T).max(axis=1), REJECT))
+        apart = len(x) // 3
+        c = cluster(x[apart:], CLUSTERS)
+        least = float(np.quantile((x[:apart] @ c.T).max(axis=1), REJECT)) if apart else 0.0
         lang = group.column("lang")[0].as_py()
         return pa.table({"lang": [lang] * len(c), "least": [least] * len(c), "centre": [row.astype("<f4").tobytes() for row in c]})
 
     rows = sorted(map(tuple, sample.groupBy("lang").applyInArrow(run, "lang string, least double, centre binary").collect()))  # CLUSTERS rows a language
+    settle(spark, mark)
     langs = sorted({r[0] for r in rows})
     centres = np.stack([np.frombuffer(r[2], "<f4") for r in rows]) if rows else np.zeros((0, DIMS), dtype=np.float32)
     owner = np.array([langs.index(r[0]) for r in rows], dtype=np.int64)
