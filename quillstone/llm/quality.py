@@ -4,12 +4,16 @@ Method: each text becomes a vector of transformed statistics (shares of
 character classes and of their neighbourhoods, word and line statistics).
 Per label the mean and the shrunk covariance are estimated; a text's score is
 the logistic of the difference of the two Gaussian log densities, computed as
-Mahalanobis distances with the Cholesky factors that the model keeps.
+Mahalanobis distances with the Cholesky factors that the model keeps.  The
+difference is divided by ``TEMPERATURE``: statistics of one text depend on each
+other more than shrunk covariances say, so densities are too sure.
 
 At scale: one pass computes the vectors; the model needs only, per label,
 count, sums and sums of products, added map-side first.  All labelled rows
 that may be learned from are used.  The model (two factors) is what is
-broadcast.
+broadcast.  :func:`keep_good` computes vectors of the labelled rows alone where
+their ids are few enough to be broadcast, and else of all rows, since texts
+are never shuffled.
 
 Defined results: a null text counts as empty and is scored as such; labels
 that are null or neither 0 nor 1 are not learned from; without rows of both
@@ -30,9 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import id_crc, materialise, pieces
+from .common import BROADCAST_ROWS, begin, id_crc, materialise, pieces, settle
 
 SHRINKAGE = 0.15
+TEMPERATURE = 4.0
 #: Words' worth of the mean text that is mixed into every text's statistics: shares of a few words say little.
 MEAN_WORDS = 12.0
 #: Classes of bytes: lower-case and non-ASCII letters, capitals, digits, blanks, line ends, sentence marks, other signs.
@@ -120,7 +125,7 @@ class Model:
             d = (z - mean) @ inverse.T
             log.append(-0.5 * (d * d).sum(axis=1) - half_det)
         gap = log[1] - log[0] + np.log(self.prior / (1 - self.prior))
-        return 1.0 / (1.0 + np.exp(-np.clip(gap / 4.0, -30, 30)))
+        return 1.0 / (1.0 + np.exp(-np.clip(gap / TEMPERATURE, -30, 30)))
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -135,11 +140,16 @@ def features(docs: DataFrame) -> DataFrame:
     return materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x array<double>"), "quality-features")
 
 
-def fit(rows: DataFrame, labels: DataFrame, held_out_mod: int = 3, held_out_rest: int = 1, shrinkage: float = SHRINKAGE) -> Model:
-    """Learn from the labelled rows of ``features`` that are not held out."""
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & (id_crc(F.col("doc_id"), held_out_mod) != held_out_rest))
-    d = len(FEATURES)
-    known = materialise(rows.join(usable, "doc_id").select("quality", "x"), "quality-known")
+def usable(labels: DataFrame, held_out_mod: int = 3, held_out_rest: int = 1) -> DataFrame:
+    """``doc_id``, ``quality`` of the labels that may be learned from."""
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    return own.where(F.col("quality").isin(0, 1) & (id_crc(F.col("doc_id"), held_out_mod) != held_out_rest))
+
+
+def fit(rows: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE) -> Model:
+    """Learn from the rows of ``features`` that ``labels``, those of :func:`usable`, name."""
+    mark, d = begin(), len(FEATURES)
+    known = materialise(rows.join(labels, "doc_id").select("quality", "x"), "quality-known")
     mean = np.array([v if v is not None else 0.0 for v in known.agg(*[F.avg(F.get("x", F.lit(i))).alias(f"m{i}") for i in range(d)]).first()])
     shared = rows.sparkSession.sparkContext.broadcast(mean)
 
@@ -155,6 +165,7 @@ def fit(rows: DataFrame, labels: DataFrame, held_out_mod: int = 3, held_out_rest
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums.reshape(-1), pa.float64())], names=["place", "value"])
 
     sums = known.mapInArrow(add, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()  # 2 * (1 + d + d * d) rows
+    settle(rows.sparkSession, mark)
     got = np.zeros(2 * (1 + d + d * d))
     for place, value in sums:
         got[place] = value
@@ -194,12 +205,17 @@ def score(rows: DataFrame, model: Model, held_out_mod: int = 3, held_out_rest: i
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = features(docs)
-    return score(rows, fit(rows, labels))
+    return score(rows, fit(rows, usable(labels)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject."""
-    model = fit(features(docs), labels)
+    mark = begin()
+    known = materialise(usable(labels), "quality-labels")
+    few = known.count() <= BROADCAST_ROWS
+    named = docs.join(F.broadcast(known.select(F.col("doc_id").alias("_named")).distinct()), F.col("doc_id").cast("long") == F.col("_named"), "left_semi") if few else docs
+    model = fit(features(named), known)
+    settle(docs.sparkSession, mark)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
