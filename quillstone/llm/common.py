@@ -69,9 +69,9 @@ def settle(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
     _delete(spark, [p for p in _written[mark:] if p not in stay])
 
 
-def release(spark: SparkSession) -> None:
-    """Delete everything that the operators wrote. Call it when their results have been read or written elsewhere."""
-    _delete(spark, list(_written))
+def release(spark: SparkSession, *keep: DataFrame) -> None:
+    """Delete everything that the operators wrote, but for ``keep``. Call it when their results have been read or written elsewhere."""
+    settle(spark, 0, *keep)
 
 
 #: Rows of a few dozen bytes that may be broadcast: some 16 MB.

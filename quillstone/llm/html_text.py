@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialise, pieces
+from .common import begin, broadcast_if_small, materialise, pieces, settle
 
 #: A template token is on this share of the host's pages, and on so many pages.
 SUPPORT, LEAST_PAGES = 0.8, 5
@@ -527,7 +527,9 @@ def main_text(page: str | None, template: Template | None = None) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id``, ``url``, ``text``, ``n_chars`` of each page."""
+    mark = begin()
     learned = templates(streams(pages))
+    settle(pages.sparkSession, mark, learned)
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
     joined, pool = _with(keyed, learned)
     joined = joined.select("page_id", "url", "html", "owner", "classes", "content")

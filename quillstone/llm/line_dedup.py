@@ -24,7 +24,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import begin, materialise, settle
 
 MIN_SITES = 6
 LG_K = 12
@@ -64,10 +64,12 @@ def _low(min_sites: int, lg_k: int) -> float:
 
 def decided(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
     """Of each row: ``doc`` (the row as a struct), ``text`` without boilerplate lines, ``n_lines``, ``n_removed``."""
+    mark = begin()
     lines = lines_of(docs)
     bad = materialise(boilerplate(lines, min_sites, lg_k), "line-boilerplate")
     hit = lines.select("text_key", "pos", "line_hash").join(bad, "line_hash", "left_semi")
     gone = materialise(hit.groupBy("text_key").agg(F.collect_set("pos").alias("gone")), "line-gone")
+    settle(docs.sparkSession, mark, gone)
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.md5(F.col("text").cast("binary")).alias("text_key"))
     joined = keyed.join(gone, "text_key", "left").withColumn("lines", F.split(F.col("doc.text"), "\n", -1))
     kept = F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(F.array_join(F.filter("lines", lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n"))

@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialise
+from .common import begin, broadcast_if_small, materialise, settle
 
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
@@ -96,6 +96,7 @@ def _spread(rows: DataFrame, times: Column, most: int) -> DataFrame:
 
 def _queued(docs: DataFrame, weights: tuple[int, ...], passes: int, seed: str, crowded: int) -> tuple[DataFrame, int]:
     """``doc_id``, ``source``, ``size``, ``upto`` (words of the source up to and including the row), ``source_size``, ``target`` of each row; and all words."""
+    mark = begin()
     source = F.col("source").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), _key(source).alias("key"), size_of(F.col("text")).alias("size"))
     rows = materialise(rows.withColumn("h", shuffle_key(F.col("doc_id"), seed)), "mix-rows")
@@ -128,7 +129,9 @@ def _queued(docs: DataFrame, weights: tuple[int, ...], passes: int, seed: str, c
     else:
         queued = queued.withColumn("nth", F.col("n"))
     queued = queued.select("doc_id", "source", "size", (F.col("begin") + F.col("nth") * F.col("size")).alias("upto"), "source_size", "target")
-    return materialise(queued, "mix-queued"), budget or 0
+    queued = materialise(queued, "mix-queued")
+    settle(docs.sparkSession, mark, queued)
+    return queued, budget or 0
 
 
 def _place(k: Column) -> Column:
@@ -184,11 +187,12 @@ def _before(finish: Column, place: Column, last) -> Column:
 
 def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = MAX_PASSES, seed: str = "mix", crowded: int = CROWDED_ROWS) -> DataFrame:
     """The rows of ``docs`` that the mix takes, each as often as it takes them."""
-    agree = ["t_id", "t_source", "t_size"]
+    mark, agree = begin(), ["t_id", "t_source", "t_size"]
     decided = mix(docs, weights, passes, seed, crowded).groupBy(F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), F.col("size").alias("t_size"))
     decided = decided.agg(F.min("copies").alias("t_copies"), F.count_if(F.col("copies") > 0).alias("t_taken"), F.sum("copies").alias("t_sum"), F.count(F.lit(1)).alias("t_rows")).where("t_taken > 0")
     # of rows that agree, some may be taken once more than the others
     decided = materialise(decided.select(*agree, "t_copies", (F.col("t_sum") - F.col("t_copies") * F.col("t_rows")).alias("t_more")), "mix-decided")
+    settle(docs.sparkSession, mark, decided)
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("k_id"), F.col("source").cast("string").alias("k_source"), size_of(F.col("text")).alias("k_size"))
     same = F.col("k_id").eqNullSafe(F.col("t_id")) & F.col("k_source").eqNullSafe(F.col("t_source")) & (F.col("k_size") == F.col("t_size"))
     alike = keyed.join(broadcast_if_small(decided.where("t_more = 0")), same)
