@@ -7,12 +7,10 @@ return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstone.llm import decontaminate, mixing, near_dedup, quality, token_output
-from quillstone.llm.common import shared_dir, table
+from quillstone.llm.common import begin, materialise, settle, table
 from quillstone.llm.queries import tokenizer_path
 
 
@@ -56,8 +54,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = table(spark, sf_dir, "documents")
+    mark = begin()
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        settle(spark, mark, docs)  # what the stage, and those before it, left
     return docs
