@@ -20,9 +20,13 @@ class DecisionThresholds:
     max_ensemble_disagreement_accept: float = 0.40
     max_cross_model_accept: float = 0.35
     min_variant_agreement_accept: float = 0.5
+    crossed_out_threshold: float = 0.55
+    require_trocr_for_accepted: bool = True
+    paddle_only_max_state: str = "REVIEW_REQUIRED"
 
     def as_numbers(self) -> dict[str, float]:
-        return {f.name: float(getattr(self, f.name)) for f in fields(self)}
+        """The limits that are numbers or switches, as a record of a decision keeps them."""
+        return {f.name: float(getattr(self, f.name)) for f in fields(self) if not isinstance(getattr(self, f.name), str)}
 
 
 @dataclass(frozen=True)

@@ -23,9 +23,12 @@ LEXICON = (
     "twice", "tid", "bid", "qid", "prn", "food", "with", "take", "days", "weeks", "date", "doctor", "diagnosis", "history", "blood",
     "pressure", "mg", "ml", "jordan", "miles",
 )
+# Abbreviations, units, and the forms of dates, quantities and slips.
 ABBREVIATIONS = {"dr": "Dr", "mr": "Mr", "mrs": "Mrs", "rx": "Rx", "nkda": "NKDA", "tid": "tid", "bid": "bid", "qid": "qid", "prn": "prn"}
 UNITS = ("mg", "ml", "g", "kg", "mcg", "iu", "mm", "cm", "%")
 DATE_PATTERN = r"^(\d{1,2})\s*[/\-.]\s*(\d{1,2})\s*[/\-.]\s*(\d{2,4})$"
+SLIP_PATTERN = r"(?i)\b(\d+(?:\.\d+)?)\s*(ma|mq|ng)\b"
+PREFIX_PATTERN = r"\b(Rai|Ri|Px|Bx)\b"
 QUANTITY_PATTERN = r"(?i)^(\d+(?:\.\d+)?)\s*(mg|ml|g|kg|mcg|iu|%|mm|cm)$"
 
 
@@ -123,9 +126,9 @@ def format_repair(text: Column, ascii_only: bool = False) -> Column:
     unit = F.concat_ws(" ", F.regexp_extract(t, unit_pattern, 1), F.lower(F.regexp_extract(t, unit_pattern, 2)))
     slash_pattern = r"^(\d+(?:\.\d+)?)\s+/\s+(\d+(?:\.\d+)?)$"
     slash = F.concat_ws("/", F.regexp_extract(t, slash_pattern, 1), F.regexp_extract(t, slash_pattern, 2))
-    slip = r"(?i)\b(\d+(?:\.\d+)?)\s*(ma|mq|ng)\b"
+    slip = SLIP_PATTERN
     units = F.regexp_replace(t, slip, "$1 mg")
-    prefix = r"\b(Rai|Ri|Px|Bx)\b"
+    prefix = PREFIX_PATTERN
     both = F.regexp_replace(units, prefix, "Rx")
     edit = F.when(t.rlike(slip), "unit_repair").when(units.rlike(prefix), "rx_prefix_repair")
 

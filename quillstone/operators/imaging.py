@@ -246,6 +246,64 @@ def sanitise(gray: np.ndarray, boxes: list[tuple[int, int, int, int]], limits: B
     return out
 
 
+FILTERS = {"clahe": clahe, "sauvola": sauvola, "denoise": denoise, "sharpen": sharpen, "deskew": lambda gray: deskew(gray, skew(gray))}
+
+
+def filtered(image: Column, name: str, **options) -> Column:
+    """A column of page images through one of ``FILTERS``; null for what cannot be read."""
+
+    @F.pandas_udf("binary")
+    def run(images: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in images:
+            rows = []
+            for data in series:
+                try:
+                    rows.append(P.encode_pgm(FILTERS[name](P.decode_image(data), **options)))
+                except (ValueError, TypeError, IndexError):
+                    rows.append(None)
+            yield pd.Series(rows, dtype=object)
+
+    return run(image)
+
+
+def page_facts(image: Column) -> Column:
+    """Struct of a page's skew in degrees and, where it shows a bright page on a dark ground, that page's corners."""
+
+    @F.pandas_udf("skew double, corners array<int>")
+    def run(images: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for series in images:
+            rows = []
+            for data in series:
+                try:
+                    gray = P.decode_image(data)
+                    corners = page_corners(gray)
+                    rows.append((skew(gray), None if corners is None else [int(v) for v in corners.reshape(-1)]))
+                except (ValueError, TypeError, IndexError):
+                    rows.append((None, None))
+            yield pd.DataFrame(rows, columns=["skew", "corners"])
+
+    return run(image)
+
+
+def crop_kind(image: Column) -> Column:
+    """Struct of a line crop's kind of stroke, its score, and the size at which a reader would get it (null: not at all)."""
+
+    @F.pandas_udf("kind string, score double, width int, height int")
+    def run(images: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for series in images:
+            rows = []
+            for data in series:
+                try:
+                    gray = P.decode_image(data)
+                    ready = recognition_crop(gray)
+                    rows.append((*line_kind(gray), None if ready is None else ready.shape[1], None if ready is None else ready.shape[0]))
+                except (ValueError, TypeError, IndexError):
+                    rows.append((None,) * 4)
+            yield pd.DataFrame(rows, columns=["kind", "score", "width", "height"]).astype({"width": "Int32", "height": "Int32"})
+
+    return run(image)
+
+
 def variants_of(image: Column) -> Column:
     """Array of (name, made_from, content) for a column of page images; empty for what cannot be read."""
 

@@ -209,16 +209,16 @@ def proxy_text(alternatives: Column, text: Column) -> Column:
     return F.coalesce(F.try_element_at(alternatives, F.lit(-1)), text)
 
 
-def failure_cases(judged: DataFrame, worst: int = 20) -> DataFrame:
-    """The most confident wrong lines: a report, so limited by design."""
-    return judged.where("fce").orderBy(F.col("confidence").desc(), "reference").limit(worst)
+def failure_cases(judged: DataFrame, order: list[str], worst: int = 20) -> DataFrame:
+    """The most confident wrong lines, ties by ``order``: a report, so limited by design."""
+    return judged.where("fce").orderBy(F.col("confidence").desc(), "reference", *order).limit(worst)
 
 
 def extreme_cases(cases: DataFrame) -> DataFrame:
     return cases.where(F.exists(F.coalesce("tags", F.array()), lambda t: F.lower(t) == "extreme"))
 
 
-# What each configuration of the ablation uses.
+#: What each configuration of the ablation uses.
 EXPERIMENTS = (
     ("A", "print only", "independent", False, False),
     ("B", "handwriting lines", "derived", False, False),

@@ -8,19 +8,29 @@ from __future__ import annotations
 
 import io
 import json
+import struct
 import urllib.request
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HYPOTHESES = "array<struct<text:string,sequence_score:double,rank:int>>"
+from quillstone.functions import scores as S
+
+PNG = b"\x89PNG\r\n\x1a\n"
+
+HYPOTHESES = "array<struct<text:string,sequence_score:double,rank:int,error:string>>"
+#: Beams and returned texts of a first pass, and of the full one.
+FAST, FULL = {"beams": 4, "returned": 2}, {"beams": 8, "returned": 5}
+NO_SCORE = -100.0
 
 
 def recogniser(make: Callable[[], Callable[[bytes, dict], list[tuple[str, float]]]], options: dict | None = None):
-    """UDF from an image column to hypotheses; a failing image gives none instead of failing the task."""
-    given = options or {"beams": 4, "returned": 2}
+    """UDF from an image column to hypotheses; a failing image gives one without text that holds the error, instead of failing the task."""
+    given = options or FAST
 
     @F.pandas_udf(HYPOTHESES)
     def read(images: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -29,31 +39,52 @@ def recogniser(make: Callable[[], Callable[[bytes, dict], list[tuple[str, float]
             out = []
             for image in series:
                 try:
-                    found = model(image, given) if image else []
-                except Exception:  # noqa: BLE001  a model may fail in any way
-                    found = []
-                out.append([{"text": t, "sequence_score": float(s), "rank": i + 1} for i, (t, s) in enumerate(found)])
+                    found = [(t, float(s), None) for t, s in (model(image, given) if image else [])]
+                except Exception as e:  # noqa: BLE001  a model may fail in any way
+                    found = [("", NO_SCORE, f"{type(e).__name__}: {e}")]
+                out.append([{"text": t, "sequence_score": s, "rank": i + 1, "error": error} for i, (t, s, error) in enumerate(found)])
             yield pd.Series(out)
 
     return read
 
 
+def visual(h: Column) -> Column:
+    """The visual score of a hypothesis of :func:`recogniser`: 0 for an error."""
+    return F.when(h["error"].isNotNull(), 0.0).otherwise(S.visual_from_sequence(h["sequence_score"], h["rank"]))
+
+
+def readiness(spark, providers: dict[str, Callable[[], Callable]]) -> DataFrame:
+    """Which providers can be made here: ``provider``, ``ready``, ``problem``. Making one also warms it up."""
+    rows = []
+    for name, make in providers.items():
+        try:
+            make()
+            rows.append((name, True, None))
+        except Exception as e:  # noqa: BLE001
+            rows.append((name, False, f"{type(e).__name__}: {e}"))
+    return spark.createDataFrame(rows, "provider string, ready boolean, problem string")
+
+
 def mock_recogniser() -> Callable[[bytes, dict], list[tuple[str, float]]]:
     """Reads nothing, as a system without models does."""
     return lambda image, options: [("", -100.0)]
 
 
-def with_fallback(primary: Callable[[], Callable], fallback: Callable[[], Callable]) -> Callable[[], Callable]:
-    """The second model where the first gives nothing, image by image."""
+def with_fallback(primary: Callable[[], Callable], fallback: Callable[[], Callable], sticky: bool = False) -> Callable[[], Callable]:
+    """The second model where the first gives nothing, image by image; ``sticky``: from the first failure on, in that worker."""
 
     def make() -> Callable:
         first, second = primary(), fallback()
+        failed = False
 
         def read(image: bytes, options: dict) -> list:
-            try:
-                found = [x for x in first(image, options) if x[0]]
-            except Exception:  # noqa: BLE001
-                found = []
+            nonlocal failed
+            found = []
+            if not (failed and sticky):
+                try:
+                    found = [x for x in first(image, options) if x[0]]
+                except Exception:  # noqa: BLE001
+                    failed = True
             return found or second(image, options)
 
         return read
@@ -118,10 +149,61 @@ def decode_image(data: bytes) -> np.ndarray:
     try:
         from PIL import Image, ImageOps
     except ImportError as e:
-        raise ValueError("only PGM and PPM images can be read without Pillow") from e
+        if data[: len(PNG)] == PNG:
+            pixels = decode_png(data)
+            return pixels if pixels.ndim == 2 else pixels.mean(axis=2).astype(np.uint8)
+        raise ValueError("only PGM, PPM and PNG images can be read without Pillow") from e
     return np.asarray(ImageOps.exif_transpose(Image.open(io.BytesIO(data))).convert("L"))
 
 
+def encode_png(pixels: np.ndarray) -> bytes:
+    """A PNG of grey levels ``[height, width]`` or colours ``[height, width, 3]``."""
+    rows = pixels.astype(np.uint8).reshape(pixels.shape[0], -1)
+
+    def chunk(name: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+
+    head = struct.pack(">IIBBBBB", pixels.shape[1], pixels.shape[0], 8, 2 if pixels.ndim == 3 else 0, 0, 0, 0)
+    body = zlib.compress(np.pad(rows, ((0, 0), (1, 0))).tobytes())
+    return PNG + chunk(b"IHDR", head) + chunk(b"IDAT", body) + chunk(b"IEND", b"")
+
+
+def decode_png(data: bytes) -> np.ndarray:
+    """Pixels of a PNG with 8 bits a sample that is not interlaced."""
+    at, body, head = len(PNG), b"", b""
+    while at < len(data):
+        (size,), name = struct.unpack_from(">I", data, at), data[at + 4 : at + 8]
+        part = data[at + 8 : at + 8 + size]
+        head, body = (part if name == b"IHDR" else head), body + (part if name == b"IDAT" else b"")
+        at += 12 + size
+    w, h, bits, kind, _, _, interlaced = struct.unpack(">IIBBBBB", head)
+    if bits != 8 or kind not in (0, 2, 4, 6) or interlaced:
+        raise ValueError("only PNG images with 8 bits a sample can be read without Pillow")
+    n = {0: 1, 2: 3, 4: 2, 6: 4}[kind]
+    lines = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * n)
+    out = np.zeros((h, w * n), np.uint8)
+    above = np.zeros(w * n, np.int64)
+    for y in range(h):
+        how, row = lines[y, 0], lines[y, 1:].astype(np.int64)
+        if how == 2:
+            row = row + above
+        elif how:  # these need the pixel to the left
+            for x in range(w * n):
+                left, corner = (row[x - n], above[x - n]) if x >= n else (0, 0)
+                if how == 1:
+                    guess = left
+                elif how == 3:
+                    guess = (left + above[x]) // 2
+                else:
+                    p = left + above[x] - corner
+                    guess = min((left, above[x], corner), key=lambda v: abs(p - v))
+                row[x] = (row[x] + guess) & 255
+        above = row & 255
+        out[y] = above
+    pixels = out.reshape(h, w, n)
+    return pixels[:, :, 0] if n <= 2 else pixels[:, :, :3]
+
+
 def encode_pgm(gray: np.ndarray) -> bytes:
     return b"P5 %d %d 255\n" % (gray.shape[1], gray.shape[0]) + gray.astype(np.uint8).tobytes()
 
@@ -215,6 +297,60 @@ def flatten_result(result) -> list[tuple[list, str, float]]:
     return []
 
 
+def detector(chain: list[Callable[[], Callable[[bytes], object]]]):
+    """UDF from an image column to lines: of the first engine in the chain that finds any; else bands of ink, without text.
+
+    An engine gives its own result shape (:func:`flatten_result`); one that
+    fails is passed over.  ``source`` is the engine's place in the chain, -1 for the bands.
+    """
+
+    @F.pandas_udf("array<struct<x:double,y:double,width:double,height:double,text:string,score:double,source:int>>")
+    def find(images: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        engines = [make() for make in chain]
+        for series in images:
+            out = []
+            for image in series:
+                lines: list[dict] = []
+                for place, engine in enumerate(engines):
+                    try:
+                        found = flatten_result(engine(image))
+                    except Exception:  # noqa: BLE001
+                        continue
+                    for polygon, text, score in found:
+                        xs, ys = [float(p[0]) for p in polygon], [float(p[1]) for p in polygon]
+                        lines.append({"x": min(xs), "y": min(ys), "width": max(1.0, max(xs) - min(xs)), "height": max(1.0, max(ys) - min(ys)), "text": text, "score": score, "source": place})
+                    if lines:
+                        break
+                if not lines:
+                    try:
+                        gray = decode_image(image)
+                        lines = [{"x": 0.0, "y": float(a), "width": float(gray.shape[1]), "height": float(b - a), "text": "", "score": 0.0, "source": -1} for a, b in split_bands(gray)]
+                    except (ValueError, TypeError, IndexError):
+                        lines = []
+                out.append(lines)
+            yield pd.Series(out)
+
+    return find
+
+
+def page_reader(make: Callable[[], Callable[[bytes], str]] | None):
+    """UDF from an image column to a page reader's reply; null where there is no reader or it fails."""
+
+    @F.pandas_udf("string")
+    def ask(images: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        reader = make() if make else None
+        for series in images:
+            out = []
+            for image in series:
+                try:
+                    out.append(reader(image) if reader else None)
+                except Exception:  # noqa: BLE001
+                    out.append(None)
+            yield pd.Series(out, dtype=object)
+
+    return ask
+
+
 def settings(env: dict[str, str]) -> dict:
     """Which providers an environment asks for; all are off by default."""
     on = lambda name: env.get(f"QUILLSTONE_{name}", "").lower() in ("1", "true", "yes")

@@ -46,15 +46,27 @@ def blob_path(digest: Column) -> Column:
     return F.concat_ws("/", F.lit("blobs"), F.substring(digest, 1, 2), digest)
 
 
-def lineage(artifacts: DataFrame, depth: int = 8) -> DataFrame:
-    """Each artifact with its root and its distance to it (chains of up to ``depth`` steps)."""
-    parents = artifacts.select(F.col("id").alias("p_id"), F.col("source_artifact_id").alias("p_source"))
-    out = artifacts.select("id", F.col("id").alias("root"), F.col("source_artifact_id").alias("up"), F.lit(0).alias("steps"))
-    for _ in range(depth):
-        out = out.join(parents, F.col("up") == F.col("p_id"), "left").select(
-            "id", F.coalesce("p_id", "root").alias("root"), F.col("p_source").alias("up"), (F.col("steps") + F.when(F.col("p_id").isNotNull(), 1).otherwise(0)).alias("steps")
-        )
-    return out.drop("up")
+def lineage(artifacts: DataFrame) -> DataFrame:
+    """Each artifact with its ``root`` and its distance to it, ``steps``; an unknown source ends a chain.
+
+    Every round doubles how far each artifact looks, so a chain of any length
+    ends after a few rounds, each kept for the next; chains that run in a
+    circle raise an error.
+    """
+    known = artifacts.select(F.col("id").alias("k_id"))
+    there = artifacts.select("id", "source_artifact_id").join(known, F.col("source_artifact_id") == F.col("k_id"), "left")
+    out = there.select("id", F.coalesce("k_id", "id").alias("root"), F.when(F.col("k_id").isNotNull(), 1).otherwise(0).cast("long").alias("steps")).persist()
+    longest = out.count()
+    while True:
+        ahead = out.select(F.col("id").alias("a_id"), F.col("root").alias("a_root"), F.col("steps").alias("a_steps"))
+        moved = out.join(ahead, F.col("root") == F.col("a_id")).select("id", F.col("a_root").alias("root"), (F.col("steps") + F.col("a_steps")).alias("steps"), F.col("a_steps").alias("more")).persist()
+        # every step of a chain that ends is another artifact
+        more, most = moved.agg(F.max("more"), F.max("steps")).first()
+        if not more:
+            return out
+        if most >= longest:
+            raise ValueError("sources of artifacts run in a circle")
+        out = moved.drop("more")
 
 
 def review_tasks(words: DataFrame) -> DataFrame:

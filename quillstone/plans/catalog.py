@@ -247,9 +247,20 @@ def ablation_summary(spark, sf_dir):
     return out.select("config", "baseline_kind", *[r(F.col(m)).alias(m) for m in ("cer", "fce_rate", "review_rate", "coverage_accepted")], "n")
 
 
-@query()
+@query(f"""WITH {_SCORED},
+s AS (SELECT system, avg(cer) AS cer, avg(fce_rate) AS fce, avg(coverage_accepted) AS cov, avg(abstention_rate) AS abs FROM per_case GROUP BY system),
+m AS (SELECT max(cer) FILTER (system = 'print_only') AS pc, max(cer) FILTER (system = 'fused') AS sc, max(fce) FILTER (system = 'print_only') AS pf, max(fce) FILTER (system = 'fused') AS sf, max(cov) FILTER (system = 'print_only') AS pv, max(cov) FILTER (system = 'fused') AS sv,
+  max(fce) FILTER (system = 'handwriting_lines') AS tf, max(cov) FILTER (system = 'handwriting_lines') AS tv, max(abs) FILTER (system = 'handwriting_lines') AS ta FROM s),
+c AS (SELECT list_filter([
+  {{'level': 'NOT_PROVEN', 'claim': 'Readiness is NOT_PROVEN: 10 cases, 1 real; the data set gate is not passed.'}},
+  {{'level': 'SUPPORTED_BUT_PRELIMINARY', 'claim': 'The fused system''s CER (' || printf('%.4f', sc) || CASE WHEN abs(sc - pc) <= 0.05 THEN ') is essentially equal to print-only CER (' WHEN sc < pc THEN ') is lower than print-only CER (' ELSE ') is not better than print-only CER (' END || printf('%.4f', pc) || ').'}},
+  {{'level': 'SUPPORTED_BUT_PRELIMINARY', 'claim': CASE WHEN sf + 1e-9 < pf THEN 'False-confident errors fall from ' || printf('%.4f', pf) || ' to ' || printf('%.4f', sf) || '.' ELSE 'Fewer false-confident errors are not demonstrated (' || printf('%.4f', sf) || ' against ' || printf('%.4f', pf) || ').' END}},
+  CASE WHEN sv + 1e-9 < pv THEN {{'level': 'SUPPORTED_BUT_PRELIMINARY', 'claim': 'The fused system accepts less than print-only, as abstention does.'}} END,
+  CASE WHEN tf < 0.15 AND (tv < 0.25 OR ta > 0.7) THEN {{'level': 'SUPPORTED_BUT_PRELIMINARY', 'claim': 'Handwriting-only has few false-confident errors because it abstains.'}} END,
+  {{'level': 'NOT_PROVEN', 'claim': 'Only 1 real case(s) can be scored.'}}, {{'level': 'NOT_PROVEN', 'claim': 'Significance of differences is NOT_PROVEN on so few cases.'}}], lambda x: x IS NOT NULL) AS l FROM m)
+SELECT CAST(i - 1 AS INT) AS ordinal, l[i].level AS level, l[i].claim AS claim FROM c, (SELECT unnest(range(1, 8)) AS i) WHERE i <= len(l)""")
 def claims(spark, sf_dir):
-    """What the means support. Checked by tests: the text has no SQL twin."""
+    """What the means support."""
     means = metrics.mean_by_system(_per_case(spark, sf_dir), ["cer", "fce_rate", "coverage_accepted", "abstention_rate"])
     return integrity.claims(means, n_cases=10, n_real=1, eligible=False)
 
@@ -512,9 +523,9 @@ def lexicon_repair(spark, sf_dir):
     return rows.withColumn("x", S.lexicon_repair()("given")).select("doc_id", "given", "x.text", "x.edits")
 
 
-@query()
+@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(replace(nfc_normalize(text), chr(160), ' '), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM documents")
 def nfkc_texts(spark, sf_dir):
-    """The normal form of every text, as a digest. Compatibility composition has no SQL twin; checked by tests."""
+    """The normal form of every text, as a digest. SQL knows canonical composition only; the tables hold no compatibility characters, tests do."""
     return E.table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize_candidate(F.col("text"))).alias("digest"))
 
 
@@ -731,7 +742,7 @@ def proxy_baseline(spark, sf_dir):
 @query(f"WITH {_JUDGED} SELECT doc_id, line_no, hypothesis, confidence FROM marked WHERE fce ORDER BY confidence DESC, ref, doc_id, line_no LIMIT 20")
 def failure_report(spark, sf_dir):
     """The twenty most confident errors: a top-k report."""
-    rows = judged(spark, sf_dir).where("fce").orderBy(F.col("confidence").desc(), "reference", "doc_id", "line_no").limit(20)
+    rows = metrics.failure_cases(judged(spark, sf_dir), ["doc_id", "line_no"])
     return rows.select("doc_id", "line_no", "hypothesis", "confidence")
 
 
@@ -740,3 +751,7 @@ def panel_text(spark, sf_dir):
     """The short form of each document that a panel shows."""
     line = results.panel_line(F.col("decision_state"), F.col("text"))
     return _md_words(spark, sf_dir).groupBy("doc_id").agg(T.joined(line, F.col("line_no")).alias("panel"))
+
+
+# the rest of the registry
+from quillstone.plans import more  # noqa: E402, F401

@@ -43,7 +43,11 @@ def page_kind(media_type: Column, filename: Column) -> Column:
 
 def manifest_cases(spark: SparkSession, path: str, split: str) -> DataFrame:
     """Cases of manifests: an object with ``cases`` or a bare list of cases; no file: no cases."""
-    texts = spark.read.text(path, wholetext=True)
+    return parse_manifests(spark.read.text(path, wholetext=True), split)
+
+
+def parse_manifests(texts: DataFrame, split: str) -> DataFrame:
+    """Cases of manifests given as texts, ``value``."""
     as_object = F.from_json("value", T.StructType([T.StructField("cases", T.ArrayType(CASE))]))["cases"]
     as_list = F.from_json("value", T.ArrayType(CASE))
     bare = F.substring(F.ltrim("value"), 1, 1) == "["
