@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as T
 
 COVERAGE_POINTS = (0.25, 0.5, 0.75, 1.0)
+#: Ranges of confidence that are summed before any line is ranked.
+RANGES = 4096
 
 
 def align(references: DataFrame, words: DataFrame, case: list[str]) -> DataFrame:
@@ -109,20 +111,37 @@ def full_text_scores(judged: DataFrame, keys: list[str], order: str = "place") -
 
 
 def risk_coverage(judged: DataFrame, keys: list[str], order: list[str], points: tuple[float, ...] = COVERAGE_POINTS) -> DataFrame:
-    """Errors among the most confident share of each group's lines; ``order`` breaks ties."""
-    ranked = Window.partitionBy(*keys).orderBy(F.col("confidence").desc(), *order)
-    whole = Window.partitionBy(*keys)
-    placed = judged.select(*keys, "reference", "hypothesis", "correct", F.row_number().over(ranked).alias("rank"), F.count(F.lit(1)).over(whole).alias("of"))
-    at = placed.withColumn("coverage", F.explode(F.array(*[F.lit(float(p)) for p in points])))
-    taken = F.least(F.col("of"), F.greatest(F.lit(1), F.bround(F.col("coverage") * F.col("of")).cast("long")))
-    inside = at.withColumn("k", taken).where(F.col("rank") <= F.col("k"))
-    return inside.groupBy(*keys, "coverage").agg(
-        F.max("k").alias("n"),
-        (F.count_if(~F.col("correct")) / F.greatest(F.max("k"), F.lit(1))).alias("fce"),
-        (F.count_if("correct") / F.greatest(F.max("k"), F.lit(1))).alias("accepted_accuracy"),
+    """Errors among the most confident share of each group's lines; ``order`` breaks ties.
+
+    Lines are summed by ranges of confidence.  Whole ranges above a cut count by
+    their sums; only the lines of the range in which a cut lies are ranked.
+    """
+    confidence = F.col("confidence")
+    ranged = judged.withColumn("_range", F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), confidence)) * RANGES))
+    sums = [
+        F.count(F.lit(1)).alias("_n"),
+        F.count_if(~F.col("correct")).alias("_wrong"),
+        F.count_if("correct").alias("_right"),
         F.sum(T.edits(F.col("reference"), F.col("hypothesis"))).alias("edits"),
         F.sum(F.length("reference")).alias("ref_chars"),
-    )
+    ]
+    added = ["_n", "_wrong", "_right", "edits", "ref_chars"]
+    down = Window.partitionBy(*keys).orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    of = F.sum("_n").over(Window.partitionBy(*keys))
+    placed = ranged.groupBy(*keys, "_range").agg(*sums).withColumns({"_upto": F.sum("_n").over(down), "_of": of})
+    at = placed.withColumn("coverage", F.explode(F.array(*[F.lit(float(p)) for p in points])))
+    at = at.withColumn("_k", F.least(F.col("_of"), F.greatest(F.lit(1), F.bround(F.col("coverage") * F.col("_of")).cast("long"))))
+    whole = at.where(F.col("_upto") <= F.col("_k")).select(*keys, "coverage", *added)
+    cuts = at.where((F.col("_upto") > F.col("_k")) & (F.col("_upto") - F.col("_n") < F.col("_k")))
+    cuts = cuts.select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col("_range").alias("_c_range"), "coverage", (F.col("_k") - F.col("_upto") + F.col("_n")).alias("_need"))
+    same = F.col("_range") == F.col("_c_range")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_c_{k}"))
+    ranked = Window.partitionBy(*keys, "coverage").orderBy(confidence.desc(), *order)
+    near = ranged.join(cuts, same).withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= F.col("_need"))
+    taken = whole.unionByName(near.groupBy(*keys, "coverage").agg(*sums)).groupBy(*keys, "coverage").agg(*[F.sum(c).alias(c) for c in added])
+    share = lambda part: F.col(part) / F.greatest(F.col("_n"), F.lit(1))
+    return taken.select(*keys, "coverage", F.col("_n").alias("n"), share("_wrong").alias("fce"), share("_right").alias("accepted_accuracy"), "edits", "ref_chars")
 
 
 def evaluate_texts(cases: DataFrame) -> DataFrame:
