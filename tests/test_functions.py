@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import random
+import struct
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +154,78 @@ def test_word_error_rate_of_many_words(spark):
     words = [random.Random(k).choices("abcdefgh", k=250 + k) for k in (1, 2)]
     got = one(spark, [(" ".join(words[0]), " ".join(words[1]))], "r string, h string", T.wer(F.col("r"), F.col("h")))
     assert got[0][0] == _recount(*words) / 251
+
+
+def test_recogniser_keeps_errors(spark):
+    def broken():
+        def read(image, options):
+            raise ValueError(f"beams {options['beams']}")
+
+        return read
+
+    rows = spark.createDataFrame([(b"x",), (None,)], "image binary").coalesce(1)
+    got = [r.h for r in rows.select(providers.recogniser(broken, providers.FULL)("image").alias("h")).collect()]
+    assert [(h.text, h.error) for h in got[0]] == [("", "ValueError: beams 8")] and got[1] == []
+    assert rows.select(providers.visual(F.get(providers.recogniser(broken)("image"), F.lit(0))).alias("v")).first().v == 0.0
+
+
+def test_sticky_fallback():
+    calls = []
+
+    def first():
+        def read(image, options):
+            calls.append(image)
+            if image == 1:
+                raise OSError
+            return [("first", 0.0)]
+
+        return read
+
+    second = lambda: lambda image, options: [("second", 0.0)]
+    for sticky, want in ((False, ["first", "second", "first"]), (True, ["first", "second", "second"])):
+        calls.clear()
+        read = providers.with_fallback(first, second, sticky)()
+        assert [read(i, {})[0][0] for i in range(3)] == want and len(calls) == (2 if sticky else 3)
+
+
+def test_readiness(spark):
+    def missing():
+        raise ImportError("no weights")
+
+    got = {r.provider: (r.ready, r.problem) for r in providers.readiness(spark, {"mock": providers.mock_recogniser, "big": missing}).collect()}
+    assert got == {"mock": (True, None), "big": (False, "ImportError: no weights")}
+
+
+def test_png():
+    rng = np.random.default_rng(2)
+    for shape in ((1, 1), (7, 5), (4, 6, 3)):
+        pixels = rng.integers(0, 256, shape).astype(np.uint8)
+        data = providers.encode_png(pixels)
+        assert (providers.decode_png(data) == pixels).all() and providers.decode_image(data).shape == shape[:2]
+    # every way in which a row may be written
+    rows = rng.integers(0, 256, (5, 6)).astype(np.int64)
+    body = b""
+    for how, row in enumerate(rows):
+        above = rows[how - 1] if how else np.zeros(6, np.int64)
+        left, corner = np.append(0, row[:-1]), np.append(0, above[:-1])
+        paeth = [min((a, b, c), key=lambda v: abs(a + b - c - v)) for a, b, c in zip(left, above, corner)]
+        body += bytes([how]) + ((row - [0 * row, left, above, (left + above) // 2, np.array(paeth)][how]) & 255).astype(np.uint8).tobytes()
+    plain = providers.encode_png(rows)
+    at = plain.index(b"IDAT") - 4
+    data = zlib.compress(body)
+    made = plain[:at] + struct.pack(">I", len(data)) + b"IDAT" + data + struct.pack(">I", zlib.crc32(b"IDAT" + data)) + plain[plain.index(b"IEND") - 4 :]
+    assert (providers.decode_png(made) == rows).all()
+
+
+def test_understanding(spark):
+    from quillstone.operators import understanding
+
+    rows = [("d", 1, '{"category": "poem", "line_items": [{"text": "b"}]}'), ("d", 0, "none"), ("d", 2, '{"category": "rx", "category_confidence": 7, "layout_regions": [{"type": "margin", "bbox": [0, 0, 1, 1]}]}'), ("e", 0, None)]
+    views = understanding.page_views(spark.createDataFrame(rows, "document_id string, page_index int, reply string"))
+    got = understanding.documents(views).collect()
+    assert [(r.document_id, r.pages, r.category, r.confidence, [i.text for i in r["items"]], [h.region_type for h in r.hints]) for r in got] == [("d", 2, "unknown", 0.0, ["b"], ["margin_note"])]
+
+
+def test_decode_artefacts_beyond_ascii(spark):
+    got = one(spark, [("a b c",), ("pé bé cé",), ("é a b",)], "t string", T.has_decode_artefacts(F.col("t")))
+    assert [g[0] for g in got] == [True, False, False]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -202,3 +203,30 @@ def test_baselines_without_hypotheses(spark):
     got = {(r.line_no, r.system): (r.hypothesis, r.decision_state) for r in metrics.derived_baselines(lines, hyps).collect()}
     none = ("[ILLEGIBLE]", "ILLEGIBLE")
     assert got == {(0, "handwriting_lines"): ("a", "ACCEPTED"), (0, "print_only"): none, (1, "handwriting_lines"): none, (1, "print_only"): none}
+
+
+def test_lineage_of_any_length(spark):
+    rows = [(f"a{i}", f"a{i - 1}" if i else None) for i in range(21)] + [("b", "gone"), ("c", "b")]
+    got = {r.id: (r.root, r.steps) for r in store.lineage(spark.createDataFrame(rows, "id string, source_artifact_id string")).collect()}
+    assert got == {f"a{i}": ("a0", i) for i in range(21)} | {"b": ("b", 0), "c": ("b", 1)}
+    for circle in ([("x", "y"), ("y", "x")], [("x", "y"), ("y", "z"), ("z", "x")], [("x", "x")]):
+        with pytest.raises(ValueError):
+            store.lineage(spark.createDataFrame(circle, "id string, source_artifact_id string")).collect()
+    assert store.lineage(spark.createDataFrame([], "id string, source_artifact_id string")).count() == 0
+
+
+@pytest.mark.parametrize("ranges", [4096, 3, 1])
+def test_curve_by_force(spark, monkeypatch, ranges):
+    monkeypatch.setattr(metrics, "RANGES", ranges)
+    rng = random.Random(4)
+    rows = [("k" if i % 3 else None, i, "abcd", rng.choice(["abcd", "abxx"]), "ACCEPTED", rng.choice([0.1, 0.5, 0.5, 0.7, rng.random()])) for i in range(90)] + [("one", 0, "ab", "ab", "ACCEPTED", 1.0)]
+    judged = metrics.judge(spark.createDataFrame(rows, "case string, place int, reference string, hypothesis string, decision_state string, confidence double"))
+    got = {(r.case, r.coverage): (r.n, round(r.fce, 9), r.edits, r.ref_chars) for r in metrics.risk_coverage(judged, ["case"], ["place"]).collect()}
+    want = {}
+    for case in ("k", None, "one"):
+        own = sorted((r for r in rows if r[0] == case), key=lambda r: (-r[5], r[1]))
+        for p in metrics.COVERAGE_POINTS:
+            k = min(len(own), max(1, round(p * len(own))))
+            wrong = sum(r[3] == "abxx" for r in own[:k])
+            want[case, p] = (k, round(wrong / k, 9), 2 * wrong, sum(len(r[2]) for r in own[:k]))
+    assert got == want
