@@ -4,17 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a worker takes up at once.  Spark hands over up to 64 MB of them
-#: (``spark.sql.execution.arrow.maxBytesPerBatch``); no session option is set here.
+#: Rows that a worker gets and takes up at once; whole texts travel, so that a
+#: batch stays small enough for a worker that shares 3 GB with its JVM.
 PIECE_ROWS = 1000
+#: And about so many bytes, where texts are very long.
+BATCH_BYTES = "32m"
 
 _own_dir: list[str] = []
 
 
+def free_name(columns: list[str], wanted: str) -> str:
+    """A column name like ``wanted`` that none of ``columns`` has."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -31,6 +42,24 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dir[0]
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Small Arrow batches for the actions inside; the session's options are then as they were."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(PIECE_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    there = spark.conf.getAll
+    given = {k: there[k] for k in wanted if k in there}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k in wanted:
+            if k in given:
+                spark.conf.set(k, given[k])
+            else:
+                spark.conf.unset(k)
+
+
 #: What was written and not yet deleted, oldest first.
 _written: list[str] = []
 
@@ -45,7 +74,8 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _written.append(path)
-    df.write.option("compression", compression).parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out

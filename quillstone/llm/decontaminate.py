@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import pieces
+from .common import materialise, pieces
 
 Q = 8
 EDITS = 0.1
@@ -266,7 +266,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], schema)
+    return spark.createDataFrame([], schema) if out is None else materialise(out, "item-matches")
 
 
 def _predicate(shared):
@@ -283,6 +283,7 @@ def _predicate(shared):
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text holds no item."""
+    kept = docs
     for block in blocks(items):
-        docs = docs.where(_predicate(docs.sparkSession.sparkContext.broadcast(block))("text"))
-    return docs
+        kept = kept.where(_predicate(docs.sparkSession.sparkContext.broadcast(block))("text"))
+    return docs if kept is docs else materialise(kept, "clean-documents")

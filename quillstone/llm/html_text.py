@@ -547,4 +547,6 @@ def extract(pages: DataFrame) -> DataFrame:
                 got.append(main_text(page, known[owner]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.string()), pa.array(list(map(len, got)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    out = materialise(joined.mapInArrow(run, "page_id long, url string, text string, n_chars long"), "html-texts")
+    settle(pages.sparkSession, mark, out)
+    return out

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import begin, id_crc, materialise, pieces, settle
+from .common import begin, id_crc, materialise, pieces, settle, small_batches
 
 DIMS = 4096
 CLUSTERS = 4
@@ -100,7 +100,9 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMS + 1), pa.int32()), pa.array(total)], names=["place", "n"])
 
     got = np.zeros(DIMS + 1, dtype=np.int64)
-    for place, n in docs.select("text").mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n")).collect():  # DIMS + 1 rows
+    with small_batches(docs.sparkSession):
+        rows = docs.select("text").mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n")).collect()  # DIMS + 1 rows
+    for place, n in rows:
         got[place] = n
     return got[:DIMS], int(got[DIMS])
 
@@ -177,7 +179,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             cols = [pa.array(c, t) for c, t in zip(got, (pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean"), "lang-predicted")
 
 
 def identify(docs: DataFrame, held_out_mod: int = 4, held_out_rest: int = 2) -> DataFrame:

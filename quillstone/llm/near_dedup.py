@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import begin, broadcast_if_small, materialise, pieces, settle
+from .common import begin, broadcast_if_small, materialise, pieces, settle, small_batches
 
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
@@ -125,7 +125,8 @@ def sketch_of(docs: DataFrame) -> Weights:
         at = np.flatnonzero(table.reshape(-1))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(table.reshape(-1)[at], pa.int64())], names=["counter", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # SKETCH[0] * SKETCH[1] rows at most
+    with small_batches(docs.sparkSession):
+        rows = docs.select("text").mapInArrow(count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # SKETCH[0] * SKETCH[1] rows at most
     table = np.zeros(SKETCH[0] * SKETCH[1], dtype=np.int64)
     table[np.asarray(rows.column("counter"))] = np.asarray(rows.column("n"))
     return Weights(table.reshape(SKETCH), docs.count())

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import BROADCAST_ROWS, begin, id_crc, materialise, pieces, settle
+from .common import BROADCAST_ROWS, begin, free_name, id_crc, materialise, pieces, settle
 
 SHRINKAGE = 0.15
 TEMPERATURE = 4.0
@@ -188,8 +188,8 @@ def fit(rows: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE) -> Mod
     return Model(mean, scale, shift, prior, parts)
 
 
-def score(rows: DataFrame, model: Model, held_out_mod: int = 3, held_out_rest: int = 1) -> DataFrame:
-    """``doc_id``, ``held_out``, ``score``, ``predicted`` for each row of ``features``."""
+def score(rows: DataFrame, model: Model) -> DataFrame:
+    """``doc_id``, ``score``, ``predicted`` for each row of ``features``."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
     d = len(FEATURES)
 
@@ -199,13 +199,20 @@ def score(rows: DataFrame, model: Model, held_out_mod: int = 3, held_out_rest: i
             s = shared.value.score(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    out = rows.mapInArrow(run, "doc_id long, score double, predicted int")
-    return out.select("doc_id", (id_crc(F.col("doc_id"), held_out_mod) == held_out_rest).alias("held_out"), "score", "predicted")
+    out = materialise(rows.mapInArrow(run, "doc_id long, score double, predicted int"), "quality-scores")
+    return out
+
+
+def _held_out(scored: DataFrame, held_out_mod: int = 3, held_out_rest: int = 1) -> DataFrame:
+    return scored.select("doc_id", (id_crc(F.col("doc_id"), held_out_mod) == held_out_rest).alias("held_out"), "score", "predicted")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    mark = begin()
     rows = features(docs)
-    return score(rows, fit(rows, usable(labels)))
+    scored = score(rows, fit(rows, usable(labels)))
+    settle(docs.sparkSession, mark, scored)
+    return _held_out(scored)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -213,7 +220,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     mark = begin()
     known = materialise(usable(labels), "quality-labels")
     few = known.count() <= BROADCAST_ROWS
-    named = docs.join(F.broadcast(known.select(F.col("doc_id").alias("_named")).distinct()), F.col("doc_id").cast("long") == F.col("_named"), "left_semi") if few else docs
+    name = free_name(docs.columns, "named")
+    named = docs.join(F.broadcast(known.select(F.col("doc_id").alias(name)).distinct()), F.col("doc_id").cast("long") == F.col(name), "left_semi") if few else docs
     model = fit(features(named), known)
     settle(docs.sparkSession, mark)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -223,4 +231,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for series in texts:
             yield pd.Series(shared.value.score(statistics([t or "" for t in series.tolist()])) >= 0.5, dtype=bool)
 
-    return docs.where(good("text"))
+    return materialise(docs.where(good("text")), "good-documents")

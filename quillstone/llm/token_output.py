@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rans, textvec
-from .common import begin, materialise, parallelism, pieces, settle
+from .common import begin, materialise, parallelism, pieces, settle, small_batches
 
 END_ID = 0
 CONTAINER_IDS = 1 << 22
@@ -272,7 +272,8 @@ def count_ids(tokens: DataFrame, vocabulary: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
-    rows = tokens.where(F.col("counts").isNotNull()).select("counts").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    with small_batches(tokens.sparkSession):
+        rows = tokens.where(F.col("counts").isNotNull()).select("counts").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(vocabulary, dtype=np.int64)
     counts[np.asarray(rows.column("id"))] = np.asarray(rows.column("n"))
     return counts
@@ -368,9 +369,12 @@ def read_index(containers: DataFrame, freq: "np.ndarray") -> DataFrame:
                 crcs = [zlib.crc32(own[e - n : e].tobytes()) for e, n in zip(ends, lengths)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts + bases.value[part], pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return containers.select("part", "payload").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return materialise(containers.select("part", "payload").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long"), "token-index")
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, container_ids: int = CONTAINER_IDS) -> DataFrame:
     """Write ``docs`` as containers, read them back and index the documents by what was read."""
-    return read_index(*write_containers(docs, tokenizer_path, container_ids))
+    mark = begin()
+    out = read_index(*write_containers(docs, tokenizer_path, container_ids))
+    settle(docs.sparkSession, mark, out)
+    return out

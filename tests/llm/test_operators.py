@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
 import time
@@ -14,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm import ann, decontaminate, html_text, langid, line_dedup, mixing, near_dedup, quality, rans, secrets, textvec, token_output
+from quillstone.llm import ann, decontaminate, html_text, langid, line_dedup, mixing, near_dedup, quality, queries, rans, secrets, textvec, token_output
 from quillstone.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -348,6 +349,48 @@ def test_near_duplicates_against_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(got)
 
 
+def test_near_duplicates_recall(spark):
+    """Pairs of two texts alone, most of them just above the threshold: no other link could save them."""
+    rng = random.Random(31)
+    texts = []
+    for k in range(400):
+        own = [f"w{rng.randrange(10**7)}" for _ in range(rng.randint(60, 200))]
+        other = list(own)
+        cut = rng.randint(1, max(1, len(own) // 9))  # a changed stretch costs as many shingles and four more
+        at = rng.randrange(len(own) - cut)
+        other[at : at + cut] = [f"n{rng.randrange(10**7)}" for _ in range(cut)]
+        texts += [" ".join(own), " ".join(other)]
+    docs = frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)]).repartition(5)
+    weights = near_dedup.sketch_of(docs)
+    at = [near_dedup.similarity(texts[2 * k], texts[2 * k + 1], weights) for k in range(400)]
+    linked = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    found = [linked[2 * k] == linked[2 * k + 1] for k in range(400)]
+    assert sum(0.8 <= x < 0.85 for x in at) > 60 and sum(x < 0.8 for x in at) > 30
+    assert found == [x >= 0.8 for x in at]
+
+
+def test_near_duplicates_blocks_change_nothing(spark, monkeypatch):
+    rng = random.Random(32)
+    core = [str(rng.randrange(10**6)) for _ in range(150)]
+    rows = []
+    for i in range(90):
+        words = list(core)
+        for _ in range(rng.randint(3, 9)):
+            words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words), "en", "s", 1))
+    whole = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    monkeypatch.setattr(near_dedup, "BLOCK_NODES", 7)
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(frame(spark, rows)).collect()} == whole
+    weights = near_dedup.sketch_of(frame(spark, rows))
+    texts = [r[1] for r in rows]
+    pairs = [(i, j) for i in range(90) for j in range(i) if near_dedup.similarity(texts[i], texts[j], weights) >= 0.8]
+    parent = list(range(90))
+    for i, j in pairs:
+        a, b = whole[i], whole[j]
+        assert a == b
+    assert parent and len(set(whole.values())) > 1
+
+
 def test_near_duplicates_try_every_pair(spark):
     def words(n):
         return [str(rng.randrange(10**7)) for _ in range(n)]
@@ -414,6 +457,59 @@ def test_langid(spark):
     assert len(langid.identify(frame(spark, AWKWARD)).collect()) == len(AWKWARD)
 
 
+def _trigrams(text):
+    """Counts of hashed byte trigrams, one by one."""
+    fold = lambda b: b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32
+    data = [fold(b) for b in b" " + text.encode() + b" "]
+    out = Counter()
+    for x, y, z in zip(data, data[1:], data[2:]):
+        if y != 32 or (x != 32 and z != 32):
+            out[((x << 16 | y << 8 | z) * 0x9E3779B1 & 0xFFFFFFFF) >> 20] += 1
+    return out
+
+
+def test_langid_by_force(spark):
+    rng = random.Random(8)
+    rows = [(i, _language(("aa", "bb", "cc")[i % 3], i) + " " + rng.choice(["x", "12", "Ärger", ""]), ("aa", "bb", "cc")[i % 3], "s", 1) for i in range(240)]
+    model = langid.fit(frame(spark, rows).repartition(3))
+    counted = [_trigrams(t) for _, t, *_ in rows]
+    idf = [math.log((1 + len(rows)) / (1 + sum(k in c for c in counted))) + 0.1 for k in range(langid.DIMS)]
+    assert np.allclose(model.idf, idf, rtol=1e-5)
+
+    def vector(text):
+        x = np.zeros(langid.DIMS)
+        for k, n in _trigrams(text).items():
+            x[k] = math.log1p(n) * idf[k]
+        return x / max(np.sqrt((x * x).sum()), 1e-12)
+
+    # clusters of the texts that come last by their hash, limits from the others
+    drawn = sorted((r.h, r.text, r.lang) for r in frame(spark, rows).select(F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 60)).alias("h"), "text", "lang").collect())
+    for k, lang in enumerate(model.langs):
+        own = [t for _, t, g in drawn if g == lang]
+        apart = len(own) // 3
+        centres = model.centres[model.owner == k].astype(float)
+        x = np.array([vector(t) for t in own])
+        near = (x[apart:] @ centres.T).argmax(axis=1)
+        for j in range(len(centres)):
+            mean = x[apart:][near == j].sum(axis=0)
+            assert mean @ centres[j] / np.sqrt(mean @ mean) > 0.999  # a centroid is the mean of what lies nearest
+        assert model.least[k] == pytest.approx(np.quantile((x[:apart] @ centres.T).max(axis=1), langid.REJECT), abs=1e-4)
+    given = [t for _, t, *_ in rows[:60]] + ["zzzz qqqq xxxx", "tha oni kür"]
+    for text, (lang, score, rejected) in zip(given, model.predict(given)):
+        cosines = model.centres.astype(float) @ vector(text)
+        k = int(model.owner[cosines.argmax()])
+        top, limit = max(cosines.max(), 0), model.least[k]
+        assert lang == model.langs[k] and score == pytest.approx(top if top >= limit else top * top / limit, abs=1e-4)
+        assert rejected == (top < limit) or abs(top - limit) < 1e-4
+    assert model.predict(["zzzz qqqq xxxx"])[0][2] and not any(x[2] for x in model.predict([t for _, t, *_ in rows[:30:3]])[:3])
+
+
+def test_langid_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, _language("aa", i), "aa", "x", 1.0, 2) for i in range(30)], "doc_id long, text string, lang string, lang_pred string, score double, h int")
+    out = langid.identify(docs)
+    assert out.count() == 30 and {r.lang_pred for r in out.collect()} == {"aa"}
+
+
 # --- op6 ------------------------------------------------------------------------
 
 
@@ -520,6 +616,13 @@ def test_mixing_repeated_rows(spark, crowded, copied):
     assert Counter(map(tuple, mixing.take(docs.repartition(5)).collect())) == Counter(map(tuple, copies))
 
 
+def test_mixing_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, prose(5, i), "s", 1, 2, "x") for i in range(50)], "doc_id long, text string, source string, size int, t_copies int, doc string")
+    assert mixing.mix(docs).count() == 50
+    taken = mixing.take(docs)
+    assert taken.columns == docs.columns and sum(len(r.text.split()) for r in taken.collect()) == 250
+
+
 def test_mixing_cuts_ranges(spark, monkeypatch):
     rng = random.Random(9)
     rows = [(i, prose(rng.randint(0, 9), i), "en", rng.choice("abcd"), 1) for i in range(600)]
@@ -647,6 +750,12 @@ def test_html_names_are_whole():
     assert html_text.main_text(page) == "one two three four five foobar"
 
 
+def test_html_clashing_columns(spark):
+    rows = [(i, f"http://c.example/{i}", SOUP.format(i=i), "h", [1], 5) for i in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, classes array<int>, content int")
+    assert all(r.text.startswith(f"Story {r.page_id} has") for r in html_text.extract(pages).collect())
+
+
 def test_html_deep_pages():
     for page in ("<div>" * 100_000 + "deep", "<div class=x>" * 100_000 + "deep" + "</span>" * 100_000, "<b>" * 100_000 + "<p>deep"):
         began = time.perf_counter()
@@ -691,6 +800,91 @@ def test_quality(spark):
     assert kept.columns == frame(spark, []).columns and kept.count() == sum(r.predicted for r in got)
 
 
+def _quality_statistics(text):
+    """The 17 statistics, written out."""
+    data = text.encode()
+    if not data:
+        return [0.0] * 17
+
+    def kind(b):
+        if b >= 128 or 97 <= b <= 122:
+            return "l"
+        if 65 <= b <= 90:
+            return "U"
+        if 48 <= b <= 57:
+            return "d"
+        if b in (0, 9, 11, 12, 13, 32):
+            return "b"
+        return "n" if b == 10 else "m" if chr(b) in ".,;:?!'\"()-" else "s"
+
+    k = [kind(b) for b in data]
+    n, share = len(k), Counter(k)
+    pairs = Counter(zip(k, k[1:]))
+    after = lambda left, right: sum(pairs[a, b] for a in left for b in right) / n
+    words = re.split(rb"[\0\t\n\x0b\x0c\r ]+", data)
+    words = [w for w in words if w]
+    many = max(1, len(words))
+    sizes = [len(w) for w in words]
+    counts = Counter(words)
+    runs = [tuple(words[i : i + 3]) for i in range(len(words) - 2)] or ([tuple(words)] if words else [])
+    lines = [x for x in text.split("\n") if x.strip()]
+    letters = (share["l"] + share["U"]) / n
+    mean = sum(sizes) / len(sizes) if sizes else 0.0
+    spread = math.sqrt(sum((x - mean) ** 2 for x in sizes) / len(sizes)) if sizes else 0.0
+    return [
+        letters, math.sqrt(share["U"] / n / max(letters, 1e-9)), math.sqrt(share["d"] / n), (share["b"] + share["n"]) / n, math.sqrt(share["m"] / n), math.sqrt(share["s"] / n),
+        math.sqrt(after("lU", "s")), math.sqrt(after("bn", "s")), math.sqrt(after("ms", "ms")), math.log1p(mean), math.log1p(spread) if sizes else 0.0,
+        math.log1p(len(counts) or 1) / math.log1p(many), math.sqrt((max(counts.values(), default=1) - 1) / many),
+        math.sqrt(1 - len(set(runs)) / len(runs)) if runs else 0.0, len(set(lines)) / len(lines) if lines else 1.0, math.log1p(many / max(1, len(lines))), math.log1p(many) / 10,
+    ]
+
+
+def test_quality_by_force(spark):
+    rng = random.Random(13)
+    texts = ["", "a", " \n ", "Ärger, über-Öl! (x)", "a a a a b\na a a\na a a", "A#1 $$ --\t9.5", "one two"]
+    texts += ["".join(rng.choice("aB1 .,#\né-") for _ in range(rng.randint(1, 200))) for _ in range(60)]
+    assert np.allclose(quality.statistics(texts), [_quality_statistics(t) for t in texts], atol=1e-9)
+
+    rows = [(i, prose(rng.randint(1, 60), i) + rng.choice([".", " ###", "\nA B"]), "en", "s", 1) for i in range(300)]
+    labels = [(i, int("#" not in rows[i][1]) if rng.random() < 0.9 else rng.randint(0, 1), 0) for i in range(300)]
+    usable = quality.usable(frame(spark, labels, "doc_id long, quality int, toxic int"))
+    learned = {i: q for i, q, _ in labels if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert {r.doc_id: r.quality for r in usable.collect()} == learned
+    model = quality.fit(quality.features(frame(spark, rows).repartition(3)), usable)
+    x, y = np.array([_quality_statistics(rows[i][1]) for i in learned]), np.array(list(learned.values()))
+    mean = x.mean(axis=0)
+    words = np.expm1(10 * x[:, -1:])
+    z = mean + (x - mean) * words / (words + quality.MEAN_WORDS)
+    z[:, -1] = x[:, -1]
+    covs = [np.cov(z[y == k].T, bias=True) for k in (0, 1)]
+    scale = np.sqrt(np.maximum(sum((y == k).mean() * np.diag(covs[k]) for k in (0, 1)), 1e-8))
+    log, d = [], x.shape[1]
+    for k in (0, 1):
+        cov = covs[k] / np.outer(scale, scale)
+        cov = (1 - quality.SHRINKAGE) * cov + quality.SHRINKAGE * np.eye(d) * max(np.trace(cov) / d, 1e-3)
+        off = (z - z[y == k].mean(axis=0)) / scale
+        log.append(-0.5 * np.einsum("ni,ij,nj->n", off, np.linalg.inv(cov), off) - 0.5 * np.linalg.slogdet(cov)[1])
+    prior = (y.sum() + 1) / (len(y) + 2)
+    want = 1 / (1 + np.exp(-np.clip((log[1] - log[0] + np.log(prior / (1 - prior))) / quality.TEMPERATURE, -30, 30)))
+    assert np.allclose(model.score(quality.statistics([rows[i][1] for i in learned])), want, atol=1e-6)
+
+
+def test_quality_empty_and_clashing(spark):
+    labels = frame(spark, [(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    assert quality.classify(frame(spark, []), labels).count() == 0 == quality.keep_good(frame(spark, []), labels).count()
+    docs = spark.createDataFrame([(i, prose(9, i), i, "k", 2.0) for i in range(40)], "doc_id long, text string, quality int, named string, score double")
+    assert quality.classify(docs, labels).count() == 40
+    assert quality.keep_good(docs, labels).columns == docs.columns
+
+
+def test_quality_keeps_alike_without_broadcast(spark, monkeypatch):
+    rows = [(i, prose(30, i) if i % 3 else " ".join(w + "#" for w in prose(30, i).split()), "en", "s", 1) for i in range(120)]
+    labels = frame(spark, [(i, int(i % 3 > 0), 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    kept = Counter(map(tuple, quality.keep_good(frame(spark, rows), labels).collect()))
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", 0)
+    assert Counter(map(tuple, quality.keep_good(frame(spark, rows), labels).collect())) == kept and 0 < len(kept) < 120
+
+
 def test_density_equals_direct_formula():
     rng = np.random.default_rng(1)
     cov = np.eye(3) + 0.3
@@ -798,6 +992,27 @@ def test_decontaminate_clashing_columns(spark):
 # --- shared ---------------------------------------------------------------------
 
 
+def own(root):
+    """What operators have written; Spark's own folder there has a bare id for a name."""
+    return [f for f in os.listdir(root) if not re.fullmatch(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", f)]
+
+
+def test_operators_leave_no_trace(spark):
+    """Session options stay as they are, and nothing of a run is left once it is released."""
+    from quillstone.llm import common
+
+    sf = "/root/testdata/sf0.001"
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = dict(r for r in spark.sql("SET").collect())
+    common.release(spark)
+    for name, query in queries.QUERIES.items():
+        assert query(spark, sf).count() > 0
+        assert len(own(root)) <= 2, (name, own(root))  # what the result still reads
+        common.release(spark)
+        assert not own(root), name
+    assert dict(r for r in spark.sql("SET").collect()) == before
+
+
 def test_word_hashes():
     texts = ["a bb  ccc", "", " bb\na ", "ä bb", "a" * 5000]
     hashes, at = textvec.words(texts)
