@@ -513,9 +513,23 @@ def rerank_lines(spark, sf_dir):
     return out.select("doc_id", "line_no", F.size("hyps").alias("candidates"), r(F.col("context_score")).alias("context_score"), F.col("decision.state").alias("state"), F.col("decision.text").alias("text"))
 
 
-@query()
+_LEX_LIST = "[" + ", ".join(f"'{x}'" for x in S.LEXICON) + "]"
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, {_LEX_LIST}[doc_id % {len(S.LEXICON)} + 1] AS word FROM documents),
+g AS (SELECT doc_id, substr(word, 1, 2) || 'q' || substr(word, 4) AS low FROM d),
+pair AS (SELECT low, term FROM (SELECT DISTINCT low FROM g), (SELECT unnest({_LEX_LIST}) AS term) WHERE length(low) > 4 AND abs(length(term) - length(low)) <= 3),
+dp AS (
+  SELECT low, term, CAST(0 AS BIGINT) AS i, list_transform(range(0, length(term) + 1), lambda j: CAST(0 AS BIGINT)) AS kept FROM pair
+  UNION ALL
+  SELECT low, term, i + 1, [CAST(0 AS BIGINT)] || list_transform(range(1, length(term) + 1), lambda j: list_max(best[1:j]))
+  FROM (SELECT low, term, i, list_transform(range(1, length(term) + 1), lambda j: greatest(kept[j + 1], CASE WHEN substr(term, j, 1) = substr(low, i + 1, 1) THEN kept[j] + 1 ELSE 0 END)) AS best FROM dp WHERE i < length(low))),
+ratio AS (SELECT low, term, 200.0::DOUBLE * kept[-1] / (length(low) + length(term)) AS r FROM dp WHERE i = length(low)),
+near AS (SELECT low, term, r, row_number() OVER (PARTITION BY low ORDER BY r DESC, term) AS n FROM ratio),
+fixed AS (SELECT low, term FROM near WHERE n = 1 AND r >= 88 AND abs(length(term) - length(low)) <= 1 AND levenshtein(low, term) / greatest(length(low), length(term))::DOUBLE <= 0.18)
+SELECT doc_id, g.low || ' 5 mg' AS given, coalesce(CASE WHEN g.low IN ({_LEX}) THEN g.low END, term, g.low) || ' 5 mg' AS text, CAST(CASE WHEN term IS NOT NULL AND term <> g.low AND g.low NOT IN ({_LEX}) THEN 1 ELSE 0 END AS INT) AS edits FROM g LEFT JOIN fixed ON fixed.low = g.low""")
 def lexicon_repair(spark, sf_dir):
-    """Near-exact lexicon repairs of words with one letter wrong. Indel ratios have no SQL twin; checked by tests."""
+    """Near-exact lexicon repairs of words with one letter wrong."""
     words = F.array(*[F.lit(w) for w in S.LEXICON])
     word = F.get(words, (F.col("doc_id") % len(S.LEXICON)).cast("int"))
     broken = F.concat(F.substring(word, 1, 2), F.lit("q"), F.substring(word, 4, 40))
