@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import begin, broadcast_if_small, materialise, pieces, settle
+from .common import begin, materialise, pieces, settle
 
 #: A template token is on this share of the host's pages, and on so many pages.
 SUPPORT, LEAST_PAGES = 0.8, 5
@@ -61,6 +61,8 @@ LINKS = 0.8
 ROUNDS = 6
 #: The host of all pages together, and how many hosts' templates a worker keeps.
 POOL, KEPT = "*", 2000
+#: Template tokens, of 8 bytes, that all hosts may have together to be broadcast; else pages are joined with templates by a shuffle.
+BROADCAST_TOKENS = 2_000_000
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|<[!?/a-zA-Z][^>]*\Z", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -393,7 +395,9 @@ def candidates(found: DataFrame) -> DataFrame:
 def _with(pages: DataFrame, learned: DataFrame) -> tuple[DataFrame, dict]:
     """``pages`` with the columns of their host's row in ``learned`` (null: none); and the row of all pages, of the size of one page at most."""
     pool = learned.where(F.col("host") == POOL).drop("host").first()
-    own = broadcast_if_small(learned.where(F.col("host") != POOL).withColumn("owner", F.col("host")), 20_000)
+    own = learned.where(F.col("host") != POOL).withColumn("owner", F.col("host"))
+    tokens = own.agg(F.sum(F.aggregate("classes", F.lit(0).cast("long"), lambda n, c: n + F.size(c)))).first()[0] or 0
+    own = F.broadcast(own) if tokens <= BROADCAST_TOKENS else own
     return pages.join(own, "host", "left"), pool.asDict() if pool else {}
 
 

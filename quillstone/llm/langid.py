@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import begin, id_crc, materialise, pieces, settle, small_batches
+from .common import begin, broadcast_if_small, id_crc, materialise, pieces, settle, small_batches
 
 DIMS = 4096
 CLUSTERS = 4
@@ -142,10 +142,10 @@ def fit(docs: DataFrame) -> Model:
     learned = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     df, n = document_frequencies(learned)
     idf = (np.log((1.0 + n) / (1.0 + df)) + 0.1).astype(np.float32)
-    per_lang = learned.groupBy("lang").count()
-    limits = per_lang.select(F.col("lang").alias("l"), (F.least(F.lit(1.0), F.lit(float(SAMPLE_PER_LANG)) / F.col("count")) * _HASH).cast("long").alias("count_limit"))
+    per_lang = materialise(learned.groupBy("lang").count(), "lang-counts")
+    limits = broadcast_if_small(per_lang.select(F.col("lang").alias("l"), (F.least(F.lit(1.0), F.lit(float(SAMPLE_PER_LANG)) / F.col("count")) * _HASH).cast("long").alias("count_limit")))
     hashed = learned.select("text", "lang", F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(_HASH)).alias("h"))
-    drawn = hashed.join(F.broadcast(limits), F.col("lang") == F.col("l")).where(F.col("h") < F.col("count_limit"))  # one row a language
+    drawn = hashed.join(limits, F.col("lang") == F.col("l")).where(F.col("h") < F.col("count_limit"))
     sample = materialise(drawn.groupBy("lang", "h").agg(F.min("text").alias("text")), "lang-sample")
     shared = spark.sparkContext.broadcast(idf)
 

@@ -173,6 +173,31 @@ def test_ann_against_brute_force(spark):
     assert [(i) for _, i in want[0]] == [m[2] for m in sorted(found[0])]  # ties go to the smaller id
 
 
+def test_ann_recall_and_query_chunks(spark, monkeypatch):
+    """All queries of a table without clear clusters; chunks of queries change nothing."""
+    rng = np.random.default_rng(12)
+    rows = [(i, (rng.standard_normal(32) + 0.3 * (i % 5)).tolist()) for i in range(4000)]
+    frame_ = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = sorted(map(tuple, ann.search(frame_).collect()))
+    x = np.array([v for _, v in rows])
+    hits = 0
+    for q in range(0, 4000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hits += len(set(np.argsort(d, kind="stable")[:10]) & {r[2] for r in got if r[0] == q})
+    assert len(got) == 400 and hits / 400 >= 0.9
+    monkeypatch.setattr(ann, "CHUNK_QUERIES", 3)
+    assert sorted(map(tuple, ann.search(frame_).collect())) == got
+
+
+def test_ann_repeated_query_ids(spark):
+    schema = "vec_id long, embedding array<double>"
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 9.0])] + [(i, [1.0, i / 10]) for i in range(1, 20)]
+    got = sorted((r.rank, r.vec_id, r.score) for r in ann.search(frame(spark, rows, schema)).collect() if r.query_id == 0)
+    want = sorted((min(math.dist(v, [1.0, 0.0]), math.dist(v, [0.0, 9.0])), i) for i, v in rows[2:])[:10]
+    assert [g[0] for g in got] == list(range(1, 11)) and [(g[2], g[1]) for g in got] == [(pytest.approx(d), i) for d, i in want]
+
+
 def test_ann_few_and_none(spark):
     schema = "vec_id long, embedding array<double>"
     assert ann.search(frame(spark, [], schema)).count() == 0
