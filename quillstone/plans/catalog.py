@@ -209,13 +209,18 @@ per_case AS (SELECT system, doc_id, CASE WHEN doc_id % 2 = 0 THEN 'independent'
 def _per_case(spark, sf_dir):
     """Scores of four systems per document."""
     two = _systems(spark, sf_dir).select("doc_id", "line_no", "system", "hypothesis", "decision_state", "confidence")
-    hand = two.where(F.col("system") == "handwriting_lines")
-    fused = hand.withColumns({"system": F.lit("fused"), "decision_state": F.when(F.col("confidence") >= 0.5, T.ACCEPTED).otherwise(T.REVIEW)})
-    forced = hand.withColumns({"system": F.lit("handwriting_forced"), "decision_state": F.when(F.col("hypothesis") == T.ILLEGIBLE_TEXT, T.ILLEGIBLE).otherwise(T.ACCEPTED)})
-    pairs = two.unionByName(fused).unionByName(forced).join(E.lines(spark, sf_dir).select("doc_id", "line_no", F.col("ref").alias("reference")), ["doc_id", "line_no"])
-    rows = metrics.judge(pairs)
-    n, state = F.count(F.lit(1)), F.col("decision_state")
-    edits, chars = F.sum(T.edits(F.col("reference"), F.col("hypothesis"))), F.sum(F.length("reference"))
+    pairs = metrics.judge(two.join(E.lines(spark, sf_dir).select("doc_id", "line_no", F.col("ref").alias("reference")), ["doc_id", "line_no"]))
+    pairs = pairs.withColumn("edits", T.edits(F.col("reference"), F.col("hypothesis")))
+    # the fused and the forced system have the handwriting system's texts, with other states
+    as_system = lambda name, state: F.struct((F.lit(name) if isinstance(name, str) else name).alias("system"), F.lit(state).alias("state") if isinstance(state, str) else state.alias("state"))
+    own = as_system(F.col("system"), F.col("decision_state"))
+    fused = as_system("fused", F.when(F.col("confidence") >= 0.5, T.ACCEPTED).otherwise(T.REVIEW))
+    forced = as_system("handwriting_forced", F.when(F.col("hypothesis") == T.ILLEGIBLE_TEXT, T.ILLEGIBLE).otherwise(T.ACCEPTED))
+    systems = F.when(F.col("system") == "handwriting_lines", F.array(own, fused, forced)).otherwise(F.array(own))
+    rows = pairs.select("doc_id", "reference", "correct", "edits", F.explode(systems).alias("s")).select("doc_id", "reference", "correct", "edits", "s.*")
+    rows = rows.withColumn("fce", ~F.col("correct") & (F.col("state") == T.ACCEPTED))
+    n, state = F.count(F.lit(1)), F.col("state")
+    edits, chars = F.sum("edits"), F.sum(F.length("reference"))
     return rows.groupBy("system", "doc_id").agg(
         F.max(F.when(F.col("doc_id") % 2 == 0, "independent").otherwise("derived")).alias("baseline_kind"),
         F.when(chars == 0, F.when(edits == 0, 0.0).otherwise(1.0)).otherwise(edits / F.greatest(chars, F.lit(1))).alias("cer"),

@@ -229,3 +229,14 @@ def test_understanding(spark):
 def test_decode_artefacts_beyond_ascii(spark):
     got = one(spark, [("a b c",), ("pé bé cé",), ("é a b",)], "t string", T.has_decode_artefacts(F.col("t")))
     assert [g[0] for g in got] == [True, False, False]
+
+
+def test_edits_side_by_side():
+    rng = random.Random(19)
+    make = lambda n: "".join(rng.choice("abé \U0001f600") for _ in range(n))
+    pairs = [(make(rng.randint(0, 210)), make(rng.randint(0, 210))) for _ in range(250)]
+    pairs += [(make(64), make(64)) for _ in range(20)] + [(make(63), make(65)) for _ in range(20)] + [(make(128), make(129)) for _ in range(20)] + [(make(2300), make(2200)), ("", ""), ("a", ""), ("b" * 70, "b" * 70)]
+    for a, b in pairs[:60]:
+        at = rng.randrange(len(a) + 1)
+        pairs.append((a, a[:at] + b[:3] + a[at + 2 :]))
+    assert T._edit_counts(pairs) == [_recount(a, b) for a, b in pairs]
