@@ -203,7 +203,8 @@ pairs AS (SELECT f.*, l.ref, {E.sql_correct("l.ref", "f.hypothesis")} AS correct
 per_case AS (SELECT system, doc_id, CASE WHEN doc_id % 2 = 0 THEN 'independent' ELSE 'derived' END AS baseline_kind,
   CAST(sum({E.sql_edits("ref", "hypothesis")}) AS DOUBLE) / sum(length(ref)) AS cer, CAST(count(*) FILTER (NOT correct AND decision_state = 'ACCEPTED') AS DOUBLE) / count(*) AS fce_rate,
   CAST(count(*) FILTER (decision_state = 'REVIEW_REQUIRED') AS DOUBLE) / count(*) AS review_rate, CAST(count(*) FILTER (decision_state = 'ACCEPTED') AS DOUBLE) / count(*) AS coverage_accepted,
-  CAST(count(*) FILTER (decision_state IN ('REVIEW_REQUIRED', 'ILLEGIBLE')) AS DOUBLE) / count(*) AS abstention_rate FROM pairs GROUP BY system, doc_id)"""
+  CAST(count(*) FILTER (decision_state IN ('REVIEW_REQUIRED', 'ILLEGIBLE')) AS DOUBLE) / count(*) AS abstention_rate,
+  CASE WHEN count(*) FILTER (decision_state = 'ACCEPTED') = 0 THEN 0.0::DOUBLE ELSE CAST(count(*) FILTER (decision_state = 'ACCEPTED' AND correct) AS DOUBLE) / count(*) FILTER (decision_state = 'ACCEPTED') END AS accepted_accuracy FROM pairs GROUP BY system, doc_id)"""
 
 
 def _per_case(spark, sf_dir):
@@ -228,6 +229,7 @@ def _per_case(spark, sf_dir):
         (F.count_if(state == T.REVIEW) / n).alias("review_rate"),
         (F.count_if(state == T.ACCEPTED) / n).alias("coverage_accepted"),
         (F.count_if(state.isin(T.REVIEW, T.ILLEGIBLE)) / n).alias("abstention_rate"),
+        F.when(F.count_if(state == T.ACCEPTED) == 0, 0.0).otherwise(F.count_if((state == T.ACCEPTED) & F.col("correct")) / F.greatest(F.count_if(state == T.ACCEPTED), F.lit(1))).alias("accepted_accuracy"),
     )
 
 
@@ -252,7 +254,7 @@ def ablation_summary(spark, sf_dir):
     return out.select("config", "baseline_kind", *[r(F.col(m)).alias(m) for m in ("cer", "fce_rate", "review_rate", "coverage_accepted")], "n")
 
 
-@query(f"""WITH {_SCORED},
+_CLAIMS = f"""{_SCORED},
 s AS (SELECT system, avg(cer) AS cer, avg(fce_rate) AS fce, avg(coverage_accepted) AS cov, avg(abstention_rate) AS abs FROM per_case GROUP BY system),
 m AS (SELECT max(cer) FILTER (system = 'print_only') AS pc, max(cer) FILTER (system = 'fused') AS sc, max(fce) FILTER (system = 'print_only') AS pf, max(fce) FILTER (system = 'fused') AS sf, max(cov) FILTER (system = 'print_only') AS pv, max(cov) FILTER (system = 'fused') AS sv,
   max(fce) FILTER (system = 'handwriting_lines') AS tf, max(cov) FILTER (system = 'handwriting_lines') AS tv, max(abs) FILTER (system = 'handwriting_lines') AS ta FROM s),
@@ -262,8 +264,11 @@ c AS (SELECT list_filter([
   {{'level': 'SUPPORTED_BUT_PRELIMINARY', 'claim': CASE WHEN sf + 1e-9 < pf THEN 'False-confident errors fall from ' || printf('%.4f', pf) || ' to ' || printf('%.4f', sf) || '.' ELSE 'Fewer false-confident errors are not demonstrated (' || printf('%.4f', sf) || ' against ' || printf('%.4f', pf) || ').' END}},
   CASE WHEN sv + 1e-9 < pv THEN {{'level': 'SUPPORTED_BUT_PRELIMINARY', 'claim': 'The fused system accepts less than print-only, as abstention does.'}} END,
   CASE WHEN tf < 0.15 AND (tv < 0.25 OR ta > 0.7) THEN {{'level': 'SUPPORTED_BUT_PRELIMINARY', 'claim': 'Handwriting-only has few false-confident errors because it abstains.'}} END,
-  {{'level': 'NOT_PROVEN', 'claim': 'Only 1 real case(s) can be scored.'}}, {{'level': 'NOT_PROVEN', 'claim': 'Significance of differences is NOT_PROVEN on so few cases.'}}], lambda x: x IS NOT NULL) AS l FROM m)
-SELECT CAST(i - 1 AS INT) AS ordinal, l[i].level AS level, l[i].claim AS claim FROM c, (SELECT unnest(range(1, 8)) AS i) WHERE i <= len(l)""")
+  {{'level': 'NOT_PROVEN', 'claim': 'Only 1 real case(s) can be scored.'}}, {{'level': 'NOT_PROVEN', 'claim': 'Significance of differences is NOT_PROVEN on so few cases.'}}], lambda x: x IS NOT NULL) AS l FROM m),
+claims AS (SELECT CAST(i - 1 AS INT) AS ordinal, l[i].level AS level, l[i].claim AS claim FROM c, (SELECT unnest(range(1, 8)) AS i) WHERE i <= len(l))"""
+
+
+@query(f"WITH {_CLAIMS} SELECT * FROM claims")
 def claims(spark, sf_dir):
     """What the means support."""
     means = metrics.mean_by_system(_per_case(spark, sf_dir), ["cer", "fce_rate", "coverage_accepted", "abstention_rate"])

@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 from quillstone.config import DecisionThresholds
 from quillstone.functions import geometry as G
 from quillstone.functions import text as T
-from quillstone.operators import imaging, layout, metrics, providers, results, routing, store, understanding
-from quillstone.operators import integrity
+from quillstone.operators import imaging, integrity, layout, metrics, providers, reports, results, routing, store, understanding
 from quillstone.plans import evidence as E
-from quillstone.plans.catalog import _HINT_BOXES, _IOUS, _MEANS, _ORDERED, _SCORED, _ordered, _per_case, query, r
+from quillstone.plans.catalog import _CLAIMS, _HINT_BOXES, _IOUS, _ISSUES, _JUDGED, _MEANS, _ORDERED, _SCORED, _inspected, _ordered, _per_case, claims, judged, query, r
 from quillstone.sources import files
 
 
@@ -241,6 +240,65 @@ def thresholds(spark, sf_dir):
     return spark.createDataFrame(list(_LIMITS.items()), "name string, value double")
 
 
+_COMPOSITION = """comp AS (SELECT count(*) AS total, count(*) FILTER (NOT sy) AS real, count(*) FILTER (sy) AS synthetic, count(*) FILTER (list_contains(tags, 'extreme')) AS extreme, count(*) FILTER (NOT regexp_matches(coalesce(ground_truth, ''), '\\S')) AS missing_truth,
+  count(*) FILTER (list_contains(issues, 'placeholder_name')) AS placeholder FROM inspected),
+img AS (SELECT image_sha256, string_agg(split || ':' || id, ', ' ORDER BY split || ':' || id) AS cases, count(DISTINCT split) AS splits, bool_or(q) AS any_q FROM inspected WHERE coalesce(image_sha256, '') <> '' GROUP BY 1 HAVING count(*) > 1),
+gt AS (SELECT 1 FROM inspected WHERE regexp_matches(ground_truth, '\\S') GROUP BY sha256(trim(regexp_replace(lower(ground_truth), '\\s+', ' ', 'g'))) HAVING count(*) > 1 AND count(DISTINCT id) > 1),
+groups AS (SELECT (SELECT count(*) FROM img) AS same_image, (SELECT count(*) FROM gt) AS same_truth, (SELECT count(*) FROM img WHERE splits > 1) AS leaks),
+q1 AS (SELECT count(*) FILTER (NOT bad) AS eligible, count(*) FILTER (bad) AS unfit FROM (SELECT len(issues) > 0 OR sy OR needs_gt_review AS bad FROM inspected WHERE q)),
+gate AS (SELECT eligible, unfit + (SELECT count(*) FROM img WHERE any_q) + (SELECT count(*) FROM img WHERE splits > 1 AND any_q) + CASE WHEN eligible < 15 THEN 1 ELSE 0 END AS failures FROM q1),
+gated AS (SELECT *, CASE WHEN failures = 0 THEN 'QUALIFIED_FOR_INTERNAL_EVALUATION' ELSE 'NOT_READY_DATASET' END AS decision FROM gate)"""
+
+
+def _sql_facts(section: int, source: str, *lines: str) -> str:
+    return " UNION ALL ".join(f"SELECT {section}, {i}, {x} FROM {source}" for i, x in enumerate(lines))
+
+
+@query(f"""WITH {_ISSUES}, {_COMPOSITION},
+report(section, ordinal, line) AS ({_sql_facts(0, "comp, groups", "'# Data set'", "'- cases: ' || total", "'- real: ' || real", "'- synthetic: ' || synthetic", "'- extreme: ' || extreme", "'- without reference: ' || missing_truth", "'- placeholder names: ' || placeholder", "'- groups with one image: ' || same_image", "'- groups with one reference: ' || same_truth", "'- images in several splits: ' || leaks")}
+  UNION ALL {_sql_facts(1, "gated", "'- eligible: ' || eligible", "'- failures: ' || failures", "'- decision: ' || decision")}
+  UNION ALL SELECT 2, row_number() OVER (ORDER BY split) + 99, '- ' || split || ': ' || count(*) || ' cases, ' || count(*) FILTER (NOT sy) || ' real, ' || count(*) FILTER (regexp_matches(ground_truth, '\S')) || ' with reference' FROM inspected GROUP BY split
+  UNION ALL SELECT 3, row_number() OVER (ORDER BY image_sha256) + 99, '- leak: ' || cases FROM img WHERE splits > 1)
+SELECT CAST(section AS INT) AS section, CAST(ordinal AS INT) AS ordinal, line FROM report""")
+def integrity_report(spark, sf_dir):
+    """The report on a data set, line by line."""
+    return reports.integrity_report(_inspected(spark, sf_dir))
+
+
+_SCORES_SQL = _CLAIMS.replace(f"{E.LINES},", "", 1)
+
+
+@query(f"""WITH {_ISSUES}, {_COMPOSITION}, {_JUDGED}, {_SCORES_SQL},
+p AS (SELECT correct, row_number() OVER (ORDER BY confidence DESC, doc_id, line_no) AS rank, count(*) OVER () AS of_ FROM marked),
+k AS (SELECT coverage, least((SELECT count(*) FROM marked), greatest(1, CAST(round_even(coverage * (SELECT count(*) FROM marked), 0) AS BIGINT))) AS k FROM (SELECT unnest([0.25::DOUBLE, 0.5, 0.75, 1.0]) AS coverage)),
+curve AS (SELECT coverage, k, CAST(count(*) FILTER (NOT correct) AS DOUBLE) / k AS fce, CAST(count(*) FILTER (correct) AS DOUBLE) / k AS acc FROM k JOIN p ON p.rank <= k GROUP BY coverage, k),
+mean AS (SELECT system, count(*) AS n, {", ".join(f"avg({m}) AS {m}" for m in reports.SHOWN)} FROM per_case GROUP BY system),
+abl AS (SELECT config, CASE WHEN count(DISTINCT baseline_kind) > 1 THEN 'mixed:' || string_agg(DISTINCT baseline_kind, ',' ORDER BY baseline_kind) ELSE max(baseline_kind) END AS kind, avg(cer) AS cer, avg(fce_rate) AS fce, avg(coverage_accepted) AS cov
+  FROM (SELECT p.*, unnest(CASE system WHEN 'print_only' THEN ['A'] WHEN 'handwriting_lines' THEN ['B'] WHEN 'handwriting_forced' THEN ['C'] ELSE ['D', 'E', 'F'] END) AS config FROM per_case p) GROUP BY config),
+final AS (SELECT g.*, CASE WHEN decision = 'NOT_READY_DATASET' THEN 'NOT_READY_DATASET' WHEN f.n = 0 THEN 'NOT_READY_EVALUATION' WHEN f.accepted_accuracy < 0.5 AND f.fce_rate > 0.2 THEN 'NOT_READY_UNCERTAINTY' WHEN f.cer > 0.25 THEN 'NOT_READY_ACCURACY' ELSE 'QUALIFIED_FOR_INTERNAL_EVALUATION' END AS final FROM gated g, (SELECT * FROM mean WHERE system = 'fused') f),
+report(section, ordinal, line) AS ({_sql_facts(0, "final", "'# Qualification'", "'- decision: ' || final", "'- evidence: ' || CASE WHEN final LIKE 'NOT_READY%' THEN 'preliminary, no evidence for qualification' ELSE final END", "'- eligible cases: ' || eligible", "'- required: 15'")}
+  UNION ALL {_sql_facts(1, "comp", "'## Cases'", "'- all: ' || total", "'- real: ' || real", "'- extreme: ' || extreme")}
+  UNION ALL SELECT 2, row_number() OVER (ORDER BY system) + 99, '| ' || system || ' | ' || n || ' | ' || {" || ' | ' || ".join(f"printf('%.3f', {m})" for m in reports.SHOWN)} || ' |' FROM mean
+  UNION ALL SELECT 3, row_number() OVER (ORDER BY coverage) + 99, '| ' || printf('%.2f', coverage) || ' | ' || k || ' | ' || printf('%.3f', fce) || ' | ' || printf('%.3f', acc) || ' |' FROM curve
+  UNION ALL SELECT 4, row_number() OVER (ORDER BY config) + 99, '| ' || config || ' | ' || kind || ' | ' || printf('%.3f', cer) || ' | ' || printf('%.3f', fce) || ' | ' || printf('%.3f', cov) || ' |' FROM abl
+  UNION ALL {_sql_facts(5, "(SELECT count(*) FILTER (system = 'fused' AND accepted_accuracy = 0 AND coverage_accepted > 0) AS failing FROM per_case)", "'## Failures'", "'- cases with accepted lines, none of them right: ' || failing")}
+  UNION ALL SELECT 6, ordinal + 100, '- ' || level || ': ' || claim FROM claims)
+SELECT CAST(section AS INT) AS section, CAST(ordinal AS INT) AS ordinal, line FROM report""")
+def qualification_report(spark, sf_dir):
+    """The report on which a system would be qualified, line by line."""
+    curves = metrics.risk_coverage(judged(spark, sf_dir).withColumn("all", F.lit(1)), ["all"], ["doc_id", "line_no"])
+    return reports.qualification_report(_inspected(spark, sf_dir), _per_case(spark, sf_dir), curves, claims(spark, sf_dir))
+
+
+@query("""SELECT CASE doc_id % 2 WHEN 0 THEN 'print_only' ELSE 'handwriting_lines' END AS system, doc_id AS case_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 5 <> 0 THEN 0.1::DOUBLE ELSE 0.4::DOUBLE END AS cer, CASE WHEN doc_id % 3 = 0 AND doc_id % 5 <> 0 THEN 'independent' ELSE 'derived' END AS baseline_kind FROM documents""")
+def baseline_fallback(spark, sf_dir):
+    """Scores of baselines: of an independent run where it worked, else derived ones."""
+    d = F.col("doc_id")
+    rows = E.table(spark, sf_dir, "documents").select(F.when(d % 2 == 0, "print_only").otherwise("handwriting_lines").alias("system"), d.alias("case_id"))
+    own = rows.where(F.col("case_id") % 3 == 0).withColumns({"cer": F.lit(0.1), "error": F.when(F.col("case_id") % 5 == 0, "no output")})
+    return reports.choose_baselines(own, rows.withColumn("cer", F.lit(0.4)))
+
+
 # --- routing, layout ---------------------------------------------------------------
 
 
