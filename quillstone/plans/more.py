@@ -257,7 +257,7 @@ def _sql_facts(section: int, source: str, *lines: str) -> str:
 @query(f"""WITH {_ISSUES}, {_COMPOSITION},
 report(section, ordinal, line) AS ({_sql_facts(0, "comp, groups", "'# Data set'", "'- cases: ' || total", "'- real: ' || real", "'- synthetic: ' || synthetic", "'- extreme: ' || extreme", "'- without reference: ' || missing_truth", "'- placeholder names: ' || placeholder", "'- groups with one image: ' || same_image", "'- groups with one reference: ' || same_truth", "'- images in several splits: ' || leaks")}
   UNION ALL {_sql_facts(1, "gated", "'- eligible: ' || eligible", "'- failures: ' || failures", "'- decision: ' || decision")}
-  UNION ALL SELECT 2, row_number() OVER (ORDER BY split) + 99, '- ' || split || ': ' || count(*) || ' cases, ' || count(*) FILTER (NOT sy) || ' real, ' || count(*) FILTER (regexp_matches(ground_truth, '\S')) || ' with reference' FROM inspected GROUP BY split
+  UNION ALL SELECT 2, row_number() OVER (ORDER BY split) + 99, '- ' || split || ': ' || count(*) || ' cases, ' || count(*) FILTER (NOT sy) || ' real, ' || count(*) FILTER (regexp_matches(ground_truth, '\\S')) || ' with reference' FROM inspected GROUP BY split
   UNION ALL SELECT 3, row_number() OVER (ORDER BY image_sha256) + 99, '- leak: ' || cases FROM img WHERE splits > 1)
 SELECT CAST(section AS INT) AS section, CAST(ordinal AS INT) AS ordinal, line FROM report""")
 def integrity_report(spark, sf_dir):
