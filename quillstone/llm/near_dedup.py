@@ -261,11 +261,12 @@ def components(edges: DataFrame) -> DataFrame:
     both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")), "cc-labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("seen")), "b").groupBy(F.col("a").alias("node")).agg(F.min("seen").alias("seen"))
+        seen = broadcast_if_small(labels.select(F.col("node").alias("b"), F.col("label").alias("seen")))
+        near = both.join(seen, "b").groupBy(F.col("a").alias("node")).agg(F.min("seen").alias("seen"))
         spread = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
         spread = materialise(spread, "cc-spread")
-        jumped = spread.alias("s").join(spread.select(F.col("node").alias("at"), F.col("label").alias("far")).alias("f"), F.col("s.label") == F.col("f.at"))
-        jumped = materialise(jumped.select("s.node", "s.old", F.least("s.label", "f.far").alias("label")), "cc-jumped")
+        ahead = broadcast_if_small(spread.select(F.col("node").alias("at"), F.col("label").alias("far")))
+        jumped = materialise(spread.join(ahead, F.col("label") == F.col("at")).select("node", "old", F.least("label", "far").alias("label")), "cc-jumped")
         labels = jumped.select("node", "label")
         if jumped.where(F.col("old") != F.col("label")).isEmpty():
             return labels
