@@ -19,8 +19,8 @@ STATES = (ACCEPTED, REVIEW, ILLEGIBLE, CROSSED_OUT)
 MAX_LINE_CER = 0.15
 #: Characters or words from which a bit-parallel count of edits is faster than Spark's.
 LONG = 48
-#: Machine words of the shorter text up to which pairs are counted side by side, and how many at once.
-MOST_WORDS, AT_ONCE = 32, 1024
+#: Machine words of the shorter text up to which pairs are counted side by side; how many at once, and with how many words together.
+MOST_WORDS, AT_ONCE, WORDS_AT_ONCE = 32, 4096, 1 << 16
 # What makes a text high-risk (digit, date, capitalised word, code).
 HIGH_RISK_PATTERN = r"(?U)\d|[A-Z][a-z]+|[A-Z0-9]{4,}"
 PLACEHOLDER_NAME_PATTERN = r"(?i)(placeholder|synthetic|opencv.?font|lorem|dummy)"
@@ -119,8 +119,9 @@ def _edit_counts(pairs: list[tuple[Sequence, Sequence]]) -> list[int]:
             out[i] = _edit_count(a, b)
     for words, group in like.items():
         group.sort(key=lambda i: max(map(len, pairs[i])))
-        for first in range(0, len(group), AT_ONCE):
-            some = group[first : first + AT_ONCE]
+        at_once = min(AT_ONCE, WORDS_AT_ONCE // words)
+        for first in range(0, len(group), at_once):
+            some = group[first : first + at_once]
             counts = _side_by_side([pairs[i] for i in some], words) if len(some) >= 16 else [_edit_count(*pairs[i]) for i in some]
             for i, n in zip(some, counts):
                 out[i] = int(n)
