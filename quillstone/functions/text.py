@@ -5,6 +5,8 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import combinations
+from operator import ne
 
 import numpy as np
 import pandas as pd
@@ -21,6 +23,8 @@ MAX_LINE_CER = 0.15
 LONG = 48
 #: Machine words of the shorter text up to which pairs are counted side by side; how many at once, and with how many words together.
 MOST_WORDS, AT_ONCE, WORDS_AT_ONCE = 32, 4096, 1 << 16
+#: Characters of texts whose bounds are taken together.
+CHARACTERS_AT_ONCE = 1 << 19
 # What makes a text high-risk (digit, date, capitalised word, code).
 HIGH_RISK_PATTERN = r"(?U)\d|[A-Z][a-z]+|[A-Z0-9]{4,}"
 PLACEHOLDER_NAME_PATTERN = r"(?i)(placeholder|synthetic|opencv.?font|lorem|dummy)"
@@ -37,17 +41,23 @@ def strip(text: Column) -> Column:
 
 @lru_cache(maxsize=1)
 def _nfkc_udf():
+    # not over batches of an iterator: Spark makes one pass for several columns then
     @F.pandas_udf("string")
-    def compose(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in texts:
-            yield series.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+    def compose(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
 
     return compose
 
 
 def nfkc(text: Column) -> Column:
-    """Unicode compatibility composition; no built-in does it."""
-    return _nfkc_udf()(text)
+    """Unicode compatibility composition; no built-in does it. Only texts beyond ASCII go to the worker."""
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.when(ascii_only, text).otherwise(_nfkc_udf()(F.when(~ascii_only, text)))
+
+
+def kept(value: Column) -> Column:
+    """``value``, worked out once in a step of its own: Spark does not copy what it takes for nondeterministic into the expressions that read it."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
 
 
 def squeeze_blanks(text: Column) -> Column:
@@ -105,11 +115,16 @@ def _edit_count(a: Sequence, b: Sequence) -> int:
 
 
 def _edit_counts(pairs: list[tuple[Sequence, Sequence]]) -> list[int]:
-    """Edits of many pairs: texts of like length go side by side through :func:`_side_by_side`, the rest one by one."""
+    """Edits of many pairs: of texts by :func:`_by_bounds` where that tells them; else texts of like length go side by side through :func:`_side_by_side`, the rest one by one."""
     out = [0] * len(pairs)
+    different = [i for i, (a, b) in enumerate(pairs) if a != b]
+    texts = [i for i in different if isinstance(pairs[i][0], str)]
+    for i, n in zip(texts, _by_bounds([pairs[i] for i in texts])):
+        out[i] = n
     like: dict[int, list[int]] = {}
-    for i, (a, b) in enumerate(pairs):
-        if a == b:
+    for i in different:
+        a, b = pairs[i]
+        if isinstance(a, str) and out[i] >= 0:
             continue
         least = min(len(a), len(b))
         words = (least + 63) // 64
@@ -128,6 +143,80 @@ def _edit_counts(pairs: list[tuple[Sequence, Sequence]]) -> list[int]:
     return out
 
 
+def _by_bounds(pairs: list[tuple[str, str]]) -> list[int]:
+    """Edits of pairs of different texts whose bounds meet, -1 for the others; time in proportion to the texts.
+
+    Below: characters that one text has more of than the other.  Above:
+    places that differ in texts of one length, else edits word by word.
+    """
+    out, first = [], 0
+    while first < len(pairs):
+        last, size = first, 0
+        while last < len(pairs) and (last == first or size < CHARACTERS_AT_ONCE):
+            size += len(pairs[last][0]) + len(pairs[last][1])
+            last += 1
+        some = pairs[first:last]
+        least, most = _bounds(some)
+        for (a, b), low, high in zip(some, least.tolist(), most.tolist()):
+            out.append(low if low == high or low == _edits_by_words(a, b) else -1)
+        first = last
+    return out
+
+
+def _bounds(pairs: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """The bounds of :func:`_by_bounds` from characters; above -1 for texts of two lengths."""
+    place: dict[str, int] = {}
+    left, right = (np.array([place.setdefault(p[k], len(place)) for p in pairs]) for k in (0, 1))
+    sizes = np.array([len(t) for t in place])
+    points = _points("".join(place))
+    # more kinds of characters share a count, which keeps the bound below
+    there = np.zeros(int(points.max()) + 1, dtype=bool)
+    there[points] = True
+    kinds = min(256, int(np.count_nonzero(there)))
+    kind = ((np.cumsum(there) - 1) % kinds).astype(np.int32)[points]
+    counts = np.bincount(np.repeat(np.arange(len(sizes), dtype=np.int32) * np.int32(kinds), sizes) + kind, minlength=len(sizes) * kinds).reshape(len(sizes), kinds)
+    more = counts[left] - counts[right]
+    over = np.maximum(more, 0).sum(axis=1)
+    least = np.maximum(over, over - more.sum(axis=1))
+    most = np.full(len(pairs), -1)
+    alike = np.flatnonzero(sizes[left] == sizes[right])
+    if alike.size:
+        differ = _points("".join(pairs[i][0] for i in alike)) != _points("".join(pairs[i][1] for i in alike))
+        long = sizes[left[alike]]
+        most[alike] = np.add.reduceat(differ, np.cumsum(long) - long, dtype=np.int64)
+    return least, most
+
+
+def _points(text: str) -> np.ndarray:
+    """Code points."""
+    try:
+        return np.frombuffer(text.encode("latin-1"), dtype=np.uint8)
+    except UnicodeEncodeError:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+
+def _edits_by_words(a: str, b: str) -> int:
+    """Edits that turn each word into the one at its place; -1 if there are not as many words in both, or long ones."""
+    left, right = a.split(" "), b.split(" ")
+    if len(left) != len(right):
+        return -1
+    total = 0
+    for x, y in zip(left, right):
+        if x != y:
+            if len(x) == len(y):
+                total += sum(map(ne, x, y))
+            elif max(len(x), len(y)) <= LONG:
+                total += _word_edits(x, y)
+            else:
+                return -1
+    return total
+
+
+@lru_cache(maxsize=100_000)
+def _word_edits(a: str, b: str) -> int:
+    return _edit_count(a, b)
+
+
 def _side_by_side(pairs: list[tuple[str, str]], words: int) -> np.ndarray:
     """The steps of :func:`_edit_count` for many pairs at once, on numbers of ``words`` machine words of 64 bits."""
     pairs = [(a, b) if len(a) <= len(b) else (b, a) for a, b in pairs]
@@ -200,14 +289,10 @@ def _pair_edits_udf():
     @F.pandas_udf("array<int>")
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in texts:
-            asked: dict[tuple[str, str], int] = {}
-            for row in series:
-                for i, a in enumerate(row if row is not None else ()):
-                    for b in row[:i]:
-                        if a != b:
-                            asked.setdefault((min(a, b), max(a, b)), 0)
-            known = dict(zip(asked, _edit_counts(list(asked))))
-            yield pd.Series([None if row is None else [0 if a == b else known[min(a, b), max(a, b)] for a in row for b in row] for row in series], dtype=object)
+            rows = [None if row is None else list(row) for row in series]
+            asked = list({(a, b) if a < b else (b, a): 0 for row in rows if row for a, b in combinations(dict.fromkeys(row), 2)})
+            known = dict(zip(asked, _edit_counts(asked)))
+            yield pd.Series([None if row is None else [0 if a == b else known[(a, b) if a < b else (b, a)] for a in row for b in row] for row in rows], dtype=object)
 
     return count
 
@@ -215,7 +300,7 @@ def _pair_edits_udf():
 def pair_edits(texts: Column) -> Column:
     """Edits between all pairs of a few texts, row by row in one array; long texts as in :func:`edits`."""
     long = F.coalesce(F.array_max(F.transform(texts, F.length)), F.lit(0)) > LONG
-    short = F.flatten(F.transform(texts, lambda a: F.transform(texts, lambda b: F.when(a == b, 0).otherwise(F.levenshtein(a, b)))))
+    short = let(texts, lambda all_: F.flatten(F.transform(all_, lambda a: F.transform(all_, lambda b: F.when(a == b, 0).otherwise(F.levenshtein(a, b))))))
     return F.when(~long, short).otherwise(_pair_edits_udf()(F.when(long, texts)))
 
 

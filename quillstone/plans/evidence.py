@@ -36,7 +36,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corrupted(ordinal: int) -> Column:
     ref = F.col("ref")
-    return (ref, F.regexp_replace(ref, "[ea]", "o"), F.regexp_replace(ref, "[st]", "f"), F.upper(ref), F.regexp_replace(ref, "[ou]", "0"))[ordinal]
+    either = lambda x, y, to: F.replace(F.replace(ref, F.lit(x), F.lit(to)), F.lit(y), F.lit(to))
+    return (ref, either("e", "a", "o"), either("s", "t", "f"), F.upper(ref), either("o", "u", "0"))[ordinal]
 
 
 def visual(ordinal: Column | int) -> Column:
@@ -62,11 +63,13 @@ def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same hypotheses as an array a line."""
+    rows = lines(spark, sf_dir).select("*", *[T.kept(corrupted(i)).alias(f"_{i}") for i in range(len(VARIANTS))])
     hyp = [
-        F.struct(corrupted(i).alias("text"), T.normalize_candidate(corrupted(i)).alias("normalized_text"), visual(i).alias("visual"), F.lit(v).alias("variant"), F.lit(m).alias("model"), F.lit(None).cast("string").alias("family"), F.lit(False).alias("safe_edit"))
+        F.struct(F.col(f"_{i}").alias("text"), T.normalize_candidate(F.col(f"_{i}")).alias("normalized_text"), visual(i).alias("visual"), F.lit(v).alias("variant"), F.lit(m).alias("model"), F.lit(None).cast("string").alias("family"), F.lit(False).alias("safe_edit"))
         for i, (v, m) in enumerate(VARIANTS)
     ]
-    return lines(spark, sf_dir).withColumn("hyps", F.array(*hyp)).withColumn("script_mode", F.when(F.col("doc_id") % 5 == 0, "print").otherwise("handwriting"))
+    rows = rows.withColumn("hyps", T.kept(F.array(*hyp))).drop(*[f"_{i}" for i in range(len(VARIANTS))])
+    return rows.withColumn("script_mode", F.when(F.col("doc_id") % 5 == 0, "print").otherwise("handwriting"))
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:

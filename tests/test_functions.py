@@ -240,3 +240,31 @@ def test_edits_side_by_side():
         at = rng.randrange(len(a) + 1)
         pairs.append((a, a[:at] + b[:3] + a[at + 2 :]))
     assert T._edit_counts(pairs) == [_recount(a, b) for a, b in pairs]
+
+
+def test_edits_whose_bounds_meet():
+    rng = random.Random(23)
+    pairs = []
+    for k in range(60):
+        a = "".join(rng.choice("aeßst ou中" if k % 2 else "aesß tou") for _ in range(rng.randint(1, 90)))
+        pairs += [(a, a.replace("e", "o")), (a, a.upper()), (a.replace("s", "f"), a.upper()), (a, a[::-1]), (a, "".join(chr(0x4E00 + 256 * (ord(c) % 64)) for c in a))]
+    many_kinds = ["".join(chr(0x4E00 + rng.randrange(900)) for _ in range(400)) for _ in range(4)]
+    pairs += [(many_kinds[k], many_kinds[k - 1]) for k in range(4)]
+    pairs = [(a, b) for a, b in pairs if a != b]
+    got = T._by_bounds(pairs)
+    assert all(n in (-1, _recount(a, b)) for n, (a, b) in zip(got, pairs))
+    # long texts of which single characters were replaced, words grew, or all letters are others, need no table of edits
+    long = "die große Straße, näher am Fluß als gedacht; " * 400
+    many = [(long, long.upper()), (long, long.replace("e", "o")), (long.replace("s", "f"), long.replace("a", "0")), ("", long)]
+    assert T._by_bounds(many) == [sum(c.islower() for c in long) + long.count("ß"), long.count("e"), long.count("s") + long.count("a"), -1]
+    assert T._by_bounds([]) == []
+
+
+def test_softmax_entropy_of_no_scores(spark):
+    got = one(spark, [([],), ([0.5],), ([0.2, 0.9],)], "s array<double>", S.softmax_entropy(F.col("s")))
+    assert got[0][0] == 1.0 and got[1][0] == pytest.approx(0.0, abs=1e-9) and 0.9 < got[2][0] < 1.0
+
+
+def test_composition_leaves_ascii_texts(spark):
+    got = one(spark, [("abc",), ("ﬁn",), (None,), ("",), ("é",)], "t string", T.nfkc(F.col("t")))
+    assert [g[0] for g in got] == ["abc", "fin", None, "", "é"]
