@@ -55,10 +55,10 @@ def coverage(text: Column) -> Column:
 
 def softmax_entropy(scores: Column) -> Column:
     """Entropy of the scores' softmax over its largest value; 1 without scores."""
-    top = F.array_max(scores)
-    weights = F.transform(scores, lambda s: F.exp(s - top))
-    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
-    entropy = F.aggregate(weights, F.lit(0.0), lambda a, x: a - (x / total) * F.ln(x / total + 1e-12))
+    weights = T.let(F.array_max(scores), lambda top: F.transform(scores, lambda s: F.exp(s - top)))
+    total = lambda all_: F.aggregate(all_, F.lit(0.0), lambda a, x: a + x)
+    entropy_of = lambda w, all_: F.aggregate(w, F.lit(0.0), lambda a, x: a - (x / all_) * F.ln(x / all_ + 1e-12))
+    entropy = T.let(weights, lambda w: T.let(total(w), lambda all_: entropy_of(w, all_)))
     most = F.when(F.size(scores) > 1, F.ln(F.size(scores).cast("double"))).otherwise(1.0)
     return F.when(F.size(scores) == 0, 1.0).otherwise(F.least(F.lit(1.0), entropy / most))
 

@@ -494,15 +494,16 @@ SELECT doc_id, line_no, round(({_PAIRS}) / 6, 9) AS stability, round(least(1.0::
 def stability_entropy(spark, sf_dir):
     """Mean similarity of a line's handwriting candidates and the entropy of their scores."""
     hand = F.filter("hyps", fusion.is_hand)
-    rows = E.candidates(spark, sf_dir).withColumn("hand", hand).withColumn("apart", fusion.distances(F.col("hand")))
+    rows = E.candidates(spark, sf_dir).withColumn("hand", T.kept(hand)).withColumn("apart", T.kept(fusion.distances(F.col("hand"))))
     places = F.filter(F.transform("hand", lambda h, i: F.when(h["normalized_text"] != "", i)), lambda i: i.isNotNull())
-    return rows.select("doc_id", "line_no", r(fusion.stability(places, F.col("apart"), F.size("hand"))).alias("stability"), r(S.softmax_entropy(F.transform("hand", lambda h: h["visual"]))).alias("entropy"), F.size(F.array_distinct(F.transform("hand", lambda h: h["normalized_text"]))).alias("texts"))
+    stability = T.let(places, lambda there: fusion.stability(there, F.col("apart"), F.size("hand")))
+    return rows.select("doc_id", "line_no", r(stability).alias("stability"), r(S.softmax_entropy(F.transform("hand", lambda h: h["visual"]))).alias("entropy"), F.size(F.array_distinct(F.transform("hand", lambda h: h["normalized_text"]))).alias("texts"))
 
 
 @query(fuse_sql.CLUSTERS)
 def cluster_fold(spark, sf_dir):
     """First-fit clusters of each line's five candidates."""
-    rows = E.candidates(spark, sf_dir).withColumn("apart", fusion.distances(F.col("hyps")))
+    rows = E.candidates(spark, sf_dir).withColumn("apart", T.kept(fusion.distances(F.col("hyps"))))
     numbers = fusion.cluster_numbers(F.col("hyps"), F.col("apart"))
     return rows.select("doc_id", "line_no", F.array_join(F.transform(numbers, lambda n: n.cast("string")), ",").alias("clusters"))
 
