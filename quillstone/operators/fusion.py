@@ -35,7 +35,12 @@ def first_max(items: Column, score) -> Column:
 
 
 def best_score(h: Column) -> Column:
-    return h["visual"] + F.when(h["safe_edit"], 0.03).otherwise(0.0) + 0.04 * S.domain_hint(h["text"])
+    return h["visual"] + F.when(h["safe_edit"], 0.03).otherwise(0.0) + 0.04 * h["hint"]
+
+
+def hinted(h: Column) -> Column:
+    """The hypothesis with the domain hint of its text, which is asked for often."""
+    return h.withField("hint", S.domain_hint(h["text"]))
 
 
 def pick_best(cluster: Column) -> Column:
@@ -46,7 +51,7 @@ def pick_best(cluster: Column) -> Column:
 def distances(hyps: Column) -> Column:
     """Edits per character of the longer text between all pairs of ``hyps``, row by row in one array."""
     lengths = F.transform(hyps, lambda h: F.length(h["normalized_text"]))
-    longer = F.flatten(F.transform(lengths, lambda a: F.transform(lengths, lambda b: F.greatest(a, b, F.lit(1)))))
+    longer = T.let(lengths, lambda all_: F.flatten(F.transform(all_, lambda a: F.transform(all_, lambda b: F.greatest(a, b, F.lit(1))))))
     return F.zip_with(T.pair_edits(F.transform(hyps, lambda h: h["normalized_text"])), longer, lambda n, most: n / most)
 
 
@@ -77,7 +82,7 @@ def clusters(hyps: Column, numbers: Column) -> Column:
         m = g["m"]
         return F.struct(
             (-F.size(F.filter(m, is_hand))).alias("hand"),
-            (-F.array_max(F.transform(m, lambda h: S.domain_hint(h["text"])))).alias("domain"),
+            (-F.array_max(F.transform(m, lambda h: h["hint"]))).alias("domain"),
             F.when(F.exists(m, lambda h: h["safe_edit"]), -1).otherwise(0).alias("edit"),
             (-F.array_max(F.transform(m, lambda h: h["visual"]))).alias("best"),
             (-F.size(m)).alias("many"),
@@ -93,7 +98,7 @@ def stability(places: Column, apart: Column, many: Column) -> Column:
     ``places``: where the texts stand among the ``many`` hypotheses of ``apart``, their :func:`distances`.
     """
     pairs = F.flatten(F.transform(places, lambda a, i: F.transform(F.slice(places, i + 2, F.size(places)), lambda b: 1.0 - F.get(apart, a * many + b))))
-    mean = F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x) / F.greatest(F.size(pairs), F.lit(1))
+    mean = T.let(pairs, lambda all_: F.aggregate(all_, F.lit(0.0), lambda acc, x: acc + x) / F.greatest(F.size(all_), F.lit(1)))
     return F.when(F.size(places) == 0, 0.0).when(F.size(places) == 1, 1.0).otherwise(mean)
 
 
@@ -138,7 +143,7 @@ def fuse(lines: DataFrame, limits: DecisionThresholds | None = None) -> DataFram
         mixed.alias("_mixed"),
         chosen.alias("_chosen"),
         moved.alias("_hyps"),
-        F.transform(F.filter(moved, lambda h: h["normalized_text"] != ""), lambda h, i: h.withField("place", i)).alias("_valid"),
+        T.kept(F.transform(F.filter(moved, lambda h: h["normalized_text"] != ""), lambda h, i: hinted(h).withField("place", i))).alias("_valid"),
         S.clip(arg("image_quality_risk", 0.3)).alias("_risk"),
         S.clip(arg("context_score", 0.0)).alias("_context"),
         S.clip(F.when(chosen, 1.0).otherwise(arg("verifier_agreement", 0.0))).alias("_agree"),
@@ -149,7 +154,7 @@ def fuse(lines: DataFrame, limits: DecisionThresholds | None = None) -> DataFram
         arg("strike_uncertain", False).alias("_strike"),
     )
     valid = F.col("_valid")
-    b = a.withColumn("_apart", distances(valid))
+    b = a.withColumn("_apart", T.kept(distances(valid)))
     apart, n_valid = F.col("_apart"), F.size(valid)
     b = b.withColumn("_numbers", cluster_numbers(valid, apart)).withColumns({"_hand": F.filter(valid, is_hand), "_printed": F.filter(valid, is_print)}).withColumn("_clusters", clusters(valid, F.col("_numbers")))
     cl, hand, printed = F.col("_clusters"), F.col("_hand"), F.col("_printed")
@@ -162,7 +167,7 @@ def fuse(lines: DataFrame, limits: DecisionThresholds | None = None) -> DataFram
     c = c.withColumn("_best0", F.when(pure_print, F.when((F.size(printed) > 0) & ~is_print(loudest), first_max(printed, visual)).otherwise(loudest)).otherwise(pick_best(F.col("_top0"))))
     # a chosen hypothesis is moved to the front; it may be without a normal form
     moved_first = F.get(F.col("_hyps"), F.lit(0))
-    sel = F.when(moved_first["normalized_text"] != "", F.get(valid, F.lit(0))).otherwise(moved_first.withField("place", F.lit(-1)))
+    sel = F.when(moved_first["normalized_text"] != "", F.get(valid, F.lit(0))).otherwise(hinted(moved_first).withField("place", F.lit(-1)))
     near = F.filter(valid, lambda h, i: (sel["place"] == 0) & (F.get(apart, i) <= CLUSTER_DISTANCE))
     c = c.withColumns({"_best": F.when(F.col("_chosen"), sel).otherwise(F.col("_best0")), "_top": F.when(F.col("_chosen"), _or_else(near, F.array(sel))).otherwise(F.col("_top0"))})
 
@@ -177,7 +182,7 @@ def fuse(lines: DataFrame, limits: DecisionThresholds | None = None) -> DataFram
     d = c.withColumns(
         {
             "_va": F.size(_variants(F.col("_pool"))) / F.greatest(F.size(every), F.lit(1)),
-            "_st": stability(F.transform(F.filter(F.col("_pool"), lambda h: h["place"] >= 0), lambda h: h["place"]), apart, n_valid),
+            "_st": T.let(F.transform(F.filter(F.col("_pool"), lambda h: h["place"] >= 0), lambda h: h["place"]), lambda there: stability(there, apart, n_valid)),
             "_vis": S.clip(F.coalesce(F.array_max(F.transform(F.col("_pool"), visual)), F.lit(0.0))),
             "_cross": cross,
             "_n": F.size(cl),

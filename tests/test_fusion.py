@@ -104,3 +104,13 @@ def test_guard_and_second_pass(spark):
     done = spark.createDataFrame([(1, "clahe")], "k int, variant string")
     assert routing.missing_variants(lines, done, ["k"]).count() == 7
     assert [d.count() for d in routing.split_blocked(spark.createDataFrame([(True,), (None,), (False,)], "htr_blocked boolean"))] == [1, 2]
+
+
+def test_candidates_are_made_once(spark, tmp_path):
+    from quillstone.plans import catalog, evidence
+
+    spark.createDataFrame([(1, "a line", "en", "s", 6)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("cluster_fold", "stability_entropy", "fuse_states"):
+        plan = catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("replace(replace(ref") == 3, name
+    assert [h.text for h in evidence.candidates(spark, str(tmp_path)).first().hyps] == ["a line", "o lino", "a line", "A LINE", "a line"]
