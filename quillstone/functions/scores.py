@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -112,14 +114,21 @@ def language_plausibility(text: Column, terms: tuple[str, ...] = LEXICON) -> Col
 
 
 def domain_score(text: Column, terms: tuple[str, ...] = LEXICON) -> Column:
-    found = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)
-    hits = F.size(F.filter(found, lambda t: t.isin(*terms, *UNITS)))
-    return F.when(F.size(found) == 0, 0.0).when(hits > 0, F.least(F.lit(1.0), 0.35 + 0.2 * hits)).when(is_date(text), 0.7).otherwise(0.0)
+    counts = lambda found: F.array(F.size(found), F.size(F.filter(found, lambda t: t.isin(*terms, *UNITS))))
+
+    def score(n: Column) -> Column:
+        words, hits = n[0], n[1]
+        return F.when(words == 0, 0.0).when(hits > 0, F.least(F.lit(1.0), 0.35 + 0.2 * hits)).when(is_date(text), 0.7).otherwise(0.0)
+
+    return T.let(T.let(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0), counts), score)
 
 
 def format_repair(text: Column, ascii_only: bool = False) -> Column:
     """Struct (text, edit): dates, units and slashes in their usual form; small slips of units and of the Rx sign mended."""
-    t = T.normalize_candidate(text, ascii_only)
+    return T.let(T.normalize_candidate(text, ascii_only), _formatted)
+
+
+def _formatted(t: Column) -> Column:
     compact = F.replace(t, F.lit(" "), F.lit(""))
     date = F.concat_ws("/", F.lpad(F.regexp_extract(compact, DATE_PATTERN, 1), 2, "0"), F.lpad(F.regexp_extract(compact, DATE_PATTERN, 2), 2, "0"), F.regexp_extract(compact, DATE_PATTERN, 3))
     unit_pattern = r"(?i)^(\d+(?:\.\d+)?)(mg|ml|g|kg|mcg|iu|mm|cm)$"
@@ -127,10 +136,10 @@ def format_repair(text: Column, ascii_only: bool = False) -> Column:
     slash_pattern = r"^(\d+(?:\.\d+)?)\s+/\s+(\d+(?:\.\d+)?)$"
     slash = F.concat_ws("/", F.regexp_extract(t, slash_pattern, 1), F.regexp_extract(t, slash_pattern, 2))
     slip = SLIP_PATTERN
-    units = F.regexp_replace(t, slip, "$1 mg")
-    prefix = PREFIX_PATTERN
-    both = F.regexp_replace(units, prefix, "Rx")
-    edit = F.when(t.rlike(slip), "unit_repair").when(units.rlike(prefix), "rx_prefix_repair")
+    slipped = t.rlike(slip)
+    units = F.when(slipped, F.regexp_replace(t, slip, "$1 mg")).otherwise(t)
+    mended = lambda u: result(F.regexp_replace(u, PREFIX_PATTERN, "Rx"), F.when(slipped, "unit_repair").otherwise("rx_prefix_repair"))
+    unprefixed = lambda u: F.when(u.rlike(PREFIX_PATTERN), mended(u)).otherwise(result(u, F.when(slipped, "unit_repair")))
 
     def result(value: Column, name: Column) -> Column:
         return F.struct(value.alias("text"), name.cast("string").alias("edit"))
@@ -139,7 +148,7 @@ def format_repair(text: Column, ascii_only: bool = False) -> Column:
         F.when(compact.rlike(DATE_PATTERN) & (date != t), result(date, F.lit("date_format")))
         .when(t.rlike(unit_pattern) & (unit != t), result(unit, F.lit("unit_spacing")))
         .when(t.rlike(slash_pattern) & (slash != t), result(slash, F.lit("slash_normalize")))
-        .otherwise(result(both, edit))
+        .otherwise(T.let(units, unprefixed))
     )
 
 
@@ -155,7 +164,7 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * row[-1] / (len(a) + len(b))
 
 
-def repair_word(word: str, lexicon: list[str], settings: RerankSettings) -> tuple[str, str | None]:
+def repair_word(word: str, lexicon: Sequence[str], settings: RerankSettings) -> tuple[str, str | None]:
     """The word, or its near-exact lexicon entry in the word's case; and the kind of edit."""
     low = word.lower()
     if low in ABBREVIATIONS:
@@ -185,34 +194,77 @@ def _edits(a: str, b: str) -> int:
 
 
 def lexicon_repair(terms: tuple[str, ...] = LEXICON, settings: RerankSettings | None = None):
-    """Pandas UDF: struct (text, edits) with near-exact lexicon words put right. Words repeat, so each is looked up once a batch."""
-    import re
-
-    chosen, lexicon = settings or RerankSettings(), sorted({t.lower() for t in terms})
-    parts = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9]+").findall
+    """Pandas UDF: struct (text, edits) with near-exact lexicon words put right."""
+    chosen = settings or RerankSettings()
 
     @F.pandas_udf("text string, edits int")
     def repair(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple[str, str | None]] = {}
         for series in texts:
-            if len(known) > 200_000:
-                known.clear()
-            rows = []
-            for t in series:
-                out, edits = [], 0
-                for part in parts(t or "") if chosen.lexicon_enabled else [t or ""]:
-                    if part.isascii() and part.isalpha():
-                        if part not in known:
-                            known[part] = repair_word(part, lexicon, chosen)
-                        part, kind = known[part]
-                        edits += kind is not None
-                    out.append(part)
-                rows.append(("".join(out), edits))
-            yield pd.DataFrame(rows, columns=["text", "edits"])
+            yield pd.DataFrame(_mend(list(series), terms, chosen), columns=["text", "edits"])
+
+    return repair
+
+
+def lexicon_repair_all(terms: tuple[str, ...] = LEXICON, settings: RerankSettings | None = None):
+    """:func:`lexicon_repair` of an array of texts; null where all stay as they are."""
+    chosen = settings or RerankSettings()
+
+    @F.pandas_udf("array<struct<text:string,edits:int>>")
+    def repair(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in rows:
+            texts = [() if row is None else list(row) for row in series]
+            mended, out, at = _mend([t for row in texts for t in row], terms, chosen), [], 0
+            for row in texts:
+                own = mended[at : at + len(row)]
+                out.append([{"text": t, "edits": n} for t, n in own] if any(a != (b or "") or n for (a, n), b in zip(own, row)) else None)
+                at += len(row)
+            yield pd.Series(out, dtype=object)
 
     return repair
 
 
+_PARTS, _WORDS = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9]+").findall, re.compile("[A-Za-z0-9]+").findall
+
+
+def _letters(words: list[str]) -> np.ndarray:
+    """A bit for each letter from a to z of the words, all in lower case and none of them empty."""
+    sizes = np.array([len(w) for w in words])
+    places = np.frombuffer("".join(words).encode("ascii", "replace"), dtype=np.uint8).astype(np.int32) - ord("a")
+    bits = np.where((places >= 0) & (places < 26), np.left_shift(1, places & 31), 0).astype(np.uint32)
+    return np.bitwise_or.reduceat(bits, np.cumsum(sizes) - sizes)
+
+
+def _maybe_near(words: list[str], lexicon: list[str], least: float) -> np.ndarray:
+    """Whether :func:`indel_ratio` may reach ``least`` for some term: letters that the other text lacks are not kept."""
+    sizes, own = np.array([len(w) for w in words]), _letters(words)
+    near = np.zeros(len(words), dtype=bool)
+    for term, letters in zip(lexicon, _letters(lexicon)):
+        kept = np.minimum(sizes - np.bitwise_count(own & ~letters), len(term) - np.bitwise_count(letters & ~own).astype(np.int64))
+        near |= 200.0 * kept >= least * (sizes + len(term)) - 1e-6
+    return near
+
+
+def _mend(texts: list[str | None], terms: tuple[str, ...], chosen: RerankSettings) -> list[tuple[str, int]]:
+    """Texts with near-exact lexicon words put right, and the numbers of edits. Words are weighed once, those that no term is near all together."""
+    lexicon = sorted({t.lower() for t in terms if t})
+    if not chosen.lexicon_enabled:
+        return [(t or "", 0) for t in texts]
+    words = [w for w in set(_WORDS("\n".join(filter(None, texts)))) if w.isalpha()]
+    long = [w for w in words if len(w) > 4]
+    asked = [w for w in words if len(w) <= 4 and w.lower() in ABBREVIATIONS]
+    if long and lexicon:
+        asked += [w for w, near in zip(long, _maybe_near([w.lower() for w in long], lexicon, chosen.min_fuzz_score)) if near or w.lower() in ABBREVIATIONS]
+    wrong = {w: to for w in asked if (to := repair_word(w, lexicon, chosen)) != (w, None)}
+    out = []
+    for t in texts:
+        if not t or not wrong or wrong.keys().isdisjoint(_WORDS(t)):
+            out.append((t or "", 0))
+            continue
+        parts = [wrong.get(part, (part, None)) for part in _PARTS(t)]
+        out.append(("".join(p for p, _ in parts), sum(kind is not None for _, kind in parts)))
+    return out
+
+
 def tags_of(filename: Column, states: Column, regions: Column) -> Column:
     """Difficulty tags guessed from a file's name and what was found on it."""
     name = F.lower(filename)

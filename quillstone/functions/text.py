@@ -55,6 +55,21 @@ def nfkc(text: Column) -> Column:
     return F.when(ascii_only, text).otherwise(_nfkc_udf()(F.when(~ascii_only, text)))
 
 
+@lru_cache(maxsize=1)
+def _nfkc_all_udf():
+    @F.pandas_udf("array<string>")
+    def compose(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda row: row if row is None else [t if t is None else unicodedata.normalize("NFKC", t) for t in row])
+
+    return compose
+
+
+def nfkc_all(texts: Column) -> Column:
+    """:func:`nfkc` of an array's texts."""
+    beyond = F.coalesce(F.exists(texts, lambda t: F.octet_length(t) != F.length(t)), F.lit(True))
+    return F.when(~beyond, texts).otherwise(_nfkc_all_udf()(F.when(beyond, texts)))
+
+
 def kept(value: Column) -> Column:
     """``value``, worked out once in a step of its own: Spark does not copy what it takes for nondeterministic into the expressions that read it."""
     return F.when(F.monotonically_increasing_id() >= 0, value)
@@ -116,7 +131,7 @@ def _edit_count(a: Sequence, b: Sequence) -> int:
 
 def _edit_counts(pairs: list[tuple[Sequence, Sequence]]) -> list[int]:
     """Edits of many pairs: of texts by :func:`_by_bounds` where that tells them; else texts of like length go side by side through :func:`_side_by_side`, the rest one by one."""
-    out = [0] * len(pairs)
+    pairs, out = list(pairs), [0] * len(pairs)
     different = [i for i, (a, b) in enumerate(pairs) if a != b]
     texts = [i for i in different if isinstance(pairs[i][0], str)]
     for i, n in zip(texts, _by_bounds([pairs[i] for i in texts])):
@@ -124,8 +139,10 @@ def _edit_counts(pairs: list[tuple[Sequence, Sequence]]) -> list[int]:
     like: dict[int, list[int]] = {}
     for i in different:
         a, b = pairs[i]
-        if isinstance(a, str) and out[i] >= 0:
-            continue
+        if isinstance(a, str):
+            if out[i] >= 0:
+                continue
+            pairs[i] = a, b = _middles(a, b)
         least = min(len(a), len(b))
         words = (least + 63) // 64
         if isinstance(a, str) and 0 < words <= MOST_WORDS:
@@ -163,6 +180,27 @@ def _by_bounds(pairs: list[tuple[str, str]]) -> list[int]:
     return out
 
 
+def _least(pairs: list[tuple[str, str]]) -> list[int]:
+    """Edits that pairs of different texts need at least."""
+    return [n for first in range(0, len(pairs), 1000) for n in _bounds(pairs[first : first + 1000])[0].tolist()]
+
+
+def _middles(a: str, b: str) -> tuple[str, str]:
+    """Two texts without what they begin and end with alike."""
+
+    def alike(most: int, same) -> int:
+        low = 0
+        while low < most:
+            mid = (low + most + 1) // 2
+            low, most = (mid, most) if same(low, mid) else (low, mid - 1)
+        return low
+
+    n = alike(min(len(a), len(b)), lambda low, mid: a[low:mid] == b[low:mid])
+    a, b = a[n:], b[n:]
+    n = alike(min(len(a), len(b)), lambda low, mid: a[len(a) - mid : len(a) - low] == b[len(b) - mid : len(b) - low])
+    return a[: len(a) - n], b[: len(b) - n]
+
+
 def _bounds(pairs: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
     """The bounds of :func:`_by_bounds` from characters; above -1 for texts of two lengths."""
     place: dict[str, int] = {}
@@ -304,6 +342,54 @@ def pair_edits(texts: Column) -> Column:
     return F.when(~long, short).otherwise(_pair_edits_udf()(F.when(long, texts)))
 
 
+def _nearest(rows: list) -> list:
+    """For each of a row's texts the distance to the nearest of its sources: first to the one that bounds from below put nearest, then to those that may be nearer still."""
+    asked = list({(t, s): 0 for row in rows if row for t in row[0] if t is not None and t not in row[1] for s in row[1]})
+    least = dict(zip(asked, _least(asked)))
+    share = lambda n, t, s: n / max(len(t), len(s))
+    wanted = {t: s for row in rows if row for t in row[0] if t is not None and t not in row[1] and row[1] for s in [min(row[1], key=lambda s: share(least[t, s], t, s))] for t, s in [((t, tuple(row[1])), s)]}
+    known = dict(zip(wanted, _edit_counts([(t, s) for (t, _), s in wanted.items()])))
+    best = {k: share(known[k], k[0], s) for k, s in wanted.items()}
+    more = [(k, s) for k in wanted for s in k[1] if s != wanted[k] and share(least[k[0], s], k[0], s) < best[k]]
+    for (k, s), n in zip(more, _edit_counts([(k[0], s) for k, s in more])):
+        best[k] = min(best[k], share(n, k[0], s))
+    return [None if row is None else [None if t is None else 0.0 if t in row[1] else best.get((t, tuple(row[1]))) for t in row[0]] for row in rows]
+
+
+@lru_cache(maxsize=1)
+def _nearest_udf():
+    @F.pandas_udf("array<double>")
+    def nearest(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, sources in batches:
+            rows = [None if t is None or s is None else (list(t), list(s)) for t, s in zip(texts, sources)]
+            yield pd.Series(_nearest(rows), dtype=object)
+
+    return nearest
+
+
+def nearest_distances(texts: Column, sources: Column) -> Column:
+    """For each of an array's texts the :func:`normalized_distance` to the nearest of ``sources``; null where either array or the text is."""
+    return _nearest_udf()(texts, sources)
+
+
+@lru_cache(maxsize=1)
+def _each_distance_udf():
+    @F.pandas_udf("array<double>")
+    def away(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in batches:
+            rows = [None if a is None or b is None else list(zip(a, b)) for a, b in zip(left, right)]
+            asked = list({p: 0 for row in rows if row for p in row if p[0] is not None and p[1] is not None and p[0] != p[1]})
+            known = {(a, b): n / max(len(a), len(b)) for (a, b), n in zip(asked, _edit_counts(asked))}
+            yield pd.Series([None if row is None else [None if p[0] is None or p[1] is None else known.get(p, 0.0) for p in row] for row in rows], dtype=object)
+
+    return away
+
+
+def each_distance(left: Column, right: Column) -> Column:
+    """The :func:`normalized_distance` of the texts at the same places of two arrays; null where one is."""
+    return _each_distance_udf()(left, right)
+
+
 def cer(reference: Column, hypothesis: Column) -> Column:
     """Edits per reference character; without a reference 0 or 1."""
     empty = F.length(reference) == 0

@@ -23,21 +23,26 @@ def _clone(h: Column, text: Column, boost: Column, ascii_only: bool) -> Column:
 def with_repairs(lines: DataFrame, key: list[str], settings: RerankSettings | None = None, ascii_only: bool = False, use_lexicon: bool = True) -> DataFrame:
     """Append to ``hyps`` the repaired forms of handwriting candidates that stay near their source.
 
-    The lexicon needs a Python worker: texts of all candidates go through it as
-    one column of exploded rows only when ``use_lexicon`` is set.
+    The lexicon needs a Python worker: only when ``use_lexicon`` is set, texts of
+    all candidates go through it, a line's as one array. ``key`` names a line; no
+    line leaves its row.
     """
     chosen = settings or RerankSettings()
     if use_lexicon and chosen.lexicon_enabled:
-        repair = S.lexicon_repair(settings=chosen)
-        flat = lines.select(*key, F.posexplode("hyps").alias("ordinal", "h"))
-        fixed = flat.withColumn("fmt", S.format_repair(F.col("h.text"), ascii_only)).withColumn("lex", repair(F.col("fmt.text")))
-        fixed = fixed.withColumns({"fixed": F.col("lex.text"), "boost": F.when(F.col("lex.edits") > 0, 0.02).otherwise(0.01)})
-        near = T.normalized_distance(T.squeeze_blanks(F.col("fixed")), F.col("h.normalized_text")) <= chosen.max_token_distance + 0.05
-        keep = is_hand(F.col("h")) & (F.col("h.text") != "") & (F.col("fixed") != F.col("h.text")) & near
-        clones = F.array_sort(F.collect_list(F.when(keep, F.struct("ordinal", _clone(F.col("h"), F.col("fixed"), F.col("boost"), ascii_only).alias("c")))))
-        per_line = fixed.groupBy(*key).agg(clones.alias("clones"))
-        joined = lines.join(per_line, key, "left")
-        return joined.withColumn("pool", F.when(F.col("clones").isNull(), F.col("hyps")).otherwise(F.concat("hyps", F.transform("clones", lambda x: x["c"])))).drop("clones")
+        texts = F.transform("hyps", lambda h: h["text"])
+        composed = lines.withColumn("_texts", T.kept(texts if ascii_only else T.nfkc_all(texts)))
+        formatted = composed.withColumn("_formatted", T.kept(F.transform("_texts", lambda t: S.format_repair(t, True)["text"])))
+        unchanged = F.transform("_formatted", lambda t: F.struct(F.coalesce(t, F.lit("")).alias("text"), F.lit(0).alias("edits")))
+        fixed = formatted.withColumn("_fixed", T.kept(F.coalesce(S.lexicon_repair_all(settings=chosen)("_formatted"), unchanged)))
+        changed = lambda h, f: is_hand(h) & (h["text"] != "") & (f["text"] != h["text"])
+        asked = fixed.withColumn("_asked", T.kept(F.zip_with("hyps", "_fixed", lambda h, f: F.when(changed(h, f), T.squeeze_blanks(f["text"])))))
+        some = F.exists("_asked", lambda t: t.isNotNull())
+        normal = F.transform("hyps", lambda h: h["normalized_text"])
+        away = asked.withColumn("_away", T.kept(T.each_distance(F.when(some, F.col("_asked")), F.when(some, normal))))
+        near = F.col("_away").isNotNull()
+        clone = lambda h, i: F.when(F.get("_away", i) <= chosen.max_token_distance + 0.05, _clone(h, F.get("_fixed", i)["text"], F.when(F.get("_fixed", i)["edits"] > 0, 0.02).otherwise(0.01), ascii_only))
+        pool = F.when(near, F.concat("hyps", F.array_compact(F.transform("hyps", clone)))).otherwise(F.col("hyps"))
+        return away.withColumn("pool", T.kept(pool)).drop("_texts", "_formatted", "_fixed", "_asked", "_away")
     fixed = F.transform("hyps", lambda h: F.struct(h.alias("h"), S.format_repair(h["text"], True)["text"].alias("fixed")))
     good = F.filter(fixed, lambda x: is_hand(x["h"]) & (x["h"]["text"] != "") & (x["fixed"] != x["h"]["text"]) & (T.lambda_distance(x["fixed"], x["h"]["normalized_text"]) <= chosen.max_token_distance + 0.05))
     return lines.withColumn("pool", F.concat("hyps", F.transform(good, lambda x: _clone(x["h"], x["fixed"], F.lit(0.01), True))))
@@ -50,23 +55,28 @@ def rank(lines: DataFrame, ascii_only: bool = False) -> DataFrame:
     """
 
     def formatted(h: Column) -> Column:
-        f = S.format_repair(h["text"], True)
-        changed = f["edit"].isNotNull() & (f["text"] != h["text"])
-        return F.when(changed, F.struct(f["text"].alias("text"), f["text"].alias("normalized_text"), h["visual"].alias("visual"), h["variant"].alias("variant"), h["model"].alias("model"), h["family"].alias("family"), F.lit(True).alias("safe_edit"))).otherwise(h)
-
-    works = F.transform("pool", formatted)
-    sources = F.transform("hyps", lambda h: F.coalesce(h["normalized_text"], F.lit("")))
+        def changed_by(f: Column) -> Column:
+            changed = f["edit"].isNotNull() & (f["text"] != h["text"])
+            return F.when(changed, F.struct(f["text"].alias("text"), f["text"].alias("normalized_text"), h["visual"].alias("visual"), h["variant"].alias("variant"), h["model"].alias("model"), h["family"].alias("family"), F.lit(True).alias("safe_edit"))).otherwise(h)
+
+        return T.let(S.format_repair(h["text"], True), changed_by)
+
+    works = lines.withColumns({"_works": T.kept(F.transform("pool", formatted)), "_sources": T.kept(F.transform("hyps", lambda h: F.coalesce(h["normalized_text"], F.lit(""))))})
+    # texts of known distance 0 need no count of edits
+    strange = F.array_distinct(F.filter(F.transform("_works", lambda h: h["normalized_text"]), lambda t: ~F.array_contains("_sources", t)))
+    works = works.withColumn("_strange", T.kept(strange))
+    asked = F.size("_strange") > 0
+    works = works.withColumn("_nearest", T.kept(T.nearest_distances(F.when(asked, F.col("_strange")), F.when(asked, F.col("_sources")))))
     crowded = F.when(F.size(F.array_distinct(F.filter(F.transform("hyps", lambda h: h["normalized_text"]), lambda t: t != ""))) > 3, 0.15).otherwise(0.0)
+    works = works.withColumn("_crowded", T.kept(crowded))
 
     def scored(h: Column, i: Column) -> Column:
-        # texts of known distance 0 need no count of edits
-        away = F.when(F.array_contains(sources, h["normalized_text"]), 0.0).otherwise(F.array_min(F.transform(sources, lambda s: T.lambda_distance(h["normalized_text"], s))))
-        score = h["visual"] + 0.12 * S.language_plausibility(h["text"]) + 0.08 * S.domain_score(h["text"]) + F.when(is_hand(h), 0.08).otherwise(-0.2) - 0.45 * away - crowded
+        away = F.when(F.array_contains("_sources", h["normalized_text"]), 0.0).otherwise(F.get("_nearest", F.array_position("_strange", h["normalized_text"]).cast("int") - 1))
+        score = h["visual"] + 0.12 * S.language_plausibility(h["text"]) + 0.08 * S.domain_score(h["text"]) + F.when(is_hand(h), 0.08).otherwise(-0.2) - 0.45 * away - F.col("_crowded")
         return F.struct((-score).alias("s"), i.alias("i"), away.alias("away"), h.alias("h"))
 
-    kept = F.array_sort(F.filter(F.transform(works, scored), lambda x: x["away"] <= MAX_INVENTION))
-    out = lines.withColumn("_kept", kept)
+    out = works.withColumn("_kept", T.kept(F.array_sort(F.filter(F.transform("_works", scored), lambda x: x["away"] <= MAX_INVENTION))))
     ranked = F.transform("_kept", lambda x: x["h"])
-    out = out.withColumn("_ranked", F.when(F.size("_kept") > 0, ranked).otherwise(F.col("hyps")))
+    out = out.withColumn("_ranked", T.kept(F.when(F.size("_kept") > 0, ranked).otherwise(F.col("hyps"))))
     context = F.when(F.size("_kept") > 0, S.clip(0.35 * S.domain_score(F.get("_ranked", F.lit(0))["text"]) + 0.2)).otherwise(0.0)
-    return out.withColumns({"context_score": context, "hyps": F.col("_ranked")}).drop("_kept", "_ranked", "pool")
+    return out.withColumns({"context_score": context, "hyps": F.col("_ranked")}).drop("_kept", "_ranked", "pool", "_works", "_sources", "_strange", "_nearest", "_crowded")

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.config import BoxThresholds, DecisionThresholds, from_env
+from quillstone.config import BoxThresholds, DecisionThresholds, RerankSettings, from_env
 from quillstone.functions import geometry as G
 from quillstone.functions import scores as S
 from quillstone.functions import text as T
@@ -268,3 +268,19 @@ def test_softmax_entropy_of_no_scores(spark):
 def test_composition_leaves_ascii_texts(spark):
     got = one(spark, [("abc",), ("ﬁn",), (None,), ("",), ("é",)], "t string", T.nfkc(F.col("t")))
     assert [g[0] for g in got] == ["abc", "fin", None, "", "é"]
+
+
+def test_lexicon_by_force():
+    rng = random.Random(6)
+    settings, words = RerankSettings(), []
+    for _ in range(400):
+        w = list(rng.choice(S.LEXICON))
+        for _ in range(rng.randint(0, 2)):
+            k = rng.randrange(len(w))
+            w[k : k + 1] = rng.choice([[], [w[k], rng.choice("aeilnrst")], [rng.choice("aeilnrst")]])
+        words.append(rng.choice([str.lower, str.upper, str.capitalize])("".join(w) or "x"))
+    words += ["dr", "NKDA", "4mg", "zzzzzzzz", None, ""]
+    lexicon = sorted(S.LEXICON)
+    want = [("", 0) if not w else (w, 0) if not w.isalpha() else (lambda to, kind: (to, int(kind is not None)))(*S.repair_word(w, lexicon, settings)) for w in words]
+    assert S._mend(words, S.LEXICON, settings) == want
+    assert S._mend([" ".join(filter(None, words))], S.LEXICON, settings) == [(" ".join(t for t, _ in want if t), sum(n for _, n in want))]

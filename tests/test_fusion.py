@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +116,25 @@ def test_candidates_are_made_once(spark, tmp_path):
         plan = catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("replace(replace(ref") == 3, name
     assert [h.text for h in evidence.candidates(spark, str(tmp_path)).first().hyps] == ["a line", "o lino", "a line", "A LINE", "a line"]
+
+
+def test_rerank_keeps_lines_in_their_rows(spark):
+    hyps = [hyp("give amoxicilin 0ng daily " * 9, 0.6), hyp("give amoxicilin ong daily " * 9, 0.5, "clahe"), hyp("GIVE", 0.4, "denoised")]
+    frame = spark.createDataFrame([(1, hyps), (1, hyps[:1]), (2, []), (3, None)], f"k int, hyps array<{HYPOTHESIS.simpleString()}>")
+    rows = rerank.with_repairs(frame, ["k"])
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    got = [None if r.pool is None else [h.text for h in r.pool] for r in rows.collect()]
+    fixed = ("give amoxicillin 0 mg daily " * 9).strip()
+    assert got == [[h[0] for h in hyps] + [fixed, ("give amoxicillin ong daily " * 9).strip()], [hyps[0][0], fixed], [], None]
+
+
+def test_nearest_source_by_force():
+    from quillstone.functions import text as T
+    from tests.test_functions import _recount
+
+    rng = random.Random(8)
+    make = lambda: "".join(rng.choice("ab é") for _ in range(rng.randint(0, 30)))
+    rows = [([make() for _ in range(3)], [make() for _ in range(rng.randint(1, 4))]) for _ in range(80)] + [(["a", None], ["b", "a"]), ([], ["a"]), None]
+    want = [None if r is None else [None if t is None else min(_recount(t, s) / max(len(t), len(s), 1) for s in r[1]) for t in r[0]] for r in rows]
+    assert T._nearest(rows) == want
