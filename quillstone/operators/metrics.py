@@ -204,6 +204,12 @@ def independent_state(system: str, score: Column, text: Column) -> Column:
     return F.when(~usable, T.ILLEGIBLE).when(score >= 0.72, T.ACCEPTED).when(score >= 0.55, T.REVIEW).otherwise(T.ILLEGIBLE)
 
 
+def configured(rows: DataFrame) -> DataFrame:
+    """Rows of systems as rows of the configurations that use them (``config``)."""
+    uses = F.create_map(*[F.lit(x) for pair in (("print_only", "A"), ("handwriting_lines", "B"), ("handwriting_forced", "C"), ("fused", "D,E,F")) for x in pair])
+    return rows.withColumn("config", F.explode(F.split(F.try_element_at(uses, F.col("system")), ",")))
+
+
 def ablation(scored: DataFrame) -> DataFrame:
     """Configurations A-F from scored systems (``system``, ``case_id``, ``baseline_kind``, measures).
 
@@ -211,8 +217,7 @@ def ablation(scored: DataFrame) -> DataFrame:
     accepted, D the fused system; E and F stand for runs of D with a verifier
     and with conservative limits and repeat its figures until they are measured.
     """
-    uses = F.create_map(*[F.lit(x) for pair in (("print_only", "A"), ("handwriting_lines", "B"), ("handwriting_forced", "C"), ("fused", "D,E,F")) for x in pair])
-    rows = scored.withColumn("config", F.explode(F.split(F.try_element_at(uses, F.col("system")), ",")))
+    rows = configured(scored)
     nan = F.lit(float("nan"))
     means = [F.coalesce(F.avg(m), nan).alias(m) for m in ("cer", "fce_rate", "review_rate", "coverage_accepted")]
     return rows.groupBy("config").agg(kind_of_rows(F.col("baseline_kind")).alias("baseline_kind"), *means, F.count(F.lit(1)).alias("n"))

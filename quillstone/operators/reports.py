@@ -77,29 +77,42 @@ def integrity_report(inspected: DataFrame) -> DataFrame:
     )
 
 
-def qualification_report(inspected: DataFrame, scored: DataFrame, curves: DataFrame, claims: DataFrame) -> DataFrame:
+def by_system(scored: DataFrame) -> DataFrame:
+    """One row a system, worked out now: ``n``, the means of ``SHOWN``, ``kinds`` of its rows and how many are ``failing``, with accepted lines and none of them right.
+
+    ``scored``: a row a case and system with ``SHOWN`` and ``baseline_kind``. All that a report says of scores follows from these few rows, so the scores are worked out once.
+    """
+    nan = F.lit(float("nan"))
+    found = scored.groupBy("system").agg(
+        F.count(F.lit(1)).alias("n"), *[F.coalesce(F.avg(m), nan).alias(f"mean_{m}") for m in SHOWN], F.array_sort(F.collect_set("baseline_kind")).alias("kinds"),
+        F.count_if((F.col("accepted_accuracy") == 0) & (F.col("coverage_accepted") > 0)).alias("failing"),
+    )
+    return scored.sparkSession.createDataFrame(found.collect(), found.schema)
+
+
+def qualification_report(inspected: DataFrame, systems: DataFrame, curves: DataFrame, claims: DataFrame) -> DataFrame:
     """The decision over a data set and its scores, with all that it rests on.
 
-    ``scored``: a row a case and system with ``SHOWN`` and ``baseline_kind``;
-    ``curves``: coverage, n, fce, accepted_accuracy of the fused system;
-    ``claims``: rows of :func:`integrity.claims`.
+    ``systems``: rows of :func:`by_system`; ``curves``: coverage, n, fce,
+    accepted_accuracy of the fused system; ``claims``: rows of
+    :func:`integrity.claims`.
     """
-    means = metrics.mean_by_system(scored, list(SHOWN))
     of = lambda m: F.max(F.when(F.col("system") == "fused", F.col(m)))
-    fused = means.agg(F.count(F.lit(1)).alias("systems"), *[of(f"mean_{m}").alias(m) for m in ("cer", "fce_rate", "accepted_accuracy")], of("n").alias("scored"))
+    fused = systems.agg(F.count(F.lit(1)).alias("systems"), *[of(f"mean_{m}").alias(m) for m in ("cer", "fce_rate", "accepted_accuracy")], of("n").alias("scored"))
     one = integrity.gate(inspected).withColumn("k", F.lit(1)).join(fused.withColumn("k", F.lit(1)), "k")
     decision = integrity.qualification(F.col("decision"), F.col("systems") > 0, F.coalesce("scored", F.lit(0)), F.col("accepted_accuracy"), F.col("fce_rate"), F.col("cer"))
     one = one.withColumn("final", decision)
     status = F.when(F.col("final").startswith("NOT_READY"), "preliminary, no evidence for qualification").otherwise(F.col("final"))
-    failing = scored.agg(F.count_if((F.col("system") == "fused") & (F.col("accepted_accuracy") == 0) & (F.col("coverage_accepted") > 0)).alias("failing"))
+    failing = systems.agg(F.coalesce(of("failing"), F.lit(0)).alias("failing"))
+    configs = metrics.configured(systems).withColumn("kind", F.when(F.size("kinds") > 1, F.concat(F.lit("mixed:"), F.array_join("kinds", ","))).otherwise(F.try_element_at("kinds", F.lit(1))))
     measured = [_number(F.col(f"mean_{m}")) for m in SHOWN]
     return _together(
         [
             _facts(0, one, "# Qualification", _said("decision", "final"), _said("evidence", status), _said("eligible cases", "eligible"), _said("required", F.lit(integrity.MIN_REAL))),
             _facts(1, composition(inspected), "## Cases", _said("all", "total"), _said("real", "real"), _said("extreme", "extreme")),
-            _table(2, means, ["system"], _cells("system", F.col("n").cast("string"), *measured)),
+            _table(2, systems, ["system"], _cells("system", F.col("n").cast("string"), *measured)),
             _table(3, curves, ["coverage"], _cells(F.format_string("%.2f", F.col("coverage")), F.col("n").cast("string"), _number(F.col("fce")), _number(F.col("accepted_accuracy")))),
-            _table(4, metrics.ablation(scored), ["config"], _cells("config", "baseline_kind", _number(F.col("cer")), _number(F.col("fce_rate")), _number(F.col("coverage_accepted")))),
+            _table(4, configs, ["config"], _cells("config", "kind", *[_number(F.col(f"mean_{m}")) for m in ("cer", "fce_rate", "coverage_accepted")])),
             _facts(5, failing, "## Failures", _said("cases with accepted lines, none of them right", "failing")),
             _table(6, claims, ["ordinal"], F.concat(F.lit("- "), "level", F.lit(": "), "claim")),
         ]

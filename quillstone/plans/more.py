@@ -14,7 +14,7 @@ from quillstone.functions import geometry as G
 from quillstone.functions import text as T
 from quillstone.operators import imaging, integrity, layout, metrics, providers, reports, results, routing, store, understanding
 from quillstone.plans import evidence as E
-from quillstone.plans.catalog import _CLAIMS, _HINT_BOXES, _IOUS, _ISSUES, _JUDGED, _MEANS, _ORDERED, _SCORED, _inspected, _ordered, _per_case, claims, judged, query, r
+from quillstone.plans.catalog import _CLAIMS, _HINT_BOXES, _IOUS, _ISSUES, _JUDGED, _MEANS, _ORDERED, _SCORED, _inspected, _ordered, _per_case, judged, query, r
 from quillstone.sources import files
 
 
@@ -287,7 +287,8 @@ SELECT CAST(section AS INT) AS section, CAST(ordinal AS INT) AS ordinal, line FR
 def qualification_report(spark, sf_dir):
     """The report on which a system would be qualified, line by line."""
     curves = metrics.risk_coverage(judged(spark, sf_dir).withColumn("all", F.lit(1)), ["all"], ["doc_id", "line_no"])
-    return reports.qualification_report(_inspected(spark, sf_dir), _per_case(spark, sf_dir), curves, claims(spark, sf_dir))
+    systems = reports.by_system(_per_case(spark, sf_dir))
+    return reports.qualification_report(_inspected(spark, sf_dir), systems, curves, integrity.claims(systems, n_cases=10, n_real=1, eligible=False))
 
 
 @query("""SELECT CASE doc_id % 2 WHEN 0 THEN 'print_only' ELSE 'handwriting_lines' END AS system, doc_id AS case_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 5 <> 0 THEN 0.1::DOUBLE ELSE 0.4::DOUBLE END AS cer, CASE WHEN doc_id % 3 = 0 AND doc_id % 5 <> 0 THEN 'independent' ELSE 'derived' END AS baseline_kind FROM documents""")

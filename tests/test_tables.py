@@ -230,3 +230,18 @@ def test_curve_by_force(spark, monkeypatch, ranges):
             wrong = sum(r[3] == "abxx" for r in own[:k])
             want[case, p] = (k, round(wrong / k, 9), 2 * wrong, sum(len(r[2]) for r in own[:k]))
     assert got == want
+
+
+def test_report_works_scores_out_once(spark, tmp_path):
+    from quillstone.operators import reports
+    from quillstone.plans import catalog, more  # noqa: F401
+
+    cols = ", ".join(f"{m} double" for m in reports.SHOWN)
+    rows = [("fused", "x", 0.1, 0.0, 0.0, 0.5, 0.0, 0.0), ("fused", "y", 0.3, 0.0, 0.0, 0.0, 0.0, 0.0), ("other", "x", None, 0.0, 0.0, 1.0, 0.0, 1.0)]
+    systems = {r.system: r for r in reports.by_system(spark.createDataFrame(rows, f"system string, baseline_kind string, {cols}")).collect()}
+    assert (systems["fused"].n, systems["fused"].mean_cer, systems["fused"].kinds, systems["fused"].failing) == (2, pytest.approx(0.2), ["x", "y"], 1)
+    assert systems["other"].mean_cer != systems["other"].mean_cer and systems["other"].failing == 0
+    spark.createDataFrame([(d, f"line of {d}\nmore", "en", "s", 1) for d in range(1, 5)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    report = catalog.QUERIES["qualification_report"](spark, str(tmp_path))
+    assert "visual_score" not in report._jdf.queryExecution().analyzed().toString()
+    assert {r.section for r in report.collect()} == set(range(7))
