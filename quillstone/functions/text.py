@@ -431,9 +431,9 @@ def exact_match(reference: Column, hypothesis: Column) -> Column:
     return F.when(normalize(reference) == normalize(hypothesis), 1.0).otherwise(0.0)
 
 
-def line_correct(reference: Column, hypothesis: Column, max_cer: float = MAX_LINE_CER) -> Column:
-    """Equal in normal form, or both blank, or few enough edits."""
-    ref, hyp = normalize(reference), normalize(hypothesis)
+def line_correct(reference: Column, hypothesis: Column, max_cer: float = MAX_LINE_CER, normal: tuple[Column, Column] | None = None) -> Column:
+    """Equal in normal form, or both blank, or few enough edits. ``normal``: the two normal forms, where they are at hand."""
+    ref, hyp = normal or (normalize(reference), normalize(hypothesis))
     blank = strip(F.coalesce(hypothesis, F.lit(""))).isin(*PLACEHOLDERS)
     return F.when(ref == hyp, True).when(ref == "", blank).otherwise(cer(ref, hyp) <= max_cer)
 

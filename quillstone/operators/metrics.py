@@ -38,7 +38,9 @@ def judge(pairs: DataFrame, max_cer: float = T.MAX_LINE_CER) -> DataFrame:
     state = F.upper(F.coalesce("decision_state", F.lit(T.REVIEW)))
     ref, hyp = F.coalesce("reference", F.lit("")), F.coalesce("hypothesis", F.lit(""))
     out = pairs.withColumns({"reference": ref, "hypothesis": hyp, "decision_state": state, "confidence": F.coalesce("confidence", F.lit(0.0))})
-    out = out.withColumn("correct", T.line_correct(F.col("reference"), F.col("hypothesis"), max_cer))
+    out = out.withColumns({"_normal_ref": T.kept(T.normalize(F.col("reference"))), "_normal_hyp": T.kept(T.normalize(F.col("hypothesis")))})
+    correct = T.line_correct(F.col("reference"), F.col("hypothesis"), max_cer, (F.col("_normal_ref"), F.col("_normal_hyp")))
+    out = out.withColumn("correct", correct).drop("_normal_ref", "_normal_hyp")
     wrong = ~F.col("correct")
     return out.withColumns(
         {
@@ -178,14 +180,15 @@ def kind_of_rows(kind: Column) -> Column:
 def derived_baselines(words: DataFrame, hypotheses: DataFrame) -> DataFrame:
     """Per line the best hypothesis of each engine family, as two systems that share the detections.
 
-    ``words``: doc_id, line_no; ``hypotheses``: doc_id, line_no, text, visual_score, model_name, ordinal.
+    ``words``: doc_id, line_no, and columns to keep; ``hypotheses``: doc_id, line_no, text, visual_score, model_name, ordinal.
     """
     best = F.struct(F.col("visual_score").alias("s"), (-F.col("ordinal")).alias("o"), F.col("text").alias("t"))
     families = {"print_only": T.is_print_model(F.col("model_name")), "handwriting_lines": T.is_handwriting_model(F.col("model_name"))}
     found = hypotheses.groupBy("doc_id", "line_no").agg(*[F.max(F.when(c, best)).alias(k) for k, c in families.items()])
     joined = words.join(found, ["doc_id", "line_no"], "left")
     systems = F.explode(F.array(*[F.struct(F.lit(k).alias("system"), F.col(k)["t"].alias("t"), F.col(k)["s"].alias("s")) for k in families]))
-    rows = joined.select("doc_id", "line_no", systems.alias("x")).select("doc_id", "line_no", "x.*")
+    more = [c for c in words.columns if c not in ("doc_id", "line_no")]
+    rows = joined.select("doc_id", "line_no", *more, systems.alias("x")).select("doc_id", "line_no", *more, "x.*")
     usable = F.coalesce(T.strip(F.col("t")) != "", F.lit(False))
     state = F.when(~usable, T.ILLEGIBLE).when(F.col("system") == "print_only", T.ACCEPTED).when(F.col("s") >= 0.72, T.ACCEPTED).otherwise(T.REVIEW)
     return rows.select(
@@ -193,6 +196,7 @@ def derived_baselines(words: DataFrame, hypotheses: DataFrame) -> DataFrame:
         F.when(usable, F.col("t")).otherwise(T.ILLEGIBLE_TEXT).alias("hypothesis"),
         state.alias("decision_state"),
         F.when(usable, F.col("s")).otherwise(0.0).alias("confidence"),
+        *more,
     )
 
 

@@ -209,8 +209,8 @@ per_case AS (SELECT system, doc_id, CASE WHEN doc_id % 2 = 0 THEN 'independent'
 
 def _per_case(spark, sf_dir):
     """Scores of four systems per document."""
-    two = _systems(spark, sf_dir).select("doc_id", "line_no", "system", "hypothesis", "decision_state", "confidence")
-    pairs = metrics.judge(two.join(E.lines(spark, sf_dir).select("doc_id", "line_no", F.col("ref").alias("reference")), ["doc_id", "line_no"]))
+    words = E.lines(spark, sf_dir).select("doc_id", "line_no", F.col("ref").alias("reference"))
+    pairs = metrics.judge(metrics.derived_baselines(words, E.hypotheses(spark, sf_dir)))
     pairs = pairs.withColumn("edits", T.edits(F.col("reference"), F.col("hypothesis")))
     # the fused and the forced system have the handwriting system's texts, with other states
     as_system = lambda name, state: F.struct((F.lit(name) if isinstance(name, str) else name).alias("system"), F.lit(state).alias("state") if isinstance(state, str) else state.alias("state"))

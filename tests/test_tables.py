@@ -245,3 +245,11 @@ def test_report_works_scores_out_once(spark, tmp_path):
     report = catalog.QUERIES["qualification_report"](spark, str(tmp_path))
     assert "visual_score" not in report._jdf.queryExecution().analyzed().toString()
     assert {r.section for r in report.collect()} == set(range(7))
+
+
+def test_scores_join_texts_once_and_normalise_once(spark, tmp_path):
+    from quillstone.plans import catalog
+
+    spark.createDataFrame([(1, "A line\nmore", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    plan = catalog.QUERIES["claims"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("lower(reference") == 1
