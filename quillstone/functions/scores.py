@@ -212,12 +212,14 @@ def lexicon_repair_all(terms: tuple[str, ...] = LEXICON, settings: RerankSetting
     @F.pandas_udf("array<struct<text:string,edits:int>>")
     def repair(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in rows:
-            texts = [() if row is None else list(row) for row in series]
-            mended, out, at = _mend([t for row in texts for t in row], terms, chosen), [], 0
-            for row in texts:
-                own = mended[at : at + len(row)]
-                out.append([{"text": t, "edits": n} for t, n in own] if any(a != (b or "") or n for (a, n), b in zip(own, row)) else None)
-                at += len(row)
+            out = []
+            for rows in T._few(series):
+                texts = [row or [] for row in rows]
+                mended, at = _mend([t for row in texts for t in row], terms, chosen), 0
+                for row in texts:
+                    own = mended[at : at + len(row)]
+                    out.append([{"text": t, "edits": n} for t, n in own] if any(a != (b or "") or n for (a, n), b in zip(own, row)) else None)
+                    at += len(row)
             yield pd.Series(out, dtype=object)
 
     return repair

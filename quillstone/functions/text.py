@@ -25,6 +25,8 @@ LONG = 48
 MOST_WORDS, AT_ONCE, WORDS_AT_ONCE = 32, 4096, 1 << 16
 #: Characters of texts whose bounds are taken together.
 CHARACTERS_AT_ONCE = 1 << 19
+#: Rows of arrays that a worker looks at together.
+ROWS_AT_ONCE = 500
 # What makes a text high-risk (digit, date, capitalised word, code).
 HIGH_RISK_PATTERN = r"(?U)\d|[A-Z][a-z]+|[A-Z0-9]{4,}"
 PLACEHOLDER_NAME_PATTERN = r"(?i)(placeholder|synthetic|opencv.?font|lorem|dummy)"
@@ -322,15 +324,25 @@ def edits(left: Column, right: Column) -> Column:
     return F.when(left == right, 0).when(~long, F.levenshtein(left, right)).otherwise(_edits_udf()(F.when(long, left), F.when(long, right)))
 
 
+def _few(*columns: pd.Series) -> Iterator[list]:
+    """A batch's rows some at a time, so that what is made of them stays small; arrays as lists, of several columns as tuples of lists."""
+    for first in range(0, len(columns[0]), ROWS_AT_ONCE):
+        some = [[None if row is None else list(row) for row in c.iloc[first : first + ROWS_AT_ONCE]] for c in columns]
+        yield some[0] if len(some) == 1 else [None if None in row else row for row in zip(*some)]
+
+
+def _all_pairs(rows: list) -> list:
+    asked = list({(a, b) if a < b else (b, a): 0 for row in rows if row for a, b in combinations(dict.fromkeys(row), 2)})
+    known = dict(zip(asked, _edit_counts(asked)))
+    return [None if row is None else [0 if a == b else known[(a, b) if a < b else (b, a)] for a in row for b in row] for row in rows]
+
+
 @lru_cache(maxsize=1)
 def _pair_edits_udf():
     @F.pandas_udf("array<int>")
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in texts:
-            rows = [None if row is None else list(row) for row in series]
-            asked = list({(a, b) if a < b else (b, a): 0 for row in rows if row for a, b in combinations(dict.fromkeys(row), 2)})
-            known = dict(zip(asked, _edit_counts(asked)))
-            yield pd.Series([None if row is None else [0 if a == b else known[(a, b) if a < b else (b, a)] for a in row for b in row] for row in rows], dtype=object)
+            yield pd.Series([n for rows in _few(series) for n in _all_pairs(rows)], dtype=object)
 
     return count
 
@@ -361,8 +373,7 @@ def _nearest_udf():
     @F.pandas_udf("array<double>")
     def nearest(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, sources in batches:
-            rows = [None if t is None or s is None else (list(t), list(s)) for t, s in zip(texts, sources)]
-            yield pd.Series(_nearest(rows), dtype=object)
+            yield pd.Series([x for rows in _few(texts, sources) for x in _nearest(rows)], dtype=object)
 
     return nearest
 
