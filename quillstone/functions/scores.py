@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -42,8 +42,10 @@ def words_of(values: tuple[str, ...]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def domain_hint(text: Column) -> Column:
-    """A quarter for each distinct hint word, at most 1."""
+def domain_hint(text: Column, hints: Column | None = None) -> Column:
+    """A quarter for each distinct hint word, at most 1. ``hints``: how many they are, where that is known."""
+    if hints is not None:
+        return F.least(F.lit(1.0), 0.25 * hints)
     found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), 0))
     return F.least(F.lit(1.0), 0.25 * F.size(F.array_intersect(found, words_of(DOMAIN_HINTS))))
 
@@ -97,30 +99,36 @@ def quality_risk(quality: Column) -> Column:
     return F.when(quality == "good", 0.1).when(quality == "fair", 0.3).when(quality == "poor", 0.55).when(quality == "unusable", 0.85).otherwise(0.3)
 
 
+def begins_with_digit(text: Column) -> Column:
+    """One of 0 to 9 comes first: without it, no pattern that begins with a digit need be tried."""
+    return F.substring(text, 1, 1).between("0", "9")
+
+
 def is_date(text: Column) -> Column:
-    return F.replace(text, F.lit(" "), F.lit("")).rlike(DATE_PATTERN)
+    return begins_with_digit(F.ltrim(text)) & F.replace(text, F.lit(" "), F.lit("")).rlike(DATE_PATTERN)
 
 
 def language_plausibility(text: Column, terms: tuple[str, ...] = LEXICON) -> Column:
     score = (
         F.lit(0.4)
         + F.when(text.rlike("[A-Za-z]{2,}"), 0.2).otherwise(0.0)
-        + F.when(is_date(text) | text.rlike(QUANTITY_PATTERN), 0.3).otherwise(0.0)
-        + F.when(F.lower(text).isin(*terms), 0.2).otherwise(0.0)
-        - F.when(text.contains("?") | (F.regexp_count(text, F.lit(r"\.")) > 2), 0.15).otherwise(0.0)
+        + F.when(is_date(text) | (begins_with_digit(text) & text.rlike(QUANTITY_PATTERN)), 0.3).otherwise(0.0)
+        + F.when((F.length(text) <= max(map(len, terms), default=0)) & F.lower(text).isin(*terms), 0.2).otherwise(0.0)
+        - F.when(text.contains("?") | (F.substring_index(text, ".", 3) != text), 0.15).otherwise(0.0)
     )
     score = F.when(text.startswith("ink@"), 0.1).otherwise(score)
     return F.when((text == "") | (text == T.ILLEGIBLE_TEXT), 0.0).otherwise(clip(score))
 
 
-def domain_score(text: Column, terms: tuple[str, ...] = LEXICON) -> Column:
+def domain_score(text: Column, terms: tuple[str, ...] = LEXICON, found: Column | None = None) -> Column:
+    """A score for the text's terms and units. ``found``: how many words and how many of these it has, where that is known."""
     counts = lambda found: F.array(F.size(found), F.size(F.filter(found, lambda t: t.isin(*terms, *UNITS))))
 
     def score(n: Column) -> Column:
         words, hits = n[0], n[1]
         return F.when(words == 0, 0.0).when(hits > 0, F.least(F.lit(1.0), 0.35 + 0.2 * hits)).when(is_date(text), 0.7).otherwise(0.0)
 
-    return T.let(T.let(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0), counts), score)
+    return T.let(T.let(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0), counts) if found is None else found, score)
 
 
 def format_repair(text: Column, ascii_only: bool = False) -> Column:
@@ -136,18 +144,22 @@ def _formatted(t: Column) -> Column:
     slash_pattern = r"^(\d+(?:\.\d+)?)\s+/\s+(\d+(?:\.\d+)?)$"
     slash = F.concat_ws("/", F.regexp_extract(t, slash_pattern, 1), F.regexp_extract(t, slash_pattern, 2))
     slip = SLIP_PATTERN
-    slipped = t.rlike(slip)
+    number, some_number = begins_with_digit(t), t.rlike("[0-9]")
+    slipped = some_number & t.rlike(slip)
+    plain = ~t.rlike("[0-9RPB]")
+    prefixed = lambda u: (u.contains("Rai") | u.contains("Ri") | u.contains("Px") | u.contains("Bx")) & u.rlike(PREFIX_PATTERN)
     units = F.when(slipped, F.regexp_replace(t, slip, "$1 mg")).otherwise(t)
     mended = lambda u: result(F.regexp_replace(u, PREFIX_PATTERN, "Rx"), F.when(slipped, "unit_repair").otherwise("rx_prefix_repair"))
-    unprefixed = lambda u: F.when(u.rlike(PREFIX_PATTERN), mended(u)).otherwise(result(u, F.when(slipped, "unit_repair")))
+    unprefixed = lambda u: F.when(prefixed(u), mended(u)).otherwise(result(u, F.when(slipped, "unit_repair")))
 
     def result(value: Column, name: Column) -> Column:
         return F.struct(value.alias("text"), name.cast("string").alias("edit"))
 
     return (
-        F.when(compact.rlike(DATE_PATTERN) & (date != t), result(date, F.lit("date_format")))
-        .when(t.rlike(unit_pattern) & (unit != t), result(unit, F.lit("unit_spacing")))
-        .when(t.rlike(slash_pattern) & (slash != t), result(slash, F.lit("slash_normalize")))
+        F.when(plain, result(t, F.lit(None)))
+        .when(number & compact.rlike(DATE_PATTERN) & (date != t), result(date, F.lit("date_format")))
+        .when(number & t.rlike(unit_pattern) & (unit != t), result(unit, F.lit("unit_spacing")))
+        .when(number & t.rlike(slash_pattern) & (slash != t), result(slash, F.lit("slash_normalize")))
         .otherwise(T.let(units, unprefixed))
     )
 
@@ -164,6 +176,18 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * row[-1] / (len(a) + len(b))
 
 
+@lru_cache(maxsize=10_000)
+def _kinds(text: str) -> frozenset[str]:
+    return frozenset(text)
+
+
+def _may_reach(low: str, own: frozenset[str], term: str, least: float) -> bool:
+    """Whether :func:`indel_ratio` may be ``least``: characters that the other text lacks are not kept."""
+    other = _kinds(term)
+    kept = min(len(low) - len(own - other), len(term) - len(other - own))
+    return 200.0 * kept >= least * (len(low) + len(term)) - 1e-6
+
+
 def repair_word(word: str, lexicon: Sequence[str], settings: RerankSettings) -> tuple[str, str | None]:
     """The word, or its near-exact lexicon entry in the word's case; and the kind of edit."""
     low = word.lower()
@@ -172,7 +196,8 @@ def repair_word(word: str, lexicon: Sequence[str], settings: RerankSettings) ->
         return to, "abbrev" if to != word else None
     if low in lexicon or len(low) <= 4:
         return word, None
-    near = [(indel_ratio(low, term), -i, term) for i, term in enumerate(lexicon) if abs(len(term) - len(low)) <= 3]
+    own = _kinds(low)
+    near = [(indel_ratio(low, term), -i, term) for i, term in enumerate(lexicon) if abs(len(term) - len(low)) <= 3 and _may_reach(low, own, term, settings.min_fuzz_score)]
     best = max(near, default=(0.0, 0, ""))
     term = best[2]
     if best[0] < settings.min_fuzz_score or abs(len(term) - len(low)) > 1:
@@ -205,26 +230,6 @@ def lexicon_repair(terms: tuple[str, ...] = LEXICON, settings: RerankSettings |
     return repair
 
 
-def lexicon_repair_all(terms: tuple[str, ...] = LEXICON, settings: RerankSettings | None = None):
-    """:func:`lexicon_repair` of an array of texts; null where all stay as they are."""
-    chosen = settings or RerankSettings()
-
-    @F.pandas_udf("array<struct<text:string,edits:int>>")
-    def repair(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in rows:
-            out = []
-            for rows in T._few(series):
-                texts = [row or [] for row in rows]
-                mended, at = _mend([t for row in texts for t in row], terms, chosen), 0
-                for row in texts:
-                    own = mended[at : at + len(row)]
-                    out.append([{"text": t, "edits": n} for t, n in own] if any(a != (b or "") or n for (a, n), b in zip(own, row)) else None)
-                    at += len(row)
-            yield pd.Series(out, dtype=object)
-
-    return repair
-
-
 _PARTS, _WORDS = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9]+").findall, re.compile("[A-Za-z0-9]+").findall
 
 
@@ -246,20 +251,40 @@ def _maybe_near(words: list[str], lexicon: list[str], least: float) -> np.ndarra
     return near
 
 
-def _mend(texts: list[str | None], terms: tuple[str, ...], chosen: RerankSettings) -> list[tuple[str, int]]:
-    """Texts with near-exact lexicon words put right, and the numbers of edits. Words are weighed once, those that no term is near all together."""
-    lexicon = sorted({t.lower() for t in terms if t})
-    if not chosen.lexicon_enabled:
-        return [(t or "", 0) for t in texts]
-    words = [w for w in set(_WORDS("\n".join(filter(None, texts)))) if w.isalpha()]
-    long = [w for w in words if len(w) > 4]
-    asked = [w for w in words if len(w) <= 4 and w.lower() in ABBREVIATIONS]
+#: Words whose repairs a worker remembers.
+WORDS_KEPT = 200_000
+
+
+@lru_cache(maxsize=4)
+def _repairs_kept(lexicon: tuple[str, ...], chosen: RerankSettings) -> tuple[set[str], dict[str, tuple[str, str | None]]]:
+    """The words that were weighed in this worker, and repairs of those that have one."""
+    return set(), {}
+
+
+def _wrong(words: set[str], terms: tuple[str, ...], chosen: RerankSettings) -> dict[str, tuple[str, str | None]]:
+    """Repairs of the words that have one. Words are weighed once, those that no term is near all together."""
+    lexicon = tuple(sorted({t.lower() for t in terms if t}))
+    weighed, wrong = _repairs_kept(lexicon, chosen)
+    if len(weighed) > WORDS_KEPT:
+        weighed.clear(), wrong.clear()
+    new = words - weighed
+    long = [w for w in new if len(w) > 4 and w.isalpha()]
+    asked = [w for w in new if len(w) <= 4 and w.lower() in ABBREVIATIONS]
     if long and lexicon:
         asked += [w for w, near in zip(long, _maybe_near([w.lower() for w in long], lexicon, chosen.min_fuzz_score)) if near or w.lower() in ABBREVIATIONS]
-    wrong = {w: to for w in asked if (to := repair_word(w, lexicon, chosen)) != (w, None)}
-    out = []
-    for t in texts:
-        if not t or not wrong or wrong.keys().isdisjoint(_WORDS(t)):
+    wrong |= {w: to for w in asked if (to := repair_word(w, lexicon, chosen)) != (w, None)}
+    weighed |= new
+    return {w: wrong[w] for w in words & wrong.keys()}
+
+
+def _mend(texts: list[str | None], terms: tuple[str, ...], chosen: RerankSettings, words: list[list[str]] | None = None) -> list[tuple[str, int]]:
+    """Texts with near-exact lexicon words put right, and the numbers of edits. ``words``: theirs, where they are at hand."""
+    if not chosen.lexicon_enabled:
+        return [(t or "", 0) for t in texts]
+    words = [_WORDS(t or "") for t in texts] if words is None else words
+    wrong, out = _wrong(set().union(*words), terms, chosen), []
+    for t, own in zip(texts, words):
+        if not wrong or wrong.keys().isdisjoint(own):
             out.append((t or "", 0))
             continue
         parts = [wrong.get(part, (part, None)) for part in _PARTS(t)]
@@ -267,6 +292,35 @@ def _mend(texts: list[str | None], terms: tuple[str, ...], chosen: RerankSetting
     return out
 
 
+_TERMS, _HINTS = frozenset((*LEXICON, *UNITS)), frozenset(DOMAIN_HINTS)
+_COUNT = _TERMS | _HINTS
+@lru_cache(maxsize=1)
+def _telling_kept() -> tuple[set[str], set[str]]:
+    """The words that were looked up in this worker, and those of them that are terms, units or hints."""
+    return set(), set()
+
+
+def _telling(words: set[str]) -> set[str]:
+    seen, telling = _telling_kept()
+    if len(seen) > WORDS_KEPT:
+        seen.clear(), telling.clear()
+    new = words - seen
+    telling |= {w for w in new if w.lower() in _COUNT}
+    seen |= new
+    return words & telling
+
+
+def _domain_words(texts: list[str | None], words: list[list[str]]) -> list[list[int]]:
+    """What :func:`domain_score` and :func:`domain_hint` ask of texts: numbers of words, of terms and units, and of different hints. ``words``: those of letters and digits."""
+    # two characters beyond ASCII become letters from a to z
+    words = [re.findall("[a-z0-9]+", t.lower()) if t and ("\u212a" in t or "\u0130" in t) else own for t, own in zip(texts, words)]
+    telling, out = _telling(set().union(*words)), []
+    for own in words:
+        low = [] if telling.isdisjoint(own) else [w.lower() for w in own if w in telling]
+        out.append([len(own), sum(w in _TERMS for w in low), len(_HINTS.intersection(low))])
+    return out
+
+
 def tags_of(filename: Column, states: Column, regions: Column) -> Column:
     """Difficulty tags guessed from a file's name and what was found on it."""
     name = F.lower(filename)

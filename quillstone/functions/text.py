@@ -51,10 +51,15 @@ def _nfkc_udf():
     return compose
 
 
+def _is_composed(text: Column) -> Column:
+    """Texts of ASCII and of U+00C0 to U+00FF are their own compositions; others may be."""
+    return (F.octet_length(text) == F.length(text)) | text.rlike(r"^[\x00-\x7F\u00C0-\u00FF]*$")
+
+
 def nfkc(text: Column) -> Column:
-    """Unicode compatibility composition; no built-in does it. Only texts beyond ASCII go to the worker."""
-    ascii_only = F.octet_length(text) == F.length(text)
-    return F.when(ascii_only, text).otherwise(_nfkc_udf()(F.when(~ascii_only, text)))
+    """Unicode compatibility composition; no built-in does it. Only texts beyond ASCII and the letters of Latin-1 go to the worker."""
+    composed = _is_composed(text)
+    return F.when(composed, text).otherwise(_nfkc_udf()(F.when(~composed, text)))
 
 
 @lru_cache(maxsize=1)
@@ -68,7 +73,7 @@ def _nfkc_all_udf():
 
 def nfkc_all(texts: Column) -> Column:
     """:func:`nfkc` of an array's texts."""
-    beyond = F.coalesce(F.exists(texts, lambda t: F.octet_length(t) != F.length(t)), F.lit(True))
+    beyond = F.coalesce(F.exists(texts, lambda t: ~_is_composed(t)), F.lit(True))
     return F.when(~beyond, texts).otherwise(_nfkc_all_udf()(F.when(beyond, texts)))
 
 
@@ -79,7 +84,14 @@ def kept(value: Column) -> Column:
 
 def squeeze_blanks(text: Column) -> Column:
     """No-break blanks as blanks, runs of blanks and tabs as one, ends stripped."""
-    return strip(F.regexp_replace(F.regexp_replace(text, " ", " "), "[ \t]+", " "))
+
+    def squeezed(t: Column) -> Column:
+        # most texts have nothing to squeeze, which takes less than a pattern to see
+        ends = F.concat(F.substring(t, 1, 1), F.substring(t, -1, 1))
+        odd = t.contains("\u00a0") | t.contains("\t") | t.contains("  ") | ends.rlike(r"(?U)\s")
+        return F.when(odd, strip(F.regexp_replace(F.regexp_replace(t, " ", " "), "[ \t]+", " "))).otherwise(t)
+
+    return let(text, squeezed)
 
 
 def normalize_candidate(text: Column, ascii_only: bool = False) -> Column:
@@ -368,6 +380,11 @@ def _nearest(rows: list) -> list:
     return [None if row is None else [None if t is None else 0.0 if t in row[1] else best.get((t, tuple(row[1]))) for t in row[0]] for row in rows]
 
 
+def _square(rows: list) -> list:
+    """Edits between all pairs of each row's texts; a null text counts as an empty one."""
+    return _all_pairs([None if row is None else ["" if t is None else t for t in row] for row in rows])
+
+
 @lru_cache(maxsize=1)
 def _nearest_udf():
     @F.pandas_udf("array<double>")
@@ -383,24 +400,6 @@ def nearest_distances(texts: Column, sources: Column) -> Column:
     return _nearest_udf()(texts, sources)
 
 
-@lru_cache(maxsize=1)
-def _each_distance_udf():
-    @F.pandas_udf("array<double>")
-    def away(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for left, right in batches:
-            rows = [None if a is None or b is None else list(zip(a, b)) for a, b in zip(left, right)]
-            asked = list({p: 0 for row in rows if row for p in row if p[0] is not None and p[1] is not None and p[0] != p[1]})
-            known = {(a, b): n / max(len(a), len(b)) for (a, b), n in zip(asked, _edit_counts(asked))}
-            yield pd.Series([None if row is None else [None if p[0] is None or p[1] is None else known.get(p, 0.0) for p in row] for row in rows], dtype=object)
-
-    return away
-
-
-def each_distance(left: Column, right: Column) -> Column:
-    """The :func:`normalized_distance` of the texts at the same places of two arrays; null where one is."""
-    return _each_distance_udf()(left, right)
-
-
 def cer(reference: Column, hypothesis: Column) -> Column:
     """Edits per reference character; without a reference 0 or 1."""
     empty = F.length(reference) == 0

@@ -38,9 +38,9 @@ def best_score(h: Column) -> Column:
     return h["visual"] + F.when(h["safe_edit"], 0.03).otherwise(0.0) + 0.04 * h["hint"]
 
 
-def hinted(h: Column) -> Column:
-    """The hypothesis with the domain hint of its text, which is asked for often."""
-    return h.withField("hint", S.domain_hint(h["text"]))
+def hinted(h: Column, words: Column | None = None) -> Column:
+    """The hypothesis with the domain hint of its text, which is asked for often. ``words``: what is known of all hypotheses' words."""
+    return h.withField("hint", S.domain_hint(h["text"], None if words is None else F.get(F.get(words, h["at"]), F.lit(2))))
 
 
 def pick_best(cluster: Column) -> Column:
@@ -48,11 +48,12 @@ def pick_best(cluster: Column) -> Column:
     return F.when(F.size(hand) > 0, first_max(hand, best_score)).otherwise(first_max(cluster, best_score))
 
 
-def distances(hyps: Column) -> Column:
-    """Edits per character of the longer text between all pairs of ``hyps``, row by row in one array."""
+def distances(hyps: Column, edits: Column | None = None) -> Column:
+    """Edits per character of the longer text between all pairs of ``hyps``, row by row in one array. ``edits``: those between all pairs, where they are known."""
     lengths = F.transform(hyps, lambda h: F.length(h["normalized_text"]))
     longer = T.let(lengths, lambda all_: F.flatten(F.transform(all_, lambda a: F.transform(all_, lambda b: F.greatest(a, b, F.lit(1))))))
-    return F.zip_with(T.pair_edits(F.transform(hyps, lambda h: h["normalized_text"])), longer, lambda n, most: n / most)
+    counted = T.pair_edits(F.transform(hyps, lambda h: h["normalized_text"])) if edits is None else edits
+    return F.zip_with(counted, longer, lambda n, most: n / most)
 
 
 def cluster_numbers(hyps: Column, apart: Column) -> Column:
@@ -117,7 +118,9 @@ def fuse(lines: DataFrame, limits: DecisionThresholds | None = None) -> DataFram
     ``image_quality_risk``, ``context_score``, ``verifier_agreement``,
     ``verifier_disagreement``, ``script_mode``, ``region_type``,
     ``verifier_index``, ``verifier_reject_all``, ``htr_blocked``,
-    ``routing_uncertain``, ``strike_uncertain``.  Adds ``decision``: text,
+    ``routing_uncertain``, ``strike_uncertain``, ``hyp_edits`` and ``hyp_words``
+    (edits between all pairs of ``hyps`` and their words, which are counted
+    otherwise).  Adds ``decision``: text,
     state, confidence, uncertainty, final_score, alternatives, reason,
     is_high_risk and the score breakdown.
 
@@ -135,6 +138,9 @@ def fuse(lines: DataFrame, limits: DecisionThresholds | None = None) -> DataFram
     print_mode = (arg("script_mode", "handwriting") == "print") | arg("region_type", "").isin("printed_text", "table")
     mixed = (arg("script_mode", "handwriting") == "mixed") | arg("routing_uncertain", False)
     chosen = F.coalesce((index >= 0) & (index < F.size(hyps)) & (F.get(hyps, index)["text"] != ""), F.lit(False))
+    told = F.col("hyp_words") if "hyp_words" in given else None
+    if known := "hyp_edits" in given:
+        hyps = F.transform(hyps, lambda h, i: h.withField("at", i))
     moved = F.when(chosen, F.concat(F.slice(hyps, index + 1, 1), F.filter(hyps, lambda h, i: i != index))).otherwise(hyps)
 
     a = lines.select(
@@ -143,7 +149,7 @@ def fuse(lines: DataFrame, limits: DecisionThresholds | None = None) -> DataFram
         mixed.alias("_mixed"),
         chosen.alias("_chosen"),
         moved.alias("_hyps"),
-        T.kept(F.transform(F.filter(moved, lambda h: h["normalized_text"] != ""), lambda h, i: hinted(h).withField("place", i))).alias("_valid"),
+        T.kept(F.transform(F.filter(moved, lambda h: h["normalized_text"] != ""), lambda h, i: hinted(h, told).withField("place", i))).alias("_valid"),
         S.clip(arg("image_quality_risk", 0.3)).alias("_risk"),
         S.clip(arg("context_score", 0.0)).alias("_context"),
         S.clip(F.when(chosen, 1.0).otherwise(arg("verifier_agreement", 0.0))).alias("_agree"),
@@ -154,7 +160,9 @@ def fuse(lines: DataFrame, limits: DecisionThresholds | None = None) -> DataFram
         arg("strike_uncertain", False).alias("_strike"),
     )
     valid = F.col("_valid")
-    b = a.withColumn("_apart", T.kept(distances(valid)))
+    places = F.transform(valid, lambda h: h["at"]) if known else None
+    between = T.let(places, lambda all_: F.flatten(F.transform(all_, lambda x: F.transform(all_, lambda y: F.get("hyp_edits", x * F.size("hyps") + y))))) if known else None
+    b = a.withColumn("_apart", T.kept(distances(valid, between)))
     apart, n_valid = F.col("_apart"), F.size(valid)
     b = b.withColumn("_numbers", cluster_numbers(valid, apart)).withColumns({"_hand": F.filter(valid, is_hand), "_printed": F.filter(valid, is_print)}).withColumn("_clusters", clusters(valid, F.col("_numbers")))
     cl, hand, printed = F.col("_clusters"), F.col("_hand"), F.col("_printed")
@@ -167,7 +175,7 @@ def fuse(lines: DataFrame, limits: DecisionThresholds | None = None) -> DataFram
     c = c.withColumn("_best0", F.when(pure_print, F.when((F.size(printed) > 0) & ~is_print(loudest), first_max(printed, visual)).otherwise(loudest)).otherwise(pick_best(F.col("_top0"))))
     # a chosen hypothesis is moved to the front; it may be without a normal form
     moved_first = F.get(F.col("_hyps"), F.lit(0))
-    sel = F.when(moved_first["normalized_text"] != "", F.get(valid, F.lit(0))).otherwise(hinted(moved_first).withField("place", F.lit(-1)))
+    sel = F.when(moved_first["normalized_text"] != "", F.get(valid, F.lit(0))).otherwise(hinted(moved_first, told).withField("place", F.lit(-1)))
     near = F.filter(valid, lambda h, i: (sel["place"] == 0) & (F.get(apart, i) <= CLUSTER_DISTANCE))
     c = c.withColumns({"_best": F.when(F.col("_chosen"), sel).otherwise(F.col("_best0")), "_top": F.when(F.col("_chosen"), _or_else(near, F.array(sel))).otherwise(F.col("_top0"))})
 

@@ -519,7 +519,7 @@ def fuse_states(spark, sf_dir):
 @query()
 def rerank_lines(spark, sf_dir):
     """Candidates with safe repairs, reranked, then fused. Needs the lexicon's Python worker; checked by tests."""
-    rows = rerank.with_repairs(E.candidates(spark, sf_dir), ["doc_id", "line_no"])
+    rows = rerank.with_repairs(E.candidates(spark, sf_dir).select("doc_id", "line_no", "script_mode", "hyps", "composed"), ["doc_id", "line_no"])
     out = fusion.fuse(rerank.rank(rows))
     return out.select("doc_id", "line_no", F.size("hyps").alias("candidates"), r(F.col("context_score")).alias("context_score"), F.col("decision.state").alias("state"), F.col("decision.text").alias("text"))
 

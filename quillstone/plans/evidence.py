@@ -62,10 +62,11 @@ def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same hypotheses as an array a line."""
+    """The same hypotheses as an array a line; ``composed`` has the Unicode compositions of their texts."""
     rows = lines(spark, sf_dir).select("*", *[T.kept(corrupted(i)).alias(f"_{i}") for i in range(len(VARIANTS))])
+    rows = rows.withColumn("composed", T.kept(T.nfkc_all(F.array(*[F.col(f"_{i}") for i in range(len(VARIANTS))]))))
     hyp = [
-        F.struct(F.col(f"_{i}").alias("text"), T.normalize_candidate(F.col(f"_{i}")).alias("normalized_text"), visual(i).alias("visual"), F.lit(v).alias("variant"), F.lit(m).alias("model"), F.lit(None).cast("string").alias("family"), F.lit(False).alias("safe_edit"))
+        F.struct(F.col(f"_{i}").alias("text"), T.squeeze_blanks(F.get("composed", F.lit(i))).alias("normalized_text"), visual(i).alias("visual"), F.lit(v).alias("variant"), F.lit(m).alias("model"), F.lit(None).cast("string").alias("family"), F.lit(False).alias("safe_edit"))
         for i, (v, m) in enumerate(VARIANTS)
     ]
     rows = rows.withColumn("hyps", T.kept(F.array(*hyp))).drop(*[f"_{i}" for i in range(len(VARIANTS))])

@@ -138,3 +138,27 @@ def test_nearest_source_by_force():
     rows = [([make() for _ in range(3)], [make() for _ in range(rng.randint(1, 4))]) for _ in range(80)] + [(["a", None], ["b", "a"]), ([], ["a"]), None]
     want = [None if r is None else [None if t is None else min(_recount(t, s) / max(len(t), len(s), 1) for s in r[1]) for t in r[0]] for r in rows]
     assert T._nearest(rows) == want
+
+
+def test_rerank_asks_one_worker(spark, tmp_path):
+    from quillstone.plans import catalog
+
+    spark.createDataFrame([(1, "a line", "en", "s", 6)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    plan = catalog.QUERIES["rerank_lines"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    # one for compositions, one for all else; each that keeps rows waiting fills memory, then disk
+    assert (plan.count("ArrowEvalPython"), plan.count("MapInArrow")) == (1, 1)
+
+
+def test_rerank_and_fusion_agree_with_counts_of_their_own(spark):
+    rng = random.Random(3)
+    bits = ["5", "12/3/2020", "7 ma", "9MQ", "Rai", "Px", "patlent", "amoxicilin", "AMOXICILIN", "dr", "mg", "fever", " ", " \t", "ﬁx", "½", "KG", "café", "stones " * 9, "?", ""]
+    make = lambda: " ".join(rng.choice(bits) for _ in range(rng.randint(0, 4)))
+    rows = []
+    for k in range(60):
+        texts = [make() for _ in range(rng.randint(0, 4))]
+        rows.append((k, [hyp(rng.choice([t, texts[0]]), rng.randint(0, 100) / 100, v, rng.choice([HAND, PRINT])) for t, v in zip(texts, ("raw", "clahe", "denoised", "raw"))], rng.choice([None, 0, 1])))
+    rows += [(60, None, None), (61, [(None, None, 0.5, "raw", HAND, None, False)], None)]
+    lines = rerank.with_repairs(spark.createDataFrame(rows, f"k int, hyps array<{HYPOTHESIS.simpleString()}>, verifier_index int"), ["k"])
+    known = ("usual", "nearest", "hyp_edits", "hyp_words")
+    got, want = (fusion.fuse(rerank.rank(f)).select("k", "hyps", "context_score", "decision").orderBy("k").collect() for f in (lines, lines.drop(*known)))
+    assert got == want and any(h.safe_edit for r in got for h in r.hyps or [])
